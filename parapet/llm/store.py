@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ CUT_BITS = 9
 MIN_CHUNK, MAX_CHUNK = 128, 2048
 _RANGE = 16
 #: Words whose ids a worker remembers, which bounds its memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+COMMON_WORDS = 20_000
 #: Documents of which equal chunks are brought together before the shuffle.
 BATCH_DOCS = 1000
 
@@ -84,63 +86,111 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
 class Encoder:
     """Ids of whole texts, the same as ``Tokenizer.encode``, with known words remembered.
 
-    The tokenizer parts a text before each space between other characters, and
-    around a line end between other characters, and encodes the parts one by one.
-    So in a text whose white space is only such single spaces and line ends, the
-    ids are those of its parts. All other texts go to the tokenizer whole.
+    The tokenizer parts a text before each space between other characters, around
+    a line end between other characters, and between a letter or digit and a
+    full stop or comma that ends a word; it encodes the parts one by one. So in a
+    text whose white space is only such single spaces and line ends, the ids are
+    those of its parts. All other texts go to the tokenizer whole.
+
+    Parts that are not yet known go to the tokenizer in one text, parted in the
+    same ways; the number of bytes that each id stands for tells them apart again.
     """
 
     def __init__(self, path: str, dtype: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
-        self.odd = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
-        self.known: dict[str, bytes] = {}
-        self.line_end = self._whole(["\n"])[0]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        self.stops = {p: self._ids(p).tobytes() for p in ".,"}
+        #: Ids of a word after a space; of a word at the start of a line, marked by \x00; of a line end.
+        self.known: dict[str, bytes] = {"\n": self._ids("\n").tobytes()}
+        #: The first of these, few enough to stay in the processor's caches.
+        self.common: dict[str, bytes] = {}
+        # Each character of a byte-level token stands for one byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+
+    def _ids(self, text: str) -> np.ndarray:
+        # The fast form leaves out offsets, not ids.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    @staticmethod
+    def is_plain(text: str) -> bool:
+        """Whether all white space of a text is single spaces and line ends between other characters."""
+        if text[0].isspace() or text[-1].isspace():
+            return False
+        return not (any(x in text for x in _DOUBLE) or any(x in text for x in _ODD_ASCII) or not text.isascii() and any(x in text for x in _ODD_SPACES))
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words in one text: after a space, or after a line end where they start a line."""
+        pieces = ["\n" + w[1:] if w[0] == "\x00" else " " + w for w in words]
+        ids = self._ids("a" + "".join(pieces) + " a")
+        ends = np.cumsum(self.bytes_of[ids])
+        lead = np.array([w[0] == "\x00" for w in words], dtype=np.int64)
+        stop = 1 + np.cumsum(np.array([len(p.encode()) for p in pieces], dtype=np.int64))
+        start = np.concatenate(([1], stop[:-1])) + lead
+        first, last = np.searchsorted(ends, start, "left") + 1, np.searchsorted(ends, stop, "left") + 1
+        if np.array_equal(ends[first - 1], start) and np.array_equal(ends[last - 1], stop):
+            raw, width = ids.tobytes(), np.dtype(self.dtype).itemsize
+            found = [raw[a * width : b * width] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        else:  # a word that the tokenizer doesn't part there: each for itself
+            found = [self._ids(w[1:] if w[0] == "\x00" else " " + w).tobytes() for w in words]
+        self.known.update(zip(words, found, strict=True))
+
+    def _learn_all(self, fresh: set[str]) -> None:
+        known, stopped, rest = self.known, [], set()
+        for w in fresh:
+            if w[-1] in self.stops and len(w) > 1 and w[-2].isalnum():
+                stopped.append(w)
+                if w[:-1] not in known:
+                    rest.add(w[:-1])
+            else:
+                rest.add(w)
+        rest = sorted(rest)
+        for at in range(0, len(rest), 1000):
+            self._learn(rest[at : at + 1000])
+        for w in stopped:
+            known[w] = known[w[:-1]] + self.stops[w[-1]]
+        if len(self.common) < COMMON_WORDS:
+            self.common = dict(islice(known.items(), COMMON_WORDS))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        parts: list[list[str] | None] = [None] * len(texts)
-        whole, fresh = [], set()
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif self.odd.search(text):
-                whole.append(i)
-            else:
-                # " word" after a space, "word" at the start of a line, "\n" for a line end
-                own = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else None
-                if own is None:
-                    whole.append(i)
-                    continue
-                parts[i] = own
-                fresh.update(p for p in own if p not in known)
-        if fresh:
-            fresh = sorted(fresh)
-            for at in range(0, len(fresh), 2000):
-                some = fresh[at : at + 2000]
-                known.update(zip(some, self._whole(some), strict=True))
-        for i, own in enumerate(parts):
+        if len(self.known) > CACHE_WORDS:  # what was met first is what is frequent
+            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
+        known, common = self.known, self.common.get
+        held: list[tuple[list[str], list[bytes | None]] | None] = []
+        fresh: set[str] = set()
+        for text in texts:
+            if not text or not self.is_plain(text):
+                held.append(None)
+                continue
+            words = ("\x00" + text.replace("\n", " \n \x00")).split(" ")
+            found = list(map(common, words))
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                found[i] = ids = known.get(words[i])
+                if ids is None:
+                    fresh.add(words[i])
+            held.append((words, found))
+        self._learn_all(fresh)
+        out = []
+        for text, own in zip(texts, held, strict=True):
             if own is not None:
-                out[i] = b"".join([known[p] for p in own])
-        for at in range(0, len(whole), 16):
-            for i, ids in zip(whole[at : at + 16], self._whole([texts[i] for i in whole[at : at + 16]]), strict=True):
-                out[i] = ids
+                out.append(b"".join([ids if ids is not None else known[w] for w, ids in zip(*own, strict=True)]))
+            else:
+                out.append(self._ids(text).tobytes() if text else b"")
         return out
 
 
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
+_ODD_ASCII = tuple("\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+#: Every other character that counts as white space.
+_ODD_SPACES = tuple(c for c in map(chr, range(0x80, 0x3001)) if c.isspace())
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -278,18 +328,24 @@ def _shift_tables() -> np.ndarray:
 _TABLES = _shift_tables()
 
 
-def crc_of_parts(crcs: np.ndarray, sizes: np.ndarray) -> int:
-    """crc32 of the parts one after the other, from their own crcs and byte sizes."""
-    after = np.concatenate((np.cumsum(sizes[::-1])[::-1][1:], [0])).astype(np.int64)
+def crc_of_parts(crcs: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """crc32 of each whole from the crcs and byte sizes of its parts, in order.
+
+    ``counts`` is the number of parts of each whole, at least one. A part's crc
+    is moved over the bytes that follow it; the moved crcs of a whole add up.
+    """
+    first = np.cumsum(counts) - counts
+    until = np.cumsum(sizes)
+    after = np.repeat(until[first + counts - 1], counts) - until
     moved = crcs.astype(np.uint32)
-    for k in range(int(after.max()).bit_length() if len(after) else 0):
+    for k in range(int(after.max(initial=0)).bit_length()):
         on = np.flatnonzero((after >> k) & 1)
         x = moved[on]
         out = np.zeros_like(x)
         for b in range(32):
             out ^= np.where((x >> np.uint32(b)) & np.uint32(1), _TABLES[k][b], np.uint32(0))
         moved[on] = out
-    return int(np.bitwise_xor.reduce(moved)) if len(moved) else 0
+    return np.bitwise_xor.reduceat(moved, first) if len(counts) else np.zeros(0, np.uint32)
 
 
 def _payload_crcs(chunks: DataFrame, dtype: str) -> DataFrame:
@@ -336,15 +392,15 @@ def read_digest(spark: SparkSession, path: str, tokenizer_path: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            columns = [batch.column(c) for c in ("doc_id", "n_tokens", "leaf", "addresses", "ns", "crcs")]
-            for doc_id, n_tokens, leaf, addresses, ns, own in zip(*(c.to_pylist() for c in columns), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "leaf", "addresses", "ns")]
+            for doc_id, n_tokens, leaf, addresses, ns in zip(*columns, strict=True):
                 hexes = "".join(a.hex().upper() for a in addresses or [])
                 if hashlib.sha256(hexes.encode()).hexdigest() != leaf or sum(ns or []) != n_tokens:
                     raise ValueError(f"the chunks of document {doc_id} are not those of its recipe")
-                out.append(crc_of_parts(np.array(own, dtype=np.uint32), 4 * np.array(ns, dtype=np.int64)))
+            crcs, sizes = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("crcs", "ns"))
+            out = crc_of_parts(crcs, 4 * sizes.astype(np.int64), np.array([len(x) for x in columns[4]], dtype=np.int64))
             keep = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.int64()), batch.column("leaf")], names=["doc_id", "start", "n_tokens", "ids_crc32", "leaf"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(out.astype(np.int64), pa.int64()), batch.column("leaf")], names=["doc_id", "start", "n_tokens", "ids_crc32", "leaf"])
 
     return joined.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, leaf string")
 
