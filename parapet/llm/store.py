@@ -43,7 +43,6 @@ MIN_CHUNK, MAX_CHUNK = 128, 2048
 _RANGE = 16
 #: Words whose ids a worker remembers, which bounds its memory.
 CACHE_WORDS = 1_000_000
-COMMON_WORDS = 20_000
 #: Documents of which equal chunks are brought together before the shuffle.
 BATCH_DOCS = 1000
 
@@ -105,8 +104,6 @@ class Encoder:
         self.stops = {p: self._ids(p).tobytes() for p in ".,"}
         #: Ids of a word after a space; of a word at the start of a line, marked by \x00; of a line end.
         self.known: dict[str, bytes] = {"\n": self._ids("\n").tobytes()}
-        #: The first of these, few enough to stay in the processor's caches.
-        self.common: dict[str, bytes] = {}
         # Each character of a byte-level token stands for one byte.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -154,14 +151,12 @@ class Encoder:
             self._learn(rest[at : at + 1000])
         for w in stopped:
             known[w] = known[w[:-1]] + self.stops[w[-1]]
-        if len(self.common) < COMMON_WORDS:
-            self.common = dict(islice(known.items(), COMMON_WORDS))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         if len(self.known) > CACHE_WORDS:  # what was met first is what is frequent
             self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
-        known, common = self.known, self.common.get
+        known = self.known
         held: list[tuple[list[str], list[bytes | None]] | None] = []
         fresh: set[str] = set()
         for text in texts:
@@ -169,11 +164,8 @@ class Encoder:
                 held.append(None)
                 continue
             words = ("\x00" + text.replace("\n", " \n \x00")).split(" ")
-            found = list(map(common, words))
-            for i in [i for i, ids in enumerate(found) if ids is None]:
-                found[i] = ids = known.get(words[i])
-                if ids is None:
-                    fresh.add(words[i])
+            found = list(map(known.get, words))
+            fresh.update([w for w, ids in zip(words, found, strict=True) if ids is None])
             held.append((words, found))
         self._learn_all(fresh)
         out = []
