@@ -42,9 +42,10 @@ SIGNIFICANT = 27.0
 MIN_WEIGHT = 2.0
 PREFIXES = (4, 5, 6, 7)
 
-#: Insults known beforehand, with the weight of a moderate stem.
+#: Log-odds of a stem whose single use says all; weaker stems count by the square of their share of it.
+STRONG = 8.0
+#: Insults known beforehand, as strong as that.
 SEEDS = ("idiot", "moron", "scum", "worthless", "pathetic", "stupid", "loser", "disgusting", "dumbass", "trottel", "abschaum", "dummkopf", "crétin", "imbécile", "ordure", "estúpido", "imbécil", "escoria")
-SEED_WEIGHT = 3.0
 #: Word classes in English, German, French and Spanish.
 THREATS = frozenset("kill killing hurt hurting beat strangle stab shoot burn destroy töten umbringen schlagen verbrennen tuer frapper brûler matar golpear quemar".split())
 TARGETS = frozenset("you your yours yourself u ya he she him her they them these those this that everyone people du dich dir dein deine ihr euch sie diese dieser tu te toi vous votre ton ta ils elles ce cette tú ti usted ustedes ellos ellas este esta ese esa".split())
@@ -163,7 +164,7 @@ class Scorer:
         return (",", 0.0) if word == "," else ("O", 0.0)
 
     def clauses(self, text: str) -> Iterator[tuple[str, float]]:
-        """(pattern, weight) of each clause that holds an insult or a threat."""
+        """(pattern, strength) of each clause that holds an insult or a threat; the strengths of its insults add up."""
         low, done = text.lower(), 0
         for last, size in self.find.iter(low):
             start = last - size + 1
@@ -172,20 +173,20 @@ class Scorer:
             begin = max((m.end() for m in _BREAK.finditer(low, max(done, start - 400), start)), default=max(done, start - 400))
             stop = _BREAK.search(low, last)
             end = min(stop.start() if stop else len(low), last + 400)
-            state, strongest = self.machine.start, 0.0
+            state, strength = self.machine.start, 0.0
             for m in _TOKEN.finditer(low, begin, end):
                 symbol, w = self.symbol(m[0])
-                strongest = max(strongest, w)
+                strength += min(1.0, w / STRONG) ** 2
                 state, _ = self.machine.step(state, symbol)
             if pattern := self.machine.final(state):
-                yield pattern, strongest
+                yield pattern, strength
                 done = end
 
     def features(self, text: str) -> list[float]:
         """For each pattern, how strong its clauses are together: 0 without any, up to 1."""
         x = dict.fromkeys(PATTERNS, 0.0)
         for pattern, w in self.clauses(text):
-            x[pattern] += min(1.0, w / SEED_WEIGHT) if w else 1.0
+            x[pattern] += w or 1.0
         return [1 - math.exp(-2 * x[p]) for p in PATTERNS]
 
     def score(self, text: str) -> tuple[float, int]:
@@ -281,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Mod
     """Learn stems and pattern weights from labelled documents; without labels, the fixed values."""
     usable = F.lit(True) if usable is None else usable
     sample = table(labelled_sample(docs, labels, usable), "toxicity-sample")
-    stems = {s: SEED_WEIGHT for s in SEEDS} | learn_stems(sample)
+    stems = {s: STRONG for s in SEEDS} | learn_stems(sample)
     rates = labels.where("doc_id is not null and toxic is not null").where(usable).agg(F.avg(F.col("toxic").cast("double")).alias("rate")).first()["rate"]
     bounded_batches(docs.sparkSession)
     # A few numbers for each row of the bounded sample.
