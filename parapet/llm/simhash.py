@@ -132,17 +132,16 @@ def hex_digits(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs``, one of each near-duplicate group: that with the smallest id.
+    """The rows of ``docs``, one of each near-duplicate group: that with the smallest id, null ids last.
 
-    Of repeated rows with that same id one stays, the first by its whole content.
+    Rows are held apart by a number of their own, not by their id: rows of equal
+    or null ids are dropped only where their texts are near-duplicates. Of rows
+    with the same smallest id the first by a hash of its content stays.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, distance, id_col=id_col, text_col=text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_id")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__near_id"])).select(*[docs[c] for c in docs.columns])
-    twice = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if twice.isEmpty():
-        return kept
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns), *[F.col(c) for c in docs.columns if c != id_col])
-    return kept.withColumn("__near_n", F.row_number().over(order)).where("__near_n = 1").drop("__near_n")
+    content = [c for c, kind in docs.dtypes if "map<" not in kind]
+    # Written once, so that a repeated task gives a row no other number.
+    rows = table(docs.withColumn("__near_row", F.monotonically_increasing_id()), "simhash-rows")
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(*content).alias("hash"), F.col("__near_row").alias("row"))
+    found = near_duplicates(rows.select(key.alias("__near_key"), F.col(text_col)), distance, id_col="__near_key", text_col=text_col)
+    keep = found.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__near_row"))
+    return rows.join(keep, "__near_row").select(*docs.columns)

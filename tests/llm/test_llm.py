@@ -145,6 +145,14 @@ def test_simhash_of_odd_rows(spark, odd, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_keeps_different_texts_of_null_and_equal_ids(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef")
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, c), (7, d), (7, e), (7, e), (3, e), (9, f), (9, f)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(None, a), (None, b), (5, c), (7, d), (3, e), (9, f)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 # -- extraction ----------------------------------------------------------------
 
 
