@@ -4,8 +4,9 @@ Markup is stripped into lines, one a block element. Menus, scripts, forms,
 adverts and the like give no text. The lengths of the lines that are left, links
 discounted, are summed over a sliding window of lines. Where the sum rises over
 the surge level the main text begins, where it falls to nothing it ends; the text
-between surge and dive points is kept whole, short lines included. Where a page
-marks an article or a main part, the lines are those inside it.
+between surge and dive points is kept whole, short lines included. All such runs of
+a page are kept. A line inside an article or a main element weighs a surge at least,
+so that no marked line is lost, however short.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ _NAMES = frozenset(
     " subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager masthead"
     " complementary contentinfo search dialog skip copyright legal disclaimer paywall".split()
 )
+#: Words that beside such a name in one class only tell its place or shape: cookie-bar, sidebar-left.
+_LAYOUT = frozenset(
+    "article post entry page site main global primary secondary top bottom left right inner outer fixed sticky mobile desktop bar box btn button buttons icon icons"
+    " link links list lists item items panel block wrap wrapper container content area section row col column group holder slot form header head title text".split()
+)
 _CONTENT = frozenset(("article", "main"))
 _NAMED = frozenset("div section ul ol dl p table span aside article li header figure details center a tr td".split())
 
@@ -54,7 +60,13 @@ _NAMED = frozenset("div section ul ol dl p table span aside article li header fi
 class Line:
     text: str
     weight: int
-    home: int
+    marked: bool
+
+
+def _is_name(token: str) -> bool:
+    """Whether a class, id or role as a whole names a part outside the main text: share-buttons, not share-price."""
+    words = {w.rstrip("0123456789") for w in _WORDS.findall(token)} - {""}
+    return not _NAMES.isdisjoint(words) and words <= _NAMES | _LAYOUT
 
 
 def _is_outside(tag: str, attributes: str, in_content: bool) -> bool:
@@ -68,7 +80,7 @@ def _is_outside(tag: str, attributes: str, in_content: bool) -> bool:
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role") and tag in _NAMED:
-            if not _NAMES.isdisjoint(_WORDS.findall(value)):
+            if any(map(_is_name, value.split())):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -78,15 +90,13 @@ def _is_outside(tag: str, attributes: str, in_content: bool) -> bool:
 def lines(page: str) -> list[Line]:
     """The lines of a page outside dropped parts.
 
-    ``home`` numbers the outermost article or main element around a line, 0
-    outside of any.
+    ``marked`` lines lie inside an article or a main element.
     """
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
-    homes: list[tuple[str, int]] = []
-    n_homes = 0
+    homes: list[str] = []
     skip, depth = "", 0
     at, end = 0, len(page)
 
@@ -103,7 +113,7 @@ def lines(page: str) -> list[Line]:
         if parts:
             plain = " ".join("".join(parts).split())
             if plain:
-                out.append(Line(plain, 0 if linked > LINK_SHARE * len(plain) else len(plain), homes[0][1] if homes else 0))
+                out.append(Line(plain, 0 if linked > LINK_SHARE * len(plain) else len(plain), bool(homes)))
             parts.clear()
         linked = 0
 
@@ -139,8 +149,8 @@ def lines(page: str) -> list[Line]:
                 flush()
             if tag == "a":
                 in_link = 0
-            if homes and any(t == tag for t, _ in homes):
-                while homes and homes.pop()[0] != tag:
+            if tag in homes:
+                while homes.pop() != tag:
                     pass
             continue
         if tag in _BLOCKS:
@@ -158,9 +168,7 @@ def lines(page: str) -> list[Line]:
         if tag == "a":
             in_link = 1
         elif tag in _CONTENT:
-            if not homes:
-                n_homes += 1
-            homes.append((tag, n_homes))
+            homes.append(tag)
     flush()
     return out
 
@@ -187,27 +195,14 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    sizes: dict[int, int] = {}
-    for x in found:
-        if x.home:
-            sizes[x.home] = sizes.get(x.home, 0) + len(x.text)
-    if sizes:
-        # Inside a marked article every line is main text: its first line is the surge, its last the dive.
-        home = max(sizes, key=lambda h: (sizes[h], -h))
-        kept = [x for x in found if x.home == home]
-    else:
-        regions = _regions([x.weight for x in found])
-        if regions:
-            # Headings right before a surge belong to it.
-            largest = max(sum(x.weight for x in found[a:b]) for a, b in regions)
-            kept = []
-            for a, b in regions:
-                if sum(x.weight for x in found[a:b]) >= 0.25 * largest:
-                    while b > a and not found[b - 1].weight:
-                        b -= 1
-                    kept += found[a:b]
-        else:
-            kept = [x for x in found if x.weight]
+    weights = [max(x.weight, SURGE) if x.marked else x.weight for x in found]
+    kept = []
+    for a, b in _regions(weights):
+        while b > a and not weights[b - 1]:
+            b -= 1
+        kept += found[a:b]
+    if not kept:
+        kept = [x for x in found if x.weight]
     return "\n\n".join(x.text for x in kept)
 
 

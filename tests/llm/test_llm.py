@@ -165,6 +165,25 @@ def test_extraction_of_a_page():
     assert "if (a" not in extraction.main_text("<p>" + "x " * 100 + "<script>if (a")
 
 
+def test_extraction_keeps_all_articles_and_all_surges():
+    a, b, c = ("The council met again on Monday to speak of " + x * 20 for x in ("roads ", "parks ", "schools "))
+    a, b, c = a.strip(), b.strip(), c.strip()
+    links = "".join(f"<p><a href='/{i}'>Link number {i}</a></p>" for i in range(4))
+    assert extraction.main_text(f"<article><h1>One</h1><p>{a}</p></article>{links}<article><p>Two</p></article><div><p>{b}</p></div>") == f"One\n\n{a}\n\nTwo\n\n{b}"
+    assert extraction.main_text(f"<main><p>Short.</p></main>{links}<p>{c}</p>") == f"Short.\n\n{c}"
+    assert extraction.main_text(f"<article><p>{a}</p><p><a href='/'>The whole report</a></p></article>{links}") == f"{a}\n\nThe whole report"
+    closing = "In the end all of them went home, and the chair thanked them."
+    assert extraction.main_text(f"<p>{a * 9}</p>{links}<p>{closing}</p>") == f"{a * 9}\n\n{closing}"
+
+
+def test_extraction_reads_names_as_whole_tokens():
+    text = "The price of a share rose again this week, as it had in the week before the last."
+    for name in ("share-price", "content no-sidebar", "legal-news", "has-menu", "post search-results-2024-notes"):
+        assert extraction.main_text(f"<div class='{name}'><p>{text}</p></div>") == text
+    for name in ("share-buttons", "post-comments", "sidebar-left", "cookie-banner", "wide ad", "ad2", "comment-17", "main_nav"):
+        assert extraction.main_text(f"<div class='{name}'><p>{text}</p></div><p>{text} So it is.</p>") == f"{text} So it is."
+
+
 def test_extraction_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "kept"), (1, "u", None, "kept"), (None, None, "<article>" + "word " * 50_000 + "</article>", None)], "page_id long, url string, html string, text_ string")
     rows = extraction.extract(pages).orderBy("page_id").collect()
