@@ -168,9 +168,14 @@ def mosaic_first(pixels):
     return pixels.groupBy("city", "r", "c").agg(r6(F.min_by("v", "chip")).alias("v"))
 
 
+@query("mask_apply_all", "pixels", sql="SELECT chip, r, c, CASE WHEN mask THEN v ELSE CAST(-9999 AS DOUBLE) END AS v FROM pixels")
+def mask_apply_all(pixels):
+    return pixels.select("chip", "r", "c", F.when(F.col("mask"), F.col("v")).otherwise(-9999.0).alias("v"))
+
+
 @query("mask_apply", "pixels", sql="SELECT chip, r, c, CASE WHEN mask THEN v ELSE CAST(-9999 AS DOUBLE) END AS v FROM pixels WHERE chip % 5 = 0")
 def mask_apply(pixels):
-    return pixels.where("chip % 5 = 0").select("chip", "r", "c", F.when(F.col("mask"), F.col("v")).otherwise(-9999.0).alias("v"))
+    return mask_apply_all(pixels.where("chip % 5 = 0"))
 
 
 @query("pixel_metrics", "pixels", sql="SELECT chip, CAST(count(*) FILTER (WHERE mask) AS BIGINT) AS n, CAST(count(DISTINCT v) AS BIGINT) AS distinct_values, round(max(v) - min(v), 6) AS spread, round(avg(abs(v)) FILTER (WHERE mask), 11) AS mae FROM pixels GROUP BY chip")
@@ -178,18 +183,28 @@ def pixel_metrics(pixels):
     return pixels.groupBy("chip").agg(F.count_if("mask").alias("n"), F.count_distinct("v").alias("distinct_values"), r6(F.max("v") - F.min("v")).alias("spread"), F.round(F.avg(F.when(F.col("mask"), F.abs("v"))), 11).alias("mae"))
 
 
+@query("rotate_flip_all", "pixels", sql="SELECT chip, c AS r, CAST(7 - r AS INT) AS c, v FROM pixels")
+def rotate_flip_all(pixels):
+    return pixels.select("chip", F.col("c").alias("r"), (7 - F.col("r")).alias("c"), "v")
+
+
 @query("rotate_flip", "pixels", sql="SELECT chip, c AS r, CAST(7 - r AS INT) AS c, v FROM pixels WHERE chip % 7 = 0")
 def rotate_flip(pixels):
-    return pixels.where("chip % 7 = 0").select("chip", F.col("c").alias("r"), (7 - F.col("r")).alias("c"), "v")
+    return rotate_flip_all(pixels.where("chip % 7 = 0"))
 
 
-@query("resample_nearest", "pixels", sql="SELECT p.chip, t.r, t.c, p.v FROM pixels p JOIN (SELECT a AS r, b AS c FROM range(0, 12) x(a), range(0, 12) y(b)) t ON p.r = floor((t.r + 0.5) * 8 / 12) AND p.c = floor((t.c + 0.5) * 8 / 12) WHERE chip % 11 = 0")
-def resample_nearest(pixels):
+@query("resample_nearest_all", "pixels", sql="SELECT p.chip, t.r, t.c, p.v FROM pixels p JOIN (SELECT a AS r, b AS c FROM range(0, 12) x(a), range(0, 12) y(b)) t ON p.r = floor((t.r + 0.5) * 8 / 12) AND p.c = floor((t.c + 0.5) * 8 / 12)")
+def resample_nearest_all(pixels):
     from_to = lambda at, n: F.expr(f"explode(filter(sequence(0, 11), t -> floor((t + 0.5) * 8 / 12) = {at}))").alias(n)
-    rows = pixels.where("chip % 11 = 0").select("chip", "c", "v", from_to("r", "tr"))
+    rows = pixels.select("chip", "c", "v", from_to("r", "tr"))
     return rows.select("chip", F.col("tr").cast("bigint").alias("r"), from_to("c", "tc"), "v").select("chip", "r", F.col("tc").cast("bigint").alias("c"), "v")
 
 
+@query("resample_nearest", "pixels", sql="SELECT p.chip, t.r, t.c, p.v FROM pixels p JOIN (SELECT a AS r, b AS c FROM range(0, 12) x(a), range(0, 12) y(b)) t ON p.r = floor((t.r + 0.5) * 8 / 12) AND p.c = floor((t.c + 0.5) * 8 / 12) WHERE chip % 11 = 0")
+def resample_nearest(pixels):
+    return resample_nearest_all(pixels.where("chip % 11 = 0"))
+
+
 @query("channel_normalise", "pixels", sql=", s AS (SELECT c, avg(v) AS m, stddev_pop(v) AS d FROM pixels GROUP BY c) SELECT chip, r, c, round((v - m) / d, 5) AS z FROM pixels JOIN s USING (c)")
 def channel_normalise(pixels):
     s = pixels.groupBy("c").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
@@ -240,14 +255,10 @@ def chip_inspection(pixels):
     return s.select("chip", r6(F.col("share")).alias("share"), "tall", reasons((F.col("share") < 0.4, "empty"), (F.col("top") < 2, "low")).alias("excluded"))
 
 
-@query("pixel_components", "pixels", sql="""
-, m AS (SELECT chip, r * 8 + c AS k, r, c FROM pixels WHERE v > 1 AND chip < 120),
-u AS (SELECT a.chip, a.k AS x, b.k AS y FROM m a JOIN m b ON a.chip = b.chip AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
-w AS (WITH RECURSIVE t AS (SELECT chip, k AS node, k AS root FROM m UNION SELECT t.chip, u.y, t.root FROM t JOIN u ON t.chip = u.chip AND t.node = u.x WHERE t.root < u.y) SELECT chip, node, min(root) AS root FROM t GROUP BY chip, node)
-SELECT chip, root, CAST(count(*) AS BIGINT) AS cells FROM w GROUP BY ALL""")
-def pixel_components(pixels):
-    """Four-neighbour components of the cells over 1 in each chip (120 chips: the view's own sample)."""
-    m = pixels.where("v > 1 AND chip < 120").select("chip", (F.col("r") * 8 + F.col("c")).alias("k"), "r", "c", (F.col("chip") * 64 + F.col("r") * 8 + F.col("c")).alias("id"))
+@query("pixel_components_all", "pixels")
+def pixel_components_all(pixels):
+    """Four-neighbour components of the cells over 1 in each chip."""
+    m = pixels.where("v > 1").select("chip", (F.col("r") * 8 + F.col("c")).alias("k"), "r", "c", (F.col("chip") * 64 + F.col("r") * 8 + F.col("c")).alias("id"))
     shift = F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
     moved = m.withColumn("s", F.explode(shift)).select("chip", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("id").alias("a"))
     edges = moved.join(m.select("chip", "r", "c", F.col("id").alias("b")), ["chip", "r", "c"]).select("a", "b")
@@ -256,6 +267,16 @@ def pixel_components(pixels):
     return named.groupBy("chip", "root").agg(F.count(F.lit(1)).alias("cells"))
 
 
+@query("pixel_components", "pixels", sql="""
+, m AS (SELECT chip, r * 8 + c AS k, r, c FROM pixels WHERE v > 1 AND chip < 120),
+u AS (SELECT a.chip, a.k AS x, b.k AS y FROM m a JOIN m b ON a.chip = b.chip AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+w AS (WITH RECURSIVE t AS (SELECT chip, k AS node, k AS root FROM m UNION SELECT t.chip, u.y, t.root FROM t JOIN u ON t.chip = u.chip AND t.node = u.x WHERE t.root < u.y) SELECT chip, node, min(root) AS root FROM t GROUP BY chip, node)
+SELECT chip, root, CAST(count(*) AS BIGINT) AS cells FROM w GROUP BY ALL""")
+def pixel_components(pixels):
+    """The same of the first 120 chips, as the SQL has it: its recursion is slow on more."""
+    return pixel_components_all(pixels.where("chip < 120"))
+
+
 @query("order_plan", "manifest", sql="""
 , g AS (SELECT city, bundle, list_sort(list(id)) AS ids FROM manifest GROUP BY ALL)
 SELECT city, bundle, CAST(len(ids) AS BIGINT) AS n, 'order_' || sha256(city || ':' || bundle || ':' || array_to_string(ids, ','))[1:12] AS name FROM g""")

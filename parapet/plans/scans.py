@@ -82,11 +82,16 @@ def manifest_completeness(manifest):
     return files.missing_files(listed.select("file"), listed.where("s % 50 <> 0").select("file"))
 
 
-@query("cache_miss_then_merge", "manifest", sql="SELECT id, CASE WHEN state = 'F' THEN 'cached' ELSE 'fetched' END AS origin, 'success' AS status FROM manifest WHERE id % 2 = 0")
-def cache_miss_then_merge(manifest):
+@query("cache_miss_then_merge_all", "manifest", sql="SELECT id, CASE WHEN state = 'F' THEN 'cached' ELSE 'fetched' END AS origin, 'success' AS status FROM manifest")
+def cache_miss_then_merge_all(manifest):
     def fetch(frames):
         for frame in frames:
             yield frame.assign(status="success", origin="fetched")
 
     cache = manifest.select("id", F.when(F.col("state") == "F", "success").otherwise("failed").alias("status"), F.lit("cached").alias("origin"))
-    return files.fetch_missing(manifest.where("id % 2 = 0").select("id"), cache, "id", fetch, "id long, status string, origin string").select("id", "origin", "status")
+    return files.fetch_missing(manifest.select("id"), cache, "id", fetch, "id long, status string, origin string").select("id", "origin", "status")
+
+
+@query("cache_miss_then_merge", "manifest", sql="SELECT id, CASE WHEN state = 'F' THEN 'cached' ELSE 'fetched' END AS origin, 'success' AS status FROM manifest WHERE id % 2 = 0")
+def cache_miss_then_merge(manifest):
+    return cache_miss_then_merge_all(manifest.where("id % 2 = 0"))

@@ -38,3 +38,37 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q.startswith('op') and q[2].isdigit()])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert out.stdout.strip() == f"{len(plans.QUERIES)} []", out.stderr
+
+
+def test_queries_over_all_rows_leave_no_chip_out(spark):
+    pixels = plans.views.view(spark, SF, "pixels")
+    cells = [tuple(r) for r in pixels.select("chip", "r", "c", "v").collect()]
+    chips = {x[0] for x in cells}
+    for name in ("mask_apply_all", "rotate_flip_all", "resample_nearest_all"):
+        assert {r["chip"] for r in plans.QUERIES[name](spark, SF).select("chip").distinct().collect()} == chips
+    ids = plans.views.view(spark, SF, "manifest").count()
+    assert plans.QUERIES["cache_miss_then_merge_all"](spark, SF).count() == ids
+
+
+def test_pixel_components_of_all_chips_against_brute_force(spark):
+    import random
+
+    from parapet.plans.rasters import pixel_components_all
+
+    rng = random.Random(7)
+    cells = [(chip, r, c, rng.choice((0.0, 2.0, 2.0))) for chip in (0, 3, 119, 120, 121, 500, 70_000) for r in range(8) for c in range(8)]
+    want = []
+    for chip in {x[0] for x in cells}:
+        left = {(r, c) for k, r, c, v in cells if k == chip and v > 1}
+        while left:
+            todo, part = [min(left)], set()
+            while todo:
+                at = todo.pop()
+                if at in left:
+                    left.remove(at)
+                    part.add(at)
+                    todo += [(at[0] + a, at[1] + b) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+            r, c = min(part)
+            want.append((chip, r * 8 + c, len(part)))
+    got = pixel_components_all(spark.createDataFrame(cells, "chip long, r int, c int, v double")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
