@@ -213,11 +213,12 @@ walk AS (
 SELECT city, CAST(unnest(range(1, len(chosen) + 1)) AS INT) AS slot, unnest(list_transform(chosen, lambda y: y.id)) AS scene_id FROM walk"""
 
 
-@query("greedy_select", "scenes", sql=GREEDY_SQL)
-def greedy_select(scenes):
+def _candidates(scenes):
+    return scenes.withColumns({"sector": geo.sector4(F.col("bearing")), "season": geo.season(F.col("lat"), F.col("month")), "tier": tier()}).where("season IS NOT NULL")
+
+
+def _greedy(pool):
     """Eight scenes a city: season quota, then sectors within the season, then new years, then tier and id."""
-    pool = scenes.withColumns({"sector": geo.sector4(F.col("bearing")), "season": geo.season(F.col("lat"), F.col("month")), "tier": tier()}).where("season IS NOT NULL")
-    pool = selection.top_n(pool, ["city"], [F.col("tier"), F.col("cloud"), F.col("scene_id")], 30, "k").withColumnRenamed("scene_id", "id")
 
     def key(c, chosen):
         held = lambda cond: F.size(F.filter(chosen, cond))
@@ -227,7 +228,23 @@ def greedy_select(scenes):
             held(lambda y: y["year"] == c["year"]),
         )
 
-    return selection.greedy(pool, "city", 8, key, ["tier", "id", "year", "sector", "season"]).select("city", "slot", F.col("id").alias("scene_id"))
+    return selection.greedy(pool.withColumnRenamed("scene_id", "id"), "city", 8, key, ["tier", "id", "year", "sector", "season"]).select("city", "slot", F.col("id").alias("scene_id"))
+
+
+@query("greedy_select_all", "scenes", sql=GREEDY_SQL.replace(" WHERE k <= 30", ""))
+def greedy_select_all(scenes):
+    """The greedy selection from all scenes of a city.
+
+    Scenes of one season, sector and year differ in tier and id alone, and eight
+    are taken at most, so the first eight of each such group lose no choice.
+    """
+    return _greedy(selection.top_n(_candidates(scenes), ["city", "season", "sector", "year"], [F.col("tier"), F.col("scene_id")], 8, "k"))
+
+
+@query("greedy_select", "scenes", sql=GREEDY_SQL)
+def greedy_select(scenes):
+    """The greedy selection from the 30 best scenes of a city by tier, cloud and id, as the SQL has it."""
+    return _greedy(selection.top_n(_candidates(scenes), ["city"], [F.col("tier"), F.col("cloud"), F.col("scene_id")], 30, "k"))
 
 
 @query("resume_pending", "manifest", sql="SELECT id, city FROM manifest WHERE id NOT IN (SELECT id FROM manifest WHERE state = 'F')")

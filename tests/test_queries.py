@@ -72,3 +72,34 @@ def test_pixel_components_of_all_chips_against_brute_force(spark):
             want.append((chip, r * 8 + c, len(part)))
     got = pixel_components_all(spark.createDataFrame(cells, "chip long, r int, c int, v double")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_greedy_from_all_scenes_against_brute_force(spark):
+    """60 clear winter scenes of one sector and year, and a few poor ones of other seasons, sectors and years."""
+    from parapet.plans.windows import greedy_select_all
+
+    scenes = [(i, 1, 1, 2020, 0.0, 0.0, 100.0, 50.0) for i in range(60)]
+    scenes += [(100 + i, 1, 7 if i % 2 else 1, 2016 + i % 5, i * 40.0 % 360, 0.03, 97.0, 50.0) for i in range(9)]
+    scenes += [(200 + i, 2, 7 if i % 3 else 1, 2016 + i % 2, i * 100.0 % 360, i % 4 / 100, 97.0 + i % 4, -20.0) for i in range(70)]
+
+    def season(month, lat):
+        return "summer" if (month == 7) == (lat >= 0) else "winter"
+
+    def sector(b):
+        return "north" if b >= 315 or b < 45 else "east" if b < 135 else "south" if b < 225 else "west"
+
+    def tier(cloud, cover):
+        return 0 if cover == 100 and cloud == 0 else 1 if cover >= 99 and cloud <= 0.01 else 2 if cover >= 98 and cloud <= 0.02 else 3
+
+    want = []
+    for city in (1, 2):
+        pool = [(tier(cl, co), i, y, sector(b), season(m, lat)) for i, at, m, y, b, cl, co, lat in scenes if at == city]
+        chosen = []
+        for slot in range(1, 9):
+            held = lambda ok: sum(map(ok, chosen))
+            best = min((x for x in pool if x not in chosen), key=lambda x: (held(lambda y: y[4] == x[4]) >= 4, held(lambda y: y[3:] == x[3:]), held(lambda y: y[2] == x[2]), x))
+            chosen.append(best)
+            want.append((city, slot, best[1]))
+    assert {x[4] for x in chosen} == {"summer", "winter"} and any(c == 1 and i >= 100 for c, _, i in want)
+    table = spark.createDataFrame(scenes, "scene_id long, city long, month int, year int, bearing double, cloud double, coverage double, lat double")
+    assert sorted(map(tuple, greedy_select_all(table).collect())) == want
