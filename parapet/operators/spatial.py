@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import components as connected
+
 
 def cells(df: DataFrame, size: float, xmin: str = "xmin", ymin: str = "ymin", xmax: str = "xmax", ymax: str = "ymax") -> DataFrame:
     """Each row once for every grid cell its rectangle covers, as columns gx and gy."""
@@ -33,28 +35,8 @@ def boxes_of_points(points: DataFrame, boxes: DataFrame, size: float = 16.0) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the pairs (a, b): least node of its component.
-
-    Labels spread along edges and then jump to the label of their label, so chains
-    shrink by more than half a round. Each round is written to the checkpoint
-    folder, where a lost executor doesn't reach.
-    """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(at)
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).select(F.col("x").alias("node"), "root").checkpoint()
-    total = None
-    while True:
-        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("root").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("x")).select("node", F.least("root", "near").alias("root"))
-        jump = spread.select(F.col("node").alias("up"), F.col("root").alias("higher"))
-        labels = spread.join(jump, F.col("root") == F.col("up"), "left").select("node", F.least("root", F.coalesce("higher", "root")).alias("root")).checkpoint()
-        now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
+    """(node, root) for each node of the pairs (a, b): least node of its component."""
+    return connected.components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def covered_area(boxes: DataFrame, by: list[str]) -> Column | DataFrame:

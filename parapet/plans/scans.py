@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import new_path
 from ..sources import files
 from .registry import query, raw
 from .views import read, view
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @raw("scan_csv_roundtrip", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
 def scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "csv")
+    path = new_path(spark, "csv")
     read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").write.csv(path, header=True)
     return files.typed_csv(spark, path, "p_partkey bigint, p_name string, p_size int, p_retailprice double")
 
 
 @raw("scan_text_then_cast", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS size FROM part")
 def scan_text_then_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "text")
+    path = new_path(spark, "text")
     size = F.when(F.col("p_partkey") % 4 == 0, "n/a").otherwise(F.col("p_size").cast("string"))
     read(spark, sf_dir, "part").select("p_partkey", size.alias("size")).write.csv(path, header=True)
     rows = files.text_csv(spark, path, ["p_partkey", "size"])
@@ -35,7 +29,7 @@ def scan_text_then_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @raw("combine_partitions_provenance", "SELECT o_orderstatus AS part, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_custkey) AS BIGINT) AS cities FROM orders GROUP BY 1")
 def combine_partitions_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "parts")
+    path = new_path(spark, "parts")
     orders = read(spark, sf_dir, "orders")
     for state in ("F", "O", "P"):
         orders.where(F.col("o_orderstatus") == state).select("o_orderkey", "o_custkey").write.parquet(f"{path}/part={state}")
@@ -48,7 +42,7 @@ def combine_partitions_provenance(spark: SparkSession, sf_dir: str) -> DataFrame
 def rebuild_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.guards import require_unique
 
-    path = _scratch(spark, "rebuild")
+    path = new_path(spark, "rebuild")
     files.write_table(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), path, ["o_orderpriority"])
     return require_unique(spark.read.parquet(path), ["o_orderkey"]).select("o_orderkey", "o_orderpriority")
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parapet.operators import guards, selection
+from parapet.operators import components, guards, selection
 from parapet.streaming import windows
 
 
@@ -33,6 +33,29 @@ def test_consecutive_and_running_best(spark):
     assert [(r["best"], r["best_at"]) for r in best] == [(3, 0), (2, 1), (2, 1), (2, 1), (1, 4)]
 
 
+def test_components_of_permuted_chain_hub_and_words(spark):
+    n = 1999
+    chain = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("u"), ((F.col("id") + 1) * 7919 % n).alias("v"))
+    assert [tuple(r) for r in components.components(chain).groupBy("root").count().collect()] == [(0, n)]
+    hub = spark.range(100_000).select((F.col("id") * 0 + 100_000).alias("u"), F.col("id").alias("v"))
+    assert [tuple(r) for r in components.components(hub).groupBy("root").count().collect()] == [(0, 100_001)]
+    words = spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y"), ("y", "x"), ("z", "z")], "u string, v string")
+    assert {r["node"]: r["root"] for r in components.components(words).collect()} == dict.fromkeys("abc", "a") | dict.fromkeys("xy", "x")
+    assert components.components(words.limit(0)).count() == 0
+
+
+def test_components_leave_one_table_behind(spark):
+    from parapet.operators import tables
+
+    def folders():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables.shared_dir(spark))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return sum(s.getPath().getName().startswith("left-behind") for s in fs.listStatus(path)) if fs.exists(path) else 0
+
+    components.components(spark.range(20).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")), "left-behind").count()
+    assert folders() == 1
+
+
 def test_stream_and_batch_give_the_same_hours(spark, tmp_path):
     source = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(source).select("event_type", "ts", "value")
