@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import drop_table, new_path, table  # noqa: F401: shared with the rest of the library
+
 #: Rows in one Arrow batch handed to Python. Spark's own default of 10,000 rows
 #: can be a gigabyte when texts are long.
 BATCH_ROWS = 1000
@@ -18,41 +19,6 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a laptop) a folder under the warehouse is
-    taken instead, and set for later calls.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage: what follows neither repeats the work nor depends on
-    an executor that may be lost.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate folder through Hadoop's own file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, unless the session asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

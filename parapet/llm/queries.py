@@ -29,7 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

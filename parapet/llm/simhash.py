@@ -8,8 +8,10 @@ Hamming distance of their fingerprints.
 Points within Manhattan distance 4 are found by a grid join: the coordinates fall
 into eight groups of four; at most four groups can differ, so some four agree
 exactly. The cell of a point is its coordinates in four chosen groups, over all 70
-choices. Points in a common cell are held against the Manhattan distance, then
-against the Hamming distance itself.
+choices, refined by the raw bits of these groups. Points in a common cell are held
+against the Manhattan distance, then against the Hamming distance itself. A dense
+cell links by pivots (see ``clusters``), so that a group of near copies never
+makes all its pairs.
 
 Copies share a fingerprint, and only distinct fingerprints enter the join. So a
 group of thousands of copies is one row there.
@@ -25,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_slices, table, texts
-from .components import components
+from ..operators.components import components
+from ..operators.tables import Scratch, table
+from .common import bounded_batches, in_slices, texts
 
 SEED = 42
 DISTANCE = 4
@@ -86,45 +89,103 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (u, v), u < v, of distinct fingerprints within the Hamming distance.
+def cells(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(cell, fp): each fingerprint in every grid cell of its embedding.
 
-    ``distinct`` has one column fp. With 2 * distance groups of coordinates some
-    ``distance`` of them agree, which is what the cells are made of.
+    With 2 * distance groups of coordinates, two points within the distance agree
+    in some ``distance`` groups at least. ``distance`` flipped bits touch no more
+    groups than that either, so within a grid cell only fingerprints that agree in
+    the raw bits of these groups can link; the cell is refined by them. It is named
+    by a hash; if two cells ever had the same, they would only share candidates.
     """
     if not 1 <= distance <= 4:
         raise ValueError("distance must be 1 to 4: one to four pairs of groups")
     groups, width = 2 * distance, 64 // (2 * distance) // 2 * 2
     spans = [(g * width, 64 if g == groups - 1 else (g + 1) * width) for g in range(groups)]
     masks = [_signed(sum(((1 << (b - a)) - 1) << a for a, b in pick)) for pick in combinations(spans, distance)]
-    point = distinct.select("fp", embedding(F.col("fp")).alias("point"))
-    cells = point.select("fp", "point", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).select("fp", "point", "mask", F.col("mask").bitwiseAND(F.col("point")).alias("cell"))
-    a = cells.select("mask", "cell", F.col("fp").alias("u"), F.col("point").alias("pu"))
-    b = cells.select("mask", "cell", F.col("fp").alias("v"), F.col("point").alias("pv"))
-    manhattan = F.bit_count(F.col("pu").bitwiseXOR(F.col("pv")))
-    hamming = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    near = (F.col("u") < F.col("v")) & (manhattan <= distance) & (hamming <= distance)
-    return a.join(b, (a["mask"] == b["mask"]) & (a["cell"] == b["cell"]) & near).select("u", "v").distinct()
+    spread = distinct.select("fp", embedding(F.col("fp")).alias("point"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+    grid, raw = F.col("point").bitwiseAND(F.col("mask")), F.col("fp").bitwiseAND(F.col("mask"))
+    return spread.select(F.xxhash64("mask", grid, raw).alias("cell"), "fp")
+
+
+def _near(a: str, b: str, distance: int) -> Column:
+    """Manhattan distance of the embeddings as the bound, then the fingerprints themselves."""
+    bound = F.bit_count(embedding(F.col(a)).bitwiseXOR(embedding(F.col(b)))) <= distance
+    return bound & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance)
+
+
+def clusters(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node, root) of each fingerprint that links to another: the least fingerprint that its links reach.
+
+    ``distinct`` has one column fp without nulls or repeats. All pairs of a dense
+    cell are never written. First the members of each cell are held against one of
+    them, the pivot, and what links becomes one cluster; with other pivots this
+    goes on until no pivot joins two clusters. Then, in cells that still hold
+    several clusters, the members outside the largest are held against all members
+    of other clusters, which finds every link that is left. So the result is exact,
+    and the rows of a dense group grow with its members and not with their pairs.
+    """
+    spark = distinct.sparkSession
+    scratch = Scratch(spark, "simhash-cells")
+    every = cells(distinct, distance)
+    shared = scratch.table(every.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell"))
+    members = scratch.table(every.join(shared, "cell"))
+    roots, turn = None, 0
+    while True:
+        now = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots, "fp", "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+        if roots is not None:
+            now = scratch.table(now)
+        pick = (F.min if turn % 2 == 0 else F.max)(F.struct("fp", "root"))
+        pivots = now.groupBy("cell").agg(pick.alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        pivots = scratch.table(pivots.select("cell", F.col("pivot.fp").alias("pivot"), F.col("pivot.root").alias("pivot_root")))
+        found = now.join(pivots, "cell").where((F.col("root") != F.col("pivot_root")) & _near("fp", "pivot", distance))
+        links = scratch.table(found.select(F.col("root").alias("u"), F.col("pivot_root").alias("v")).distinct())
+        turn += 1
+        if links.isEmpty():
+            break
+        roots = _merged(roots, links)
+    # What pivots did not show: members outside the largest cluster of a cell, against all others in it.
+    mixed = now.join(pivots.select("cell"), "cell", "left_semi")
+    sizes = mixed.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = scratch.table(sizes.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most")).select("cell", F.col("most.root").alias("largest")))
+    sided = mixed.join(largest, "cell")
+    a = sided.where("root <> largest").select("cell", F.col("fp").alias("fp_a"), F.col("root").alias("root_a"))
+    b = sided.select("cell", F.col("fp").alias("fp_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("largest")).alias("large"))
+    once = F.col("large") | (F.col("fp_a") < F.col("fp_b"))
+    rest = a.join(b, (a["cell"] == b["cell"]) & once & (F.col("root_a") != F.col("root_b")) & _near("fp_a", "fp_b", distance))
+    links = scratch.table(rest.select(F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct())
+    if not links.isEmpty():
+        roots = _merged(roots, links)
+    scratch.drop()
+    if roots is None:
+        return distinct.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+    return roots.select(F.col("fp").alias("node"), "root")
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(fp, root) after links between roots."""
+    if roots is not None:
+        links = links.union(roots.select(F.col("fp").alias("u"), F.col("root").alias("v")))
+    return components(links, "simhash-components").select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, **options) -> DataFrame:
-    """(doc_id, fp, component_id, n_links) of every document.
+    """(doc_id, fp, component_id) of every document.
 
     ``component_id`` is the smallest doc_id that links reach, the document's own
-    included. ``n_links`` counts the other fingerprints linked to the document's
-    own. Empty texts and null texts have fingerprint 0 and link like any other.
-    A null doc_id is never the smallest of a group with another id. Repeated ids
-    and rows are documents of their own; an empty table gives an empty result.
+    included. Empty texts and null texts have fingerprint 0 and link like any
+    other. A null doc_id is never the smallest of a group with another id. Repeated
+    ids and rows are documents of their own; an empty table gives an empty result.
     """
     marked = table(fingerprints(docs, **options), "simhash-fingerprints")
     groups = table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
-    pairs = table(links(groups.select("fp"), distance), "simhash-links")
-    roots = components(pairs, "simhash-components").select(F.col("node").alias("fp"), "root")
-    degree = pairs.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = groups.join(roots, "fp", "left").join(degree, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id", "n_links")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
+    roots = clusters(groups.select("fp"), distance)
+    rooted = groups.join(roots, F.col("fp") == F.col("node"))
+    # Written, so that the join on a root that very many fingerprints share may be split.
+    ids = table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
+    linked = roots.join(ids, "root").select(F.col("node").alias("linked"), "component_id")
+    named = table(groups.join(linked, F.col("fp") == F.col("linked"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parapet.llm import components, decontamination, extraction, licences, lm, mixing, quality, queries, sharding, simhash, store, toxicity
+from parapet.llm import decontamination, extraction, licences, lm, mixing, quality, queries, sharding, simhash, store, toxicity
 
 from oracle import difference
 
@@ -116,25 +116,56 @@ def test_simhash_against_all_pairs(spark, docs):
 
 
 @pytest.mark.parametrize("distance", [1, 2, 3, 4])
-def test_links_at_each_distance(spark, distance):
+def test_clusters_at_each_distance(spark, distance):
+    """Chains whose steps are near and far, in one table with random fingerprints."""
     import random
 
     rng = random.Random(distance)
     fps = {0, (1 << 64) - 1}
     for _ in range(40):
-        base = rng.getrandbits(64)
-        fps |= {base, *(base ^ sum(1 << b for b in rng.sample(range(64), k)) for k in range(1, 7))}
+        at = rng.getrandbits(64)
+        for _ in range(7):
+            fps.add(at)
+            at ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6)))
+    assert_clusters(spark, fps, distance)
+
+
+def assert_clusters(spark, fps, distance):
     signed = sorted(simhash._signed(x) for x in fps)
-    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), distance)
     mask = (1 << 64) - 1
-    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a & mask) ^ (b & mask)).bit_count() <= distance}
-    assert sorted((r["u"], r["v"]) for r in found.collect()) == sorted(want)
+    near = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & mask).bit_count() <= distance]
+    want = {n: r for n, r in plain_components(near, signed).items() if any(n in p for p in near)} if len(near) < 1000 else plain_components(near, signed)
+    found = {r["node"]: r["root"] for r in simhash.clusters(spark.createDataFrame([(x,) for x in signed], "fp long"), distance).collect()}
+    if len(near) >= 1000:
+        found = {n: n for n in signed} | found
+    assert found == want
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
-    got = {r["node"]: r["root"] for r in components.components(edges).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+def test_a_dense_group_of_near_copies_makes_no_pairs(spark):
+    """2,000 fingerprints around one: all in one cluster, and no join of the plan writes more than a few rows a member."""
+    import random
+
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = set()
+    while len(fps) < 2000:
+        fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
+    assert_clusters(spark, fps | {rng.getrandbits(64) for _ in range(50)}, 4)
+    written = []
+
+    class Counted(simhash.Scratch):
+        def table(self, df):
+            out = super().table(df)
+            if out.columns == ["u", "v"]:
+                written.append(out.count())
+            return out
+
+    own, simhash.Scratch = simhash.Scratch, Counted
+    try:
+        simhash.clusters(spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")).count()
+    finally:
+        simhash.Scratch = own
+    assert written and max(written) <= 70 * len(fps)
 
 
 def test_simhash_of_odd_rows(spark, odd, empty):
