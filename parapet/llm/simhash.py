@@ -6,9 +6,9 @@ coordinate by one, so the Manhattan distance of two points is never above the
 Hamming distance of their fingerprints.
 
 Points within Manhattan distance 4 are found by a grid join: the coordinates fall
-into eight groups of four; at most four groups can differ, so some four agree
-exactly. The cell of a point is its coordinates in four chosen groups, over all 70
-choices, refined by the raw bits of these groups. Points in a common cell are held
+into groups, eight for very many fingerprints; at most four groups can differ, so
+some four of eight agree exactly. The cell of a point is its coordinates in four
+chosen groups, over all 70 choices, refined by the raw bits of these groups. Points in a common cell are held
 against the Manhattan distance, then against the Hamming distance itself. A dense
 cell links by pivots (see ``clusters``), so that a group of near copies never
 makes all its pairs.
@@ -33,6 +33,8 @@ from .common import bounded_batches, in_slices, texts
 
 SEED = 42
 DISTANCE = 4
+#: Members that a grid cell may have by chance.
+BY_CHANCE = 1 / 256
 _ODD = 0x5555555555555555
 
 
@@ -89,21 +91,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cells(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def group_count(n: int, distance: int = DISTANCE) -> int:
+    """Into how many groups the coordinates fall for n fingerprints.
+
+    With g groups some g - distance agree. Fewer groups give fewer but fuller
+    cells; the least number is taken that leaves a cell ``BY_CHANCE`` members by
+    chance, and twice the distance is the most. What links is the same for any.
+    """
+    for g in range(distance + 1, 2 * distance):
+        if n <= BY_CHANCE * 2.0 ** (64 * (g - distance) // g):
+            return g
+    return 2 * distance
+
+
+def cells(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
     """(cell, fp): each fingerprint in every grid cell of its embedding.
 
-    With 2 * distance groups of coordinates, two points within the distance agree
-    in some ``distance`` groups at least. ``distance`` flipped bits touch no more
-    groups than that either, so within a grid cell only fingerprints that agree in
-    the raw bits of these groups can link; the cell is refined by them. It is named
-    by a hash; if two cells ever had the same, they would only share candidates.
+    Of ``groups`` groups of coordinates, two points within the distance agree in
+    all but ``distance`` at least. ``distance`` flipped bits touch no more groups
+    than that either, so within a grid cell only fingerprints that agree in the raw
+    bits of these groups can link; the cell is refined by them. It is named by a
+    hash; if two cells ever had the same, they would only share candidates.
     """
     if not 1 <= distance <= 4:
-        raise ValueError("distance must be 1 to 4: one to four pairs of groups")
-    groups, width = 2 * distance, 64 // (2 * distance) // 2 * 2
-    spans = [(g * width, 64 if g == groups - 1 else (g + 1) * width) for g in range(groups)]
-    masks = [_signed(sum(((1 << (b - a)) - 1) << a for a, b in pick)) for pick in combinations(spans, distance)]
-    spread = distinct.select("fp", embedding(F.col("fp")).alias("point"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+        raise ValueError("distance must be 1 to 4")
+    groups = groups or 2 * distance
+    cuts = [2 * (32 * g // groups) for g in range(groups + 1)]
+    spans = list(zip(cuts, cuts[1:], strict=False))
+    masks = [_signed(sum(((1 << (b - a)) - 1) << a for a, b in pick)) for pick in combinations(spans, groups - distance)]
+    # A fingerprint becomes one row a mask, so the few bytes of them are spread over all tasks first.
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.sparkSession.sparkContext.defaultParallelism)
+    spread = distinct.repartition(tasks, "fp").select("fp", embedding(F.col("fp")).alias("point"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
     grid, raw = F.col("point").bitwiseAND(F.col("mask")), F.col("fp").bitwiseAND(F.col("mask"))
     return spread.select(F.xxhash64("mask", grid, raw).alias("cell"), "fp")
 
@@ -114,7 +132,7 @@ def _near(a: str, b: str, distance: int) -> Column:
     return bound & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance)
 
 
-def clusters(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def clusters(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
     """(node, root) of each fingerprint that links to another: the least fingerprint that its links reach.
 
     ``distinct`` has one column fp without nulls or repeats. All pairs of a dense
@@ -127,7 +145,7 @@ def clusters(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     spark = distinct.sparkSession
     scratch = Scratch(spark, "simhash-cells")
-    every = cells(distinct, distance)
+    every = cells(distinct, distance, group_count(distinct.count(), distance) if groups is None else groups)
     shared = scratch.table(every.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell"))
     members = scratch.table(every.join(shared, "cell"))
     roots, turn = None, 0
