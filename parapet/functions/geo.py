@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: mean radius of the Earth in metres.
 EARTH_RADIUS = 6371008.8
 SECTORS_8 = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
@@ -15,9 +16,9 @@ def wrapped(angle: Column) -> Column:
 
 
 def sector4(bearing: Column) -> Column:
-    """north, east, south or west; edges at 45, 135, 225 and 315 go to the later sector."""
+    """N, E, S or W; edges at 45, 135, 225 and 315 go to the later sector."""
     b = wrapped(bearing)
-    return F.when((b >= 315) | (b < 45), "north").when(b < 135, "east").when(b < 225, "south").otherwise("west")
+    return F.when((b >= 315) | (b < 45), "N").when(b < 135, "E").when(b < 225, "S").otherwise("W")
 
 
 def sector8(bearing: Column) -> Column:
@@ -30,10 +31,9 @@ def bearing_of(dx: Column, dy: Column) -> Column:
 
 
 def season(lat: Column, month: Column) -> Column:
-    """summer or winter at that latitude's solstice months, else null."""
-    north = F.when(month.isin(6, 7, 8), "summer").when(month.isin(12, 1, 2), "winter")
-    south = F.when(month.isin(6, 7, 8), "winter").when(month.isin(12, 1, 2), "summer")
-    return F.when(lat >= 0, north).otherwise(south)
+    """summer or winter in the two months around a solstice at that latitude, else null."""
+    june, december = month.isin(6, 7), month.isin(12, 1)
+    return F.when(F.when(lat >= 0, june).otherwise(december), "summer").when(F.when(lat >= 0, december).otherwise(june), "winter")
 
 
 def utm_zone(lon: Column, lat: Column) -> Column:
@@ -83,6 +83,11 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+def inside_polygon(x: Column, y: Column, rings: Column) -> Column:
+    """Whether a point is in a polygon of closed rings, the first its border and the others holes: inside an odd number of them."""
+    return F.aggregate(rings, F.lit(0), lambda s, ring: s + F.when(inside_ring(x, y, ring), 1).otherwise(0)) % 2 == 1
+
+
 def overlap(a: str, b: str) -> Column:
     """Area shared by the rectangles <a>xmin... and <b>xmin..., 0 if they don't meet."""
     side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(F.col(a + hi), F.col(b + hi)) - F.greatest(F.col(a + lo), F.col(b + lo)))

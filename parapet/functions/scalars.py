@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geo import wrapped  # noqa: F401
 
-#: Accented letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 FEET = 0.3048
 
 
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters that compatibility decomposition (NFKD) turns into one ASCII character, these characters, and those that become several."""
+    one, several = {}, {}
+    for code in range(0x80, 0x10000):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one[chr(code)] = plain
+        elif plain and code < 0x2000 or 0xFB00 <= code <= 0xFB06:  # Latin digraphs, ligatures, fractions
+            several[chr(code)] = plain
+    return "".join(one), "".join(one.values()), several
+
+
+_FROM, _TO, SEVERAL = _foldings()
+
+
 def fold(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """ASCII form of a text: compatibility decomposition, then all that is not ASCII goes."""
+    odd = "[" + "".join(SEVERAL) + "]"
+    wide = text
+    for c, plain in SEVERAL.items():
+        wide = F.replace(wide, F.lit(c), F.lit(plain))
+    folded = F.regexp_replace(F.translate(F.when(text.rlike(odd), wide).otherwise(text), _FROM, _TO), r"[^\x00-\x7F]+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
 def slug(text: Column) -> Column:
@@ -51,13 +71,6 @@ def annual_windows(start: Column, end: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.add_months(start, 12 * i).alias("begin"), F.least(F.add_months(start, 12 * (i + 1)), end).alias("stop")))
 
 
-def years_of(text: Column) -> Column:
-    """Sorted distinct years of '2021', '2019;2021' or '2019-2021'."""
-    span = F.regexp_extract_all(text, F.lit(r"(\d{4})"), F.lit(1))
-    years = F.transform(span, lambda y: y.cast("int"))
-    return F.when(text.rlike(r"^\d{4}\s*-\s*\d{4}$"), F.sequence(F.array_min(years), F.array_max(years))).otherwise(F.array_sort(F.array_distinct(years)))
-
-
 def window_starts(length: Column, size: int, stride: int) -> Column:
     """Starts of windows over a length: every stride, and one that ends where the length ends."""
     last = F.greatest(F.lit(0), length - size).cast("int")
@@ -81,6 +94,17 @@ def height_bin(value: Column, edges=(0, 3, 6, 10, 25, 50)) -> Column:
     return out.when(value.isNotNull(), F.lit(f"{edges[-1]}+"))
 
 
+def height_category(p90: Column, most: Column) -> Column:
+    """lowrise, midrise or highrise of a chip by its 90th percentile and its maximum height in metres."""
+    return F.when((p90 >= 30) | (most >= 50), "highrise").when(p90 >= 10, "midrise").otherwise("lowrise")
+
+
+def first_column(available: list[str], preference: list[str]) -> str | None:
+    """The first of the preferred names that a table has, whatever their case."""
+    held = {a.lower(): a for a in available}
+    return next((held[p.lower()] for p in preference if p.lower() in held), None)
+
+
 def preferred(preference: list[str], available: Column) -> Column:
     """First of the preference list that the array holds, else null."""
     return F.get(F.array_intersect(F.array(*map(F.lit, preference)), available), F.lit(0))

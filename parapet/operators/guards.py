@@ -49,3 +49,15 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def many_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left join that fails if the right keys aren't unique."""
     return left.join(require_unique(right, on), on, "left")
+
+
+def with_aliases(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Each alias as a copy of its column, for callers that know the older name; a stale column of that name goes first."""
+    return df.drop(*[a for a in aliases if a in df.columns]).withColumns({a: F.col(c) for a, c in aliases.items()})
+
+
+def exact_cover(df: DataFrame, template: DataFrame, key: str) -> DataFrame:
+    """Keys of one side that the other lacks, with what is wrong: 'missing' from the template, or 'unknown' to ``df``; no rows if the template covers exactly."""
+    own, given = df.select(key).distinct(), template.select(key).distinct()
+    missing = own.join(given, key, "left_anti").withColumn("problem", F.lit("missing"))
+    return missing.union(given.join(own, key, "left_anti").withColumn("problem", F.lit("unknown")))

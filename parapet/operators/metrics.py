@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def r6(value: Column) -> Column:
     return F.round(value, 6)
@@ -48,13 +50,13 @@ def numeric_profile(df: DataFrame, names: list[str]) -> DataFrame:
 def ks_distance(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """Largest distance of the two groups' empirical distribution functions.
 
-    Values are counted first, so the ordered window has one row a distinct value.
+    Values are counted first; the running counts have one row a distinct value.
     """
     counts = df.where(F.col(group).isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("a"), F.count_if(F.col(group) == b).alias("b"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    steps = counts.select(F.abs(F.sum("a").over(up) / F.sum("a").over(every) - F.sum("b").over(up) / F.sum("b").over(every)).alias("d"))
-    return steps.agg(r6(F.max("d")).alias("ks"))
+    up = running(counts, ["v"], {"up_a": F.col("a"), "up_b": F.col("b")}, "ks")
+    n = up.agg(F.max("up_a").alias("a"), F.max("up_b").alias("b")).first()
+    share = lambda c, k: F.try_divide(F.col(c), F.lit(k).cast("double"))
+    return up.agg(r6(F.max(F.abs(share("up_a", n["a"]) - share("up_b", n["b"])))).alias("ks"))
 
 
 def quantile_distance(df: DataFrame, value: str, group: str, a: str, b: str, points: int = 1001) -> DataFrame:

@@ -11,14 +11,6 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def protected_shortlist(df: DataFrame, by: list[str], stratum: list[str], order: list[Column], protect: int, limit: int) -> DataFrame:
-    """At most ``limit`` rows a group: first the best ``protect`` of each stratum, then the rest by order."""
-    inner = Window.partitionBy(*by, *stratum).orderBy(*order)
-    marked = df.withColumn("rest", (F.row_number().over(inner) > protect).cast("int"))
-    outer = Window.partitionBy(*by).orderBy("rest", *order)
-    return marked.withColumn("position", F.row_number().over(outer)).where(F.col("position") <= limit)
-
-
 def fallback_pool(df: DataFrame, by: list[str], strict: Column) -> DataFrame:
     """The strict rows of a group if it has any, else all its rows; ``relaxed`` tells which."""
     any_strict = F.max(strict.cast("int")).over(Window.partitionBy(*by)) == 1
@@ -26,16 +18,17 @@ def fallback_pool(df: DataFrame, by: list[str], strict: Column) -> DataFrame:
 
 
 def greedy(df: DataFrame, by: str, slots: int, key, fields: list[str]) -> DataFrame:
-    """Fill ``slots`` one after the other with the candidate of least ``key(candidate, chosen)``.
+    """Fill ``slots`` one after the other with the candidate of least ``key(candidate, chosen, slot)``.
 
-    One row a group holds its candidates (shortlists are small), and one native
-    expression walks the slots. Returns one row a chosen candidate with its slot.
+    One row a group holds its candidates, so ``df`` must be a shortlist: the
+    caller bounds the rows of a group. One native expression walks the slots, which
+    count from 1. Returns one row a chosen candidate with its slot.
     """
-    held = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("candidates"))
+    held = df.groupBy(by).agg(F.collect_list(F.struct(*fields)).alias("candidates"))
 
-    def choose(chosen: Column, _: Column) -> Column:
+    def choose(chosen: Column, slot: Column) -> Column:
         left = F.filter(F.col("candidates"), lambda c: ~F.exists(chosen, lambda x: x == c))
-        best = F.array_min(F.transform(left, lambda c: F.struct(key(c, chosen).alias("key"), c.alias("c"))))
+        best = F.array_min(F.transform(left, lambda c: F.struct(key(c, chosen, slot).alias("key"), c.alias("c"))))
         return F.when(F.size(left) > 0, F.concat(chosen, F.array(best["c"]))).otherwise(chosen)
 
     empty = F.slice("candidates", 1, 0)
@@ -43,12 +36,6 @@ def greedy(df: DataFrame, by: str, slots: int, key, fields: list[str]) -> DataFr
     return picked.select(by, F.posexplode("chosen").alias("slot", "c")).select(by, (F.col("slot") + 1).alias("slot"), "c.*")
 
 
-def pair_argmin(a: DataFrame, b: DataFrame, by: str, order: list[Column]) -> DataFrame:
-    """The best pair (row of a, row of b) of each group; both sides are shortlists of a few rows a group."""
-    pairs = a.join(b, by)
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("n = 1").drop("n")
-
-
 def running_best(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """best (so far), improved, and best_at (where the best was)."""
     w = Window.partitionBy(by).orderBy(order)

@@ -14,13 +14,13 @@ def cells(df: DataFrame, size: float, xmin: str = "xmin", ymin: str = "ymin", xm
     return df.withColumn("gx", F.explode(steps(xmin, xmax))).withColumn("gy", F.explode(steps(ymin, ymax)))
 
 
-def touching_pairs(boxes: DataFrame, size: float = 16.0) -> DataFrame:
-    """Pairs (a, b), a < b, of rectangles that meet or overlap.
+def touching_pairs(boxes: DataFrame, size: float = 16.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b), a < b, of rectangles that meet or overlap; columns of both, the ``carry`` ones too, as a_... and b_....
 
     An equi-join on grid cells; a pair is taken in the cell of its shared
     rectangle's lower corner alone, so none comes twice.
     """
-    side = lambda p: cells(boxes, size).select("gx", "gy", *[F.col(c).alias(p + c) for c in ("id", "xmin", "ymin", "xmax", "ymax")])
+    side = lambda p: cells(boxes, size).select("gx", "gy", *[F.col(c).alias(p + c) for c in ("id", "xmin", "ymin", "xmax", "ymax", *carry)])
     a, b = side("a_"), side("b_")
     meet = (F.col("a_xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("a_xmax")) & (F.col("a_ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("a_ymax"))
     own = (F.floor(F.greatest("a_xmin", "b_xmin") / size) == F.col("gx")) & (F.floor(F.greatest("a_ymin", "b_ymin") / size) == F.col("gy"))
@@ -34,6 +34,24 @@ def boxes_of_points(points: DataFrame, boxes: DataFrame, size: float = 16.0) ->
     return p.join(cells(boxes, size), ["gx", "gy"]).where(inside).drop("gx", "gy")
 
 
+def eroded(boxes: DataFrame, steps: tuple[float, ...]) -> DataFrame:
+    """Rectangles drawn in on all sides by the first of ``steps`` that leaves some area, else as they are; ``erosion`` tells by how much."""
+    least = F.least(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    by = F.coalesce(*[F.when(least > 2 * s, F.lit(s)) for s in steps], F.lit(0.0))
+    out = boxes.withColumn("erosion", by)
+    return out.withColumns({"xmin": F.col("xmin") + by, "ymin": F.col("ymin") + by, "xmax": F.col("xmax") - by, "ymax": F.col("ymax") - by})
+
+
+def ring_points(points: DataFrame, boxes: DataFrame, inner: float, outer: float, size: float = 16.0) -> DataFrame:
+    """Each point with each rectangle from which it lies ``inner`` to ``outer`` away, without points inside any rectangle."""
+    free = points.join(boxes_of_points(points, boxes, size).select("x", "y").distinct(), ["x", "y"], "left_anti")
+    wide = boxes.select("id", "xmin", "ymin", "xmax", "ymax", *[(F.col(lo) - outer).alias("o" + lo) for lo in ("xmin", "ymin")], *[(F.col(hi) + outer).alias("o" + hi) for hi in ("xmax", "ymax")])
+    near = free.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size)).join(cells(wide, size, "oxmin", "oymin", "oxmax", "oymax"), ["gx", "gy"])
+    away = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.lit(0.0), F.col(v) - F.col(hi))
+    distance = F.sqrt(away("x", "xmin", "xmax") ** 2 + away("y", "ymin", "ymax") ** 2)
+    return near.withColumn("distance", distance).where(F.col("distance").between(inner, outer)).drop("gx", "gy", "oxmin", "oymin", "oxmax", "oymax")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the pairs (a, b): least node of its component."""
     return connected.components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..operators import metrics
+from ..functions import geo, scalars
+from ..operators import metrics, spatial
 from ..operators.metrics import r6
 from .filters import BIN_SQL
 from .registry import query
@@ -145,10 +145,37 @@ def weighted_mean(buildings):
 
 
 @query("component_summary", "buildings", sql="""
-SELECT brand, CAST(count(*) AS BIGINT) AS n, round(sum((xmax - xmin) * (ymax - ymin)), 4) AS area, array_to_string(list_sort(list(id)), ';') AS ids FROM buildings GROUP BY brand""")
+, e AS (SELECT a.id AS x, b.id AS y FROM buildings a JOIN buildings b ON a.id < b.id AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax AND abs(a.size - b.size) <= 25
+    AND CASE WHEN a.xmax = b.xmin OR b.xmax = a.xmin THEN least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin) WHEN a.ymax = b.ymin OR b.ymax = a.ymin THEN least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin) ELSE 0 END
+      >= greatest(1, 0.05 * least(2 * (a.xmax - a.xmin + a.ymax - a.ymin), 2 * (b.xmax - b.xmin + b.ymax - b.ymin)))),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+w AS (WITH RECURSIVE w AS (SELECT id AS node, id AS root FROM buildings UNION SELECT u.y, w.root FROM w JOIN u ON w.node = u.x WHERE w.root < u.y) SELECT node AS id, min(root) AS root FROM w GROUP BY node),
+m AS (SELECT *, (xmax - xmin) * (ymax - ymin) AS area FROM buildings JOIN w USING (id)),
+c AS (SELECT root, CAST(count(DISTINCT (r, c)) AS DOUBLE) AS merged FROM (SELECT root, c, unnest(range(CAST(ymin AS BIGINT), CAST(ymax AS BIGINT))) AS r FROM (SELECT *, unnest(range(CAST(xmin AS BIGINT), CAST(xmax AS BIGINT))) AS c FROM m)) GROUP BY root),
+g AS (SELECT root, CAST(count(*) AS BIGINT) AS polygons, sum(area) AS area, any_value(merged) AS merged, array_to_string(list_sort(list(CAST(id AS VARCHAR))), '|') AS ids,
+    round(avg(size), 6) AS mean, round(median(size), 6) AS median, min(size) AS least, max(size) AS most, round(sum(size * area) / sum(area), 6) AS weighted,
+    round(avg(price), 6) AS price_mean, round(sum(price * area) / sum(area), 6) AS price_weighted FROM m JOIN c USING (root) GROUP BY root)
+SELECT root, polygons, area, merged, round(merged / area, 6) AS ratio, ids, mean, median, least, most, weighted, price_mean, price_weighted,
+  array_to_string(list_filter([CASE WHEN polygons > 3 THEN 'large_component' END, CASE WHEN merged / area < 0.98 OR merged / area > 1.02 THEN 'area_changed_more_than_2pct' END], lambda x: x IS NOT NULL), ';') AS flags FROM g""")
 def component_summary(buildings):
+    """Footprints that share enough of a boundary, and are about as high, merge; one row a merged footprint."""
+    pairs = spatial.touching_pairs(buildings, carry=("size",))
+    around = lambda p: 2 * (F.col(p + "xmax") - F.col(p + "xmin") + F.col(p + "ymax") - F.col(p + "ymin"))
+    shared = geo.shared_boundary("a_", "b_")
+    merge = (F.abs(F.col("a_size") - F.col("b_size")) <= 25) & (shared >= F.greatest(F.lit(1.0), 0.05 * F.least(around("a_"), around("b_"))))
+    roots = spatial.components(pairs.where(merge).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
-    return buildings.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(area), 4).alias("area"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ";").alias("ids"))
+    members = buildings.join(roots, F.col("id") == F.col("node"), "left").withColumns({"root": F.coalesce("root", "id"), "area": area})
+    merged = spatial.covered_area(members, ["root"]).select("root", F.col("area").cast("double").alias("merged"))
+    weighted = lambda c: F.round(F.try_divide(F.sum(F.col(c) * F.col("area")), F.sum("area")), 6)
+    out = members.groupBy("root").agg(
+        F.count(F.lit(1)).alias("polygons"), F.sum("area").alias("area"), F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "|").alias("ids"),
+        r6(F.avg("size")).alias("mean"), r6(F.median("size")).alias("median"), F.min("size").alias("least"), F.max("size").alias("most"), weighted("size").alias("weighted"),
+        r6(F.avg("price")).alias("price_mean"), weighted("price").alias("price_weighted"),
+    ).join(merged, "root")
+    ratio = F.try_divide("merged", "area")
+    flags = scalars.reasons((F.col("polygons") > 3, "large_component"), ((ratio < 0.98) | (ratio > 1.02), "area_changed_more_than_2pct"))
+    return out.withColumns({"ratio": r6(ratio), "flags": flags})
 
 
 @query("capture_window", "manifest", sql="""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
-from ..operators import guards
+from ..operators import guards, labels
+from ..operators import scenes as rules
 from .registry import query
 
 
@@ -45,21 +46,16 @@ def eligible_pool(scenes):
     return pool.groupBy("city").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
-def tier():
-    cover, cloud = F.col("coverage"), F.col("cloud")
-    return F.when((cover == 100) & (cloud == 0), 0).when((cover >= 99) & (cloud <= 0.01), 1).when((cover >= 98) & (cloud <= 0.02), 2).otherwise(3)
-
-
-TIER_SQL = "CASE WHEN coverage = 100 AND cloud = 0 THEN 0 WHEN coverage >= 99 AND cloud <= 0.01 THEN 1 WHEN coverage >= 98 AND cloud <= 0.02 THEN 2 ELSE 3 END"
+TIER_SQL = "CASE WHEN coverage >= 99.999999 AND cloud <= 1e-12 THEN 0 WHEN coverage >= 99.5 AND cloud <= 1e-12 THEN 1 WHEN coverage >= 99.5 AND cloud <= 0.01 THEN 2 ELSE 3 END"
 
 
 @query("filter_tier_case", "scenes", sql=f"SELECT {TIER_SQL} AS tier, CAST(count(*) AS BIGINT) AS n FROM scenes GROUP BY 1")
 def filter_tier_case(scenes):
-    return scenes.groupBy(tier().alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return scenes.groupBy(rules.filter_tier(F.col("coverage"), F.col("cloud")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SEASON_SQL = """CASE WHEN month IN (6, 7, 8) THEN CASE WHEN lat >= 0 THEN 'summer' ELSE 'winter' END
-  WHEN month IN (12, 1, 2) THEN CASE WHEN lat >= 0 THEN 'winter' ELSE 'summer' END END"""
+SEASON_SQL = """CASE WHEN month IN (6, 7) THEN CASE WHEN lat >= 0 THEN 'summer' ELSE 'winter' END
+  WHEN month IN (12, 1) THEN CASE WHEN lat >= 0 THEN 'winter' ELSE 'summer' END END"""
 
 
 @query("season_case", "scenes", sql=f"SELECT {SEASON_SQL} AS season, CAST(count(*) AS BIGINT) AS n FROM scenes GROUP BY 1")
@@ -67,7 +63,7 @@ def season_case(scenes):
     return scenes.groupBy(geo.season(F.col("lat"), F.col("month")).alias("season")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SECTOR_SQL = "CASE WHEN bearing >= 315 OR bearing < 45 THEN 'north' WHEN bearing < 135 THEN 'east' WHEN bearing < 225 THEN 'south' ELSE 'west' END"
+SECTOR_SQL = "CASE WHEN bearing >= 315 OR bearing < 45 THEN 'N' WHEN bearing < 135 THEN 'E' WHEN bearing < 225 THEN 'S' ELSE 'W' END"
 
 
 @query("bearing_sector", "scenes", sql=f"""
@@ -78,26 +74,36 @@ def bearing_sector(scenes):
     return scenes.groupBy(geo.sector4(b).alias("sector4"), geo.sector8(b).alias("sector8")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("temporal_fallback_level", "scenes", sql="""
-SELECT CASE WHEN year IN (2018, 2019) THEN 0 WHEN year > 2019 THEN 1 ELSE 2 END + CASE WHEN month IN (6, 7, 8, 12, 1, 2) THEN 0 ELSE 3 END AS level,
-  CASE WHEN year IN (2018, 2019) THEN 0 WHEN year > 2019 THEN year - 2019 ELSE 2018 - year END AS years_off, CAST(count(*) AS BIGINT) AS n FROM scenes GROUP BY ALL""")
-def temporal_fallback_level(scenes):
-    y = F.col("year")
-    exact = F.array_contains(F.array(F.lit(2018), F.lit(2019)), y)
-    level = F.when(exact, 0).when(y > 2019, 1).otherwise(2) + F.when(F.col("month").isin(6, 7, 8, 12, 1, 2), 0).otherwise(3)
-    return scenes.groupBy(level.alias("level"), F.when(exact, 0).when(y > 2019, y - 2019).otherwise(2018 - y).alias("years_off")).agg(F.count(F.lit(1)).alias("n"))
-
-
-YEARS_TEXT = "CASE id % 4 WHEN 0 THEN CAST(2015 + id % 7 AS VARCHAR) WHEN 1 THEN '2019;2016;2019' WHEN 2 THEN '2017-' || CAST(2018 + id % 3 AS VARCHAR) ELSE 'unknown' END"
-
-
-@query("year_rule_parse", "manifest", sql=f"""
-, t AS (SELECT id, {YEARS_TEXT} AS text FROM manifest)
-SELECT id, array_to_string(CASE WHEN regexp_matches(text, '^\\d{{4}}\\s*-\\s*\\d{{4}}$') THEN range(CAST(text[1:4] AS INT), CAST(text[6:9] AS INT) + 1)
-  ELSE list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\d{{4}}'), lambda y: CAST(y AS BIGINT)))) END, ',') AS years FROM t""")
-def year_rule_parse(manifest):
-    text = F.expr(YEARS_TEXT.replace("VARCHAR", "STRING"))
-    return manifest.select("id", text.alias("text")).select("id", F.array_join(scalars.years_of(F.col("text")).cast("array<string>"), ",").alias("years"))
+@query("temporal_fallback_level", "scenes", "surveys", sql=f"""
+, y AS (SELECT city, year(survey_end) AS last, CASE WHEN regexp_matches(years, '^\\d{{4}}$') OR contains(years, ';') OR (regexp_matches(years, '^\\d{{4}}-\\d{{4}}$') AND precision_kind IN ('exact_official_project_range', 'official_flight_lot_range'))
+    THEN list_transform(regexp_extract_all(years, '\\d{{4}}'), lambda x: CAST(x AS INT)) ELSE [] END AS exact FROM surveys),
+t AS (SELECT s.year AS year, last, list_contains(exact, s.year) AS hit, {SEASON_SQL} IS NOT NULL AS solstice FROM scenes s JOIN y USING (city) WHERE standard)
+SELECT CAST(CASE WHEN hit THEN 0 WHEN year > last THEN 1 ELSE 2 END + CASE WHEN solstice THEN 0 ELSE 3 END AS INT) AS level,
+  CASE WHEN hit THEN 'acquisition_year' WHEN year > last THEN 'post_lidar' ELSE 'pre_lidar_fallback' END AS relation,
+  CAST(CASE WHEN hit THEN 0 WHEN year > last THEN year - last ELSE last - year END AS INT) AS years_off, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY ALL""")
+def temporal_fallback_level(scenes, surveys):
+    read = rules.survey_years(F.col("years"), F.col("precision_kind"), first_year=0)
+    exact = surveys.select("city", F.year("survey_end").alias("last"), read["eligible"].alias("exact"))
+    hit, y, last = F.array_contains("exact", F.col("year")), F.col("year"), F.col("last")
+    phase = F.when(hit, 0).when(y > last, 1).otherwise(2)
+    level = phase + F.when(geo.season(F.col("lat"), F.col("month")).isNotNull(), 0).otherwise(3)
+    relation = F.element_at(F.array(*map(F.lit, ("acquisition_year", "post_lidar", "pre_lidar_fallback"))), phase + 1)
+    away = F.when(hit, 0).otherwise(F.abs(y - last))
+    return scenes.where("standard").join(exact, "city").groupBy(level.alias("level"), relation.alias("relation"), away.alias("years_off")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("year_rule_parse", "surveys", sql="""
+, r AS (SELECT city, years, CASE WHEN contains(years, ';') THEN 'semicolon_separated_exact_years' WHEN regexp_full_match(years, '\\d{4}') THEN 'single_exact_or_documented_year'
+    WHEN regexp_full_match(years, '\\d{4}-\\d{4}') AND precision_kind IN ('exact_official_project_range', 'official_flight_lot_range') THEN 'documented_two_year_range_endpoints'
+    WHEN regexp_full_match(years, '\\d{4}-\\d{4}') AND precision_kind IN ('official_campaign_range', 'official_catalog_series_range', 'official_national_campaign_range') THEN 'broad_range_not_expanded'
+    ELSE 'unresolved_acquisition_year_format' END AS rule FROM surveys),
+y AS (SELECT *, CASE WHEN rule IN ('broad_range_not_expanded', 'unresolved_acquisition_year_format') THEN [] ELSE list_sort(list_distinct(list_transform(regexp_extract_all(years, '\\d{4}'), lambda x: CAST(x AS INT)))) END AS ys FROM r),
+e AS (SELECT city, rule, array_to_string(list_filter(ys, lambda x: x >= 2016), ';') AS eligible, array_to_string(list_filter(ys, lambda x: x < 2016), ';') AS excluded FROM y)
+SELECT city, rule, eligible, excluded, CASE WHEN eligible <> '' THEN 'eligible' WHEN rule = 'broad_range_not_expanded' THEN 'requires_exact_lidar_tile_year' WHEN excluded <> '' THEN 'no_same_year_planetscope_metadata' ELSE 'requires_acquisition_year_review' END AS status FROM e""")
+def year_rule_parse(surveys):
+    read = surveys.select("city", rules.survey_years(F.col("years"), F.col("precision_kind")).alias("y"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ";")
+    return read.select("city", "y.rule", joined("y.eligible").alias("eligible"), joined("y.excluded").alias("excluded"), "y.status")
 
 
 @query("unpivot_metrics", "heights", sql="""
@@ -147,20 +153,36 @@ def reason_flags(scenes):
 
 
 @query("quality_tier", "points", sql="""
-, n AS (SELECT tile, x, CAST(count(*) FILTER (WHERE class = 6) AS BIGINT) AS roof, CAST(count(*) FILTER (WHERE class = 2) AS BIGINT) AS ground FROM points GROUP BY ALL)
-SELECT tile, x, CASE WHEN roof = 0 OR ground = 0 THEN 'Reject' WHEN roof >= 3 AND ground >= 3 THEN 'A' WHEN roof >= 2 THEN 'B' ELSE 'C' END AS tier, round(least(1.0, roof / 5), 6) AS share FROM n""")
+, n AS (SELECT tile, CAST(floor(x / 32) AS BIGINT) AS strip, CAST(count(*) FILTER (WHERE class = 6) AS BIGINT) AS roof, CAST(count(*) FILTER (WHERE class = 2) AS BIGINT) AS ground,
+    quantile_cont(z, 0.9) FILTER (WHERE class = 6) - median(z) FILTER (WHERE class = 2) AS height, tile = 3 AS late FROM points GROUP BY ALL),
+r AS (SELECT *, array_to_string(list_filter([CASE WHEN roof < 10 THEN 'fewer_than_10_roof_points' END, CASE WHEN ground < 10 THEN 'fewer_than_10_ground_points' END,
+    CASE WHEN height IS NULL THEN 'missing_height' WHEN height <= 0 THEN 'implausible_height' END, CASE WHEN late THEN 'constructed_after_lidar' END], lambda x: x IS NOT NULL), ';') AS reasons FROM n),
+t AS (SELECT *, CASE WHEN reasons <> '' THEN 'Reject' WHEN roof >= 100 AND ground >= 100 THEN 'A' WHEN roof >= 40 AND ground >= 40 THEN 'B' ELSE 'C' END AS tier FROM r)
+SELECT tile, strip, roof, ground, round(height, 6) AS height, reasons, tier, tier IN ('A', 'B') AS usable_for_training, tier IN ('A', 'B', 'C') AS usable_for_validation,
+  round(least(1.0, roof / 50), 6) AS roof_coverage, round(least(1.0, ground / 50), 6) AS ground_coverage FROM t""")
 def quality_tier(points):
-    n = points.groupBy("tile", "x").agg(F.count_if(F.col("class") == 6).alias("roof"), F.count_if(F.col("class") == 2).alias("ground"))
-    roof, ground = F.col("roof"), F.col("ground")
-    tier = F.when((roof == 0) | (ground == 0), "Reject").when((roof >= 3) & (ground >= 3), "A").when(roof >= 2, "B").otherwise("C")
-    return n.select("tile", "x", tier.alias("tier"), F.round(F.least(F.lit(1.0), roof / 5), 6).alias("share"))
+    z = lambda k: F.when(F.col("class") == k, F.col("z"))
+    n = points.groupBy("tile", F.floor(F.col("x") / 32).alias("strip")).agg(
+        F.count(z(6)).alias("roof"), F.count(z(2)).alias("ground"), (F.percentile(z(6), F.lit(0.9)) - F.median(z(2))).alias("height")
+    )
+    roof, ground, height = F.col("roof"), F.col("ground"), F.col("height")
+    late = F.when(F.col("tile") == 3, "constructed_after_lidar")
+    return n.withColumns(labels.quality(roof, ground, height, late)).select(
+        "tile", "strip", "roof", "ground", F.round("height", 6).alias("height"), "reasons", "tier", "usable_for_training", "usable_for_validation",
+        F.round("roof_coverage", 6).alias("roof_coverage"), F.round("ground_coverage", 6).alias("ground_coverage"),
+    )
 
 
 @query("temporal_mismatch", "manifest", sql="""
-SELECT id, CASE WHEN state = 'F' AND year(placed) > 1998 THEN 'newer' WHEN state = 'O' AND year(placed) < 1997 THEN 'older' ELSE 'match' END AS mismatch FROM manifest""")
+, b AS (SELECT id, CASE id % 3 WHEN 0 THEN 'new_york_city' WHEN 1 THEN 'los_angeles' ELSE 'boston' END AS city, CASE WHEN id % 7 = 0 THEN 'Removed ' WHEN state = 'F' THEN 'DEMOLISHED' ELSE 'Existing' END AS status,
+    year(placed) + 18 AS built, year(placed) + 28 AS drawn, id % 10 = 0 AS merged FROM manifest)
+SELECT id, CASE WHEN merged THEN '' WHEN city = 'new_york_city' AND built > 2014 THEN 'constructed_after_lidar' WHEN city = 'los_angeles' AND lower(trim(status)) IN ('demolished', 'removed') THEN 'footprint_status_demolished_or_removed'
+  WHEN city = 'los_angeles' AND drawn > 2024 THEN 'footprint_date_after_lidar' ELSE '' END AS mismatch FROM b""")
 def temporal_mismatch(manifest):
-    s, y = F.col("state"), F.year("placed")
-    return manifest.select("id", F.when((s == "F") & (y > 1998), "newer").when((s == "O") & (y < 1997), "older").otherwise("match").alias("mismatch"))
+    k, y = F.col("id") % 3, F.year("placed")
+    city = F.when(k == 0, "new_york_city").when(k == 1, "los_angeles").otherwise("boston")
+    status = F.when(F.col("id") % 7 == 0, "Removed ").when(F.col("state") == "F", "DEMOLISHED").otherwise("Existing")
+    return manifest.select("id", labels.temporal_mismatch(city, status, y + 18, y + 28, F.col("id") % 10 == 0).alias("mismatch"))
 
 
 BIN_SQL = "CASE WHEN {v} < 0 THEN NULL WHEN {v} < 3 THEN '0-3' WHEN {v} < 6 THEN '3-6' WHEN {v} < 10 THEN '6-10' WHEN {v} < 25 THEN '10-25' WHEN {v} < 50 THEN '25-50' ELSE '50+' END"
@@ -171,6 +193,23 @@ def height_bin_case(rows):
     return rows.groupBy(scalars.height_bin(F.col("target")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("height_category", "chips", sql="SELECT city, CASE WHEN p90_height >= 30 OR max_height >= 50 THEN 'highrise' WHEN p90_height >= 10 THEN 'midrise' ELSE 'lowrise' END AS category, CAST(count(*) AS BIGINT) AS n FROM chips GROUP BY ALL")
+def height_category(chips):
+    return chips.groupBy("city", scalars.height_category(F.col("p90_height"), F.col("max_height")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rename_aliases", "cities", sql="SELECT slug AS id, country, continent AS selection_region FROM cities")
+def rename_aliases(cities):
+    return guards.with_aliases(cities.select("slug", "country", "continent"), {"id": "slug", "selection_region": "continent"}).drop("slug", "continent").select("id", "country", "selection_region")
+
+
+@query("first_available_column", "buildings", sql="SELECT id, price AS height, 'price' AS taken_from FROM buildings")
+def first_available_column(buildings):
+    """The official height is the first of the candidate columns that a city's table has."""
+    name = scalars.first_column(buildings.columns, ["HEIGHTROOF", "Price", "size"])
+    return buildings.select("id", F.col(name).alias("height"), F.lit(name).alias("taken_from"))
+
+
 @query("asset_preference", "scenes", sql="""
 , a AS (SELECT scene_id, CASE scene_id % 3 WHEN 0 THEN ['sr', 'udm'] WHEN 1 THEN ['analytic', 'sr8'] ELSE ['udm'] END AS assets FROM scenes)
 SELECT scene_id, list_filter(['sr8', 'sr', 'analytic'], lambda x: list_contains(assets, x))[1] AS asset FROM a""")

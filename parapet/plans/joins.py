@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import guards, selection
+from ..operators import scenes as rules
 from .registry import query
 
 
@@ -78,15 +78,16 @@ def manifest_upsert(manifest):
     return plan.join(held, "id", "left").select("id", "bundle", "cost", F.coalesce("state", F.lit("new")).alias("state"), conflict.alias("conflict"))
 
 
-@query("asof_fallback", "scenes", "manifest", sql="""
-, want AS (SELECT city, min(id) AS id, 2016 + min(id) % 9 AS y FROM manifest GROUP BY city),
-ranked AS (SELECT w.city, w.y, s.scene_id, s.year, row_number() OVER (PARTITION BY w.city ORDER BY CASE WHEN s.year = w.y THEN 0 WHEN s.year > w.y THEN 1 ELSE 2 END, abs(s.year - w.y), s.scene_id) AS n FROM want w JOIN scenes s USING (city))
-SELECT city, CAST(y AS BIGINT) AS y, scene_id, year FROM ranked WHERE n = 1""")
-def asof_fallback(scenes, manifest):
-    want = manifest.groupBy("city").agg(F.min("id").alias("id")).select("city", (2016 + F.col("id") % 9).alias("y"))
-    phase = F.when(F.col("year") == F.col("y"), 0).when(F.col("year") > F.col("y"), 1).otherwise(2)
-    best = F.min_by(F.struct("scene_id", "year"), F.struct(phase.alias("p"), F.abs(F.col("year") - F.col("y")).alias("d"), "scene_id"))
-    return scenes.join(want, "city").groupBy("city", "y").agg(best.alias("b")).select("city", "y", "b.scene_id", "b.year")
+@query("asof_fallback", "scenes", "surveys", sql="""
+, c AS (SELECT s.city, CASE WHEN month IN (12, 1) THEN 'winter_jan_dec' ELSE 'summer_jun_jul' END AS season, scene_id, acquired, survey_start, survey_end, coalesce(shadow, 0) + coalesce(haze, 0) AS penalty, cloud, clear, sun
+  FROM scenes s JOIN surveys USING (city) WHERE month IN (6, 7, 12, 1) AND cloud = 0 AND coverage = 100 AND standard),
+k AS (SELECT *, CASE WHEN acquired BETWEEN survey_start AND survey_end THEN 'inside' WHEN acquired >= survey_end THEN 'after' ELSE 'before' END AS relation FROM c),
+d AS (SELECT *, CASE relation WHEN 'inside' THEN CAST(floor(abs((acquired - survey_start) - (survey_end - survey_start) / 2)) AS BIGINT) WHEN 'after' THEN acquired - survey_end ELSE survey_start - acquired END AS days_off FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY city, season ORDER BY list_position(['inside', 'after', 'before'], relation), days_off, penalty, cloud, coalesce(clear, -1) DESC, coalesce(sun, -999) DESC, scene_id) AS n FROM d)
+SELECT city, season, scene_id, relation, CAST(days_off AS BIGINT) AS days_off FROM r WHERE n = 1""")
+def asof_fallback(scenes, surveys):
+    """For each city and season the clean scene inside the survey's window, else after, else before it."""
+    return rules.nearest_to_survey(scenes.withColumn("penalty", rules.penalty("shadow", "haze")), surveys.select("city", "survey_start", "survey_end"))
 
 
 @query("override_join", "cities", sql="SELECT slug, CASE city WHEN 7 THEN 'fixed-a' WHEN 11 THEN 'fixed-b' ELSE segment END AS choice FROM cities")
@@ -126,30 +127,44 @@ def symmetric_difference(manifest):
     return a.join(b, "id", "full").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pair_argmin", "scenes", sql="""
-, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city, month IN (6, 7, 8) ORDER BY cloud, scene_id) AS k FROM scenes WHERE month IN (6, 7, 8, 12, 1, 2) AND standard) WHERE k <= 8),
-p AS (SELECT a.city, a.scene_id AS summer, b.scene_id AS winter, row_number() OVER (PARTITION BY a.city ORDER BY abs(a.bearing - b.bearing) + 2 * abs(a.year - b.year) + a.haze + b.haze, a.scene_id, b.scene_id) AS n
-  FROM s a JOIN s b ON a.city = b.city AND a.month IN (6, 7, 8) AND b.month IN (12, 1, 2))
-SELECT city, summer, winter FROM p WHERE n = 1""")
-def pair_argmin(scenes):
-    pool = scenes.where("month IN (6, 7, 8, 12, 1, 2) AND standard").withColumn("warm", F.col("month").isin(6, 7, 8))
-    pool = selection.top_n(pool, ["city", "warm"], [F.col("cloud"), F.col("scene_id")], 8)
-    side = lambda warm, p: pool.where(F.col("warm") == warm).select("city", *[F.col(c).alias(p + c) for c in ("scene_id", "bearing", "year", "haze")])
-    cost = F.abs(F.col("a_bearing") - F.col("b_bearing")) + 2 * F.abs(F.col("a_year") - F.col("b_year")) + F.col("a_haze") + F.col("b_haze")
-    best = selection.pair_argmin(side(True, "a_"), side(False, "b_"), "city", [cost, F.col("a_scene_id"), F.col("b_scene_id")])
-    return best.select("city", F.col("a_scene_id").alias("summer"), F.col("b_scene_id").alias("winter"))
-
-
-@query("combination_argmax", "scenes", sql="""
-, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY cloud, scene_id) AS k FROM scenes) WHERE k <= 10),
-p AS (SELECT a.city, a.scene_id AS first_id, b.scene_id AS second_id, row_number() OVER (PARTITION BY a.city ORDER BY abs(a.sun - b.sun) DESC, a.scene_id, b.scene_id) AS n FROM s a JOIN s b ON a.city = b.city AND a.k < b.k)
-SELECT city, first_id, second_id FROM p WHERE n = 1""")
-def combination_argmax(scenes):
-    pool = selection.top_n(scenes, ["city"], [F.col("cloud"), F.col("scene_id")], 10, "k")
-    a, b = (pool.select("city", *[F.col(c).alias(p + c) for c in ("scene_id", "sun", "k")]) for p in ("a_", "b_"))
-    pairs = a.join(b, "city").where("a_k < b_k")
-    w = Window.partitionBy("city").orderBy(F.abs(F.col("a_sun") - F.col("b_sun")).desc(), "a_scene_id", "b_scene_id")
-    return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("city", F.col("a_scene_id").alias("first_id"), F.col("b_scene_id").alias("second_id"))
+PAIR_SQL = """
+, z AS (SELECT s.*, survey_end AS reference, coalesce(shadow, 0) + coalesce(haze, 0) AS penalty, greatest(0.0, cloud) * 10000 + greatest(0.0, 100 - coverage) * 10000 AS departs, month IN (6, 7) AS warm FROM scenes s JOIN surveys USING (city) WHERE month IN (6, 7, 12, 1)),
+f AS (SELECT *, cloud = 0 AND coverage = 100 AS strict, bool_or(cloud = 0 AND coverage = 100) OVER (PARTITION BY city, warm) AS any_strict FROM z),
+o AS (SELECT *, row_number() OVER (PARTITION BY city, warm ORDER BY abs(acquired - reference) + departs + CASE WHEN standard THEN 0 ELSE 100 END - coalesce(sun / CAST(1000 AS DOUBLE), 0), CAST(scene_id AS VARCHAR)) AS place FROM f WHERE strict OR NOT any_strict),
+p AS (
+  SELECT w.city, w.scene_id AS winter, s.scene_id AS summer, w.acquired AS w_acquired, s.acquired AS s_acquired, w.sun AS w_sun, s.sun AS s_sun, abs(s.acquired - w.acquired) AS gap,
+    abs(CAST(floor(((w.acquired - DATE '1970-01-01') + (s.acquired - DATE '1970-01-01')) / 2 - (w.reference - DATE '1970-01-01')) AS BIGINT)) AS apart,
+    CASE WHEN contains(w.assets, '8b_sr') AND contains(s.assets, '8b_sr') THEN 1 WHEN contains(w.assets, '4b_sr') AND contains(s.assets, '4b_sr') THEN 2 END AS asset_rank,
+    CASE WHEN w.standard THEN 0 ELSE 100 END + CASE WHEN s.standard THEN 0 ELSE 100 END AS quality, w.departs AS wd, s.departs AS sd, w.penalty + s.penalty AS hazy,
+    -coalesce(w.sun / CAST(1000 AS DOUBLE), 0) - coalesce(s.sun / CAST(1000 AS DOUBLE), 0) AS bonus
+  FROM o w JOIN o s ON w.city = s.city AND NOT w.warm AND s.warm WHERE w.place <= 40 AND s.place <= 40),
+q AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY asset_rank, round(apart + greatest(0, gap - 183) * 1000 + quality + wd + sd + hazy + bonus, 9), apart, gap, CAST(winter AS VARCHAR), CAST(summer AS VARCHAR)) AS n FROM p WHERE asset_rank IS NOT NULL),
+pairs AS (SELECT * FROM q WHERE n = 1)"""
+
+
+def _pairs(scenes, surveys):
+    dated = scenes.join(surveys.select("city", F.col("survey_end").alias("reference")), "city").withColumn("penalty", rules.penalty("shadow", "haze"))
+    return rules.best_pair(dated)
+
+
+@query("pair_argmin", "scenes", "surveys", sql=f"{PAIR_SQL} SELECT city, winter, summer, CASE asset_rank WHEN 1 THEN 'ortho_analytic_8b_sr' ELSE 'ortho_analytic_4b_sr' END AS asset FROM pairs")
+def pair_argmin(scenes, surveys):
+    """Every winter scene with every summer scene of a city's two pools, the best with a common asset."""
+    return _pairs(scenes, surveys).select("city", "winter", "summer", "asset")
+
+
+@query("combination_argmax", "scenes", "surveys", sql=f"""
+{PAIR_SQL},
+i AS (SELECT s.city, scene_id, acquired, sun, clear, coalesce(shadow, 0) + coalesce(haze, 0) AS penalty, w_acquired, s_acquired, w_sun, s_sun FROM scenes s JOIN pairs USING (city)
+  WHERE cloud = 0 AND coverage = 100 AND standard AND acquired > least(w_acquired, s_acquired) AND acquired < greatest(w_acquired, s_acquired) AND scene_id NOT IN (winter, summer)),
+b AS (SELECT a.city, a.scene_id AS first_id, b.scene_id AS second_id, list_sort([a.w_sun, a.s_sun, a.sun, b.sun]) AS suns, list_sort([a.w_acquired, a.s_acquired, a.acquired, b.acquired]) AS dates, a.penalty + b.penalty AS hazy,
+    coalesce((a.clear + b.clear) / 2, a.clear, b.clear) AS clear FROM i a JOIN i b ON a.city = b.city AND a.scene_id < b.scene_id),
+k AS (SELECT *, round(suns[4] - suns[1], 9) AS sun_range, round(list_stddev_pop(suns), 9) AS spread, round(least(suns[2] - suns[1], suns[3] - suns[2], suns[4] - suns[3]), 9) AS gap, least(dates[2] - dates[1], dates[3] - dates[2], dates[4] - dates[3]) AS day_gap FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY sun_range DESC, spread DESC, gap DESC, round(clear, 9) DESC NULLS LAST, day_gap DESC, hazy, first_id, second_id) AS n FROM k)
+SELECT city, first_id, second_id, sun_range FROM r WHERE n = 1""")
+def combination_argmax(scenes, surveys):
+    """Two more clean scenes between the dates of a city's pair, of all combinations the one that widens sun elevations most."""
+    return rules.between_pair(scenes.withColumn("penalty", rules.penalty("shadow", "haze")), _pairs(scenes, surveys))
 
 
 @query("union_all", "supplier", "customer", sql="SELECT s_name AS name, s_acctbal AS balance, NULL AS segment FROM supplier UNION ALL SELECT c_name, c_acctbal, c_mktsegment FROM customer")

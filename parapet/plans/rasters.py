@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import spatial
+from ..operators import raster, spatial
 from ..operators.metrics import r6
 from .registry import query
 
@@ -53,13 +52,35 @@ def point_in_polygon(points, buildings):
 
 @query("roof_ground_percentiles", "points", "buildings", sql="""
 , j AS (SELECT id, class, z FROM points JOIN buildings ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax),
-g AS (SELECT id, median(z) AS ground FROM j WHERE class = 2 GROUP BY id)
-SELECT id, round(any_value(ground), 9) AS ground, round(quantile_cont(z - ground, 0.9), 9) AS p90, round(max(z - ground), 9) AS top FROM j JOIN g USING (id) WHERE class = 6 GROUP BY id""")
+g AS (SELECT id, median(z) AS ground FROM j WHERE class = 2 GROUP BY id), h AS (SELECT id, ground, z - ground AS h FROM j JOIN g USING (id) WHERE class = 6)
+SELECT id, round(any_value(ground), 9) AS ground, CAST(count(*) AS BIGINT) AS n, round(avg(h), 9) AS mean, round(median(h), 9) AS p50, round(quantile_cont(h, 0.75), 9) AS p75, round(quantile_cont(h, 0.9), 9) AS p90,
+  round(quantile_cont(h, 0.95), 9) AS p95, round(quantile_cont(h, 0.99), 9) AS p99, round(max(h), 9) AS top FROM h GROUP BY id""")
 def roof_ground_percentiles(points, buildings):
     j = spatial.boxes_of_points(points, buildings).select("id", "class", "z")
     g = j.where("class = 2").groupBy("id").agg(F.median("z").alias("ground"))
     roof = j.where("class = 6").join(g, "id").withColumn("h", F.col("z") - F.col("ground"))
-    return roof.groupBy("id").agg(F.round(F.first("ground"), 9).alias("ground"), F.round(F.percentile("h", F.lit(0.9)), 9).alias("p90"), F.round(F.max("h"), 9).alias("top"))
+    at = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    return roof.groupBy("id").agg(
+        F.round(F.first("ground"), 9).alias("ground"), F.count(F.lit(1)).alias("n"), F.round(F.avg("h"), 9).alias("mean"),
+        *[F.round(F.percentile("h", F.lit(p)), 9).alias(name) for name, p in at.items()], F.round(F.max("h"), 9).alias("top"),
+    )
+
+
+@query("roof_ring_points", "points", "buildings", sql="""
+, e AS (SELECT *, CASE WHEN least(xmax - xmin, ymax - ymin) > 2 THEN 1.0 WHEN least(xmax - xmin, ymax - ymin) > 1 THEN 0.5 ELSE 0.0 END AS erosion FROM buildings),
+f AS (SELECT x, y, z FROM points p WHERE class = 2 AND NOT EXISTS (SELECT 1 FROM buildings b WHERE p.x BETWEEN b.xmin AND b.xmax AND p.y BETWEEN b.ymin AND b.ymax)),
+d AS (SELECT id, sqrt(greatest(xmin - x, 0, x - xmax) ** 2 + greatest(ymin - y, 0, y - ymax) ** 2) AS d FROM e JOIN f ON x BETWEEN xmin - 5 AND xmax + 5 AND y BETWEEN ymin - 5 AND ymax + 5),
+g AS (SELECT id, count(*) AS n FROM d WHERE d >= 1 AND d <= 5 GROUP BY id),
+r AS (SELECT id, count(*) AS n FROM e JOIN points ON class = 6 AND x BETWEEN xmin + erosion AND xmax - erosion AND y BETWEEN ymin + erosion AND ymax - erosion GROUP BY id)
+SELECT id, CAST(erosion AS DOUBLE) AS erosion, CAST(coalesce(r.n, 0) AS BIGINT) AS roof, CAST(coalesce(g.n, 0) AS BIGINT) AS ground FROM e LEFT JOIN r USING (id) LEFT JOIN g USING (id)""")
+def roof_ring_points(points, buildings):
+    """Roof points inside the eroded footprint, and ground points in the ring from 1 to 5 around it that no footprint holds."""
+    roof, ground = points.where("class = 6"), points.where("class = 2")
+    eroded = spatial.eroded(buildings, (1.0, 0.5))
+    on_roof = spatial.boxes_of_points(roof, eroded).groupBy("id").agg(F.count(F.lit(1)).alias("roof"))
+    in_ring = spatial.ring_points(ground, buildings, 1.0, 5.0).groupBy("id").agg(F.count(F.lit(1)).alias("ground"))
+    counted = eroded.select("id", "erosion").join(on_roof, "id", "left").join(in_ring, "id", "left")
+    return counted.select("id", "erosion", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("roof", "ground")])
 
 
 CELLS = ", g AS (SELECT CAST(floor(y / 8) AS BIGINT) AS r, CAST(floor(x / 8) AS BIGINT) AS c, max(z) FILTER (WHERE class = 6) AS dsm, avg(z) FILTER (WHERE class = 2) AS dtm FROM points GROUP BY ALL)"
@@ -168,14 +189,9 @@ def mosaic_first(pixels):
     return pixels.groupBy("city", "r", "c").agg(r6(F.min_by("v", "chip")).alias("v"))
 
 
-@query("mask_apply_all", "pixels", sql="SELECT chip, r, c, CASE WHEN mask THEN v ELSE CAST(-9999 AS DOUBLE) END AS v FROM pixels")
-def mask_apply_all(pixels):
-    return pixels.select("chip", "r", "c", F.when(F.col("mask"), F.col("v")).otherwise(-9999.0).alias("v"))
-
-
-@query("mask_apply", "pixels", sql="SELECT chip, r, c, CASE WHEN mask THEN v ELSE CAST(-9999 AS DOUBLE) END AS v FROM pixels WHERE chip % 5 = 0")
+@query("mask_apply", "pixels", sql="SELECT chip, r, c, CASE WHEN mask THEN v ELSE CAST(-9999 AS DOUBLE) END AS v FROM pixels")
 def mask_apply(pixels):
-    return mask_apply_all(pixels.where("chip % 5 = 0"))
+    return pixels.select("chip", "r", "c", F.when(F.col("mask"), F.col("v")).otherwise(-9999.0).alias("v"))
 
 
 @query("pixel_metrics", "pixels", sql="SELECT chip, CAST(count(*) FILTER (WHERE mask) AS BIGINT) AS n, CAST(count(DISTINCT v) AS BIGINT) AS distinct_values, round(max(v) - min(v), 6) AS spread, round(avg(abs(v)) FILTER (WHERE mask), 11) AS mae FROM pixels GROUP BY chip")
@@ -183,28 +199,22 @@ def pixel_metrics(pixels):
     return pixels.groupBy("chip").agg(F.count_if("mask").alias("n"), F.count_distinct("v").alias("distinct_values"), r6(F.max("v") - F.min("v")).alias("spread"), F.round(F.avg(F.when(F.col("mask"), F.abs("v"))), 11).alias("mae"))
 
 
-@query("rotate_flip_all", "pixels", sql="SELECT chip, c AS r, CAST(7 - r AS INT) AS c, v FROM pixels")
-def rotate_flip_all(pixels):
-    return pixels.select("chip", F.col("c").alias("r"), (7 - F.col("r")).alias("c"), "v")
-
-
-@query("rotate_flip", "pixels", sql="SELECT chip, c AS r, CAST(7 - r AS INT) AS c, v FROM pixels WHERE chip % 7 = 0")
+@query("rotate_flip", "pixels", sql="""
+, d AS (SELECT *, CAST('0x' || sha256('3:' || chip)[1:12] AS BIGINT) % 16 AS k FROM pixels),
+t AS (SELECT chip, k, v, CASE k % 4 WHEN 0 THEN r WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r ELSE c END AS r, CASE k % 4 WHEN 0 THEN c WHEN 1 THEN r WHEN 2 THEN 7 - c ELSE 7 - r END AS c FROM d)
+SELECT chip, CAST(CASE WHEN (k // 8) % 2 = 1 THEN 7 - r ELSE r END AS INT) AS r, CAST(CASE WHEN (k // 4) % 2 = 1 THEN 7 - c ELSE c END AS INT) AS c, v FROM t""")
 def rotate_flip(pixels):
-    return rotate_flip_all(pixels.where("chip % 7 = 0"))
+    """Each chip turned by 0 to 3 quarters, then maybe mirrored sideways and upside down, by its hash."""
+    return raster.augment(pixels, "chip", 8, 3).select("chip", "r", "c", "v")
 
 
-@query("resample_nearest_all", "pixels", sql="SELECT p.chip, t.r, t.c, p.v FROM pixels p JOIN (SELECT a AS r, b AS c FROM range(0, 12) x(a), range(0, 12) y(b)) t ON p.r = floor((t.r + 0.5) * 8 / 12) AND p.c = floor((t.c + 0.5) * 8 / 12)")
-def resample_nearest_all(pixels):
+@query("resample_nearest", "pixels", sql="SELECT p.chip, t.r, t.c, p.v FROM pixels p JOIN (SELECT a AS r, b AS c FROM range(0, 12) x(a), range(0, 12) y(b)) t ON p.r = floor((t.r + 0.5) * 8 / 12) AND p.c = floor((t.c + 0.5) * 8 / 12)")
+def resample_nearest(pixels):
     from_to = lambda at, n: F.expr(f"explode(filter(sequence(0, 11), t -> floor((t + 0.5) * 8 / 12) = {at}))").alias(n)
     rows = pixels.select("chip", "c", "v", from_to("r", "tr"))
     return rows.select("chip", F.col("tr").cast("bigint").alias("r"), from_to("c", "tc"), "v").select("chip", "r", F.col("tc").cast("bigint").alias("c"), "v")
 
 
-@query("resample_nearest", "pixels", sql="SELECT p.chip, t.r, t.c, p.v FROM pixels p JOIN (SELECT a AS r, b AS c FROM range(0, 12) x(a), range(0, 12) y(b)) t ON p.r = floor((t.r + 0.5) * 8 / 12) AND p.c = floor((t.c + 0.5) * 8 / 12) WHERE chip % 11 = 0")
-def resample_nearest(pixels):
-    return resample_nearest_all(pixels.where("chip % 11 = 0"))
-
-
 @query("channel_normalise", "pixels", sql=", s AS (SELECT c, avg(v) AS m, stddev_pop(v) AS d FROM pixels GROUP BY c) SELECT chip, r, c, round((v - m) / d, 5) AS z FROM pixels JOIN s USING (c)")
 def channel_normalise(pixels):
     s = pixels.groupBy("c").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
@@ -255,9 +265,9 @@ def chip_inspection(pixels):
     return s.select("chip", r6(F.col("share")).alias("share"), "tall", reasons((F.col("share") < 0.4, "empty"), (F.col("top") < 2, "low")).alias("excluded"))
 
 
-@query("pixel_components_all", "pixels")
-def pixel_components_all(pixels):
-    """Four-neighbour components of the cells over 1 in each chip."""
+@query("pixel_components", "pixels")
+def pixel_components(pixels):
+    """Four-neighbour components of the cells over 1 in each chip (a test holds them against brute force)."""
     m = pixels.where("v > 1").select("chip", (F.col("r") * 8 + F.col("c")).alias("k"), "r", "c", (F.col("chip") * 64 + F.col("r") * 8 + F.col("c")).alias("id"))
     shift = F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
     moved = m.withColumn("s", F.explode(shift)).select("chip", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("id").alias("a"))
@@ -267,16 +277,6 @@ def pixel_components_all(pixels):
     return named.groupBy("chip", "root").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("pixel_components", "pixels", sql="""
-, m AS (SELECT chip, r * 8 + c AS k, r, c FROM pixels WHERE v > 1 AND chip < 120),
-u AS (SELECT a.chip, a.k AS x, b.k AS y FROM m a JOIN m b ON a.chip = b.chip AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
-w AS (WITH RECURSIVE t AS (SELECT chip, k AS node, k AS root FROM m UNION SELECT t.chip, u.y, t.root FROM t JOIN u ON t.chip = u.chip AND t.node = u.x WHERE t.root < u.y) SELECT chip, node, min(root) AS root FROM t GROUP BY chip, node)
-SELECT chip, root, CAST(count(*) AS BIGINT) AS cells FROM w GROUP BY ALL""")
-def pixel_components(pixels):
-    """The same of the first 120 chips, as the SQL has it: its recursion is slow on more."""
-    return pixel_components_all(pixels.where("chip < 120"))
-
-
 @query("order_plan", "manifest", sql="""
 , g AS (SELECT city, bundle, list_sort(list(id)) AS ids FROM manifest GROUP BY ALL)
 SELECT city, bundle, CAST(len(ids) AS BIGINT) AS n, 'order_' || sha256(city || ':' || bundle || ':' || array_to_string(ids, ','))[1:12] AS name FROM g""")

@@ -54,38 +54,64 @@ def markdown_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.markdown_table(head.unionByName(rows), ["city", "region"]).select("city", "region")
 
 
-@raw("geojson_scan")
-def geojson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = view(spark, sf_dir, "buildings")
+#: Ids of a GeoJSON document of the fixture.
+IN_DOCUMENT = 250
+
+
+def _documents(buildings):
+    """GeoJSON texts of a few features each, as a footprint provider tiles them."""
     point = lambda x, y: F.array(F.col(x), F.col(y))
     ring = F.array(point("xmin", "ymin"), point("xmax", "ymin"), point("xmax", "ymax"), point("xmin", "ymax"), point("xmin", "ymin"))
     feature = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("id"), F.col("id").cast("string")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
-    texts = b.select("brand", feature.alias("f")).groupBy("brand").agg(F.collect_list("f").alias("features"))
-    docs = texts.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
-    return files.geojson_features(docs).select(F.col("properties")["id"].cast("bigint").alias("id"), "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax")
+    texts = buildings.select(F.floor(F.col("id") / IN_DOCUMENT).alias("tile"), feature.alias("f")).groupBy("tile").agg(F.collect_list("f").alias("features"))
+    return texts.select("tile", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
 
 
-@raw("file_hash_audit")
-def file_hash_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.file_hashes(spark, f"{sf_dir}/region.parquet")
+@query("geojson_scan", "buildings", sql="SELECT id, xmin, ymin, xmax, ymax FROM buildings")
+def geojson_scan(buildings):
+    return files.geojson_features(_documents(buildings).select("value")).select(F.col("properties")["id"].cast("bigint").alias("id"), "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax")
 
 
-@query("manifest_completeness", "manifest", sql="SELECT id * 10 + k AS file FROM manifest, (VALUES (0), (1), (2)) AS v(k) WHERE (id + k) % 50 = 0")
-def manifest_completeness(manifest):
-    listed = manifest.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct((F.col("id") * 10 + k).alias("file"), (F.col("id") + k).alias("s")))).alias("x")).select("x.*")
-    return files.missing_files(listed.select("file"), listed.where("s % 50 <> 0").select("file"))
+@query("geojson_aoi_scan", "buildings", sql="SELECT id AS city, CASE WHEN id % 10 = 3 THEN 'not_one_feature' WHEN id % 10 = 7 THEN 'not_polygonal' ELSE 'ok' END AS status, CASE WHEN id % 10 IN (3, 7) THEN NULL ELSE (xmax - xmin) * (ymax - ymin) END AS area FROM buildings")
+def geojson_aoi_scan(buildings):
+    """One area of interest a text: exactly one feature, a polygon or multipolygon; others are named, not read."""
+    point = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(point("xmin", "ymin"), point("xmax", "ymin"), point("xmax", "ymax"), point("xmin", "ymax"), point("xmin", "ymin"))
+    kind = lambda name, coordinates: F.struct(F.lit(name).alias("type"), F.to_json(coordinates).alias("coordinates"))
+    shape = F.when(F.col("id") % 10 == 7, kind("LineString", ring)).when(F.col("id") % 4 == 1, kind("MultiPolygon", F.array(F.array(ring)))).otherwise(kind("Polygon", F.array(ring)))
+    geometry = F.concat(F.lit('{"type":"'), shape["type"], F.lit('","coordinates":'), shape["coordinates"], F.lit("}"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), geometry, F.lit("}"))
+    times = F.when(F.col("id") % 10 == 3, F.array(feature, feature)).otherwise(F.array(feature))
+    texts = buildings.select(F.col("id").alias("city"), F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(times, ","), F.lit("]}")).alias("value"))
+    return files.single_polygon(texts, "value").select("city", "status", files.polygon_area(F.col("polygons")).alias("area"))
 
 
-@query("cache_miss_then_merge_all", "manifest", sql="SELECT id, CASE WHEN state = 'F' THEN 'cached' ELSE 'fetched' END AS origin, 'success' AS status FROM manifest")
-def cache_miss_then_merge_all(manifest):
+@raw("file_hash_audit")
+def file_hash_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, size and SHA-256 of every tile file that a run has written (a test holds them against hashlib)."""
+    path = new_path(spark, "tiles")
+    _documents(view(spark, sf_dir, "buildings")).repartition(4, "tile").sortWithinPartitions("tile").select("value").write.text(path)
+    return files.file_hashes(spark, f"{path}/part-*")
+
+
+@raw("manifest_completeness", """
+SELECT o_orderkey * 10 + k AS file FROM orders, (VALUES (0), (1), (2)) AS v(k) WHERE (o_orderkey + k) % 50 = 0""")
+def manifest_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the manifests list and no delivery folder holds; manifests and listings are read from what was delivered."""
+    path = new_path(spark, "delivery")
+    names = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct((F.col("id") * 10 + k).alias("file"), (F.col("id") + k).alias("s")))
+    orders = view(spark, sf_dir, "manifest")
+    orders.select("id", F.to_json(F.struct("id", F.transform(names, lambda x: x["file"]).alias("files"))).alias("value")).select("value").write.text(f"{path}/manifests")
+    orders.select(F.explode(names).alias("x")).where("x.s % 50 <> 0").select(F.col("x.file").cast("string").alias("value")).write.text(f"{path}/listing")
+    listed = spark.read.text(f"{path}/manifests").select(F.explode(F.from_json("value", "id bigint, files array<bigint>")["files"]).alias("file"))
+    return files.missing_files(listed, spark.read.text(f"{path}/listing").select(F.col("value").cast("bigint").alias("file")))
+
+
+@query("cache_miss_then_merge", "manifest", sql="SELECT id, CASE WHEN state = 'F' THEN 'cached' ELSE 'fetched' END AS origin, 'success' AS status FROM manifest")
+def cache_miss_then_merge(manifest):
     def fetch(frames):
         for frame in frames:
             yield frame.assign(status="success", origin="fetched")
 
     cache = manifest.select("id", F.when(F.col("state") == "F", "success").otherwise("failed").alias("status"), F.lit("cached").alias("origin"))
     return files.fetch_missing(manifest.select("id"), cache, "id", fetch, "id long, status string, origin string").select("id", "origin", "status")
-
-
-@query("cache_miss_then_merge", "manifest", sql="SELECT id, CASE WHEN state = 'F' THEN 'cached' ELSE 'fetched' END AS origin, 'success' AS status FROM manifest WHERE id % 2 = 0")
-def cache_miss_then_merge(manifest):
-    return cache_miss_then_merge_all(manifest.where("id % 2 = 0"))

@@ -1,7 +1,8 @@
 """Fixture views: entities of the building-height domain, on the test tables.
 
 Each view is one query text that both Spark and DuckDB read, so an operator and
-its oracle see the same rows.
+its oracle see the same rows. Buildings and points fill new blocks of 512 cells as
+their tables grow, so that neighbours grow in proportion.
 """
 
 from __future__ import annotations
@@ -16,11 +17,22 @@ VIEWS = {
         SELECT event_id AS scene_id, user_id AS city, CAST(1 + event_id % 12 AS INT) AS month,
           CAST(2016 + CAST(floor(event_id / 12) AS BIGINT) % 9 AS INT) AS year, CAST(event_id % 28 AS INT) AS day,
           CAST(CAST({k} AS DOUBLE) * 3.6 AS DOUBLE) AS bearing, CAST(value % 90 AS DOUBLE) AS sun,
-          CAST((event_id % 4) / 100 AS DOUBLE) AS cloud, CAST(100 - (event_id % 9) / 4 AS DOUBLE) AS coverage,
+          CAST((CAST(floor(event_id / 5) AS BIGINT) % 4) / 200 AS DOUBLE) AS cloud, CAST(100 - (event_id % 9) / 4 AS DOUBLE) AS coverage,
           event_type <> 'error' AS standard, CAST(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END * (user_id % 60) AS DOUBLE) AS lat,
           CAST((event_id % 21) - 10 AS DOUBLE) AS view_angle, CAST(event_id % 3 AS DOUBLE) AS haze,
-          CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 7 AS DOUBLE) END AS shadow, event_type AS kind, ts, value
+          CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 7 AS DOUBLE) END AS shadow, event_type AS kind, ts, value,
+          make_date(CAST(2016 + CAST(floor(event_id / 12) AS BIGINT) % 9 AS INT), CAST(1 + event_id % 12 AS INT), CAST(1 + event_id % 28 AS INT)) AS acquired,
+          CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id % 101 AS DOUBLE) END AS clear,
+          CASE event_id % 5 WHEN 0 THEN 'basic_udm2' WHEN 1 THEN 'ortho_analytic_8b_sr,ortho_analytic_4b_sr' WHEN 2 THEN 'ortho_analytic_8b_sr,basic_udm2' ELSE 'ortho_analytic_4b_sr' END AS assets,
+          CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ortho_analytic_8b_sr' WHEN 2 THEN 'ortho_analytic_8b_sr' ELSE 'ortho_analytic_4b_sr' END AS asset,
+          CAST(event_id % 17 AS DOUBLE) AS centre_offset, CAST(event_id % 13 AS DOUBLE) AS clearance
         FROM events""",
+    "surveys": """
+        SELECT c_custkey AS city, CASE c_custkey % 6 WHEN 0 THEN '2019' WHEN 1 THEN '2014;2017;2019' WHEN 2 THEN '2017-2019' WHEN 3 THEN '2015-2018' WHEN 4 THEN 'unknown' ELSE '2012' END AS years,
+          CASE c_custkey % 5 WHEN 0 THEN 'official_campaign_range' WHEN 1 THEN 'exact_official_project_range' WHEN 2 THEN 'year' ELSE 'official_flight_lot_range' END AS precision_kind,
+          make_date(CAST(2016 + c_custkey % 9 AS INT), CAST(1 + c_custkey % 12 AS INT), 1) AS survey_start,
+          make_date(CAST(2016 + c_custkey % 9 + CAST(floor(c_custkey / 9) AS BIGINT) % 3 AS INT), CAST(1 + c_custkey % 12 AS INT), CAST(2 + c_custkey % 25 AS INT)) AS survey_end
+        FROM customer""",
     "cities": """
         SELECT lower(c_name) AS slug, c_custkey AS city, n_name AS country, r_name AS continent, c_acctbal AS population, c_mktsegment AS segment
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
@@ -33,19 +45,21 @@ VIEWS = {
           CAST(l_quantity * 0.9 AS DOUBLE) AS p90, CAST(l_quantity * 0.95 - l_linenumber AS DOUBLE) AS p95, CAST(l_quantity AS DOUBLE) AS top
         FROM lineitem""",
     "points": """
-        SELECT l_orderkey % 16 AS tile, CAST((l_partkey * 31 + l_linenumber * 17 + CAST(l_quantity AS BIGINT) * 7) % 509 AS DOUBLE) AS x,
+        SELECT l_orderkey % 16 AS tile, CAST((l_partkey * 31 + l_linenumber * 17 + CAST(l_quantity AS BIGINT) * 7) % 509 + 512 * CAST(floor(l_orderkey / 15000) AS BIGINT) AS DOUBLE) AS x,
           CAST((l_suppkey * 29 + l_linenumber * 11 + CAST(l_quantity AS BIGINT) * 5 + l_orderkey) % 407 AS DOUBLE) AS y,
           CAST(l_extendedprice / 1000 AS DOUBLE) AS z, CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 6 ELSE 7 END AS class
         FROM lineitem""",
     "buildings": """
-        SELECT p_partkey AS id, CAST((p_partkey * 137) % 499 AS DOUBLE) AS xmin, CAST((p_partkey * 59) % 397 AS DOUBLE) AS ymin,
-          CAST((p_partkey * 137) % 499 + 1 + p_size % 9 AS DOUBLE) AS xmax, CAST((p_partkey * 59) % 397 + 1 + p_size % 7 AS DOUBLE) AS ymax,
+        SELECT p_partkey AS id, CAST((p_partkey * 137) % 499 + 512 * CAST(floor(p_partkey / 2000) AS BIGINT) AS DOUBLE) AS xmin, CAST((p_partkey * 59) % 397 AS DOUBLE) AS ymin,
+          CAST((p_partkey * 137) % 499 + 512 * CAST(floor(p_partkey / 2000) AS BIGINT) + 1 + p_size % 9 AS DOUBLE) AS xmax, CAST((p_partkey * 59) % 397 + 1 + p_size % 7 AS DOUBLE) AS ymax,
           p_brand AS brand, p_size AS size, p_retailprice AS price
         FROM part""",
     "manifest": """
         SELECT o_orderkey AS id, o_custkey AS city, o_orderstatus AS state, o_orderdate AS placed, o_totalprice AS cost, o_orderpriority AS bundle FROM orders""",
     "chips": """
-        SELECT o_orderkey AS chip, o_orderpriority AS city, (o_custkey % 40) * 256 AS row_off, (o_orderkey % 40) * 256 AS col_off, o_totalprice AS worth FROM orders""",
+        SELECT o_orderkey AS chip, o_orderpriority AS city, (o_custkey % 40) * 256 AS row_off, (o_orderkey % 40) * 256 AS col_off, o_totalprice AS worth,
+          CAST(o_custkey % 23 AS DOUBLE) AS median_height, CAST(o_custkey % 23 + o_orderkey % 17 AS DOUBLE) AS p90_height, CAST(o_custkey % 23 + o_orderkey % 37 AS DOUBLE) AS max_height, o_orderkey % 9 AS parts
+        FROM orders""",
 }
 
 #: 8 x 8 grids: 64 numbers of an embedding are the cells of a chip.

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..operators import metrics, selection, splitting
-from .filters import SEASON_SQL, SECTOR_SQL, TIER_SQL, tier
+from ..functions import scalars
+from ..operators import guards, metrics, ordering, selection, splitting
+from ..operators import scenes as rules
+from .filters import SEASON_SQL, SECTOR_SQL, TIER_SQL
 from .registry import query
 
 
-@query("hash_rank", "cities", sql="SELECT slug, CAST(row_number() OVER (ORDER BY sha256('419453:' || slug), slug) AS INT) AS rank FROM cities")
+@query("hash_rank", "cities", sql="SELECT slug, CAST(row_number() OVER (ORDER BY sha256('419453:' || slug), slug) AS BIGINT) AS rank FROM cities")
 def hash_rank(cities):
-    return cities.select("slug", F.row_number().over(Window.orderBy(splitting.seeded(419453, "slug"), "slug")).alias("rank"))
+    return splitting.hash_rank(cities.select("slug"), "slug", 419453)
 
 
 @query("hash_split", "cities", sql="""
@@ -44,29 +45,108 @@ def stratified_folds(chips):
     return splitting.folds(chips, "chip", ["city", "row_off"], 5, 3).select("chip", "fold")
 
 
-@query("bootstrap_draws", "chips")
+def _draw(below: str, *keys: str) -> str:
+    """A hashed number in DuckDB's SQL."""
+    return f"(CAST('0x' || sha256({" || ':' || ".join(keys)})[1:12] AS BIGINT) % {below})"
+
+
+@query("bootstrap_draws", "chips", sql=f"""
+, n AS (SELECT chip, worth, row_number() OVER (ORDER BY sha256('20260625:' || chip), chip) AS number FROM chips),
+d AS (SELECT CAST(i // 500 AS INT) AS run, CAST(i % 500 AS INT) AS draw FROM range(7500) t(i)),
+w AS (SELECT run, draw, 1 + {_draw("(SELECT count(*) FROM chips)", "'20260625'", "run", "draw")} AS number FROM d)
+SELECT run, draw, chip, worth FROM w JOIN n USING (number)""")
 def bootstrap_draws(chips):
     return splitting.bootstrap(chips.select("chip", "worth"), "chip", runs=15, draws=500, seed=20260625)
 
 
-@query("balanced_batches", "chips")
-def balanced_batches(chips):
-    """Batches with 4 chips of each of two cities, in hash order within a city."""
-    two = chips.where(F.col("city").isin("1-URGENT", "2-HIGH"))
-    n = F.row_number().over(Window.partitionBy("city").orderBy(splitting.seeded(1, "chip"), "chip")) - 1
-    return two.select("chip", "city", F.floor(n / 4).alias("batch"))
+CATEGORY_SQL = "CASE WHEN p90_height >= 30 OR max_height >= 50 THEN 'highrise' WHEN p90_height >= 10 THEN 'midrise' ELSE 'lowrise' END"
+
+
+def _categories(chips):
+    return chips.withColumn("category", scalars.height_category(F.col("p90_height"), F.col("max_height")))
 
 
-@query("block_split_search", "chips")
+@query("balanced_batches", "chips", sql=f"""
+, k AS (SELECT chip, city, {CATEGORY_SQL} AS category FROM chips WHERE city IN ('1-URGENT', '2-HIGH')),
+n AS (SELECT *, row_number() OVER (PARTITION BY city, category ORDER BY chip) - 1 AS number, count(*) OVER (PARTITION BY city, category) AS size FROM k),
+p AS (SELECT unnest(range(8)) AS slot), b AS (SELECT unnest(range(CAST(ceil((SELECT count(*) FROM k) / 8) AS BIGINT))) AS batch),
+w AS (SELECT batch, slot, CASE WHEN slot < 4 THEN '1-URGENT' ELSE '2-HIGH' END AS city, ['lowrise', 'lowrise', 'midrise', 'highrise'][slot % 4 + 1] AS category FROM b, p),
+d AS (SELECT w.*, {_draw("size", "'20260722'", "batch", "slot")} AS number FROM w JOIN (SELECT DISTINCT city, category, size FROM n) USING (city, category))
+SELECT batch, CAST(slot AS INT) AS slot, city, category, chip FROM d JOIN n USING (city, category, number)""")
+def balanced_batches(chips):
+    """Batches of two low, one mid and one high chip of each of two cities."""
+    return splitting.balanced_batches(_categories(chips), "chip", "city", "category", ["1-URGENT", "2-HIGH"], 20260722)
+
+
+@query("highrise_oversample", "chips", sql=f"""
+, k AS (SELECT chip, city, p90_height >= 30 OR max_height >= 50 AS high FROM chips),
+n AS (SELECT *, row_number() OVER (PARTITION BY city, high ORDER BY chip) - 1 AS number, count(*) OVER (PARTITION BY city, high) AS size, row_number() OVER (PARTITION BY city, high ORDER BY sha256('11:' || chip), chip) - 1 AS turn FROM k),
+h AS (SELECT DISTINCT city, size AS highs FROM n WHERE high), w AS (SELECT city, highs, unnest(range(40)) AS draw FROM h),
+d AS (SELECT city, draw, {_draw("highs", "'11'", "city", "draw")} AS number FROM w WHERE draw < 20)
+SELECT d.city, CAST(d.draw AS INT) AS draw, n.chip FROM d JOIN n ON n.city = d.city AND n.high AND n.number = d.number
+UNION ALL SELECT w.city, CAST(w.draw AS INT), n.chip FROM w JOIN n ON n.city = w.city AND NOT n.high AND n.turn = w.draw - 20 WHERE w.draw >= 20""")
+def highrise_oversample(chips):
+    """40 chips a city, half of them high-rise with replacement."""
+    flagged = chips.select("chip", "city", ((F.col("p90_height") >= 30) | (F.col("max_height") >= 50)).alias("high"))
+    return splitting.oversample(flagged, "chip", "city", "high", 40, 0.5, 11)
+
+
+@query("template_split", "chips", sql="""
+, r AS (SELECT chip, count(*) OVER (PARTITION BY city) AS k, row_number() OVER (PARTITION BY city ORDER BY sha256('7:' || chip), chip) AS i, city FROM chips)
+SELECT chip, city, CASE WHEN i <= floor(k * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN i <= floor(k * CAST(0.7 AS DOUBLE)) + floor(k * CAST(0.15 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM r""")
+def template_split(chips):
+    """A new dataset of the same chips takes the split of an older one, which must cover it exactly."""
+    template = splitting.fraction_split(chips, "chip", "city", 7).select("chip", "split")
+    wrong = guards.exact_cover(chips, template, "chip").limit(5).collect()
+    if wrong:
+        raise ValueError(f"the template does not cover the chips: {wrong}")
+    return guards.many_to_one(chips.select("chip", "city"), template, ["chip"])
+
+
+@query("plot_subsample", "buildings_eval", sql="SELECT chip, part, target, predicted FROM buildings_eval ORDER BY sha256('17:' || chip || ':' || part), chip, part LIMIT 2000")
+def plot_subsample(rows):
+    """2,000 rows without replacement, by hash."""
+    return rows.orderBy(splitting.seeded(17, "chip", "part"), "chip", "part").limit(2000).select("chip", "part", "target", "predicted")
+
+
+@query("epoch_chip_lookup", "buildings_eval", sql="SELECT a.chip, a.part AS epoch, a.target, b.predicted AS at_first FROM buildings_eval a LEFT JOIN buildings_eval b ON a.chip = b.chip AND b.part = 1")
+def epoch_chip_lookup(rows):
+    """Each row with the prediction of its chip in the first epoch, looked up by (epoch, chip)."""
+    first = rows.select("chip", F.col("part").alias("epoch"), F.col("predicted").alias("at_first"))
+    wanted = rows.select("chip", F.col("part").alias("own_epoch"), "target", F.lit(1).cast("long").alias("epoch"))
+    return wanted.join(first.withColumn("epoch", F.col("epoch").cast("long")), ["epoch", "chip"], "left").select("chip", F.col("own_epoch").alias("epoch"), "target", "at_first")
+
+
+def _block_sql() -> str:
+    edges = [*zip(splitting.BIN_EDGES, [*splitting.BIN_EDGES[1:], 10**9], strict=True)]
+    bins = ", ".join(f"CAST(sum(CASE WHEN p90_height >= {a} AND p90_height < {b} THEN parts ELSE 0 END) AS DOUBLE) AS bin{i}" for i, (a, b) in enumerate(edges))
+    has = ", ".join(f"max(CAST(category = '{c}' AS INT)) AS has{i}" for i, c in enumerate(splitting.CATEGORIES))
+    names = ["chips", "buildings", "f0", "f1", "f2", "has0", "has1", "has2", *[f"bin{i}" for i in range(6)]]
+    both = ", ".join(f"sum({c}) AS {c}" for c in names)
+    whole = ", ".join(f"sum({c}) AS all_{c}" for c in names)
+    binned = " + ".join(f"(bin{i} / b1 - all_bin{i} / b2) ** 2 / (all_bin{i} / b2 + 0.02)" for i in range(6))
+    featured = " + ".join(f"((f{i} / chips - all_f{i} / all_chips) / greatest(abs(all_f{i} / all_chips), 1)) ** 2" for i in range(3))
+    lacks = " + ".join(f"CAST(all_has{i} >= 3 AND has{i} = 0 AS INT)" for i in range(3))
+    return f"""
+, k AS (SELECT *, {CATEGORY_SQL} AS category, row_off // 1024 AS r, col_off // 1024 AS c FROM chips),
+b AS (SELECT city, r, c, count(*) AS chips, CAST(sum(parts) AS DOUBLE) AS buildings, sum(median_height) AS f0, sum(p90_height) AS f1, sum(ln(1 + max_height)) AS f2, {has}, {bins} FROM k GROUP BY ALL),
+s AS (SELECT *, count(*) OVER (PARTITION BY city) AS n, greatest(4, round_even(count(*) OVER (PARTITION BY city) * 0.15, 0)) AS few FROM b),
+t AS (SELECT *, row_number() OVER (PARTITION BY attempt, city ORDER BY sha256('5:' || attempt || ':' || city || ':' || r || ':' || c), r, c) AS turn FROM (SELECT *, unnest(range(64)) AS attempt FROM s)),
+a AS (SELECT *, CASE WHEN turn <= n - 2 * few THEN 'train' WHEN turn <= n - few THEN 'val' ELSE 'test' END AS split FROM t),
+w AS (SELECT city, {whole} FROM b GROUP BY city),
+p AS (SELECT attempt, city, split, {both} FROM a GROUP BY ALL),
+q AS (SELECT *, CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END AS goal, greatest(bin0 + bin1 + bin2 + bin3 + bin4 + bin5, 1) AS b1, greatest(all_bin0 + all_bin1 + all_bin2 + all_bin3 + all_bin4 + all_bin5, 1) AS b2 FROM p JOIN w USING (city)),
+z AS (SELECT attempt, sum({lacks}) AS lacks, round(sum(20 * (chips / all_chips - goal) ** 2 + 8 * (buildings / greatest(all_buildings, 1) - goal) ** 2 + ({binned}) / 6 + 0.5 * ({featured}) / 3), 9) AS score FROM q GROUP BY attempt),
+best AS (SELECT attempt, score FROM z WHERE lacks = 0 ORDER BY score, attempt LIMIT 1)
+SELECT city, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, split, CAST(attempt AS INT) AS attempt, score FROM a JOIN best USING (attempt)"""
+
+
+@query("block_split_search", "chips", sql=_block_sql())
 def block_split_search(chips):
-    """Of 64 hashed assignments of 1024-cell blocks, the one whose test share of worth is nearest to 15 %."""
-    blocks = chips.groupBy(F.floor(F.col("row_off") / 1024).alias("r"), F.floor(F.col("col_off") / 1024).alias("c")).agg(F.sum("worth").alias("worth"))
-    tries = blocks.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    draw = F.pmod(F.xxhash64("attempt", "r", "c"), F.lit(100))
-    tries = tries.withColumn("split", F.when(draw < 70, "train").when(draw < 85, "validation").otherwise("test"))
-    share = F.sum(F.when(F.col("split") == "test", F.col("worth")).otherwise(0.0)) / F.sum("worth")
-    best = tries.groupBy("attempt").agg(F.abs(share - 0.15).alias("gap")).orderBy("gap", "attempt").limit(1)
-    return tries.join(best, "attempt", "left_semi").select("r", "c", "split")
+    """Of 64 shuffled assignments of 1,024-cell blocks to the splits, the feasible one of the best score."""
+    cut = _categories(chips).withColumns({"r": F.floor(F.col("row_off") / 1024), "c": F.floor(F.col("col_off") / 1024)})
+    blocks = splitting.block_features(cut, "city", ["r", "c"], "median_height", "p90_height", "max_height", "category", "p90_height", "parts")
+    return splitting.block_split(blocks, "city", ["r", "c"], 64, 5)
 
 
 @query("topn_per_group", "scenes", sql="SELECT city, scene_id, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY cloud, coverage DESC, scene_id) AS n FROM scenes) WHERE n <= 2")
@@ -80,30 +160,33 @@ def group_size_window(buildings):
     return buildings.select("id", n.alias("n"), (n > 1).alias("was_merged"))
 
 
-@query("offnadir_rank", "scenes", sql="""
-, p AS (SELECT *, min(sun) OVER (PARTITION BY city) AS lo, max(sun) OVER (PARTITION BY city) AS hi FROM scenes WHERE abs(view_angle) >= 3),
-s AS (SELECT *, round(abs(view_angle) / 10 + CASE WHEN hi > lo THEN (sun - lo) / (hi - lo) ELSE 0 END, 8) AS score FROM p)
-SELECT city, scene_id, CAST(row_number() OVER (PARTITION BY city ORDER BY score DESC, cloud, scene_id) AS INT) AS rank FROM s""")
+NORM_SQL = "CASE WHEN max({0}) OVER w > min({0}) OVER w THEN ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) ELSE 0 END"
+
+
+@query("offnadir_rank", "scenes", sql=f"""
+, p AS (SELECT *, coalesce(clear, 0) AS clear0 FROM scenes WHERE view_angle >= 3 AND cloud <= 0.01),
+s AS (SELECT *, round(CAST(0.6 AS DOUBLE) * ({NORM_SQL.format("view_angle")}) + CAST(0.25 AS DOUBLE) * ({NORM_SQL.format("centre_offset")}) + CAST(0.1 AS DOUBLE) * ({NORM_SQL.format("clear0")}) + CAST(0.05 AS DOUBLE) * ({NORM_SQL.format("clearance")}), 12) AS score
+  FROM p WINDOW w AS (PARTITION BY city))
+SELECT city, scene_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY city ORDER BY score DESC, view_angle DESC, centre_offset DESC, acquired DESC, scene_id) AS INT) AS rank FROM s""")
 def offnadir_rank(scenes):
-    w = Window.partitionBy("city")
-    lo, hi = F.min("sun").over(w), F.max("sun").over(w)
-    pool = scenes.where(F.abs("view_angle") >= 3).withColumn("norm", F.when(hi > lo, (F.col("sun") - lo) / (hi - lo)).otherwise(0.0))
-    pool = pool.withColumn("score", F.round(F.abs("view_angle") / 10 + F.col("norm"), 8))
-    return pool.select("city", "scene_id", F.row_number().over(w.orderBy(F.desc("score"), "cloud", "scene_id")).alias("rank"))
+    pool = scenes.where("view_angle >= 3 AND cloud <= 0.01").withColumn("clear0", F.coalesce("clear", F.lit(0.0)))
+    weights = {"view_angle": 0.60, "centre_offset": 0.25, "clear0": 0.10, "clearance": 0.05}
+    ties = [F.desc("view_angle"), F.desc("centre_offset"), F.desc("acquired"), F.col("scene_id")]
+    return rules.off_nadir_rank(pool, ["city"], weights, ties).select("city", "scene_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query("min_adjacent_gap", "scenes", sql="SELECT city, round(min(g), 6) AS gap FROM (SELECT city, sun - lag(sun) OVER (PARTITION BY city ORDER BY sun) AS g FROM scenes WHERE year = 2020) GROUP BY city")
+@query("min_adjacent_gap", "scenes", sql="SELECT city, year, round(min(g), 6) AS gap FROM (SELECT city, year, sun - lag(sun) OVER (PARTITION BY city, year ORDER BY sun) AS g FROM scenes) GROUP BY ALL")
 def min_adjacent_gap(scenes):
-    gap = F.col("sun") - F.lag("sun").over(Window.partitionBy("city").orderBy("sun"))
-    return scenes.where("year = 2020").withColumn("g", gap).groupBy("city").agg(F.round(F.min("g"), 6).alias("gap"))
+    """Null where a city has under two scenes in the year."""
+    gap = F.col("sun") - F.lag("sun").over(Window.partitionBy("city", "year").orderBy("sun"))
+    return scenes.withColumn("g", gap).groupBy("city", "year").agg(F.round(F.min("g"), 6).alias("gap"))
 
 
-@query("first_seen_label", "buildings", sql="SELECT id, CAST(dense_rank() OVER (ORDER BY first) AS INT) AS label FROM (SELECT id, min(id) OVER (PARTITION BY brand) AS first FROM buildings)")
+@query("first_seen_label", "buildings", sql="SELECT id, CAST(dense_rank() OVER (ORDER BY first) AS BIGINT) AS label FROM (SELECT id, min(id) OVER (PARTITION BY brand) AS first FROM buildings)")
 def first_seen_label(buildings):
     # One row a group is ranked, then joined back.
     first = buildings.groupBy("brand").agg(F.min("id").alias("first"))
-    labels = first.select("brand", F.dense_rank().over(Window.orderBy("first")).alias("label"))
-    return buildings.join(labels, "brand").select("id", "label")
+    return buildings.join(ordering.numbered(first, ["first"], "label"), "brand").select("id", "label")
 
 
 @query("sequential_id", "buildings", sql="SELECT id, lower(replace(brand, '#', '_')) || '_' || lpad(CAST(row_number() OVER (PARTITION BY brand ORDER BY id) AS VARCHAR), 8, '0') AS code FROM buildings")
@@ -180,14 +263,20 @@ def topk_review(buildings):
     return buildings.select("id", "price").orderBy(F.desc("price"), "id").limit(40)
 
 
-@query("protected_shortlist", "scenes", sql=f"""
-, s AS (SELECT *, {SECTOR_SQL} AS sector FROM scenes),
-m AS (SELECT *, CAST(row_number() OVER (PARTITION BY city, sector ORDER BY cloud, scene_id) > 2 AS INT) AS rest FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY rest, cloud, scene_id) AS position FROM m)
-SELECT city, scene_id, CAST(position AS INT) AS position FROM r WHERE position <= 20""")
+SHORT_SQL = f"""
+, cand AS (
+  SELECT city, scene_id, CAST(scene_id AS VARCHAR) AS sid, year, {SECTOR_SQL} AS direction, {SEASON_SQL} AS season, {TIER_SQL} AS tier, sun, asset, view_angle, cloud, coverage, coalesce(shadow, 0) + coalesce(haze, 0) AS penalty
+  FROM scenes WHERE standard AND {SEASON_SQL} IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY tier, cloud, coverage DESC, view_angle DESC, penalty, sid) AS k FROM cand),
+guarded AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY city, year, season, direction ORDER BY k) <= 2 THEN 0 WHEN row_number() OVER (PARTITION BY city, season ORDER BY k) <= 5 THEN 1
+    WHEN row_number() OVER (PARTITION BY city, direction ORDER BY k) <= 2 THEN 2 ELSE 3 END AS level FROM ranked),
+short AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY level, k) AS position FROM guarded)"""
+
+
+@query("protected_shortlist", "scenes", sql=f"{SHORT_SQL} SELECT city, scene_id, CAST(position AS INT) AS position FROM short WHERE position <= 12")
 def protected_shortlist(scenes):
-    s = scenes.withColumn("sector", geo.sector4(F.col("bearing")))
-    return selection.protected_shortlist(s, ["city"], ["sector"], [F.col("cloud"), F.col("scene_id")], 2, 20).select("city", "scene_id", "position")
+    return rules.shortlist(rules.candidates(scenes), 12).select("city", "scene_id", "position")
 
 
 @query("fallback_pool", "scenes", sql="SELECT city, scene_id, relaxed FROM (SELECT *, max(CAST(cloud = 0 AND coverage = 100 AND month = 6 AS INT)) OVER (PARTITION BY city) = 0 AS relaxed FROM scenes) WHERE relaxed OR (cloud = 0 AND coverage = 100 AND month = 6)")
@@ -196,55 +285,30 @@ def fallback_pool(scenes):
     return selection.fallback_pool(scenes, ["city"], strict).select("city", "scene_id", "relaxed")
 
 
+#: A slot's season and direction, and the counts of what was chosen, in DuckDB's SQL.
 GREEDY_SQL = f"""
-, pool AS (
-  SELECT city, scene_id, year, {SECTOR_SQL} AS sector, {SEASON_SQL} AS season, {TIER_SQL} AS tier, cloud,
-    row_number() OVER (PARTITION BY city ORDER BY {TIER_SQL}, cloud, scene_id) AS k FROM scenes WHERE {SEASON_SQL} IS NOT NULL),
-c AS (SELECT city, list({{'tier': tier, 'id': scene_id, 'year': year, 'sector': sector, 'season': season}} ORDER BY tier, scene_id) AS cs FROM pool WHERE k <= 30 GROUP BY city),
+{SHORT_SQL},
+pool AS (SELECT city, list({{'sid': sid, 'id': scene_id, 'year': year, 'season': season, 'direction': direction, 'tier': tier, 'sun': sun, 'four': asset <> 'ortho_analytic_8b_sr', 'view': view_angle, 'cloud': cloud, 'coverage': coverage, 'penalty': penalty}}) AS cs
+  FROM short WHERE position <= 60 AND asset IS NOT NULL GROUP BY city),
 walk AS (
   WITH RECURSIVE r AS (
-    SELECT city, cs, 0 AS slot, list_filter(cs, lambda x: false) AS chosen FROM c
+    SELECT city, cs, 0 AS slot, list_filter(cs, lambda x: false) AS chosen FROM pool
     UNION ALL
-    SELECT city, cs, slot + 1, list_append(chosen, list_sort(list_transform(list_filter(cs, lambda x: NOT list_contains(list_transform(chosen, lambda y: y.id), x.id)), lambda x: {{
-      'a': CASE WHEN len(list_filter(chosen, lambda y: y.season = x.season)) < 4 THEN 0 ELSE 1 END, 'b': len(list_filter(chosen, lambda y: y.sector = x.sector AND y.season = x.season)),
-      'c': len(list_filter(chosen, lambda y: y.year = x.year)), 'x': x}}))[1].x)
-    FROM r WHERE slot < 8 AND len(cs) > slot)
+    SELECT city, cs, slot + 1, list_append(chosen, list_sort(list_transform(list_filter(cs, lambda x: NOT list_contains(list_transform(chosen, lambda y: y.sid), x.sid)), lambda x: {{
+      'a': len(list_filter(chosen, lambda y: y.year = x.year)) > 0,
+      'b': CASE WHEN len(list_filter(chosen, lambda y: y.season = x.season)) >= CASE x.season WHEN 'summer' THEN 5 ELSE 4 END THEN 2 WHEN x.season = ['summer', 'winter'][slot % 2 + 1] THEN 0 ELSE 1 END,
+      'c': CASE WHEN slot = 8 THEN CASE WHEN len(list_filter(chosen, lambda y: y.direction = x.direction)) < 2 THEN 0 ELSE 1 END
+        WHEN len(list_filter(chosen, lambda y: y.direction = x.direction)) >= 2 THEN 2 WHEN x.direction = ['N', 'S', 'E', 'W'][slot % 4 + 1] THEN 0 ELSE 1 END,
+      'd': x.tier, 'e': -round_even(coalesce(list_min(list_transform(chosen, lambda y: abs(y.sun - x.sun))), 90.0), 8), 'f': x.four, 'g': -abs(x.view), 'h': x.cloud, 'i': -x.coverage, 'j': x.penalty, 'k': x.sid, 'x': x}}))[1].x)
+    FROM r WHERE slot < 9 AND len(cs) > slot)
   SELECT city, chosen FROM r QUALIFY row_number() OVER (PARTITION BY city ORDER BY slot DESC) = 1)
 SELECT city, CAST(unnest(range(1, len(chosen) + 1)) AS INT) AS slot, unnest(list_transform(chosen, lambda y: y.id)) AS scene_id FROM walk"""
 
 
-def _candidates(scenes):
-    return scenes.withColumns({"sector": geo.sector4(F.col("bearing")), "season": geo.season(F.col("lat"), F.col("month")), "tier": tier()}).where("season IS NOT NULL")
-
-
-def _greedy(pool):
-    """Eight scenes a city: season quota, then sectors within the season, then new years, then tier and id."""
-
-    def key(c, chosen):
-        held = lambda cond: F.size(F.filter(chosen, cond))
-        return F.struct(
-            F.when(held(lambda y: y["season"] == c["season"]) < 4, 0).otherwise(1),
-            held(lambda y: (y["sector"] == c["sector"]) & (y["season"] == c["season"])),
-            held(lambda y: y["year"] == c["year"]),
-        )
-
-    return selection.greedy(pool.withColumnRenamed("scene_id", "id"), "city", 8, key, ["tier", "id", "year", "sector", "season"]).select("city", "slot", F.col("id").alias("scene_id"))
-
-
-@query("greedy_select_all", "scenes", sql=GREEDY_SQL.replace(" WHERE k <= 30", ""))
-def greedy_select_all(scenes):
-    """The greedy selection from all scenes of a city.
-
-    Scenes of one season, sector and year differ in tier and id alone, and eight
-    are taken at most, so the first eight of each such group lose no choice.
-    """
-    return _greedy(selection.top_n(_candidates(scenes), ["city", "season", "sector", "year"], [F.col("tier"), F.col("scene_id")], 8, "k"))
-
-
 @query("greedy_select", "scenes", sql=GREEDY_SQL)
 def greedy_select(scenes):
-    """The greedy selection from the 30 best scenes of a city by tier, cloud and id, as the SQL has it."""
-    return _greedy(selection.top_n(_candidates(scenes), ["city"], [F.col("tier"), F.col("cloud"), F.col("scene_id")], 30, "k"))
+    """Up to nine scenes a city: new years first, then season and direction slots, tier, and sun elevations far apart."""
+    return rules.select(scenes).select("city", "slot", "scene_id")
 
 
 @query("resume_pending", "manifest", sql="SELECT id, city FROM manifest WHERE id NOT IN (SELECT id FROM manifest WHERE state = 'F')")

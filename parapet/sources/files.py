@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,30 @@ def geojson_features(documents: DataFrame, text: str = "value") -> DataFrame:
     return f.select(F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("rings"), box.alias("bbox"))
 
 
+AOI = "features array<struct<geometry:struct<type:string,coordinates:string>>>"
+_POLYGONS = "array<array<array<array<double>>>>"
+
+
+def single_polygon(texts: DataFrame, text: str) -> DataFrame:
+    """``texts`` with status and polygons of its one area: 'ok', 'not_one_feature' or 'not_polygonal'; only an ok text has polygons.
+
+    A polygon counts as a multipolygon of one.
+    """
+    f = F.from_json(text, AOI)["features"]
+    g = F.get(f, F.lit(0))["geometry"]
+    status = F.when(F.coalesce(F.size(f), F.lit(0)) != 1, "not_one_feature").when(F.coalesce(g["type"].isin("Polygon", "MultiPolygon"), F.lit(False)), "ok").otherwise("not_polygonal")
+    polygons = F.when(status != "ok", None).when(g["type"] == "Polygon", F.array(F.from_json(g["coordinates"], "array<array<array<double>>>"))).otherwise(F.from_json(g["coordinates"], _POLYGONS))
+    return texts.withColumns({"status": status, "polygons": polygons})
+
+
+def polygon_area(polygons: Column) -> Column:
+    """Planar area of a multipolygon: outer rings less their holes."""
+    pairs = lambda ring: F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: a[0] * b[1] - b[0] * a[1])
+    area = lambda ring: F.abs(F.aggregate(pairs(ring), F.lit(0.0), lambda s, x: s + x)) / 2
+    of = lambda rings: F.aggregate(F.transform(rings, lambda r, i: F.when(i == 0, area(r)).otherwise(-area(r))), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.transform(polygons, of), F.lit(0.0), lambda s, x: s + x)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and SHA-256 of files; for files that fit a row."""
     files = spark.read.format("binaryFile").load(path)

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from parapet import plans
+from parapet.operators import tables
 
 from oracle import difference
 
@@ -40,20 +41,24 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     assert out.stdout.strip() == f"{len(plans.QUERIES)} []", out.stderr
 
 
-def test_queries_over_all_rows_leave_no_chip_out(spark):
-    pixels = plans.views.view(spark, SF, "pixels")
-    cells = [tuple(r) for r in pixels.select("chip", "r", "c", "v").collect()]
-    chips = {x[0] for x in cells}
-    for name in ("mask_apply_all", "rotate_flip_all", "resample_nearest_all"):
-        assert {r["chip"] for r in plans.QUERIES[name](spark, SF).select("chip").distinct().collect()} == chips
-    ids = plans.views.view(spark, SF, "manifest").count()
-    assert plans.QUERIES["cache_miss_then_merge_all"](spark, SF).count() == ids
+def test_file_hashes_against_hashlib(spark):
+    import glob
+    import hashlib
+    import os
+
+    rows = plans.QUERIES["file_hash_audit"](spark, SF).collect()
+    assert rows
+    found = {}
+    for path in glob.glob(os.path.join(tables.shared_dir(spark).removeprefix("file:"), "tiles-*", "part-*")):
+        data = open(path, "rb").read()
+        found[os.path.basename(path)] = (len(data), hashlib.sha256(data).hexdigest())
+    assert {r["file"]: (r["size"], r["sha256"]) for r in rows}.items() <= found.items()
 
 
 def test_pixel_components_of_all_chips_against_brute_force(spark):
     import random
 
-    from parapet.plans.rasters import pixel_components_all
+    from parapet.plans.rasters import pixel_components
 
     rng = random.Random(7)
     cells = [(chip, r, c, rng.choice((0.0, 2.0, 2.0))) for chip in (0, 3, 119, 120, 121, 500, 70_000) for r in range(8) for c in range(8)]
@@ -70,36 +75,66 @@ def test_pixel_components_of_all_chips_against_brute_force(spark):
                     todo += [(at[0] + a, at[1] + b) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]
             r, c = min(part)
             want.append((chip, r * 8 + c, len(part)))
-    got = pixel_components_all(spark.createDataFrame(cells, "chip long, r int, c int, v double")).collect()
+    got = pixel_components(spark.createDataFrame(cells, "chip long, r int, c int, v double")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_greedy_from_all_scenes_against_brute_force(spark):
-    """60 clear winter scenes of one sector and year, and a few poor ones of other seasons, sectors and years."""
-    from parapet.plans.windows import greedy_select_all
-
-    scenes = [(i, 1, 1, 2020, 0.0, 0.0, 100.0, 50.0) for i in range(60)]
-    scenes += [(100 + i, 1, 7 if i % 2 else 1, 2016 + i % 5, i * 40.0 % 360, 0.03, 97.0, 50.0) for i in range(9)]
-    scenes += [(200 + i, 2, 7 if i % 3 else 1, 2016 + i % 2, i * 100.0 % 360, i % 4 / 100, 97.0 + i % 4, -20.0) for i in range(70)]
-
-    def season(month, lat):
-        return "summer" if (month == 7) == (lat >= 0) else "winter"
-
-    def sector(b):
-        return "north" if b >= 315 or b < 45 else "east" if b < 135 else "south" if b < 225 else "west"
-
-    def tier(cloud, cover):
-        return 0 if cover == 100 and cloud == 0 else 1 if cover >= 99 and cloud <= 0.01 else 2 if cover >= 98 and cloud <= 0.02 else 3
+def test_greedy_against_a_plain_walk(spark):
+    """Cities rich in one season, sector or year, written as loops: shortlist, assets, slots, and the recorded shape of a full selection."""
+    import random
 
+    rng = random.Random(3)
+    scenes = []
+    for city, lat in ((1, 50.0), (2, -20.0), (3, 10.0), (4, 0.0)):
+        for i in range(160 if city < 3 else 7):
+            month = 1 if city == 1 and i < 120 else rng.choice((1, 2, 6, 7, 12))
+            year = 2018 if city == 2 and i < 100 else rng.randint(2016, 2024)
+            scenes.append((city * 1000 + i, city, month, year, rng.uniform(0, 90) if i < 130 else rng.uniform(0, 360), rng.choice((0.0, 0.0, 0.005, 0.02)), rng.choice((100.0, 99.6, 98.0)), lat,
+                           rng.choice((30.0, 40.000000004, 40.0, rng.uniform(20, 70))), float(rng.randint(-10, 10)), rng.choice((0.0, 3.0)), rng.choice((None, 1.0)), rng.choice((None, "ortho_analytic_8b_sr", "ortho_analytic_4b_sr")), rng.random() < 0.9))
+    names = "scene_id city month year bearing cloud coverage lat sun view_angle haze shadow asset standard".split()
     want = []
-    for city in (1, 2):
-        pool = [(tier(cl, co), i, y, sector(b), season(m, lat)) for i, at, m, y, b, cl, co, lat in scenes if at == city]
-        chosen = []
-        for slot in range(1, 9):
-            held = lambda ok: sum(map(ok, chosen))
-            best = min((x for x in pool if x not in chosen), key=lambda x: (held(lambda y: y[4] == x[4]) >= 4, held(lambda y: y[3:] == x[3:]), held(lambda y: y[2] == x[2]), x))
+    for city in (1, 2, 3, 4):
+        pool = []
+        for row in scenes:
+            x = dict(zip(names, row, strict=True))
+            warm = x["month"] in (6, 7) if x["lat"] >= 0 else x["month"] in (12, 1)
+            if x["city"] != city or not x["standard"] or x["month"] not in (6, 7, 12, 1):
+                continue
+            clear = x["cloud"] <= 1e-12
+            tier = 0 if x["coverage"] >= 99.999999 and clear else 1 if x["coverage"] >= 99.5 and clear else 2 if x["coverage"] >= 99.5 and x["cloud"] <= 0.01 else 3
+            b = x["bearing"]
+            x |= {"season": "summer" if warm else "winter", "way": "N" if b >= 315 or b < 45 else "E" if b < 135 else "S" if b < 225 else "W", "tier": tier, "bad": x["haze"] + (x["shadow"] or 0), "sid": str(x["scene_id"])}
+            pool.append(x)
+        pool.sort(key=lambda x: (x["tier"], x["cloud"], -x["coverage"], -x["view_angle"], x["bad"], x["sid"]))
+        first: list = []
+        for fields, n in ((("year", "season", "way"), 2), (("season",), 5), (("way",), 2)):
+            seen: dict = {}
+            for x in pool:
+                k = tuple(x[f] for f in fields)
+                seen[k] = seen.get(k, 0) + 1
+                if seen[k] <= n and x not in first:
+                    first.append(x)
+        left = [x for x in (first + [x for x in pool if x not in first])[:60] if x["asset"]]
+        chosen: list = []
+        for slot in range(9):
+            if not left:
+                break
+            count = lambda f, v: sum(y[f] == v for y in chosen)
+            fresh = [x for x in left if not count("year", x["year"])] or left
+
+            def key(x):
+                way, season = (["N", "S", "E", "W"] * 2 + ["ANY"])[slot], ["summer", "winter"][slot % 2]
+                season_open, way_open = count("season", x["season"]) < {"summer": 5, "winter": 4}[x["season"]], count("way", x["way"]) < 2
+                a = (0 if season == x["season"] else 1) if season_open else 2
+                w = (0 if way_open else 1) if way == "ANY" else (0 if way == x["way"] else 1) if way_open else 2
+                apart = min((abs(x["sun"] - y["sun"]) for y in chosen), default=90.0)
+                return a, w, x["tier"], -round(apart, 8), x["asset"] != "ortho_analytic_8b_sr", -abs(x["view_angle"]), x["cloud"], -x["coverage"], x["bad"], x["sid"]
+
+            best = min(fresh, key=key)
+            left.remove(best)
             chosen.append(best)
-            want.append((city, slot, best[1]))
-    assert {x[4] for x in chosen} == {"summer", "winter"} and any(c == 1 and i >= 100 for c, _, i in want)
-    table = spark.createDataFrame(scenes, "scene_id long, city long, month int, year int, bearing double, cloud double, coverage double, lat double")
-    assert sorted(map(tuple, greedy_select_all(table).collect())) == want
+            want.append((city, slot + 1, best["scene_id"]))
+        if city == 2:
+            assert len({y["year"] for y in chosen}) >= 7 and {y["season"] for y in chosen} == {"summer", "winter"}
+    table = spark.createDataFrame(scenes, "scene_id long, city long, month int, year int, bearing double, cloud double, coverage double, lat double, sun double, view_angle double, haze double, shadow double, asset string, standard boolean")
+    assert sorted(map(tuple, plans.windows.greedy_select(table).collect())) == want
