@@ -5,21 +5,23 @@ into chunks wherever the hash of the last 16 ids ends in zeros, so equal passage
 give equal chunks wherever they stand. A chunk is addressed by the SHA-256 of its
 bytes. The store holds
 
-* ``chunks``: one payload a unique chunk, with the places that refer to it,
+* ``rows`` of kind chunk: one row a unique chunk, its address and payload,
 * ``recipes``: the chunk addresses of each document, in files of ascending doc_id,
   with the SHA-256 of these addresses as the document's leaf,
 * ``manifest``: one Merkle node a recipe file, over its documents' leaves; the
   root is the hash over these nodes.
 
-Reading. Payloads are held against their addresses, recipes against chunks,
+(``rows`` of kind recipe are the recipes as they were made, before they were put in order.)
+
+Reading. Payloads are held against their addresses, recipes against payloads,
 leaves and nodes. What doesn't agree raises an error.
 
 Ids are written as little-endian unsigned 16-bit numbers where the vocabulary
 allows it, else as 32-bit numbers.
 
-A payload is shuffled once, to the partition of its address. A chunk that a third
-of all documents hold arrives there once a batch of documents, not once a
-document.
+A document is encoded in one task, so its recipe is whole there. A payload is
+shuffled once, to the partition of its address, and a task sends each address
+once: a chunk that a third of all documents hold arrives there once a task.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, drop_table, in_slices
 
@@ -41,10 +44,13 @@ END_ID = 2
 CUT_BITS = 9
 MIN_CHUNK, MAX_CHUNK = 128, 2048
 _RANGE = 16
-#: Words whose ids a worker remembers, which bounds its memory.
-CACHE_WORDS = 400_000
-#: Documents of which equal chunks are brought together before the shuffle.
+#: Words whose ids a worker remembers, which bounds its memory to some 300 MB.
+CACHE_WORDS = 1_200_000
 BATCH_DOCS = 1000
+#: Addresses that a task remembers to have sent, which bounds its memory.
+SENT_ADDRESSES = 300_000
+#: Documents in a recipe file at most, or as many as the shuffle partitions give.
+PART_DOCS = 200_000
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -61,25 +67,43 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
 
     The hash at a place depends on the last 16 ids alone.
     """
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n]
-    gear = _gear(ids)
-    rolling = gear.copy()
-    for k in range(1, _RANGE):
-        rolling[k:] += gear[:-k] << np.uint64(k)
+    return chunk_ends_of(ids, [len(ids)])[0]
+
+
+def chunk_ends_of(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """The same for several streams that follow one another in ``ids``.
+
+    A chunk has ``MIN_CHUNK`` ids at least, more than the hash looks back, so
+    no hash that counts reaches into the stream before.
+    """
+    rolling = (_GEARS[ids] if len(_GEARS) > (int(ids.max()) if len(ids) else 0) else _gear(ids)).copy()
+    for k in (1, 2, 4, 8):  # after each step the hash looks back twice as far, 16 ids in the end
+        rolling[k:] += rolling[:-k] << np.uint64(k)
     marks = (np.flatnonzero((rolling >> np.uint64(64 - CUT_BITS)) == 0) + 1).tolist()
-    ends, last = [], 0
-    for mark in [*marks, n]:
-        while mark - last > MAX_CHUNK:
+    out, start, at = [], 0, 0
+    for n in sizes:
+        ends, last = [], 0
+        while at < len(marks) and marks[at] - start <= n:
+            mark = marks[at] - start
+            at += 1
+            while mark - last > MAX_CHUNK:
+                last += MAX_CHUNK
+                ends.append(last)
+            if mark - last >= MIN_CHUNK and mark < n:
+                last = mark
+                ends.append(mark)
+        while n - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
-        if mark - last >= MIN_CHUNK and mark < n:
-            last = mark
-            ends.append(mark)
-    if last < n:
-        ends.append(n)
-    return ends
+        if last < n:
+            ends.append(n)
+        out.append(ends)
+        start += n
+    return out
+
+
+#: The numbers of the ids that fit 16 bits.
+_GEARS = _gear(np.arange(1 << 16))
 
 
 class Encoder:
@@ -89,7 +113,8 @@ class Encoder:
     a line end between other characters, and between a letter or digit and a
     full stop or comma that ends a word; it encodes the parts one by one. So in a
     text whose white space is only such single spaces and line ends, the ids are
-    those of its parts. All other texts go to the tokenizer whole.
+    those of its parts. All other texts, and those that hold one of the tokenizer's
+    added tokens, go to the tokenizer whole.
 
     Parts that are not yet known go to the tokenizer in one text, parted in the
     same ways; the number of bytes that each id stands for tells them apart again.
@@ -99,7 +124,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that the tokenizer finds anywhere in a text, even inside a word.
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.dtype = dtype
         self.stops = {p: self._ids(p).tobytes() for p in ".,"}
         #: Ids of a word after a space; of a word at the start of a line, marked by \x00; of a line end.
@@ -114,10 +140,9 @@ class Encoder:
         # The fast form leaves out offsets, not ids.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    @staticmethod
-    def is_plain(text: str) -> bool:
-        """Whether all white space of a text is single spaces and line ends between other characters."""
-        if text[0].isspace() or text[-1].isspace():
+    def is_plain(self, text: str) -> bool:
+        """Whether all white space of a text is single spaces and line ends between other characters, and no added token is in it."""
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.added):
             return False
         return not (any(x in text for x in _DOUBLE) or any(x in text for x in _ODD_ASCII) or not text.isascii() and any(x in text for x in _ODD_SPACES))
 
@@ -138,15 +163,9 @@ class Encoder:
         self.known.update(zip(words, found, strict=True))
 
     def _learn_all(self, fresh: set[str]) -> None:
-        known, stopped, rest = self.known, [], set()
-        for w in fresh:
-            if w[-1] in self.stops and len(w) > 1 and w[-2].isalnum():
-                stopped.append(w)
-                if w[:-1] not in known:
-                    rest.add(w[:-1])
-            else:
-                rest.add(w)
-        rest = sorted(rest)
+        known = self.known
+        stopped = [w for w in fresh if w[-1] in self.stops and w[-2:-1].isalnum()]
+        rest = list(fresh.difference(stopped).union([b for w in stopped if (b := w[:-1]) not in known]))
         for at in range(0, len(rest), 1000):
             self._learn(rest[at : at + 1000])
         for w in stopped:
@@ -157,7 +176,8 @@ class Encoder:
         if len(self.known) > CACHE_WORDS:  # what was met first is what is frequent
             self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
         known = self.known
-        held: list[tuple[list[str], list[bytes | None]] | None] = []
+        held: list[list[bytes] | None] = []
+        gaps: list[tuple[list[bytes], list[int], list[str]]] = []
         fresh: set[str] = set()
         for text in texts:
             if not text or not self.is_plain(text):
@@ -165,16 +185,17 @@ class Encoder:
                 continue
             words = ("\x00" + text.replace("\n", " \n \x00")).split(" ")
             found = list(map(known.get, words))
-            fresh.update([w for w, ids in zip(words, found, strict=True) if ids is None])
-            held.append((words, found))
+            if None in found:
+                places = [i for i, ids in enumerate(found) if ids is None]
+                missing = [words[i] for i in places]
+                fresh.update(missing)
+                gaps.append((found, places, missing))
+            held.append(found)
         self._learn_all(fresh)
-        out = []
-        for text, own in zip(texts, held, strict=True):
-            if own is not None:
-                out.append(b"".join([ids if ids is not None else known[w] for w, ids in zip(*own, strict=True)]))
-            else:
-                out.append(self._ids(text).tobytes() if text else b"")
-        return out
+        for found, places, missing in gaps:
+            for i, w in zip(places, missing, strict=True):
+                found[i] = known[w]
+        return [b"".join(found) if found is not None else self._ids(text).tobytes() if text else b"" for text, found in zip(texts, held, strict=True)]
 
 
 _DOUBLE = ("  ", " \n", "\n ", "\n\n")
@@ -198,41 +219,69 @@ def id_type(tokenizer_path: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-_REF = "struct<doc_id:{kind},row:long,seq:int>"
-
-
 def chunked(docs: DataFrame, tokenizer_path: str, dtype: str, end_id: int = END_ID) -> DataFrame:
-    """(address, n, payload, refs): each distinct chunk of a batch of documents, and where it stands."""
+    """Rows of two kinds: the distinct chunks that a task meets, and the recipe of each document.
+
+    (kind, key, n, payload, doc_id, row, chunks): a chunk has its address as key, a
+    recipe the bytes of its row's number. Ids may be of any type that Arrow carries.
+    """
     bounded_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type_ = docs.schema["doc_id"].dataType
     width = np.dtype(dtype).itemsize
     end = np.array([end_id], dtype=dtype).tobytes()
-    ref_type = pa.list_(pa.struct([("doc_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("row", pa.int64()), ("seq", pa.int32())]))
-    schema = pa.schema([("address", pa.binary()), ("n", pa.int32()), ("payload", pa.binary()), ("refs", ref_type)])
+    entries = pa.list_(pa.struct([("address", pa.binary()), ("n", pa.int32())]))
+    sha256 = hashlib.sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path, dtype)
+        sent: set[bytes] = set()
         for batch in in_slices(batches, BATCH_DOCS):
-            held: dict[bytes, list] = {}
-            ids_of, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+            schema = pa.schema(
+                [("kind", pa.string()), ("key", pa.binary()), ("n", pa.int32()), ("payload", pa.binary()), ("doc_id", batch.column("doc_id").type), ("row", pa.int64()), ("chunks", entries)]
+            )
+            if len(sent) > SENT_ADDRESSES:
+                sent.clear()
+            fresh: dict[bytes, bytes] = {}
+            rows = batch.column("row").to_pylist()
+            addresses, sizes, offsets = [], [], [0]
             column = batch.column("text")
             for at in range(0, len(rows), 100):
-                encoded = encoder.encode([t or "" for t in column.slice(at, 100).to_pylist()])
-                for doc_id, row, ids in zip(ids_of[at : at + 100], rows[at : at + 100], encoded, strict=True):
-                    ids += end
+                streams = [ids + end for ids in encoder.encode([t or "" for t in column.slice(at, 100).to_pylist()])]
+                cuts = chunk_ends_of(np.frombuffer(b"".join(streams), dtype=dtype), [len(x) // width for x in streams])
+                for ids, ends in zip(streams, cuts, strict=True):
                     last = 0
-                    for seq, cut in enumerate(chunk_ends(np.frombuffer(ids, dtype=dtype))):
+                    for cut in ends:
                         payload = ids[last * width : cut * width]
+                        address = sha256(payload).digest()
+                        addresses.append(address)
+                        sizes.append(cut - last)
                         last = cut
-                        address = hashlib.sha256(payload).digest()
-                        if address not in held:
-                            held[address] = [cut, payload, []]
-                        held[address][2].append({"doc_id": doc_id, "row": row, "seq": seq})
-            columns = [list(held), [len(x[1]) // width for x in held.values()], [x[1] for x in held.values()], [x[2] for x in held.values()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                        if address not in sent:
+                            sent.add(address)
+                            fresh[address] = payload
+                    offsets.append(len(addresses))
+            flat = pa.StructArray.from_arrays([pa.array(addresses, pa.binary()), pa.array(sizes, pa.int32())], fields=list(entries.value_type))
+            recipes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, type=entries)
+            m, k = len(fresh), len(rows)
+            none = lambda size, kind: pa.nulls(size, kind)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(["chunk"] * m), pa.array(list(fresh), pa.binary()), pa.array([len(x) // width for x in fresh.values()], pa.int32()), pa.array(list(fresh.values()), pa.binary()),
+                    none(m, schema.field("doc_id").type), none(m, pa.int64()), none(m, entries),
+                ],
+                schema=schema,
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(["recipe"] * k), pa.array([r.to_bytes(8, "big") for r in rows], pa.binary()), none(k, pa.int32()), none(k, pa.binary()),
+                    batch.column("doc_id"), batch.column("row"), recipes,
+                ],
+                schema=schema,
+            )
 
     numbered = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    return numbered.mapInArrow(run, f"address binary, n int, payload binary, refs array<{_REF.format(kind=kind)}>")
+    schema = T.StructType.fromDDL("kind string, key binary, n int, payload binary").add("doc_id", id_type_).add("row", T.LongType()).add("chunks", T.ArrayType(T.StructType.fromDDL("address binary, n int")))
+    return numbered.mapInArrow(run, schema)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, parts: int | None = None) -> str:
@@ -240,27 +289,17 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
 
     Null texts are empty: their stream is the end id alone. Rows with equal ids
     stay documents of their own, next to one another. Null ids come first. An
-    empty table gives a store without chunks.
+    empty table gives a store without chunks. Long texts are encoded whole.
     """
     spark = docs.sparkSession
     dtype = id_type(tokenizer_path)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    once = Window.partitionBy("address").orderBy(F.col("refs")[0]["row"], F.col("refs")[0]["seq"])
-    (
-        chunked(own, tokenizer_path, dtype, end_id)
-        .withColumn("payload", F.when(F.row_number().over(once) == 1, F.col("payload")))
-        .write.option("compression", "zstd")
-        .parquet(f"{path}/chunks")
-    )
-    chunks = spark.read.parquet(f"{path}/chunks")
-    entry = F.struct("ref.seq", "address", "n")
-    whole = (
-        chunks.select("address", "n", F.explode("refs").alias("ref"))
-        .groupBy("ref.doc_id", "ref.row")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # as many as the document has chunks
-        .select("doc_id", "row", F.expr("transform(entries, e -> struct(e.address, e.n))").alias("chunks"))
-    )
-    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # An address comes once a task at most (or once in SENT_ADDRESSES others), so its group is small.
+    once = Window.partitionBy("key").orderBy("row")
+    made = chunked(own, tokenizer_path, dtype, end_id)
+    made.withColumn("again", F.lag(F.lit(True)).over(once)).where("again is null").drop("again").write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(f"{path}/rows")
+    whole = _recipes_as_made(spark, path)
+    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() // PART_DOCS))
     recipes = (
         whole.withColumn("n_tokens", F.aggregate("chunks", F.lit(0).cast("long"), lambda acc, c: acc + c["n"]))
         .withColumn("leaf", F.sha2(F.array_join(F.transform("chunks", lambda c: F.hex(c["address"])), ""), 256))
@@ -270,10 +309,20 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
     )
     recipes.write.parquet(f"{path}/recipes")
     nodes = _nodes(spark.read.parquet(f"{path}/recipes"))
-    nodes.coalesce(1).write.parquet(f"{path}/manifest")  # one short row a recipe file
+    nodes.repartition(1).write.parquet(f"{path}/manifest")  # one short row a recipe file
     return _root(spark.read.parquet(f"{path}/manifest"))
 
 
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(address, n, payload) of every unique chunk."""
+    rows = spark.read.schema("kind string, key binary, n int, payload binary").parquet(f"{path}/rows")
+    return rows.where("kind = 'chunk'").select(F.col("key").alias("address"), "n", "payload")
+
+
+def _recipes_as_made(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").where("kind = 'recipe'").select("doc_id", "row", "chunks")
+
+
 def _nodes(recipes: DataFrame) -> DataFrame:
     """One Merkle node a recipe file: over pages of 1,000 leaves, then over the pages."""
     inside = Window.partitionBy("part").orderBy("doc_id", "row")
@@ -341,46 +390,47 @@ def crc_of_parts(crcs: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _payload_crcs(chunks: DataFrame, dtype: str) -> DataFrame:
-    """(address, crc) of each payload in the files; a payload that isn't its address's raises."""
+    """(address, n, crc) of each payload in the files; a payload that isn't its address's raises."""
+    sha256, crc32, width = hashlib.sha256, zlib.crc32, np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for address, payload, n in zip(*(batch.column(c).to_pylist() for c in ("address", "payload", "n")), strict=True):
-                if hashlib.sha256(payload).digest() != address or len(payload) != n * np.dtype(dtype).itemsize:
+            addresses, payloads, ns = (batch.column(c).to_pylist() for c in ("address", "payload", "n"))
+            for address, payload, n in zip(addresses, payloads, ns, strict=True):
+                if sha256(payload).digest() != address or len(payload) != n * width:
                     raise ValueError(f"chunk {address.hex()} is damaged")
-                crcs.append(zlib.crc32(np.frombuffer(payload, dtype=dtype).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("address"), pa.array(crcs, pa.int64())], names=["address", "crc"])
+            wide = memoryview(np.frombuffer(b"".join(payloads), dtype=dtype).astype("<u4").view(np.uint8))
+            ends = np.cumsum(np.array(ns, dtype=np.int64) * 4).tolist()
+            crcs = [crc32(wide[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("address"), batch.column("n"), pa.array(crcs, pa.int64())], names=["address", "n", "crc"])
 
-    return chunks.where("payload is not null").select("address", "payload", "n").mapInArrow(run, "address binary, crc long")
+    return chunks.select("address", "payload", "n").mapInArrow(run, "address binary, n int, crc long")
 
 
 def read_digest(spark: SparkSession, path: str, tokenizer_path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, leaf) of every document, from the files alone.
 
-    The chunks' places give each document's chunks in order; they must be those
-    of its recipe. Payloads are not shuffled: a document's crc comes from the
-    crcs and sizes of its chunks.
+    Payloads are not shuffled: a document's crc comes from the crcs and sizes of
+    its chunks. A chunk that very many documents hold is one row on one side of
+    the join, whose other side adaptive execution may split.
     """
     dtype = id_type(tokenizer_path)
-    chunks = spark.read.parquet(f"{path}/chunks")
     recipes = spark.read.parquet(f"{path}/recipes")
     manifest = spark.read.parquet(f"{path}/manifest")
-    kind = recipes.schema["doc_id"].dataType.simpleString()
-    crcs = _payload_crcs(chunks, dtype)
-    placed = chunks.select("address", "n", "refs").join(crcs, "address").select(F.explode("refs").alias("ref"), "address", "n", "crc")
-    found = placed.groupBy("ref.doc_id", "ref.row").agg(F.array_sort(F.collect_list(F.struct("ref.seq", "address", "n", "crc"))).alias("parts"))
+    schema = T.StructType().add("doc_id", recipes.schema["doc_id"].dataType).add("start", T.LongType()).add("n_tokens", T.LongType()).add("ids_crc32", T.LongType()).add("leaf", T.StringType())
+    crcs = _payload_crcs(_chunks(spark, path), dtype)
+    placed = recipes.select("row", F.posexplode("chunks").alias("seq", "c")).select("row", "seq", F.col("c.address").alias("address"))
+    found = placed.join(crcs, "address").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "n", "crc"))).alias("parts"))  # as many as the document has chunks
     # Files in order of their documents; the sum over earlier files has one row a file.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = manifest.select(F.col("part").alias("in"), F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     started = (
-        recipes.join(F.broadcast(ahead), F.col("part") == F.col("in"))  # one row a file
+        recipes.join(F.broadcast(ahead), F.col("part") == F.col("in"))  # one row a file of PART_DOCS documents
         .select("doc_id", "row", "n_tokens", "leaf", (F.col("ahead") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"))
-        .alias("s")
     )
-    joined = started.join(found.alias("f"), (F.col("s.row") == F.col("f.row")) & F.col("s.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
-    joined = joined.select("s.doc_id", "s.start", "s.n_tokens", "s.leaf", F.col("f.parts.address").alias("addresses"), F.col("f.parts.n").alias("ns"), F.col("f.parts.crc").alias("crcs"))
+    joined = started.join(found, "row", "left")
+    joined = joined.select("doc_id", "start", "n_tokens", "leaf", F.col("parts.address").alias("addresses"), F.col("parts.n").alias("ns"), F.col("parts.crc").alias("crcs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +444,7 @@ def read_digest(spark: SparkSession, path: str, tokenizer_path: str) -> DataFram
             keep = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(out.astype(np.int64), pa.int64()), batch.column("leaf")], names=["doc_id", "start", "n_tokens", "ids_crc32", "leaf"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, leaf string")
+    return joined.mapInArrow(run, schema)
 
 
 def verify(spark: SparkSession, path: str) -> str:
@@ -410,18 +460,17 @@ def verify(spark: SparkSession, path: str) -> str:
 def reconstruct(spark: SparkSession, path: str, tokenizer_path: str) -> DataFrame:
     """(doc_id, row, ids): the whole id stream of each document, put together from its chunks."""
     dtype = id_type(tokenizer_path)
-    chunks, recipes = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/recipes")
-    payloads = chunks.where("payload is not null").select("address", "payload")
+    recipes = spark.read.parquet(f"{path}/recipes")
     placed = recipes.select("doc_id", "row", F.posexplode("chunks").alias("seq", "c")).select("doc_id", "row", "seq", "c.address")
-    joined = placed.join(payloads, "address").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
-    kind = recipes.schema["doc_id"].dataType.simpleString()
+    joined = placed.join(_chunks(spark, path).select("address", "payload"), "address").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
+    schema = T.StructType().add("doc_id", recipes.schema["doc_id"].dataType).add("row", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 200):
             ids = [np.frombuffer(b"".join(x["payload"] for x in parts), dtype=dtype).astype(np.int32) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "ids"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, row long, ids array<int>")
+    return joined.mapInArrow(run, schema)
 
 
 def store_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:
