@@ -34,8 +34,6 @@ from .common import bounded_batches, crc_remainder, in_slices, table
 
 #: Labelled rows of each class to learn from: those with the smallest hash of their id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 5_000, 15_000
-#: Stems kept at most, strongest first.
-MAX_STEMS = 5_000
 #: Log-likelihood ratio of a stem's contexts that chance won't give.
 SIGNIFICANT = 27.0
 #: Least log-odds of an insult stem.
@@ -58,7 +56,8 @@ PRIOR = {"insult": 4.0, "aimed_insult": 5.0, "threat": 0.3, "aimed_threat": 3.5,
 PRIOR_BIAS = -3.5
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|,")
-_BREAK = re.compile(r"[.!?;:\n]")
+_BREAKS = ".!?;:\n"
+_BREAK = re.compile(f"[{_BREAKS}]")
 
 
 # -- transducers ---------------------------------------------------------------
@@ -164,23 +163,26 @@ class Scorer:
         return (",", 0.0) if word == "," else ("O", 0.0)
 
     def clauses(self, text: str) -> Iterator[tuple[str, float]]:
-        """(pattern, strength) of each clause that holds an insult or a threat; the strengths of its insults add up."""
+        """(pattern, strength) of each clause that holds an insult or a threat; the strengths of its insults add up.
+
+        Each such clause is read once and whole, from break to break, however long
+        it is; the time grows with the text's length alone.
+        """
         low, done = text.lower(), 0
         for last, size in self.find.iter(low):
             start = last - size + 1
             if start < done or (start and (low[start - 1].isalpha() or low[start - 1] == "'")):
                 continue
-            begin = max((m.end() for m in _BREAK.finditer(low, max(done, start - 400), start)), default=max(done, start - 400))
+            begin = max(done, *(low.rfind(c, done, start) + 1 for c in _BREAKS))
             stop = _BREAK.search(low, last)
-            end = min(stop.start() if stop else len(low), last + 400)
+            done = stop.start() if stop else len(low)
             state, strength = self.machine.start, 0.0
-            for m in _TOKEN.finditer(low, begin, end):
+            for m in _TOKEN.finditer(low, begin, done):
                 symbol, w = self.symbol(m[0])
                 strength += min(1.0, w / STRONG) ** 2
                 state, _ = self.machine.step(state, symbol)
             if pattern := self.machine.final(state):
                 yield pattern, strength
-                done = end
 
     def features(self, text: str) -> list[float]:
         """For each pattern, how strong its clauses are together: 0 without any, up to 1."""
@@ -236,7 +238,7 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     ratio = 2 * (part(t, expected) + part(c, t + c - expected))
     odds = F.ln((t + 0.5) / (all_t + 1)) - F.ln((c + 0.5) / (all_c + 1))
     found = counted.select("stem", "toxic", ratio.alias("ratio"), odds.alias("weight")).where((F.col("ratio") >= SIGNIFICANT) & (F.col("weight") >= MIN_WEIGHT))
-    rows = found.orderBy(F.desc("ratio"), "stem").limit(MAX_STEMS).collect()
+    rows = found.collect()  # no more than the bounded sample has
     seen = {r["stem"]: r for r in rows}
     # Of a stem and a longer one that covers about the same, the longer is the more careful.
     wider = {s[:n] for s, r in seen.items() for n in PREFIXES if n < len(s) and s[:n] in seen and r["toxic"] >= 0.9 * seen[s[:n]]["toxic"]}
