@@ -29,7 +29,10 @@ SURGE = 60
 #: A line whose text is link text for over this share weighs nothing.
 LINK_SHARE = 0.5
 
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)|<[!?/][^>]*+>""", re.S)
+#: Where a comment, a tag or another piece of markup begins, and where a tag ends: past quoted values, or at the next bracket.
+_MARK = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
+_COMMENT_END = re.compile(r"--!?>")
+_TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -69,7 +72,7 @@ def _is_name(token: str) -> bool:
     return not _NAMES.isdisjoint(words) and words <= _NAMES | _LAYOUT
 
 
-def _is_outside(tag: str, attributes: str, in_content: bool) -> bool:
+def _is_outside(tag: str, attributes: str, in_content: bool, by_name: bool) -> bool:
     if tag in _DROPPED:
         return True
     if tag == "header" and not in_content:
@@ -79,7 +82,7 @@ def _is_outside(tag: str, attributes: str, in_content: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role") and tag in _NAMED:
+        if by_name and name in ("class", "id", "role") and tag in _NAMED:
             if any(map(_is_name, value.split())):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -87,10 +90,11 @@ def _is_outside(tag: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[Line]:
-    """The lines of a page outside dropped parts.
+def lines(page: str, by_name: bool = True) -> list[Line]:
+    """The lines of a page outside dropped parts; without ``by_name``, names in class, id and role drop nothing.
 
-    ``marked`` lines lie inside an article or a main element.
+    ``marked`` lines lie inside an article or a main element. The time grows with
+    the page's length alone, however broken its markup is.
     """
     out: list[Line] = []
     parts: list[str] = []
@@ -117,21 +121,37 @@ def lines(page: str) -> list[Line]:
             parts.clear()
         linked = 0
 
+    quoted = True
+    last = page.rfind(">")
     while at < end:
-        m = _TAG.search(page, at)
-        if not m:
+        m = _MARK.search(page, at) if at <= last else None
+        if not m or m.start() > last:  # no markup can end any more
             if not skip:
                 text(page[at:])
             break
         if not skip:
             text(page[at : m.start()])
-        at = m.end()
         if not m[2]:
+            if m[0] == "<!--":
+                close = _COMMENT_END.search(page, m.end())
+                at = close.end() if close else end
+            else:
+                at = page.index(">", m.start()) + 1
             continue
+        ends = _TAG_END.match(page, m.end()) if quoted else None
+        if not ends:
+            # A quote that never closes: from here on a tag ends at the next bracket, so that no tag is read to the end of the page again.
+            quoted = False
+        close = ends.end() if ends else page.find(">", m.end()) + 1
+        if not close:
+            if not skip:
+                text(page[m.start() :])
+            break
+        attributes, at = page[m.end() : close], close
         tag, closing = m[2].lower(), bool(m[1])
         if not closing and tag in _RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = (page.find(">", stop.end()) + 1 or end) if stop else end
             continue
         if skip:
             if tag == skip and tag not in _VOID:
@@ -159,10 +179,10 @@ def lines(page: str) -> list[Line]:
         if tag == "br":
             parts.append(" ")
             continue
-        if _is_outside(tag, m[3][:-1], bool(homes)):
+        if _is_outside(tag, attributes[:-1], bool(homes), by_name):
             if tag in _BLOCKS or tag in _DROPPED:
                 flush()
-            if tag not in _VOID and not m[3].endswith("/>"):
+            if tag not in _VOID and not attributes.endswith("/>"):
                 skip, depth = tag, 1
             continue
         if tag == "a":
@@ -191,19 +211,26 @@ def _regions(weights: list[int]) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """Main text of a page: its blocks in order, parted by an empty line; empty if there is none."""
+    """Main text of a page: its blocks in order, parted by an empty line; empty if there is none.
+
+    A page on which names drop all text is read once more without them, and then
+    only its surges count.
+    """
     found = lines(page or "")
-    if not found:
-        return ""
+    kept = _kept(found) or [x for x in found if x.weight]
+    if not kept and page:
+        kept = _kept(lines(page, by_name=False))
+    return "\n\n".join(x.text for x in kept)
+
+
+def _kept(found: list[Line]) -> list[Line]:
     weights = [max(x.weight, SURGE) if x.marked else x.weight for x in found]
     kept = []
     for a, b in _regions(weights):
         while b > a and not weights[b - 1]:
             b -= 1
         kept += found[a:b]
-    if not kept:
-        kept = [x for x in found if x.weight]
-    return "\n\n".join(x.text for x in kept)
+    return kept
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
