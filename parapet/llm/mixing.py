@@ -66,9 +66,10 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first_finish (virtual finish time in the first epoch), copies (how often the
     mix takes it, 0 to ``most``) and taken (size times copies).
 
-    Null texts have size 0. Null sources are a source of their own, the last.
-    Documents with equal ids come one after the other; equal rows are equal. An
-    empty table gives an empty result; a corpus without words takes nothing.
+    Null texts have size 0. Null sources are a source of their own, the last. Ids
+    may be of any type; a null id has the place of the text 'null'. Documents with
+    equal ids come one after the other; equal rows are equal. An empty table gives
+    an empty result; a corpus without words takes nothing.
     """
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -98,7 +99,7 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def at(epoch) -> Column:
         return F.least(F.floor(finish(epoch) * (TIME_BUCKETS // 2)), F.lit(TIME_BUCKETS))
 
-    order = lambda epoch: F.struct(finish(epoch).alias("finish"), F.coalesce("source", F.lit("\U0010ffff")).alias("source"), F.col("turn").alias("turn"), F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("size").alias("size"))
+    order = lambda epoch: F.struct(finish(epoch).alias("finish"), F.coalesce("source", F.lit("\U0010ffff")).alias("source"), F.col("turn").alias("turn"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("size").alias("size"))
     offers = queued.where("size > 0").select(
         "size", F.explode(F.array(*[F.struct(at(e).alias("slot"), order(e).alias("order")) for e in range(most)])).alias("o")
     ).select("size", "o.slot", "o.order")
