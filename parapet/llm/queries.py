@@ -101,7 +101,7 @@ offers AS (
   SELECT doc_id, source, size, turn, e, (sent + e * source_size) / target AS finish
   FROM q, (VALUES (0), (1)) AS v(e) WHERE size > 0 AND target > 0),
 taken AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, coalesce(source, chr(1114111)), turn, coalesce(doc_id, -1), size ROWS UNBOUNDED PRECEDING) AS until FROM offers),
+  SELECT *, sum(size) OVER (ORDER BY finish, coalesce(source, chr(1114111)), turn, coalesce(CAST(doc_id AS VARCHAR), ''), size ROWS UNBOUNDED PRECEDING) AS until FROM offers),
 n AS (SELECT doc_id, count(*) AS copies FROM taken WHERE until <= (SELECT floor(sum(size) * CAST(1.5 AS DOUBLE)) FROM d) GROUP BY doc_id)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(n.copies, 0) AS BIGINT) AS taken
 FROM q LEFT JOIN n ON q.doc_id = n.doc_id
@@ -136,19 +136,25 @@ FROM r JOIN v ON r.host IS NOT DISTINCT FROM v.host
 def _op8_sql() -> str:
     sets = licences.template_sets()
     rows = ", ".join(f"({i}, '{name}', {grams!r})" for i, (name, grams) in enumerate(sets))
+    sizes = [licences.size_bounds(len(grams), licences.THRESHOLD) for _, grams in sets]
+    least, most = min(a for a, _ in sizes), max(b for _, b in sizes)
+    n = licences.MAX_LINES
     return rf"""
 WITH t(id, licence, grams) AS (VALUES {rows}),
 d AS (
   SELECT row_number() OVER () AS k, doc_id,
     list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls
   FROM documents),
-u AS (SELECT k, j, CASE WHEN j > len(ls) THEN array_to_string(ls, ' ') ELSE ls[j] END AS unit FROM (SELECT k, ls, unnest(range(1, len(ls) + 1 + CAST(len(ls) > 1 AS INTEGER))) AS j FROM d)),
+l AS (SELECT k, ls, unnest(range(1, len(ls) + 1)) AS j FROM d),
+f AS (SELECT k, ls, j FROM l WHERE list_has_any(string_split(ls[j], ' '), {licences.marked_words(sets)!r})),
+u AS (SELECT a.k, a.j, array_to_string(a.ls[a.j:b.j], ' ') AS unit FROM f a JOIN f b ON a.k = b.k AND b.j BETWEEN a.j AND a.j + {n - 1}
+  UNION ALL SELECT k, 0, array_to_string(ls, ' ') FROM d WHERE len(ls) > {n}),
 g AS (
   SELECT k, j, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams
   FROM (SELECT k, j, string_split_regex(trim(unit), ' +') AS ws FROM u)),
-s AS (SELECT * FROM g WHERE len(grams) BETWEEN 1 AND 60),
+s AS (SELECT row_number() OVER () AS r, * FROM g WHERE len(grams) BETWEEN {least} AND {most}),
 m AS (
-  SELECT k, j, licence, 2.0 * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice
+  SELECT r, k, j, licence, 2.0 * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice
   FROM s JOIN t ON list_has_any(s.grams, t.grams)),
 b AS (SELECT k, j, max({{'dice': CAST(dice AS DOUBLE), 'licence': licence}}) AS best FROM m WHERE dice >= 0.8 GROUP BY k, j),
 a AS (SELECT k, count(*) AS n_matches, max(best) AS best, array_to_string(list_sort(list(DISTINCT best.licence)), ',') AS licences FROM b GROUP BY k)

@@ -1,8 +1,10 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import html.parser
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -65,6 +67,55 @@ def test_grammar_reads_clauses_not_words():
     assert pattern("It kills weeds. A fine day.") == []
 
 
+def test_grammar_reads_long_clauses_whole_and_once():
+    far = " word" * 400
+    assert pattern(f"you{far} idiot") == pattern(f"idiot{far} you") == ["aimed_insult"]
+    assert pattern(f"he said that{far} idiot") == ["reported"]
+    assert pattern(f"idiot{far}. you{far} idiot") == ["insult", "aimed_insult"]
+    start = time.time()
+    assert pattern("idiot " * 200_000) == ["insult"] and pattern("idiots. " * 20_000) == ["insult"] * 20_000
+    assert time.time() - start < 10
+
+
+def plain_patterns(text, stems):
+    """The grammar read plainly: every clause, every word, one rule after the other."""
+    words_of = lambda c: re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|,", c)
+    out = []
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        ws = words_of(clause)
+        insult = [any(w.startswith(s) for s in stems) for w in ws]
+        threat = [w in toxicity.THREATS and not i for w, i in zip(ws, insult)]
+        reach, said, marks = 0, False, set()
+        for w, i, t in zip(ws, insult, threat):
+            if i or t:
+                marks.add("n" if reach else "r" if said else "I" if i else "T")
+                reach = max(reach - 1, 0)
+            elif w == ",":
+                reach = 0
+            elif w in toxicity.NEGATIONS:
+                reach = 3
+            elif w in toxicity.REPORTING:
+                said, reach = True, max(reach - 1, 0)
+            else:
+                marks |= {"Y"} if w in toxicity.TARGETS else set()
+                reach = max(reach - 1, 0)
+        aimed = "aimed_" if "Y" in marks else ""
+        if marks - {"Y"}:
+            out.append(aimed + "insult" if "I" in marks else aimed + "threat" if "T" in marks else "reported" if "r" in marks else "negated")
+    return out
+
+
+def test_toxic_patterns_of_whole_texts_against_a_plain_reading(spark, docs):
+    stems = {"idiot": 3.0, "pathet": 2.5, "wor": 2.1, "los": 4.0, "sta": 2.0}
+    found = 0
+    scorer = toxicity.Scorer(stems)
+    for r in docs.select("text").collect():
+        want = plain_patterns(r["text"] or "", stems)
+        assert [p for p, _ in scorer.clauses(r["text"] or "")] == want
+        found += len(want)
+    assert found > 100
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"  # about one label in twenty is wrong there
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -127,15 +178,16 @@ def test_clusters_at_each_distance(spark, distance):
         for _ in range(7):
             fps.add(at)
             at ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6)))
-    assert_clusters(spark, fps, distance)
+    for groups in (None, 2 * distance):
+        assert_clusters(spark, fps, distance, groups)
 
 
-def assert_clusters(spark, fps, distance):
+def assert_clusters(spark, fps, distance, groups=None):
     signed = sorted(simhash._signed(x) for x in fps)
     mask = (1 << 64) - 1
     near = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & mask).bit_count() <= distance]
     want = {n: r for n, r in plain_components(near, signed).items() if any(n in p for p in near)} if len(near) < 1000 else plain_components(near, signed)
-    found = {r["node"]: r["root"] for r in simhash.clusters(spark.createDataFrame([(x,) for x in signed], "fp long"), distance).collect()}
+    found = {r["node"]: r["root"] for r in simhash.clusters(spark.createDataFrame([(x,) for x in signed], "fp long"), distance, groups).collect()}
     if len(near) >= 1000:
         found = {n: n for n in signed} | found
     assert found == want
@@ -215,6 +267,82 @@ def test_extraction_reads_names_as_whole_tokens():
         assert extraction.main_text(f"<div class='{name}'><p>{text}</p></div><p>{text} So it is.</p>") == f"{text} So it is."
 
 
+def test_no_class_word_empties_a_page():
+    text = "The council met again on Monday to speak of roads, and it did not agree on any of them."
+    assert extraction.main_text(f"<body class='modal'><div class='sidebar'><p>{text}</p></div><nav>Home</nav></body>") == text
+    assert extraction.main_text("<div class='menu'><a href='/'>Home</a></div>") == ""
+
+
+def test_broken_markup_is_read_in_one_pass():
+    words = "Some words about the old bridge over the river, and of those who built it long ago."
+    start = time.time()
+    for piece in ("<a ", "<a href='x ", "<a '> ' ", "<a \"> \" ' ", "<!", "</", "<script>", "<script></script ", "<!-- ", "<p class='a b", "<a b='>' c=\"", "<", "&amp", "<div><div class='ad'>"):
+        extraction.main_text(f"<p>{words}</p>" + piece * (1_000_000 // len(piece)))
+    assert time.time() - start < 13 * 2
+    assert extraction.main_text(f"<p>{words}</p><a " * 3) == "\n\n".join([words] * 3) or words in extraction.main_text(f"<p>{words}</p><a " * 3)
+
+
+class PlainPage(html.parser.HTMLParser):
+    """Lines of a well-formed page, read with Python's own parser and a stack of open elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.lines, self.now, self.linked = [], [], "", 0
+
+    def line(self):
+        plain = " ".join(self.now.split())
+        if plain:
+            weight = 0 if self.linked > extraction.LINK_SHARE * len(plain) else len(plain)
+            self.lines.append((plain, max(weight, extraction.SURGE) if any(t in ("article", "main") for t, _ in self.open) else weight))
+        self.now, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in extraction._BLOCKS:
+            self.line()
+        if tag == "br":
+            self.now += " "
+        if tag in extraction._VOID:
+            return
+        inside = any(t in ("article", "main") for t, _ in self.open)
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().split() if tag in extraction._NAMED else []
+        out = tag in extraction._DROPPED | extraction._RAW or tag == "header" and not inside or any(map(extraction._is_name, names)) or any(k == "hidden" or k == "style" and "display:none" in (v or "").replace(" ", "") or k == "aria-hidden" and v == "true" for k, v in attrs)
+        self.open.append((tag, out))
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            if tag in extraction._BLOCKS and not any(o for _, o in self.open):
+                self.line()
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(o for _, o in self.open):
+            self.now += data
+            if any(t == "a" for t, _ in self.open):
+                self.linked += len(data)
+
+
+def test_extraction_against_a_plain_line_block_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in queries.op3_extraction(spark, "/root/testdata/sf0.01").collect()}
+    for p in pages:
+        reader = PlainPage()
+        reader.feed(p["html"] or "")
+        reader.close()
+        reader.line()
+        w = [x[1] for x in reader.lines]
+        kept = []
+        for i in range(len(w)):  # in a run that begins at a surge and has not dived since
+            runs = [s for s in range(i + 1) if sum(w[s : s + extraction.WINDOW]) >= extraction.SURGE and w[s] and all(sum(w[k : k + extraction.WINDOW]) > 0 for k in range(s, i + 1))]
+            if runs:
+                kept.append(i)
+        while kept and not w[kept[-1]]:
+            kept.pop()
+        kept = [i for i in kept if w[i] or any(j in kept and w[j] for j in range(i + 1, i + extraction.WINDOW))]
+        assert got[p["page_id"]] == "\n\n".join(reader.lines[i][0] for i in kept), p["url"]
+    assert len(got) == len(pages)
+
+
 def test_extraction_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "kept"), (1, "u", None, "kept"), (None, None, "<article>" + "word " * 50_000 + "</article>", None)], "page_id long, url string, html string, text_ string")
     rows = extraction.extract(pages).orderBy("page_id").collect()
@@ -243,7 +371,99 @@ def test_base_scores_against_plain_counts(spark, docs):
 
 def test_language_model_beats_the_base_on_held_out_documents(spark):
     sums = queries.op4_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
-    assert sums["score"] > sums["base"]
+    assert sums["score"] > 0.98 * sums["base"]  # two in a hundred better at least
+
+
+def tiny_model(seed=1):
+    import numpy as np
+
+    from parapet.llm import attention
+
+    rng = np.random.default_rng(seed)
+    streams = [rng.integers(0, 40, n) for n in (1, 5, 31, 32, 33, 55, 56, 57, 200)]
+    w = attention.initial(41, np.bincount(np.concatenate(streams), minlength=41).astype(float), streams, seed)
+    return attention, np, w, streams
+
+
+def test_windows_score_each_id_once_in_order():
+    attention, np, _, streams = tiny_model()
+    inputs, targets, scored = attention.windows(streams, 40)
+    assert targets[scored].tolist() == np.concatenate(streams).tolist()
+    before = np.concatenate([np.concatenate(([40], x[:-1])) for x in streams])
+    assert inputs[scored].tolist() == before.tolist()
+    place = np.tile(np.arange(attention.WINDOW), (len(inputs), 1))
+    later = inputs[:, 0] != 40
+    assert (place[scored & later[:, None]] >= attention.OVERLAP).all()
+
+
+def test_scores_against_plain_masked_attention():
+    """Log-probabilities written as loops over one window at a time; the fast form and the plain form agree with them."""
+    attention, np, w, streams = tiny_model()
+    inputs, targets, scored = attention.windows(streams, 40)
+    want = []
+    for row, goal, use in zip(inputs, targets, scored):
+        x = w["embed"][row] + w["place"]
+        q, k, v = (x @ w["qkv"][:, i * attention.DIM : (i + 1) * attention.DIM] for i in range(3))
+        for i in np.flatnonzero(use):
+            a = np.exp((k[: i + 1] @ q[i]) / np.sqrt(attention.DIM))
+            h = x[i] + (a / a.sum()) @ v[: i + 1] @ w["out"]
+            y = h + np.maximum(h @ w["up"] + w["up_bias"], 0) @ w["down"]
+            code, log = int(w.code[goal[i]]), 0.0
+            for level in range(attention.DIGITS):
+                prefix, digit = code >> 4 * (attention.DIGITS - level), code >> 4 * (attention.DIGITS - 1 - level) & 15
+                z = (y * w[f"gate{level}"][prefix] if level else y) @ w[f"head{level}"] + w[f"bias{level}"][prefix]
+                log += z[digit] - np.log(np.exp(z).sum())
+            want.append(log)
+    assert attention.log_probabilities(w, streams, 40) == pytest.approx(want, abs=1e-4)
+    slow = attention._heads(w, attention._block(w, inputs)[scored.reshape(-1)], w.code[targets[scored]])
+    assert slow == pytest.approx(want, abs=1e-4)
+
+
+def test_gradients_against_finite_differences():
+    attention, np, w, streams = tiny_model()
+    batch = attention.windows(streams, 40)
+    w = attention.Weights({k: v.astype(np.float64) for k, v in w.arrays.items()}, w.code)
+    _, grads = attention.gradients(w, *batch)
+    rng = np.random.default_rng(3)
+    for name, g in grads.items():
+        full = np.zeros_like(w.arrays[name])
+        if isinstance(g, tuple):
+            full[g[0]] = g[1]
+        else:
+            full = g
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in w.arrays[name].shape)
+            was, ends = w.arrays[name][at], []
+            for step in (1e-5, -1e-5):
+                w.arrays[name][at] = was + step
+                ends.append(attention.gradients(w, *batch)[0])
+            w.arrays[name][at] = was
+            assert full[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=2e-6, rel=2e-3), name
+
+
+def test_weights_as_rows_and_refining_lowers_the_loss():
+    attention, np, w, streams = tiny_model()
+    back = attention.from_rows(w, attention.as_rows(w))
+    assert all(np.array_equal(back.arrays[k], v) for k, v in w.arrays.items())
+    refiner = attention.Refiner(w, 40, rate=1e-2)
+    for _ in range(30):
+        refiner.feed(streams)
+    rows, n = refiner.rows()
+    assert len(rows) == len(n) == len(attention.as_rows(w)) and refiner.windows == 30 * len(attention.windows(streams, 40)[0])
+    after = attention.from_rows(w, rows)
+    assert attention.log_probabilities(after, streams, 40).sum() > attention.log_probabilities(w, streams, 40).sum()
+
+
+def test_every_document_counts_for_the_score(spark):
+    """A word far outside the broadcast ones is likelier by the model when it stands in twice as many training documents."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 500}" for j in range(40)), "a") for i in range(200)]
+    rows += [(1000 + i, f"rarity{i % 10} stands here", "a") for i in range(10 + 5)]
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text")
+    model = lm.fit(docs, F.lit(True), queries._tokenizer("byte_bpe_50k.tiktoken"), sample_docs=60, steps=20, rounds=1, hot_words=20)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, model).collect()}
+    own = {r["doc_id"]: r["score"] for r in lm.score(docs, lm.Model(**{**model.__dict__, "hot": lm._most_frequent(model.counts, model.n_tokens, 10_000)})).collect()}
+    assert got == pytest.approx(own, rel=1e-6)  # the bound on the broadcast changes no score
+    assert min(got[1000 + i] for i in range(5)) > max(got[1000 + i] for i in range(5, 10)) - 3
 
 
 def test_language_model_of_odd_rows(spark, odd, empty):
@@ -266,6 +486,17 @@ def test_mix_of_odd_rows(spark, odd, empty):
     assert mixed.columns == odd.columns and mixed.where("doc_id = 2").count() == 1
 
 
+def test_mix_of_ids_of_any_type(spark):
+    rows = [(i % 7, f"{'word ' * (i % 5 + 1)}{i}", f"s{i % 3}") for i in range(60)] + [(None, "a b c", "s0")]
+    table = spark.createDataFrame(rows, "k int, text string, source string")
+    plain = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.fair_mix(table.withColumnRenamed("k", "doc_id")).collect()}
+    for kind in ("string", "decimal(12,2)", "double"):
+        got = mixing.fair_mix(table.select(F.col("k").cast(kind).alias("doc_id"), "text", "source"))
+        assert got.count() == len(rows) and got.schema["doc_id"].dataType == table.select(F.col("k").cast(kind)).schema[0].dataType
+        assert all(r["taken"] == r["copies"] * r["size"] for r in got.collect())
+    assert sum(plain.values()) > 0
+
+
 def test_sources_come_near_their_targets(spark):
     rows = mixing.fair_mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"))
     assert all(abs(r["taken"] - r["target"]) <= 2 * r["most"] + 0.02 * r["target"] for r in rows.collect())
@@ -282,6 +513,30 @@ def test_shards_have_gapless_slots_and_grow_into_the_new_shard_alone(spark, docs
     assert sharding.shard_documents(odd, tree).count() == 8 and sharding.shard_documents(empty, tree).count() == 0
 
 
+def test_shards_against_a_plain_hash_tree(spark):
+    from dataclasses import replace
+
+    def draw(key, path, weight):
+        # Spark's xxhash64 of two strings: the hash of the first seeds that of the second.
+        h = xxhash.xxh64_intdigest(path.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+        return -math.log(((h & (1 << 52) - 1) + 0.5) / (1 << 52)) / weight
+
+    tree = [replace(x, weight=1.0 + x.shard % 3) for x in sharding.topology(11)]
+    keys = [str(i * 7919) for i in range(500)] + ["null", "", "ü"]
+    want = []
+    for key in keys:
+        left = tree
+        for level in (lambda x: x.region, lambda x: f"{x.region}/{x.rack}", lambda x: f"{x.region}/{x.rack}/{x.shard}"):
+            weights = Counter()
+            for x in left:
+                weights[level(x)] += x.weight
+            best = min(weights, key=lambda p: (draw(key, p, weights[p]), p)) if len(weights) > 1 else next(iter(weights))
+            left = [x for x in left if level(x) == best]
+        want.append(left[0].shard)
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", sharding.place(F.col("k"), tree).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == dict(zip(keys, want, strict=True))
+
+
 def test_a_changed_weight_moves_rows_in_its_own_path_only(spark):
     from dataclasses import replace
 
@@ -303,6 +558,67 @@ def test_quality_and_licences_of_odd_rows(spark, odd, empty):
     assert licences.scan(odd).where("licence is not null").count() == 0
 
 
+def test_licences_wrapped_embedded_and_in_full(spark):
+    import textwrap
+
+    from parapet.llm import licence_texts
+
+    texts = {n: " ".join(t.split()) for n, t in licence_texts.FULL_TEXTS}
+    before, after = "This file reads the bridge tables.\nIt was written in a hurry.\n\n", "\nimport os\nprint(os.name)\n"
+    rows, want = [], []
+    for i, (name, text) in enumerate(texts.items()):
+        wrapped = "\n".join(" * " + x for x in textwrap.wrap(text, 100))
+        rows += [(3 * i, text, "a"), (3 * i + 1, before + wrapped + after, "a"), (3 * i + 2, before + "Copyright 2020 A. Writer\n" + wrapped, "a")]
+        want += [name] * 3
+    got = {r["doc_id"]: (r["licence"], r["dice"]) for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i][0] for i in range(len(rows))] == want and min(d for _, d in got.values()) >= 0.9
+    cc = "Notes of the walk.\nThis work is licensed\nunder a Creative Commons\nAttribution 4.0 International\nLicense.\nThe end."
+    assert licences.scan(spark.createDataFrame([(1, cc, "a")], DOCS)).first()["licence"] == "CC-BY-4.0"
+
+
+def test_no_match_lacks_all_needed_words():
+    import random
+
+    sets = licences.template_sets()
+    needed = set(licences.needed_words(sets, 0.8))
+    rng = random.Random(2)
+    for name, grams in sets:
+        low, _ = licences.size_bounds(len(grams), 0.8)
+        without = [g for g in grams if needed.isdisjoint(g.split())]
+        assert len(without) < low, name
+        assert all(not needed.isdisjoint(w for g in rng.sample(grams, low) for w in g.split()) for _ in range(20))
+    pattern = re.compile(licences.any_word(sorted(needed)).replace(r"[\p{L}\p{N}]", r"[^\W_]"))
+    assert all(pattern.search(f"x {w}, y") and not pattern.search(f"q{w}") and not pattern.search(f"{w}q") for w in needed)
+
+
+def plain_beta_rates(counts):
+    """Shrunk failure rates of hosts (documents, failures) by moments of the rates, written plainly."""
+    docs = sum(n for n, _ in counts.values())
+    mean = sum(k for _, k in counts.values()) / docs
+    spread = sum(n * (k / n - mean) ** 2 for n, k in counts.values()) / docs
+    extra = spread - mean * (1 - mean) * len(counts) / docs
+    heavy = docs / len(counts)
+    weight = min(heavy, max(1.0, mean * (1 - mean) / extra - 1)) if extra > 0 else heavy
+    return {h: (k + mean * weight) / (n + weight) for h, (n, k) in counts.items()}
+
+
+def test_hosts_bad_small_and_good(spark):
+    good, short = " ".join(f"w{i}" for i in range(60)), "too short"
+    rows = [(i, short if i % 10 else good, "bad") for i in range(400)] + [(1000 + i, short, "small") for i in range(2)] + [(1002, good, "small")]
+    rows += [(2000 + i, short if i % 20 == 0 else good, f"good{i % 4}") for i in range(800)] + [(3000, good, None)]
+    judged = quality.judge(spark.createDataFrame(rows, DOCS)).collect()
+    counts = {}
+    for r in judged:
+        n, k = counts.get(r["host"], (0, 0))
+        counts[r["host"]] = (n + 1, k + (r["n_words"] < 50))
+    rates = plain_beta_rates(counts)
+    assert all(r["rate_short"] == pytest.approx(rates[r["host"]], abs=1e-9) for r in judged)
+    kept = {h: {r["kept"] for r in judged if r["host"] == h and not r["base_failed"]} for h in counts}
+    # Nine in ten of a large host's documents fail: its good ones go too. Two of a small host's three fail: that says less than the limit asks.
+    assert rates["bad"] > quality.MAX_HOST_RATE > rates["small"]
+    assert kept == {"bad": {False}, "small": {True}, None: {True}} | {f"good{i}": {True} for i in range(4)}
+
+
 # -- decontamination -----------------------------------------------------------
 
 
@@ -345,7 +661,6 @@ def plain_ids(text):
 
     if not hasattr(plain_ids, "tokenizer"):
         plain_ids.tokenizer = Tokenizer.from_file(tokenizer())
-        plain_ids.tokenizer.encode_special_tokens = True
     return [*plain_ids.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -365,26 +680,70 @@ def test_store_round_trip(spark, docs, tmp_path):
 
 
 def test_encoder_agrees_with_the_tokenizer():
-    cases = ["", "a", " a", "a ", "a  b", "a\nb c", "x.\ny, z.", "don't stop", "Ünïcode — dash space", "tab\tin", "a\n\nb", "3.14, 1,000.", "<|endoftext|> x", "\x00odd", "日本 語.", LONG, "a.b. c,. .", "e.\ne. é. 'll 'll\n's"]
+    cases = ["", "a", " a", "a ", "a  b", "a\nb c", "x.\ny, z.", "don't stop", "Ünïcode — dash space", "tab\tin", "a\n\nb", "3.14, 1,000.", "<|endoftext|> x", "a b<|endoftext|>c d", "one\n<|endoftext|>", "<|endoftext|", "\x00odd", "日本 語.", LONG, "a.b. c,. .", "e.\ne. é. 'll 'll\n's"]
     encoder = store.Encoder(tokenizer(), "<u2")
     for _ in range(2):  # first unknown, then remembered
         for text, raw in zip(cases, encoder.encode(cases), strict=True):
             assert [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)] == plain_ids(text)[:-1], text[:40]
 
 
+def test_chunks_end_where_a_plain_rolling_hash_says():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    streams = [rng.integers(0, 300, n).astype("<u2") for n in (0, 1, 127, 128, 129, 5000, 20_000, 40, 3000)] + [np.zeros(9000, "<u2")]
+    mask = (1 << 64) - 1
+    want = []
+    for ids in streams:
+        gear = [int(x) for x in store._gear(ids)]
+        ends, last = [], 0
+        for i in range(len(ids)):
+            h = sum(gear[i - k] << k for k in range(16) if i >= k) & mask
+            size = i + 1 - last
+            if i + 1 < len(ids) and (h >> (64 - store.CUT_BITS) == 0 and size >= store.MIN_CHUNK or size == store.MAX_CHUNK):
+                ends.append(i + 1)
+                last = i + 1
+        want.append([*ends, len(ids)] if len(ids) else [])
+    assert store.chunk_ends_of(np.concatenate(streams), list(map(len, streams))) == want
+    assert [store.chunk_ends(x) for x in streams] == want
+
+
 def test_store_of_odd_rows_and_damage(spark, odd, empty, tmp_path):
     rows = store.store_documents(odd.select("doc_id", "text"), tokenizer(), str(tmp_path / "odd")).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 4, 5, 5, 6] and [rows[i]["n_tokens"] for i in (1, 2)] == [1, 1]
     assert store.store_documents(empty.select("doc_id", "text"), tokenizer(), str(tmp_path / "none")).count() == 0
-    chunks = spark.read.parquet(str(tmp_path / "odd/chunks"))
-    spoilt = chunks.withColumn("payload", F.when(F.col("payload").isNotNull(), F.concat("payload", F.lit(b"\x00\x00"))))
-    spoilt.write.parquet(str(tmp_path / "bad/chunks"))
+    stored = spark.read.parquet(str(tmp_path / "odd/rows"))
+    chunks = stored.where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("key").distinct().count() == chunks.where("payload is not null").count()
+    stored.withColumn("payload", F.concat("payload", F.lit(b"\x00\x00"))).write.parquet(str(tmp_path / "bad/rows"))
     for part in ("recipes", "manifest"):
         spark.read.parquet(str(tmp_path / "odd" / part)).write.parquet(str(tmp_path / "bad" / part))
     with pytest.raises(Exception, match="is damaged"):
         store.read_digest(spark, str(tmp_path / "bad"), tokenizer()).collect()
 
 
+def test_store_takes_ids_of_any_type_and_special_tokens(spark, tmp_path):
+    rows = [("<|endoftext|> x", 1), ("a b<|endoftext|>c", 2), (None, None), (" ".join(f"w{i}" for i in range(4000)), 2)]
+    for n, kind in enumerate(("decimal(20,0)", "date", "string", "double", "smallint")):
+        table = spark.createDataFrame(rows, "text string, k int").select(F.when(F.lit(kind == "date"), F.date_add(F.lit("2020-01-01").cast("date"), "k").cast("string")).otherwise(F.col("k").cast("string")).cast(kind).alias("doc_id"), "text")
+        got = store.store_documents(table, tokenizer(), str(tmp_path / str(n)))
+        assert got.schema["doc_id"].dataType == table.schema["doc_id"].dataType
+        assert sorted(r["n_tokens"] for r in got.collect()) == sorted(len(plain_ids(t)) for t, _ in rows)
+    whole = {tuple(r["ids"]) for r in store.reconstruct(spark, str(tmp_path / "2"), tokenizer()).collect()}
+    assert whole == {tuple(plain_ids(t)) for t, _ in rows}
+
+
+def test_a_missing_chunk_is_noticed(spark, docs, tmp_path):
+    store.write(docs.select("doc_id", "text"), str(tmp_path / "s"), tokenizer())
+    stored = spark.read.parquet(str(tmp_path / "s/rows"))
+    least = stored.where("kind = 'chunk'").agg(F.min("key")).first()[0]
+    stored.where((F.col("kind") == "recipe") | (F.col("key") != least)).write.parquet(str(tmp_path / "t/rows"))
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(str(tmp_path / "s" / part)).write.parquet(str(tmp_path / "t" / part))
+    with pytest.raises(Exception, match="are not those of its recipe"):
+        store.read_digest(spark, str(tmp_path / "t"), tokenizer()).collect()
+
+
 # -- pipeline ------------------------------------------------------------------
 
 
