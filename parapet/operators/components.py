@@ -29,14 +29,15 @@ def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", into: Scratch | None = None) -> DataFrame:
     """Rows (node, root) for every node of an edge; root is its component's smallest node.
 
     ``edges`` has columns u and v of one orderable type; loops and repeated edges
     are ignored, nulls must not occur, and a table without edges gives no rows.
     The rounds grow with the logarithm of the longest chain. Each is written to the
     shared folder, so a lost executor repeats one round at most, and the tables of
-    older rounds are deleted.
+    older rounds are deleted. The result is a written table, one of ``into`` if
+    that is given.
 
     A node with very many edges is no hot group: the minimum per node is aggregated
     before its shuffle and written, and the join that brings it back to the edges
@@ -55,6 +56,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         state = after
     out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    found = write_to(out, new_path(spark, name))
+    found = into.table(out) if into else write_to(out, new_path(spark, name))
     scratch.drop()
     return found

@@ -22,3 +22,20 @@ def augment(cells: DataFrame, chip: str, size: int, seed: int, row: str = "r", c
     new_r = F.when(F.floor(k / 8) % 2 == 1, last - turned_r).otherwise(turned_r)
     new_c = F.when(F.floor(k / 4) % 2 == 1, last - turned_c).otherwise(turned_c)
     return cells.withColumns({row: new_r.cast("int"), column: new_c.cast("int")})
+
+
+def burn(boxes: DataFrame, value: str, order: str, all_touched: bool = False) -> DataFrame:
+    """(r, c, burned): the value of the last rectangle by ``order`` on each unit cell.
+
+    A rectangle takes the cells whose centre it holds, its lower borders included;
+    with ``all_touched`` all cells that it shares some area with.
+    """
+    if all_touched:
+        first, last = F.floor, lambda hi: F.ceil(hi) - 1
+    else:
+        first, last = lambda lo: F.ceil(lo - 0.5), lambda hi: F.ceil(hi - 0.5) - 1
+    out = boxes
+    for name, lo, hi in (("c", "xmin", "xmax"), ("r", "ymin", "ymax")):
+        a, b = first(F.col(lo)).cast("bigint"), last(F.col(hi)).cast("bigint")
+        out = out.where(a <= b).withColumn(name, F.explode(F.sequence(a, b)))
+    return out.groupBy("r", "c").agg(F.max_by(value, order).alias("burned"))

@@ -122,16 +122,38 @@ def tile_inventory(points):
 , x AS (SELECT *, unnest(range(CAST(xmin AS BIGINT), CAST(xmax AS BIGINT))) AS c FROM buildings), y AS (SELECT *, unnest(range(CAST(ymin AS BIGINT), CAST(ymax AS BIGINT))) AS r FROM x)
 SELECT r, c, arg_max(size, id) AS burned FROM y GROUP BY ALL""")
 def rasterize_cells(buildings):
-    steps = lambda lo, hi: F.explode(F.sequence(F.col(lo).cast("bigint"), F.col(hi).cast("bigint") - 1))
-    cells = buildings.withColumn("c", steps("xmin", "xmax")).withColumn("r", steps("ymin", "ymax"))
-    return cells.groupBy("r", "c").agg(F.max_by("size", "id").alias("burned"))
+    return raster.burn(buildings, "size", "id")
+
+
+def _burn_sql(first: str, last: str) -> str:
+    side = lambda lo, hi: f"unnest(range(CAST({first.format(lo)} AS BIGINT), CAST({last.format(hi)} AS BIGINT)))"
+    return f"""
+, b AS (SELECT id, size, xmin / 3 AS xmin, xmax / 3 AS xmax, ymin / 3 AS ymin, ymax / 3 AS ymax FROM buildings),
+x AS (SELECT *, {side("xmin", "xmax")} AS c FROM b), y AS (SELECT id, size, c, {side("ymin", "ymax")} AS r FROM x)
+SELECT r, c, arg_max(size, id) AS burned FROM y GROUP BY ALL"""
+
+
+def _thirds(buildings):
+    return buildings.select("id", "size", *[(F.col(c) / 3).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+
+
+@query("rasterize_centres", "buildings", sql=_burn_sql("ceil({} - 0.5)", "ceil({} - 0.5)"))
+def rasterize_centres(buildings):
+    """Footprints on a grid three times as coarse: cells whose centre is inside."""
+    return raster.burn(_thirds(buildings), "size", "id")
+
+
+@query("rasterize_touched", "buildings", sql=_burn_sql("floor({})", "ceil({})"))
+def rasterize_touched(buildings):
+    """The same with every cell that a footprint touches."""
+    return raster.burn(_thirds(buildings), "size", "id", all_touched=True)
 
 
 @query("rect_union_area", "buildings", sql="""
 , x AS (SELECT *, unnest(range(CAST(xmin AS BIGINT), CAST(xmax AS BIGINT))) AS c FROM buildings), y AS (SELECT brand, c, unnest(range(CAST(ymin AS BIGINT), CAST(ymax AS BIGINT))) AS r FROM x)
 SELECT brand, CAST(count(DISTINCT (r, c)) AS BIGINT) AS area FROM y GROUP BY brand""")
 def rect_union_area(buildings):
-    return spatial.covered_area(buildings, ["brand"])
+    return spatial.covered_area(buildings, ["brand"]).select("brand", F.col("area").cast("bigint").alias("area"))
 
 
 PAIRS = f", p AS (SELECT a.id AS a_id, b.id AS b_id, a.xmin AS a1, a.xmax AS a2, a.ymin AS a3, a.ymax AS a4, b.xmin AS b1, b.xmax AS b2, b.ymin AS b3, b.ymax AS b4 FROM buildings a JOIN buildings b ON {MEET})"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parapet.operators import components, guards, ordering, raster, selection, splitting
+from parapet.operators import components, guards, ordering, raster, selection, spatial, splitting
 from parapet.streaming import windows
 
 
@@ -202,3 +202,22 @@ def test_polygon_with_a_hole(spark):
     rings = F.array(p((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)), p((3, 3), (7, 3), (7, 7), (3, 7), (3, 3)))
     points = spark.createDataFrame([(1.0, 1.0), (5.0, 5.0), (8.0, 5.0), (11.0, 5.0)], "x double, y double")
     assert [r[0] for r in points.select(geo.inside_polygon(F.col("x"), F.col("y"), rings)).collect()] == [True, False, True, False]
+
+
+def test_area_of_a_union_of_any_rectangles(spark):
+    import random
+
+    rng = random.Random(8)
+    boxes = []
+    for g in "ab":
+        for _ in range(60):
+            x, y = rng.uniform(-20, 40), rng.uniform(-20, 40)
+            boxes.append((g, x, y, x + rng.choice((0.0, rng.uniform(0, 30))), y + rng.uniform(0, 25)))
+    boxes += [("c", 0.5, 0.5, 2.5, 1.0)] * 3
+    want = {}
+    for g in "abc":
+        own = [b[1:] for b in boxes if b[0] == g]
+        xs, ys = (sorted({v for b in own for v in (b[i], b[i + 2])}) for i in (0, 1))
+        want[g] = sum((x2 - x1) * (y2 - y1) for x1, x2 in zip(xs, xs[1:]) for y1, y2 in zip(ys, ys[1:]) if any(b[0] <= x1 and x2 <= b[2] and b[1] <= y1 and y2 <= b[3] for b in own))
+    got = spatial.covered_area(spark.createDataFrame(boxes, "g string, xmin double, ymin double, xmax double, ymax double"), ["g"]).collect()
+    assert {r["g"]: r["area"] for r in got} == pytest.approx(want)
