@@ -151,7 +151,7 @@ u AS (SELECT a.k, a.j, array_to_string(a.ls[a.j:b.j], ' ') AS unit FROM f a JOIN
   UNION ALL SELECT k, 0, array_to_string(ls, ' ') FROM d WHERE len(ls) > {n}),
 g AS (
   SELECT k, j, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams
-  FROM (SELECT k, j, string_split_regex(trim(unit), ' +') AS ws FROM u)),
+  FROM (SELECT k, j, string_split_regex(trim(unit), ' +') AS ws FROM u) WHERE len(ws) <= {licences.word_limit(sets, licences.THRESHOLD)}),
 s AS (SELECT row_number() OVER () AS r, * FROM g WHERE len(grams) BETWEEN {least} AND {most}),
 m AS (
   SELECT r, k, j, licence, 2.0 * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice
