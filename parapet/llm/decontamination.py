@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_slices, texts
+from .common import bounded_batches, in_slices, table, texts
 
 WINDOW = 10
 #: Words of test items in one block, which bounds the broadcast and the automaton.
 BLOCK_WORDS = 50_000
+#: Blocks of items that one pass over the documents holds.
+BLOCKS_A_PASS = 4
 #: Documents with a larger share of hit words are removed, others lose the spans.
 MAX_COVERAGE = 0.5
 #: A document whose longest hit span is longer is removed too.
@@ -193,14 +195,28 @@ def match(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window:
     Spans are hit words, merged, half open, counted in words of the document.
     Items are the ids, as strings, of the items with an occurring window; an item
     with a null id hits but isn't listed. Null texts have no words; null or
-    wordless items have no window. Equal items count once by id.
+    wordless items have no window. Equal items count once by id. Repeated rows of
+    ``docs`` stay rows of their own; an empty table gives an empty result. Columns
+    of ``docs`` must not begin with ``prefix``.
+
+    ``BLOCKS_A_PASS`` blocks of items are read in one pass over the documents; its
+    result is written before the next, so that no task ever holds more automata.
     """
     spark = docs.sparkSession
+    if clash := [c for c in docs.columns if c.startswith(prefix)]:
+        raise ValueError(f"columns {clash} begin with the prefix {prefix}")
     bounded_batches(spark)
     out = docs.withColumns({f"{prefix}words": F.lit(0), f"{prefix}spans": F.array().cast(_SPANS), f"{prefix}items": F.array().cast("array<string>")})
     schema = out.schema
+    sent = []
     for block in item_blocks(items, block_words=block_words):
+        if len(sent) == BLOCKS_A_PASS:
+            out = table(out, "bench-pass")
+            for old_block in sent:
+                old_block.unpersist()
+            sent = []
         held = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in block.collect()])
+        sent.append(held)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             automaton = Automaton([(name, words(text.encode())) for name, text in held.value], window)
@@ -221,7 +237,11 @@ def match(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window:
 
 
 def digest(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_span."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_span.
+
+    Rows with equal or null ids have rows of their own; a null text has no words,
+    no items and the hash of no ids.
+    """
     found = match(docs.select("doc_id", "text"), items, **options)
     length = lambda s: s["end"] - s["start"]
     hit = F.aggregate("__bench_spans", F.lit(0), lambda acc, s: acc + length(s))
@@ -259,22 +279,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
     Hit spans are cut out of the text, and ``length_col`` follows the text. A
     document goes altogether when over ``max_coverage`` of its words are hit or a
-    span has over ``max_span`` words. All other documents stay as they are.
+    span has over ``max_span`` words. All other documents stay as they are, null
+    texts, repeated rows and columns of any name included.
     """
-    found = match(docs, items, text_col=text_col, **options)
-    hit = F.aggregate("__bench_spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
-    longest = F.coalesce(F.array_max(F.transform("__bench_spans", lambda s: s["end"] - s["start"])), F.lit(0))
-    stays = found.where((hit <= max_coverage * F.col("__bench_words")) & (longest <= max_span))
+    prefix = "__bench_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    found = match(docs, items, text_col=text_col, prefix=prefix, **options)
+    hit = F.aggregate(f"{prefix}spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
+    longest = F.coalesce(F.array_max(F.transform(f"{prefix}spans", lambda s: s["end"] - s["start"])), F.lit(0))
+    stays = found.where((hit <= max_coverage * F.col(f"{prefix}words")) & (longest <= max_span))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 200):
             text = batch.column(text_col).to_pylist()
-            spans = batch.column("__bench_spans").to_pylist()
+            spans = batch.column(f"{prefix}spans").to_pylist()
             columns = {text_col: [_without(t, s) if s else t for t, s in zip(text, spans, strict=True)]}
             if length_col in batch.schema.names:
                 old = batch.column(length_col).to_pylist()
                 columns[length_col] = [len(t) if s else n for t, s, n in zip(columns[text_col], spans, old, strict=True)]
-            keep = [i for i, f in enumerate(batch.schema) if not f.name.startswith("__bench_")]
+            keep = [i for i, f in enumerate(batch.schema) if not f.name.startswith(prefix)]
             fields = [batch.schema.field(i) for i in keep]
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else batch.column(i) for i, f in zip(keep, fields, strict=True)], schema=pa.schema(fields))
 

@@ -95,11 +95,11 @@ def shard_documents(docs: DataFrame, tree: list[Shard], after: list[Shard] | Non
         (place(key, after) if after else F.lit(None).cast("int")).alias("grown_shard"),
         F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket"),
     )
-    # One row a shard and bucket: len(tree) * SLOT_BUCKETS at most, so it can be broadcast.
+    # One row a shard and bucket; the rows are dealt by both for the window below anyway.
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     ahead = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return placed.join(F.broadcast(ahead), ["shard", "bucket"]).select(
+    return placed.join(ahead, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("ahead") + F.row_number().over(inside) - 1).cast("long").alias("slot"), "grown_shard"
     )

@@ -132,7 +132,7 @@ def _near(a: str, b: str, distance: int) -> Column:
     return bound & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance)
 
 
-def clusters(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
+def clusters(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None, into: Scratch | None = None) -> DataFrame:
     """(node, root) of each fingerprint that links to another: the least fingerprint that its links reach.
 
     ``distinct`` has one column fp without nulls or repeats. All pairs of a dense
@@ -161,7 +161,7 @@ def clusters(distinct: DataFrame, distance: int = DISTANCE, groups: int | None =
         turn += 1
         if links.isEmpty():
             break
-        roots = _merged(roots, links)
+        roots = _merged(roots, links, scratch)
     # What pivots did not show: members outside the largest cluster of a cell, against all others in it.
     mixed = now.join(pivots.select("cell"), "cell", "left_semi")
     sizes = mixed.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -173,18 +173,18 @@ def clusters(distinct: DataFrame, distance: int = DISTANCE, groups: int | None =
     rest = a.join(b, (a["cell"] == b["cell"]) & once & (F.col("root_a") != F.col("root_b")) & _near("fp_a", "fp_b", distance))
     links = scratch.table(rest.select(F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct())
     if not links.isEmpty():
-        roots = _merged(roots, links)
+        roots = _merged(roots, links, scratch)
+    out = roots.select(F.col("fp").alias("node"), "root") if roots is not None else distinct.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+    out = into.table(out) if into else table(out, "simhash-clusters")
     scratch.drop()
-    if roots is None:
-        return distinct.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))
-    return roots.select(F.col("fp").alias("node"), "root")
+    return out
 
 
-def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, root) after links between roots."""
     if roots is not None:
         links = links.union(roots.select(F.col("fp").alias("u"), F.col("root").alias("v")))
-    return components(links, "simhash-components").select(F.col("node").alias("fp"), "root")
+    return components(links, "simhash-components", into=scratch).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, **options) -> DataFrame:
@@ -196,13 +196,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, **options) -> Dat
     ids and rows are documents of their own; an empty table gives an empty result.
     """
     marked = table(fingerprints(docs, **options), "simhash-fingerprints")
-    groups = table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
-    roots = clusters(groups.select("fp"), distance)
+    scratch = Scratch(docs.sparkSession, "simhash-groups")
+    groups = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = clusters(groups.select("fp"), distance, into=scratch)
     rooted = groups.join(roots, F.col("fp") == F.col("node"))
     # Written, so that the join on a root that very many fingerprints share may be split.
-    ids = table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
+    ids = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     linked = roots.join(ids, "root").select(F.col("node").alias("linked"), "component_id")
     named = table(groups.join(linked, F.col("fp") == F.col("linked"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    scratch.drop()
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
