@@ -44,8 +44,8 @@ END_ID = 2
 CUT_BITS = 9
 MIN_CHUNK, MAX_CHUNK = 128, 2048
 _RANGE = 16
-#: Words whose ids a worker remembers, which bounds its memory to some 200 MB.
-CACHE_WORDS = 700_000
+#: Words whose ids a worker remembers, which bounds its memory to some 150 MB.
+CACHE_WORDS = 500_000
 BATCH_DOCS = 1000
 #: Addresses that a task remembers to have sent, which bounds its memory.
 SENT_ADDRESSES = 300_000
