@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, licences, lm, mixing, quality, sharding, simhash, store, toxicity
+from . import bytebpe, decontamination, extraction, licences, lm, manifest, mixing, quality, search, sharding, simhash, store, toxicity
 from .common import crc_remainder
 
 
@@ -70,7 +70,26 @@ def op10_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_extraction, op4_lm, op5_mixing, op6_sharding, op7_quality, op8_licences, op9_decontamination, op10_store)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(_read(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 3) == 0, manifest.lower_ascii(F.col("text")))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build(_read(spark, sf_dir, "documents"))
+    return index.search(_read(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.digest(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+_ALL = (
+    op1_toxicity, op2_simhash, op3_extraction, op4_lm, op5_mixing, op6_sharding, op7_quality, op8_licences, op9_decontamination, op10_store,
+    op11_manifest, op12_search, op13_bytebpe,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -163,4 +182,51 @@ FROM d LEFT JOIN a USING (k)
 """
 
 
-ORACLE_SQL = {"op5_mixing": OP5_SQL, "op7_quality": OP7_SQL, "op8_licences": _op8_sql()}
+def _op11_sql(levels: int = 8) -> str:
+    """Trees of up to 8 ** ``levels`` leaves a group, and as many groups."""
+    field = lambda v: f"coalesce(strlen({v}) || ':' || {v}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    crc = "list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), 'null'), ''), lambda x: ord(x))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))"
+    step = "list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    parts = [f"""
+WITH crc AS MATERIALIZED (SELECT list({step} ORDER BY i) AS tab FROM range(256) AS r(i)),
+d AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, {leaf("text")} AS leaf,
+    CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')")} ELSE {leaf("text")} END AS claimed FROM documents, crc)),
+a0 AS (SELECT lang AS g, p, n, leaf AS h FROM d)"""]
+
+    def tree(name: str) -> None:
+        for k in range(levels):
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT g, p // 8 AS p, (n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY p)) AS h FROM (SELECT * FROM {name}{k} WHERE n > 1) GROUP BY g, p // 8, (n + 7) // 8)")
+            parts.append(f"{name}step{k} AS MATERIALIZED (SELECT x.g, x.p, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (y.p < x.p), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (y.p > x.p), '') AS r FROM {name}{k} x JOIN {name}{k} y ON x.g IS NOT DISTINCT FROM y.g AND x.p // 8 = y.p // 8 WHERE x.n > 1 GROUP BY x.g, x.p)")
+        parts.append(f"{name}top AS (" + " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+
+    tree("a")
+    parts.append("b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, count(*) OVER () AS n, h, g AS lang FROM atop)")
+    tree("b")
+    parts.append("f0 AS (SELECT d.doc_id, d.lang, d.p, d.leaf, b0.p AS q, b0.h AS subroot, d.claimed AS h, '' AS proof FROM d JOIN b0 ON d.lang IS NOT DISTINCT FROM b0.lang)")
+    for k in range(2 * levels):
+        name, at, place, group = ("a", k, "p", "s.g IS NOT DISTINCT FROM f.lang") if k < levels else ("b", k - levels, "q", "true")
+        parts.append(f"f{k + 1} AS (SELECT f.* REPLACE (CASE WHEN s.p IS NULL THEN f.h ELSE sha256(s.l || f.h || s.r) END AS h, f.proof || coalesce(s.l || s.r, '') AS proof) FROM f{k} f LEFT JOIN {name}step{at} s ON {group} AND s.p = f.{place} // {8**at})")
+    return ",\n".join(parts) + f"""
+SELECT f.doc_id, f.leaf, f.subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified FROM f{2 * levels} f, btop t
+"""
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{manifest.UPPER}', '{manifest.LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ts FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d WHERE len(ts) > 0),
+q AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{manifest.UPPER}', '{manifest.LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS t
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM c) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p GROUP BY t),
+s AS (
+  SELECT q.i, q.item_id, p.r, p.doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), c GROUP BY q.i, q.item_id, p.r, p.doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+ORACLE_SQL = {"op5_mixing": OP5_SQL, "op7_quality": OP7_SQL, "op8_licences": _op8_sql(), "op11_manifest": _op11_sql(), "op12_search": OP12_SQL}
