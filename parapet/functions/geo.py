@@ -99,3 +99,49 @@ def shared_boundary(a: str, b: str) -> Column:
     run = lambda lo, hi: F.greatest(F.lit(0.0), F.least(F.col(a + hi), F.col(b + hi)) - F.greatest(F.col(a + lo), F.col(b + lo)))
     touch = lambda lo, hi: (F.col(a + hi) == F.col(b + lo)) | (F.col(b + hi) == F.col(a + lo))
     return F.when(touch("xmin", "xmax"), run("ymin", "ymax")).when(touch("ymin", "ymax"), run("xmin", "xmax")).otherwise(0.0)
+
+
+def clip(ring: Column, convex: Column) -> Column:
+    """The part of a closed ring inside a closed convex ring, as an open ring: cut by the half-plane of each edge in turn.
+
+    The cut ring may run along an edge and back where a hollow ring falls into
+    parts; its area is right. Nothing is left of rings that only touch.
+    """
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    corners = F.slice(convex, 1, F.size(convex) - 1)
+    left_turning = F.when(_turned_area(corners) < 0, F.reverse(convex)).otherwise(convex)
+    sides = F.zip_with(F.slice(left_turning, 1, F.size(convex) - 1), F.slice(left_turning, 2, F.size(convex) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def kept(p: Column, q: Column) -> Column:
+        """What stays of the stretch from p to before q; d is the depth inside the half-plane."""
+        along = p["d"] / (p["d"] - q["d"])
+        on_side = F.array(point(p["x"] + along * (q["x"] - p["x"]), p["y"] + along * (q["y"] - p["y"])))
+        own = F.array(point(p["x"], p["y"]))
+        return F.when((p["d"] >= 0) & (q["d"] >= 0), own).when(p["d"] >= 0, F.concat(own, on_side)).when(q["d"] >= 0, on_side).otherwise(F.slice(own, 1, 0))
+
+    def cut(left: Column, side: Column) -> Column:
+        a, b = side["a"], side["b"]
+        depth = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+        deep = F.array(F.transform(left, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), depth(p).alias("d"))))
+        stretches = F.flatten(F.transform(deep, lambda ps: F.flatten(F.zip_with(ps, F.concat(F.slice(ps, 2, F.size(ps)), F.slice(ps, 1, 1)), kept))))
+        return F.when(F.size(left) > 0, stretches).otherwise(left)
+
+    return F.aggregate(sides, F.slice(ring, 1, F.size(ring) - 1), cut)
+
+
+def _turned_area(ring: Column) -> Column:
+    """Twice the area of an open ring, negative if it turns right; from differences, for small shapes far from the origin."""
+    o = F.get(ring, F.lit(0))
+    pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+
+
+def open_area(ring: Column) -> Column:
+    """Area of an open ring of struct(x, y); 0 for fewer than three points."""
+    return F.when(F.size(ring) > 2, F.abs(_turned_area(ring)) / 2).when(ring.isNotNull(), 0.0)
+
+
+def coverage_percent(ring: Column, area: Column) -> Column:
+    """Per cent of a convex closed ring ``area`` that a closed ring covers, from 0 to 100; null where ``area`` has none."""
+    whole = open_area(F.slice(area, 1, F.size(area) - 1))
+    return F.when(whole > 0, F.least(F.lit(100.0), 100 * open_area(clip(ring, area)) / whole))
