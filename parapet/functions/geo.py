@@ -143,5 +143,5 @@ def open_area(ring: Column) -> Column:
 
 def coverage_percent(ring: Column, area: Column) -> Column:
     """Per cent of a convex closed ring ``area`` that a closed ring covers, from 0 to 100; null where ``area`` has none."""
-    whole = open_area(F.slice(area, 1, F.size(area) - 1))
-    return F.when(whole > 0, F.least(F.lit(100.0), 100 * open_area(clip(ring, area)) / whole))
+    percent = 100 * open_area(clip(ring, area)) / open_area(F.slice(area, 1, F.size(area) - 1))
+    return F.when(open_area(F.slice(area, 1, F.size(area) - 1)) > 0, F.when(percent > 100, 100.0).otherwise(percent))

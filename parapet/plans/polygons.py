@@ -94,4 +94,5 @@ def coverage_rotated(buildings):
         (middle("a", "x"), side("a", "ymin")), (side("a", "xmax"), middle("a", "y")), (middle("a", "x"), side("a", "ymax")), (side("a", "xmin"), middle("a", "y")), (middle("a", "x"), side("a", "ymin")),
     )])
     box = F.array(*[point(side("b", x), side("b", y)) for x, y in (("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymax"), ("xmax", "ymin"), ("xmin", "ymin"))])
-    return spatial.touching_pairs(buildings).select("a_id", "b_id", F.round(geo.coverage_percent(diamond, box), 7).alias("percent"))
+    shaped = spatial.touching_pairs(buildings).select("a_id", "b_id", diamond.alias("ring"), box.alias("area"))
+    return shaped.select("a_id", "b_id", F.round(geo.coverage_percent(F.col("ring"), F.col("area")), 7).alias("percent"))
