@@ -43,7 +43,7 @@ from ..operators.tables import write_to
 from .common import bounded_batches, drop_table, in_slices, new_path, texts
 
 #: Documents, and postings, of a segment, which bound the memory of a task.
-SEGMENT_DOCS, SEGMENT_POSTINGS = 20_000, 3_000_000
+SEGMENT_DOCS, SEGMENT_POSTINGS = 4_000, 500_000
 #: Terms of the items of one block, which come to the driver and go to all tasks.
 BLOCK_TERMS = 100_000
 #: A search stops early when so many times k documents, or fewer, may be among the k best.
@@ -128,7 +128,7 @@ def _segments(counts: DataFrame, docs: int, terms: int) -> DataFrame:
         from pyspark import TaskContext
 
         number, waiting, rows, postings = TaskContext.get().partitionId() << 32, [], 0, 0
-        for batch in in_slices(batches, 500):
+        for batch in in_slices(batches, min(500, SEGMENT_DOCS)):
             waiting.append(batch)
             rows += batch.num_rows
             postings += len(batch.column("terms").flatten())

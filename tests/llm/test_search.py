@@ -41,9 +41,10 @@ def test_terms():
     assert [t.decode() for t in search.terms_of(text.encode())] == terms(text) == ["abc", "def", "12é", "x", "y", "Ünder", "Àb", "\x85", "日本"]
 
 
-@pytest.mark.parametrize("segment", [7, 20_000])
+@pytest.mark.parametrize("segment", [7, 4_000])
 def test_search_against_sums(spark, monkeypatch, segment):
     """Null, empty and very long texts, repeated rows and ids, ties, hot terms; small and large segments; items in several blocks."""
+    monkeypatch.setattr(search, "SEGMENT_DOCS", segment)
     rng = random.Random(segment)
     words = [f"W{int(rng.paretovariate(0.7)) % 400}" for _ in range(5000)]
     docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 60)))) for i in range(300)]
@@ -51,6 +52,7 @@ def test_search_against_sums(spark, monkeypatch, segment):
     items = [(1, "w1 w2 W1"), (2, None), (3, ""), (4, "unknown terms"), (5, "w1 w2 w3 é É w17"), (None, "w9"), (6, " ".join(words[:300])), (1, "w3"), (7, "w17 w1")]
     index = search.build(spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n": F.lit("x"), "terms": F.lit(1), "segment": F.lit(2)}).repartition(3))
     monkeypatch.setattr(search, "BLOCK_TERMS", 5)
+    assert index.postings().where("term is null").count() >= (40 if segment == 7 else 1)
     got = sorted(map(tuple, index.search(spark.createDataFrame(items, "item_id long, text string"), 50).collect()), key=str)
     assert got == plain_search(docs, items, 50)
     index.remove()
