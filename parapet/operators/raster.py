@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import reasons
+from .components import components
 from .splitting import drawn
 
 
@@ -39,3 +44,119 @@ def burn(boxes: DataFrame, value: str, order: str, all_touched: bool = False) ->
         a, b = first(F.col(lo)).cast("bigint"), last(F.col(hi)).cast("bigint")
         out = out.where(a <= b).withColumn(name, F.explode(F.sequence(a, b)))
     return out.groupBy("r", "c").agg(F.max_by(value, order).alias("burned"))
+
+
+def _before(at: Column, block: int, last: Column) -> Column:
+    """Index of the last part of an axis that ends at ``at``: two parts a block, cut at ``last`` inside it."""
+    return F.when(at % block == 0, 2 * F.floor(at / block) - 1).when(at == last, 2 * F.floor(at / block)).otherwise(2 * F.floor(at / block) + 1).cast("bigint")
+
+
+def window_sums(cells: DataFrame, extents: DataFrame, key: list[str], sums: dict[str, Column], size: int, stride: int, last_window: bool = False) -> DataFrame:
+    """(key, row_off, col_off, sums) of every square window of ``size``, one each ``stride`` rows and columns.
+
+    ``extents`` has (key, height, width) of each raster; cells that have no row
+    count as 0. Windows lie wholly inside, so a raster smaller than ``size`` has
+    none; with ``last_window`` one more row and column of windows ends at the far
+    edges, where the strides don't.
+
+    A summed-area table: cells are added up in blocks whose borders are all that
+    windows can begin and end at, two running sums make prefix sums of the blocks,
+    and a window is four of them. The work is that of the cells once and of the
+    windows four times, however far windows overlap, and a running sum goes over
+    the blocks of one row or column of one raster.
+    """
+    block = math.gcd(size, stride)
+    far = {"row": F.col("height") - size, "col": F.col("width") - size}
+    part = lambda at, last: (2 * F.floor(F.col(at) / block) + F.when((F.col(at) >= last) & (F.floor(F.col(at) / block) == F.floor(last / block)) & (last % block != 0), 1).otherwise(0)).cast("bigint")
+    fits = extents.where((F.col("height") >= size) & (F.col("width") >= size))
+    added = cells.join(fits, key).groupBy(*key, part("r", far["row"]).alias("i"), part("c", far["col"]).alias("j")).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    index = lambda side: F.explode(F.sequence(F.lit(0), 2 * F.ceil(F.col(side) / block).cast("bigint") - 1))
+    table = fits.select(*key, index("height").alias("i"), "width").select(*key, "i", index("width").alias("j")).join(added, [*key, "i", "j"], "left")
+    for along, other in (("i", "j"), ("j", "i")):
+        so_far = Window.partitionBy(*key, along).orderBy(other).rowsBetween(Window.unboundedPreceding, 0)
+        table = table.withColumns({n: F.sum(F.coalesce(n, F.lit(0))).over(so_far) for n in sums})
+    starts = lambda last: F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0).cast("bigint"), last, F.lit(stride).cast("bigint")), F.array(last) if last_window else F.array().cast("array<bigint>"))))
+    windows = fits.withColumn("row_off", starts(far["row"].cast("bigint"))).withColumn("col_off", starts(far["col"].cast("bigint")))
+    corner = lambda down, across, sign: F.struct(_before(F.col("row_off") + down, block, far["row"]).alias("i"), _before(F.col("col_off") + across, block, far["col"]).alias("j"), F.lit(sign).alias("sign"))
+    corners = windows.select(*key, "row_off", "col_off", F.explode(F.array(corner(0, 0, 1), corner(size, size, 1), corner(0, size, -1), corner(size, 0, -1))).alias("p")).select(*key, "row_off", "col_off", "p.*")
+    met = corners.join(table, [*key, "i", "j"], "left")
+    return met.groupBy(*key, "row_off", "col_off").agg(*[F.coalesce(F.sum(F.col("sign") * F.col(n)), F.lit(0)).alias(n) for n in sums])
+
+
+def labelled(cells: DataFrame, key: str, width: int, r: str = "r", c: str = "c") -> DataFrame:
+    """``cells`` with root, the place (r * width + c) of the first cell of its four-neighbour component in its raster."""
+    rows = cells.withColumn("root_id", F.col(key).cast("bigint") * (width * width) + F.col(r) * width + F.col(c))
+    shift = F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
+    moved = rows.withColumn("s", F.explode(shift)).select(key, (F.col(r) + F.col("s.a")).alias(r), (F.col(c) + F.col("s.b")).alias(c), F.col("root_id").alias("u"))
+    edges = moved.join(rows.select(key, r, c, F.col("root_id").alias("v")), [key, r, c]).select("u", "v")
+    roots = components(edges)
+    return rows.join(roots, F.col("root_id") == F.col("node"), "left").withColumn("root", (F.coalesce("root", "root_id") % (width * width)).cast("int")).drop("root_id", "node")
+
+
+#: Edges of the height bins, names of the bins, and the least shares that a chip must have.
+HEIGHT_BINS = ((0, 10), (10, 20), (20, 30), (30, 40), (40, 50), (50, None))
+MIN_SPECTRAL_COVERAGE, MIN_TARGET_COVERAGE, MIN_COMPONENT_CELLS = 0.99, 0.95, 3
+
+
+def inspect_chips(cells: DataFrame, key: str, width: int) -> DataFrame:
+    """One row a chip with building cells: coverages, heights of its components, counts by height bin, and why it is left out.
+
+    ``cells`` has (key, r, c, mask, spectral, target): whether a cell is building,
+    whether its spectral bands are valid, and its height (null if unknown). The
+    height of a component is the median of its cells; components of fewer than
+    three cells don't count.
+    """
+    building = cells.where("mask")
+    known = F.coalesce(F.col("target") > 0, F.lit(False))
+    shares = building.groupBy(key).agg(F.count(F.lit(1)).alias("building_cells"), F.count_if(F.col("spectral")).alias("spectral_cells"), F.count_if(known).alias("target_cells"))
+    heights = labelled(building.where(known), key, width).groupBy(key, "root").agg(F.count(F.lit(1)).alias("cells"), F.median("target").alias("height")).where(F.col("cells") >= MIN_COMPONENT_CELLS)
+    name = lambda low, high: f"bin_{low}_{'plus' if high is None else high}"
+    within = lambda low, high: (F.col("height") >= low) & (F.lit(True) if high is None else F.col("height") < high)
+    bins = [F.count_if(within(*b)).alias(name(*b)) for b in HEIGHT_BINS]
+    profile = heights.groupBy(key).agg(F.count(F.lit(1)).alias("components"), F.median("height").alias("median_height"), F.percentile("height", F.lit(0.9)).alias("p90_height"), F.max("height").alias("max_height"), *bins)
+    met = shares.join(profile, key, "left")
+    count = F.coalesce("components", F.lit(0)).cast("bigint")
+    spectral, target = F.col("spectral_cells") / F.col("building_cells"), F.col("target_cells") / F.col("building_cells")
+    category = F.when(count == 0, "empty").when((F.col("p90_height") >= 30) | (F.col("max_height") >= 50), "highrise").when(F.col("p90_height") >= 10, "midrise").otherwise("lowrise")
+    why = reasons((spectral < MIN_SPECTRAL_COVERAGE, "insufficient_spectral_building_coverage"), (target < MIN_TARGET_COVERAGE, "insufficient_positive_target_coverage"), (count == 0, "no_eligible_building_components"))
+    out = met.select(key, "building_cells", spectral.alias("spectral_coverage"), target.alias("target_coverage"), count.alias("components"), "median_height", "p90_height", "max_height", category.alias("category"), why.alias("excluded"), *[F.coalesce(name(*b), F.lit(0)).cast("bigint").alias(name(*b)) for b in HEIGHT_BINS])
+    return out.withColumn("eligible", F.col("excluded") == "")
+
+
+def fill_gaps(cells: DataFrame, value: str, distance: int) -> DataFrame:
+    """(r, c, filled, was_empty) of a dense grid: empty cells from the nearest valid one of each of four quadrants within ``distance``.
+
+    A quadrant takes in its borders, so the cell's own row and column count on both
+    sides. Of equally near cells the one in the nearer column is taken. The value
+    is the mean weighted by inverse distance; empty cells with no valid one near
+    stay null. Then each filled cell becomes the mean of its 3 x 3 neighbourhood,
+    as far as that has values; given cells stay.
+
+    Valid cells are carried down and up their columns by windows, so an empty cell
+    looks at two cells a column, not at the area around it.
+    """
+    inside = Window.partitionBy("c").orderBy("r")
+    held = F.when(F.col(value).isNotNull(), F.struct(F.col("r").alias("at"), F.col(value).alias("z")))
+    above = F.last(held, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first(held, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    columns = cells.select("r", "c", F.col(value).alias("z"), above.alias("above"), below.alias("below"))
+    empty = columns.where("z IS NULL").select("r", "c", F.explode(F.sequence(F.lit(-distance), F.lit(distance))).alias("dc"))
+    seen = empty.join(columns.select("r", (F.col("c")).alias("from_c"), "above", "below"), (empty["r"] == columns["r"]) & (empty["c"] + empty["dc"] == F.col("from_c"))).drop(columns["r"])
+    d2 = lambda side: F.col("dc") ** 2 + (F.col("r") - F.col(f"{side}.at")) ** 2
+
+    def nearest(side: str, across: Column) -> Column:
+        near = across & (d2(side) <= distance * distance)
+        return F.min(F.when(near, F.struct(d2(side).alias("d2"), F.abs("dc").alias("dc"), F.col(f"{side}.z").alias("z"))))
+
+    left, right = F.col("dc") <= 0, F.col("dc") >= 0
+    quadrants = {"q1": ("above", left), "q2": ("below", left), "q3": ("above", right), "q4": ("below", right)}
+    found = seen.groupBy("r", "c").agg(*[nearest(*q).alias(n) for n, q in quadrants.items()])
+    total = lambda of: reduce(lambda a, b: a + b, [F.coalesce(of(q), F.lit(0.0)) for q in quadrants])
+    weights = total(lambda q: 1 / F.sqrt(F.col(f"{q}.d2")))
+    mean = F.when(weights > 0, total(lambda q: F.col(f"{q}.z") / F.sqrt(F.col(f"{q}.d2"))) / weights)
+    filled = columns.select("r", "c", "z").join(found.select("r", "c", mean.alias("mean")), ["r", "c"], "left")
+    first = filled.select("r", "c", F.coalesce("z", "mean").cast("decimal(18,9)").alias("v"), F.col("z").isNull().alias("was_empty"), F.col("z"))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    spread = first.where("was_empty AND v IS NOT NULL").select("r", "c", around.alias("s")).select("r", "c", (F.col("r") + F.col("s.a")).alias("r2"), (F.col("c") + F.col("s.b")).alias("c2"))
+    smooth = spread.join(first.select(F.col("r").alias("r2"), F.col("c").alias("c2"), "v"), ["r2", "c2"]).groupBy("r", "c").agg((F.sum("v").cast("double") / F.count("v")).alias("smooth"))
+    return first.join(smooth, ["r", "c"], "left").select("r", "c", F.coalesce("z", "smooth").alias("filled"), "was_empty")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -83,11 +84,16 @@ def roof_ring_points(points, buildings):
     return counted.select("id", "erosion", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("roof", "ground")])
 
 
-CELLS = ", g AS (SELECT CAST(floor(y / 8) AS BIGINT) AS r, CAST(floor(x / 8) AS BIGINT) AS c, max(z) FILTER (WHERE class = 6) AS dsm, avg(z) FILTER (WHERE class = 2) AS dtm FROM points GROUP BY ALL)"
+CELLS = ", g AS (SELECT CAST(floor(y / 8) AS BIGINT) AS r, CAST(floor(x / 8) AS BIGINT) AS c, max(z) FILTER (WHERE class = 6) AS dsm, CAST(sum(CAST(z AS DECIMAL(18, 5))) FILTER (WHERE class = 2) AS DOUBLE) / count(*) FILTER (WHERE class = 2) AS dtm FROM points GROUP BY ALL)"
+
+
+def _mean_of_exact(value, where):
+    """The mean of numbers with five decimals, from their exact sum: the same in any order."""
+    return F.sum(F.when(where, F.col(value).cast("decimal(18,5)"))).cast("double") / F.nullif(F.count_if(where), F.lit(0))
 
 
 def _cells(points):
-    return points.groupBy(F.floor(F.col("y") / 8).alias("r"), F.floor(F.col("x") / 8).alias("c")).agg(F.max(F.when(F.col("class") == 6, F.col("z"))).alias("dsm"), F.avg(F.when(F.col("class") == 2, F.col("z"))).alias("dtm"))
+    return points.groupBy(F.floor(F.col("y") / 8).alias("r"), F.floor(F.col("x") / 8).alias("c")).agg(F.max(F.when(F.col("class") == 6, F.col("z"))).alias("dsm"), _mean_of_exact("z", F.col("class") == 2).alias("dtm"))
 
 
 @query("dsm_dtm_cells", "points", sql=f"{CELLS} SELECT r, c, round(dsm, 9) AS dsm, round(dtm, 9) AS dtm FROM g")
@@ -102,13 +108,16 @@ def ndsm_algebra(points):
 
 @query("idw_fill", "points", sql=f"""
 {CELLS}, k AS (SELECT r, c, dtm FROM g WHERE dtm IS NOT NULL), h AS (SELECT r, c FROM g WHERE dtm IS NULL)
-SELECT h.r, h.c, round(sum(k.dtm / ((k.r - h.r) ** 2 + (k.c - h.c) ** 2)) / sum(1 / ((k.r - h.r) ** 2 + (k.c - h.c) ** 2)), 5) AS dtm FROM h JOIN k ON abs(k.r - h.r) <= 2 AND abs(k.c - h.c) <= 2 GROUP BY ALL""")
+SELECT h.r, h.c, round(CAST(sum(CAST(k.dtm AS DECIMAL(18, 9)) * CAST(40 / ((k.r - h.r) ** 2 + (k.c - h.c) ** 2) AS INT)) AS DOUBLE) / sum(CAST(40 / ((k.r - h.r) ** 2 + (k.c - h.c) ** 2) AS INT)), 5) AS dtm FROM h JOIN k ON abs(k.r - h.r) <= 2 AND abs(k.c - h.c) <= 2 GROUP BY ALL""")
 def idw_fill(points):
-    """Empty cells from cells within two steps, weighted by the inverse squared distance: an equi-join on 24 shifts."""
+    """Empty cells from cells within two steps, weighted by the inverse squared distance: an equi-join on 24 shifts.
+
+    Weights are whole fortieths, so the sums are exact and don't depend on their order.
+    """
     g = _cells(points)
     shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3) if a or b])
-    given = g.where("dtm IS NOT NULL").withColumn("s", F.explode(shift)).select((F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), "dtm", (1 / (F.col("s.a") ** 2 + F.col("s.b") ** 2)).alias("w"))
-    return g.where("dtm IS NULL").select("r", "c").join(given, ["r", "c"]).groupBy("r", "c").agg(F.round(F.sum(F.col("dtm") * F.col("w")) / F.sum("w"), 5).alias("dtm"))
+    given = g.where("dtm IS NOT NULL").withColumn("s", F.explode(shift)).select((F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("dtm").cast("decimal(18,9)").alias("dtm"), (40 / (F.col("s.a") ** 2 + F.col("s.b") ** 2)).cast("int").alias("w"))
+    return g.where("dtm IS NULL").select("r", "c").join(given, ["r", "c"]).groupBy("r", "c").agg(F.round(F.sum(F.col("dtm") * F.col("w")).cast("double") / F.sum("w"), 5).alias("dtm"))
 
 
 @query("tile_inventory", "points", sql="SELECT tile, CAST(count(*) AS BIGINT) AS n, min(x) AS west, max(y) AS north, CAST(count(DISTINCT class) AS BIGINT) AS classes, coalesce(count(*) FILTER (WHERE class = 2) > 900, false) AS valid FROM points GROUP BY tile")
@@ -287,16 +296,84 @@ def chip_inspection(pixels):
     return s.select("chip", r6(F.col("share")).alias("share"), "tall", reasons((F.col("share") < 0.4, "empty"), (F.col("top") < 2, "low")).alias("excluded"))
 
 
-@query("pixel_components", "pixels")
+LABELS = """
+, m AS (SELECT chip, r, c, v, r * 8 + c AS k FROM pixels WHERE {where}),
+e AS (SELECT a.chip, a.k AS x, b.k AS y FROM m a JOIN m b ON a.chip = b.chip AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+w AS (WITH RECURSIVE w AS (SELECT chip, k AS node, k AS root FROM m UNION SELECT e.chip, e.y, w.root FROM w JOIN e ON w.chip = e.chip AND w.node = e.x WHERE w.root < e.y) SELECT chip, node, min(root) AS root FROM w GROUP BY chip, node)"""
+
+
+@query("pixel_components", "pixels", sql=LABELS.format(where="v > 1") + " SELECT chip, CAST(root AS INT) AS root, CAST(count(*) AS BIGINT) AS cells FROM w GROUP BY chip, root")
 def pixel_components(pixels):
-    """Four-neighbour components of the cells over 1 in each chip (a test holds them against brute force)."""
-    m = pixels.where("v > 1").select("chip", (F.col("r") * 8 + F.col("c")).alias("k"), "r", "c", (F.col("chip") * 64 + F.col("r") * 8 + F.col("c")).alias("id"))
-    shift = F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
-    moved = m.withColumn("s", F.explode(shift)).select("chip", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("id").alias("a"))
-    edges = moved.join(m.select("chip", "r", "c", F.col("id").alias("b")), ["chip", "r", "c"]).select("a", "b")
-    roots = spatial.components(edges)
-    named = m.join(roots, F.col("id") == F.col("node"), "left").select("chip", (F.coalesce("root", "id") % 64).cast("int").alias("root"))
-    return named.groupBy("chip", "root").agg(F.count(F.lit(1)).alias("cells"))
+    """Four-neighbour components of the cells over 1 in each chip."""
+    return raster.labelled(pixels.where("v > 1"), "chip", 8).groupBy("chip", "root").agg(F.count(F.lit(1)).alias("cells"))
+
+
+_SPECTRAL = "(r * 3 + c + chip) % 61 <> 0"
+_BINS = ", ".join(f"CAST(coalesce(count(*) FILTER (WHERE h >= {low}{'' if high is None else f' AND h < {high}'}), 0) AS BIGINT) AS bin_{low}_{'plus' if high is None else high}" for low, high in raster.HEIGHT_BINS)
+_BIN_NAMES = [f"bin_{low}_{'plus' if high is None else high}" for low, high in raster.HEIGHT_BINS]
+
+
+@query("chip_report", "pixels", sql=LABELS.format(where="mask AND v > 0.05") + f""",
+h AS (SELECT w.chip, root, median(v * 10) AS h FROM w JOIN m ON w.chip = m.chip AND w.node = m.k GROUP BY w.chip, root HAVING count(*) >= 3),
+p AS (SELECT chip, CAST(count(*) AS BIGINT) AS components, median(h) AS median_height, quantile_cont(h, 0.9) AS p90_height, max(h) AS max_height, {_BINS} FROM h GROUP BY chip),
+s AS (SELECT chip, count(*) AS n, count(*) FILTER (WHERE {_SPECTRAL}) / count(*) AS spectral, count(*) FILTER (WHERE v > 0.05) / count(*) AS target FROM pixels WHERE mask GROUP BY chip),
+t AS (SELECT s.*, p.* EXCLUDE (chip), array_to_string(list_filter([CASE WHEN spectral < 0.99 THEN 'insufficient_spectral_building_coverage' END, CASE WHEN target < 0.95 THEN 'insufficient_positive_target_coverage' END, CASE WHEN components IS NULL THEN 'no_eligible_building_components' END], lambda x: x IS NOT NULL), ';') AS excluded
+  FROM s LEFT JOIN p USING (chip))
+SELECT chip, CAST(n AS BIGINT) AS building_cells, round(spectral, 9) AS spectral_coverage, round(target, 9) AS target_coverage, coalesce(components, 0) AS components, round(median_height, 9) AS median_height, round(p90_height, 9) AS p90_height, round(max_height, 9) AS max_height,
+  CASE WHEN components IS NULL THEN 'empty' WHEN p90_height >= 30 OR max_height >= 50 THEN 'highrise' WHEN p90_height >= 10 THEN 'midrise' ELSE 'lowrise' END AS category, excluded, excluded = '' AS eligible, {", ".join(f"coalesce({n}, 0) AS {n}" for n in _BIN_NAMES)} FROM t""")
+def chip_report(pixels):
+    """Coverages, component heights, height bins and reasons for leaving out of each chip with building cells."""
+    cells = pixels.select("chip", "r", "c", "mask", F.expr(_SPECTRAL).alias("spectral"), F.when(F.col("v") > 0.05, F.col("v") * 10).alias("target"))
+    out = raster.inspect_chips(cells, "chip", 8)
+    return out.withColumns({n: F.round(n, digits) for n, digits in (("spectral_coverage", 9), ("target_coverage", 9), ("median_height", 9), ("p90_height", 9), ("max_height", 9))})
+
+
+@query("chip_windows", "pixels", sql="""
+, s AS (SELECT unnest([0, 2, 4, 5]) AS s), w AS (SELECT a.s AS row_off, b.s AS col_off FROM s a, s b),
+n AS (SELECT chip, row_off, col_off, CAST(count(*) FILTER (WHERE v > 1) AS BIGINT) AS positive, CAST(count(*) FILTER (WHERE mask) AS BIGINT) AS building FROM pixels JOIN w ON r >= row_off AND r < row_off + 3 AND c >= col_off AND c < col_off + 3 GROUP BY ALL)
+SELECT chip, CAST(row_off AS BIGINT) AS row_off, CAST(col_off AS BIGINT) AS col_off, positive, building, CAST(row_number() OVER (PARTITION BY chip ORDER BY row_off, col_off) - 1 AS INT) AS index FROM n WHERE positive >= 4 AND building > 0""")
+def chip_windows(pixels):
+    """Windows of 3 x 3 every two cells, the last ones at the edge; those with enough tall and any building cells, numbered."""
+    extents = pixels.select("chip").distinct().select("chip", F.lit(8).alias("height"), F.lit(8).alias("width"))
+    sums = raster.window_sums(pixels.select("chip", "r", "c", "v", "mask"), extents, ["chip"], {"positive": (F.col("v") > 1).cast("bigint"), "building": F.col("mask").cast("bigint")}, 3, 2, last_window=True)
+    kept = sums.where("positive >= 4 AND building > 0")
+    return kept.withColumn("index", F.row_number().over(Window.partitionBy("chip").orderBy("row_off", "col_off")) - 1)
+
+
+@query("scene_windows", "points", sql="""
+, g AS (SELECT tile, CAST(floor(y / 8) AS BIGINT) AS r, CAST(floor(x / 8) AS BIGINT) AS c, class FROM points),
+x AS (SELECT tile, max(r) + 1 AS h, max(c) + 1 AS w FROM g GROUP BY tile),
+a AS (SELECT tile, w, unnest(range(0, h - 16 + 1, 8)) AS row_off FROM x), b AS (SELECT tile, row_off, unnest(range(0, w - 16 + 1, 8)) AS col_off FROM a)
+SELECT b.tile, row_off, col_off, CAST(count(*) FILTER (WHERE class = 6) AS BIGINT) AS roof, CAST(count(*) FILTER (WHERE class = 2) AS BIGINT) AS ground
+FROM b JOIN g ON b.tile = g.tile AND r >= row_off AND r < row_off + 16 AND c >= col_off AND c < col_off + 16 GROUP BY ALL HAVING count(*) FILTER (WHERE class = 6) >= 5""")
+def scene_windows(points):
+    """Overlapping windows of 16 x 16 cells over each tile's points, kept where enough are on roofs."""
+    cells = points.select("tile", F.floor(F.col("y") / 8).alias("r"), F.floor(F.col("x") / 8).alias("c"), "class")
+    extents = cells.groupBy("tile").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
+    sums = {"roof": (F.col("class") == 6).cast("bigint"), "ground": (F.col("class") == 2).cast("bigint")}
+    return raster.window_sums(cells, extents, ["tile"], sums, 16, 8).where("roof >= 5")
+
+
+GAP = 4
+_Q = ", ".join(f"min({{'d2': d2, 'dc': abs(dc), 'z': z}}) FILTER (WHERE {up} AND {side}) AS q{i}" for i, (up, side) in enumerate((("kr <= r", "dc <= 0"), ("kr >= r", "dc <= 0"), ("kr <= r", "dc >= 0"), ("kr >= r", "dc >= 0")), 1))
+_SUM = lambda of: " + ".join(f"coalesce({of.format(q=f'q{i}')}, 0)" for i in range(1, 5))
+
+
+@query("gap_fill", "points", sql=f"""
+{CELLS}, x AS (SELECT max(r) AS h, max(c) AS w FROM g), rs AS (SELECT w, unnest(range(0, h + 1)) AS r FROM x), d AS (SELECT r, unnest(range(0, w + 1)) AS c FROM rs),
+f AS (SELECT d.r, d.c, g.dtm AS z FROM d LEFT JOIN g ON d.r = g.r AND d.c = g.c), k AS (SELECT r AS kr, c AS kc, z FROM f WHERE z IS NOT NULL),
+n AS (SELECT r, c, kr, kc - c AS dc, (kr - r) ** 2 + (kc - c) ** 2 AS d2, k.z FROM f JOIN k ON kr BETWEEN r - {GAP} AND r + {GAP} AND kc BETWEEN c - {GAP} AND c + {GAP} WHERE f.z IS NULL AND (kr - r) ** 2 + (kc - c) ** 2 <= {GAP * GAP}),
+q AS (SELECT r, c, {_Q} FROM n GROUP BY r, c),
+i AS (SELECT f.r, f.c, f.z, CAST(coalesce(f.z, ({_SUM("{q}.z / sqrt({q}.d2)")}) / ({_SUM("1 / sqrt({q}.d2)")})) AS DECIMAL(18, 9)) AS v FROM f LEFT JOIN q ON f.r = q.r AND f.c = q.c),
+s AS (SELECT a.r, a.c, CAST(sum(b.v) AS DOUBLE) / count(b.v) AS z FROM i a JOIN i b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 WHERE a.z IS NULL AND a.v IS NOT NULL GROUP BY a.r, a.c)
+SELECT i.r, i.c, round(coalesce(i.z, s.z), 9) AS dtm, i.z IS NULL AS was_empty FROM i LEFT JOIN s ON i.r = s.r AND i.c = s.c""")
+def gap_fill(points):
+    """The ground grid of all points without gaps of up to four cells."""
+    cells = _cells(points).select("r", "c", "dtm")
+    across = lambda side: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(side)))
+    dense = cells.agg(F.max("r").alias("h"), F.max("c").alias("w")).where("h IS NOT NULL").select(across("h").alias("r"), "w").select("r", across("w").alias("c"))
+    filled = raster.fill_gaps(dense.join(cells, ["r", "c"], "left"), "dtm", GAP)
+    return filled.select("r", "c", F.round("filled", 9).alias("dtm"), "was_empty")
 
 
 @query("order_plan", "manifest", sql="""
