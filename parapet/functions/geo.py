@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +59,6 @@ def geodesic_buffer(lon: Column, lat: Column, metres: Column, every: int = 5) ->
 
 def equal_area(lon: Column, lat: Column) -> Column:
     """struct(x, y) in the cylindrical equal-area projection (EPSG:6933) on the WGS84 ellipsoid."""
-    import math
-
     a, e2 = 6378137.0, 0.00669437999014
     e = math.sqrt(e2)
     k0 = math.cos(math.radians(30)) / math.sqrt(1 - e2 * math.sin(math.radians(30)) ** 2)
@@ -145,3 +145,77 @@ def coverage_percent(ring: Column, area: Column) -> Column:
     """Per cent of a convex closed ring ``area`` that a closed ring covers, from 0 to 100; null where ``area`` has none."""
     percent = 100 * open_area(clip(ring, area)) / open_area(F.slice(area, 1, F.size(area) - 1))
     return F.when(open_area(F.slice(area, 1, F.size(area) - 1)) > 0, F.when(percent > 100, 100.0).otherwise(percent))
+
+
+#: The WGS84 ellipsoid, and the scale and false origin of UTM.
+_A, _F = 6378137.0, 1 / 298.257223563
+_K0, _EAST, _SOUTH = 0.9996, 500_000.0, 10_000_000.0
+
+
+def kruger() -> tuple[float, float, list[float], list[float]]:
+    """Eccentricity, radius of the rectifying sphere, and the forward and inverse coefficients of the series to the sixth order."""
+    n = _F / (2 - _F)
+    powers = lambda first, *terms: sum(t * n ** (first + i) for i, t in enumerate(terms))
+    forward = [
+        powers(1, 1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800),
+        powers(2, 13 / 48, -3 / 5, 557 / 1440, 281 / 630, -1983433 / 1935360),
+        powers(3, 61 / 240, -103 / 140, 15061 / 26880, 167603 / 181440),
+        powers(4, 49561 / 161280, -179 / 168, 6601661 / 7257600),
+        powers(5, 34729 / 80640, -3418889 / 1995840),
+        powers(6, 212378941 / 319334400),
+    ]
+    inverse = [
+        powers(1, 1 / 2, -2 / 3, 37 / 96, -1 / 360, -81 / 512, 96199 / 604800),
+        powers(2, 1 / 48, 1 / 15, -437 / 1440, 46 / 105, -1118711 / 3870720),
+        powers(3, 17 / 480, -37 / 840, -209 / 4480, 5569 / 90720),
+        powers(4, 4397 / 161280, -11 / 504, -830251 / 7257600),
+        powers(5, 4583 / 161280, -108847 / 3991680),
+        powers(6, 20648693 / 638668800),
+    ]
+    return math.sqrt(_F * (2 - _F)), _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256), forward, inverse
+
+
+def _waves(series: list[float], across: Column, along: Column) -> tuple[Column, Column]:
+    """Sums of c sin(2jx) cosh(2jy) and of c cos(2jx) sinh(2jy)."""
+    two = [sum((c * f(2 * j * across) * g(2 * j * along) for j, c in enumerate(series, 1)), F.lit(0.0)) for f, g in ((F.sin, F.cosh), (F.cos, F.sinh))]
+    return two[0], two[1]
+
+
+def utm(lon: Column, lat: Column, epsg: Column) -> Column:
+    """struct(x, y) in metres of a point in the UTM zone ``epsg`` (326zz north, 327zz south), by the Krüger series."""
+    e, radius, forward, _ = kruger()
+    s, away = F.sin(F.radians(lat)), F.radians(lon - (6 * (epsg % 100) - 183))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    flat = F.struct(F.atan2(t, F.cos(away)).alias("xi"), F.asinh(F.sin(away) / F.sqrt(t * t + F.cos(away) ** 2)).alias("eta"))
+
+    def project(p: Column) -> Column:
+        north, east = _waves(forward, p["xi"], p["eta"])
+        return F.struct((_EAST + _K0 * radius * (p["eta"] + east)).alias("x"), (F.when(epsg >= 32700, _SOUTH).otherwise(0.0) + _K0 * radius * (p["xi"] + north)).alias("y"))
+
+    return F.element_at(F.transform(F.array(flat), project), 1)
+
+
+def utm_inverse(x: Column, y: Column, epsg: Column) -> Column:
+    """struct(lon, lat) of a point in the UTM zone ``epsg``."""
+    e, radius, _, inverse = kruger()
+    plane = F.struct(((y - F.when(epsg >= 32700, _SOUTH).otherwise(0.0)) / (_K0 * radius)).alias("xi"), ((x - _EAST) / (_K0 * radius)).alias("eta"))
+
+    def ball(p: Column) -> Column:
+        north, east = _waves(inverse, p["xi"], p["eta"])
+        return F.struct((p["xi"] - north).alias("xi"), (p["eta"] - east).alias("eta"))
+
+    def latitude(goal: Column) -> Column:
+        """The tangent of the latitude whose conformal tangent is ``goal``, by Newton's method."""
+
+        def closer(t: Column, _: Column) -> Column:
+            s = F.sinh(e * F.atanh(e * t / F.sqrt(1 + t * t)))
+            got = t * F.sqrt(1 + s * s) - s * F.sqrt(1 + t * t)
+            return t + (goal - got) / F.sqrt(1 + got * got) * (1 + (1 - e * e) * t * t) / ((1 - e * e) * F.sqrt(1 + t * t))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(5)), goal, closer)
+
+    def place(p: Column) -> Column:
+        goal = F.sin(p["xi"]) / F.sqrt(F.sinh(p["eta"]) ** 2 + F.cos(p["xi"]) ** 2)
+        return F.struct((F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"]))) + 6 * (epsg % 100) - 183).alias("lon"), F.degrees(F.atan(latitude(goal))).alias("lat"))
+
+    return F.element_at(F.transform(F.transform(F.array(plane), ball), place), 1)

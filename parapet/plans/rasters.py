@@ -201,6 +201,29 @@ def equal_area_project(supplier):
     return xy.select("s_suppkey", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
 
 
+def _utm_sql() -> str:
+    """The forward series in SQL, from its formula: zone of the point, conformal latitude, sphere, waves."""
+    e, radius, forward, _ = geo.kruger()
+    waves = lambda f, g: " + ".join(f"{c:.17e} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(forward, 1))
+    return f"""
+, p AS (SELECT s_suppkey, (s_suppkey * 7 % 3600) / 10.0 - 180 AS lon, CAST((s_suppkey * 13 % 1600) / 10.0 - 80 AS DOUBLE) AS lat FROM supplier),
+z AS (SELECT s_suppkey, CAST(lon AS DOUBLE) AS lon, lat, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(60, floor((lon + 180) / 6) + 1) AS INT) AS epsg FROM p),
+t AS (SELECT *, radians(lon - (6 * (epsg % 100) - 183)) AS away, sinh(atanh(sin(radians(lat))) - {e:.17e} * atanh({e:.17e} * sin(radians(lat)))) AS t FROM z),
+f AS (SELECT *, atan2(t, cos(away)) AS xi, asinh(sin(away) / sqrt(t * t + cos(away) * cos(away))) AS eta FROM t)
+SELECT s_suppkey, epsg, round(500000 + 9.996e-1 * {radius:.17e} * (eta + {waves("cos", "sinh")}), 4) AS x, round(CASE WHEN epsg >= 32700 THEN 10000000 ELSE 0 END + 9.996e-1 * {radius:.17e} * (xi + {waves("sin", "cosh")}), 4) AS y, true AS returns FROM f"""
+
+
+@query("utm_project", "supplier", sql=_utm_sql())
+def utm_project(supplier):
+    """Points over the world in metres of their own UTM zone, and whether they come back to within 1e-9 degrees."""
+    k = F.col("s_suppkey")
+    at = supplier.select("s_suppkey", ((k * 7 % 3600) / 10 - 180).cast("double").alias("lon"), ((k * 13 % 1600) / 10 - 80).cast("double").alias("lat"))
+    zoned = at.withColumn("epsg", geo.utm_zone(F.col("lon"), F.col("lat")))
+    there = zoned.withColumn("p", geo.utm(F.col("lon"), F.col("lat"), F.col("epsg"))).withColumn("back", geo.utm_inverse(F.col("p.x"), F.col("p.y"), F.col("epsg")))
+    near = (F.abs(F.col("back.lon") - F.col("lon")) < 1e-9) & (F.abs(F.col("back.lat") - F.col("lat")) < 1e-9)
+    return there.select("s_suppkey", "epsg", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"), near.alias("returns"))
+
+
 @query("chip_tiling", "points", sql="SELECT CAST(floor(y / 64) AS BIGINT) AS r, CAST(floor(x / 64) AS BIGINT) AS c, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE class = 6) AS BIGINT) AS roof FROM points GROUP BY ALL HAVING count(*) FILTER (WHERE class = 6) >= 5")
 def chip_tiling(points):
     return points.groupBy(F.floor(F.col("y") / 64).alias("r"), F.floor(F.col("x") / 64).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") == 6).alias("roof")).where("roof >= 5")

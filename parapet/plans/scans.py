@@ -115,3 +115,15 @@ def cache_miss_then_merge(manifest):
 
     cache = manifest.select("id", F.when(F.col("state") == "F", "success").otherwise("failed").alias("status"), F.lit("cached").alias("origin"))
     return files.fetch_missing(manifest.select("id"), cache, "id", fetch, "id long, status string, origin string").select("id", "origin", "status")
+
+
+@raw("paged_products", "SELECT page_id % 97 AS source_id, url AS link, max(page_id) AS item_id, CAST(arg_max(strlen(coalesce(html, '')), page_id) AS BIGINT) AS bytes FROM pages GROUP BY page_id % 97, url")
+def paged_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products as a service lists them page by page; of one source and link the record that came last."""
+    from ..sources import paging
+
+    path = new_path(spark, "answers")
+    listed = read(spark, sf_dir, "pages").select((F.col("page_id") % 97).alias("source_id"), F.col("url").alias("link"), F.col("page_id").alias("item_id"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes"))
+    paging.record(listed, path, ["item_id"], 100)
+    paging.register(spark)
+    return paging.latest_items(spark, path, "source_id long, link string, item_id long, bytes long", ["source_id", "link"], 100).select("source_id", "link", "item_id", "bytes")

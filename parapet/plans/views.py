@@ -56,6 +56,9 @@ VIEWS = {
         FROM part""",
     "manifest": """
         SELECT o_orderkey AS id, o_custkey AS city, o_orderstatus AS state, o_orderdate AS placed, o_totalprice AS cost, o_orderpriority AS bundle FROM orders""",
+    "order_events": """
+        SELECT user_id AS order_id, event_id AS number, ts AS moment, CASE event_id % 40 WHEN 0 THEN 'success' WHEN 1 THEN 'partial' WHEN 2 THEN 'failed' WHEN 3 THEN 'cancelled' WHEN 5 THEN 'lost' ELSE CASE WHEN event_id % 2 = 0 THEN 'queued' ELSE 'running' END END AS state
+        FROM events""",
     "chips": """
         SELECT o_orderkey AS chip, o_orderpriority AS city, (o_custkey % 40) * 256 AS row_off, (o_orderkey % 40) * 256 AS col_off, o_totalprice AS worth,
           CAST(o_custkey % 23 AS DOUBLE) AS median_height, CAST(o_custkey % 23 + o_orderkey % 17 AS DOUBLE) AS p90_height, CAST(o_custkey % 23 + o_orderkey % 37 AS DOUBLE) AS max_height, o_orderkey % 9 AS parts

@@ -326,3 +326,41 @@ def tumbling_count(events):
     from ..streaming.windows import hourly
 
     return hourly(events).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("sliding_count", "events", sql="""
+, w AS (SELECT event_type, value, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '2024-01-01') - INTERVAL 15 MINUTE * unnest(range(4)) AS start FROM events)
+SELECT start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""")
+def sliding_count(events):
+    """Counts an hour, each quarter of an hour."""
+    from ..streaming.windows import sliding
+
+    return sliding(events).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("session_count", "events", sql="""
+, p AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT user_id, ts, count(*) FILTER (WHERE before IS NULL OR ts > before + INTERVAL 30 MINUTE) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM p)
+SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""")
+def session_count(events):
+    """Each user's sessions, which end when half an hour passes without an event."""
+    from ..streaming.windows import sessions
+
+    return sessions(events)
+
+
+@query("order_states", "order_events", sql="""
+, t AS (SELECT order_id, min({'moment': moment, 'number': number}) AS stop FROM order_events WHERE state IN ('success', 'partial', 'failed', 'cancelled') GROUP BY order_id),
+m AS (SELECT e.*, t.stop IS NULL OR {'moment': moment, 'number': number} <= t.stop AS taken FROM order_events e LEFT JOIN t USING (order_id)),
+s AS (SELECT order_id, max({'moment': moment, 'number': number, 'state': state}) FILTER (WHERE taken) AS last, count(*) FILTER (WHERE taken) AS accepted, count(*) FILTER (WHERE NOT taken) AS ignored FROM m GROUP BY order_id)
+SELECT order_id, last.state AS state, last.moment AS "at", CAST(accepted AS BIGINT) AS accepted, CAST(ignored AS BIGINT) AS ignored,
+  CASE WHEN last.state = 'success' THEN 'ready' WHEN last.state = 'partial' THEN 'blocked_partial_order' WHEN last.state IN ('queued', 'running') THEN
+    CASE WHEN last.moment + INTERVAL 12 HOUR <= (SELECT max(moment) FROM order_events) THEN 'stuck' ELSE 'not_ready' END ELSE 'not_downloaded_state_' || last.state END AS status FROM s""")
+def order_states(order_events):
+    """What each order's events come to, and whether it can be downloaded."""
+    from datetime import timedelta
+
+    from ..streaming import orders
+
+    newest = order_events.agg(F.max("moment")).first()[0]
+    return orders.order_states(order_events.withColumnRenamed("moment", "at"), newest, timedelta(hours=12))

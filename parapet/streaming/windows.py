@@ -39,3 +39,12 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
         top_n(batch, keys, [F.desc(order)], 1).drop("rank").write.mode("overwrite").parquet(own)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def sliding(events: DataFrame, length: str = "1 hour", step: str = "15 minutes", late: str | None = None) -> DataFrame:
+    """Count and sum of each event type in overlapping windows, one each ``step``."""
+    rows = events.withColumn("at", F.col("ts").cast("timestamp"))
+    if late and events.isStreaming:
+        rows = rows.withWatermark("at", late)
+    grouped = rows.groupBy(F.window("at", length, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
