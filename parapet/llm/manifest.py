@@ -141,16 +141,17 @@ class _Levels:
         lone = self.rows(0).where("n = 1").select("grp", F.col("nodes")[0]["digest"].alias("digest"))
         return reduce(DataFrame.unionByName, last, lone)
 
-    def proofs(self, above: DataFrame) -> DataFrame:
-        """(grp, node, proof) of every leaf; ``above`` holds (grp, tail): the steps from the top of a group's tree on, and what else is to go with its leaves."""
-        more = [c for c in above.columns if c not in ("grp", "tail")]
+    def proofs(self, above: DataFrame | None = None) -> DataFrame:
+        """(grp, node, proof) of every leaf; ``above`` holds (grp, tail): the steps from the top of a group's tree on, none if not given, and what else is to go with its leaves."""
+        more = [c for c in above.columns if c not in ("grp", "tail")] if above else []
         ahead = lambda x, of: F.array_join(F.transform(F.filter("nodes", lambda y: of(y["place"], x["place"])), lambda y: y["digest"]), "")
         step = F.struct(ahead(F.col("node"), lambda a, b: a < b).alias("before"), ahead(F.col("node"), lambda a, b: a > b).alias("after"))
         proof = F.when(F.col("n") > 1, F.concat(F.array(step), F.col("tail"))).otherwise(F.col("tail"))
         tails = None
         for level in reversed(range(self.levels)):
             rows = self.rows(level)
-            met = rows.where(f"n <= {FANOUT}").join(above, "grp")
+            met = rows.where(f"n <= {FANOUT}")
+            met = met.join(above, "grp") if above else met.withColumn("tail", F.array().cast("array<struct<before: string, after: string>>"))
             if tails is not None:
                 met = met.unionByName(rows.where(f"n > {FANOUT}").join(tails, ["grp", "run"]))
             placed = met.select("grp", "n", "nodes", "tail", *more, F.explode("nodes").alias("node")).withColumn("proof", proof)
@@ -166,9 +167,7 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """(grp_key, node, subroot, proof) of every leaf; ``node`` holds its key, its digest and its payload."""
-        spark = self.groups.spark
-        top = spark.range(1).select(F.lit(0).cast("long").alias("grp"), F.array().cast("array<struct<before: string, after: string>>").alias("tail"))
-        above = self.groups.proofs(top).select(F.col("node.place").alias("grp"), F.col("node.grp_key").alias("grp_key"), F.col("node.digest").alias("subroot"), F.col("proof").alias("tail"))
+        above = self.groups.proofs().select(F.col("node.place").alias("grp"), F.col("node.grp_key").alias("grp_key"), F.col("node.digest").alias("subroot"), F.col("proof").alias("tail"))
         return self.leaves.proofs(above).select("grp_key", "node", "subroot", "proof")
 
     def remove(self) -> None:

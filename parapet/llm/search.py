@@ -234,7 +234,8 @@ class Index:
         spark, docs = self.spark, self.docs
         wanted = spark.createDataFrame([(t,) for t in sorted({t for terms in block.values() for t in terms})], "term string")
         postings = self.postings()
-        chosen = write_to(postings.where("term is not null").join(wanted, "term", "left_semi").unionByName(postings.where("term is null")), f"{self.path}/block-{number}")
+        # The terms of a block are bounded, so the index isn't shuffled to meet them.
+        chosen = write_to(postings.where("term is not null").join(F.broadcast(wanted), "term", "left_semi").unionByName(postings.where("term is null")), f"{self.path}/block-{number}")
         weights = chosen.where("term is not null").groupBy("term").agg(weight(docs, F.sum(F.size("slots"))).alias("w"))
         weights = {r["term"]: r["w"] for r in weights.collect()}  # BLOCK_TERMS and the terms of one item at most
         asked = spark.sparkContext.broadcast([(row, [(t, weights[t]) for t in terms if t in weights]) for row, terms in block.items()])
