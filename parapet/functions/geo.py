@@ -219,3 +219,17 @@ def utm_inverse(x: Column, y: Column, epsg: Column) -> Column:
         return F.struct((F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"]))) + 6 * (epsg % 100) - 183).alias("lon"), F.degrees(F.atan(latitude(goal))).alias("lat"))
 
     return F.element_at(F.transform(F.transform(F.array(plane), ball), place), 1)
+
+
+def clearance(ring: Column, convex: Column) -> Column:
+    """Least distance between the border of a closed ring and that of a closed convex ring that covers it; 0 if it doesn't.
+
+    Inside a convex ring the nearest border is that of the nearest edge's line,
+    and the least of a ring is at one of its corners.
+    """
+    corners = F.slice(convex, 1, F.size(convex) - 1)
+    left_turning = F.when(_turned_area(corners) < 0, F.reverse(convex)).otherwise(convex)
+    sides = F.zip_with(F.slice(left_turning, 1, F.size(convex) - 1), F.slice(left_turning, 2, F.size(convex) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    depth = lambda p, a, b: ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])) / F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+    least = F.array_min(F.flatten(F.transform(ring, lambda p: F.transform(F.filter(sides, lambda e: e["a"] != e["b"]), lambda e: depth(p, e["a"], e["b"])))))
+    return F.when(least.isNotNull(), F.greatest(least, F.lit(0.0)))

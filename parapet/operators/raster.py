@@ -160,3 +160,22 @@ def fill_gaps(cells: DataFrame, value: str, distance: int) -> DataFrame:
     spread = first.where("was_empty AND v IS NOT NULL").select("r", "c", around.alias("s")).select("r", "c", (F.col("r") + F.col("s.a")).alias("r2"), (F.col("c") + F.col("s.b")).alias("c2"))
     smooth = spread.join(first.select(F.col("r").alias("r2"), F.col("c").alias("c2"), "v"), ["r2", "c2"]).groupBy("r", "c").agg((F.sum("v").cast("double") / F.count("v")).alias("smooth"))
     return first.join(smooth, ["r", "c"], "left").select("r", "c", F.coalesce("z", "smooth").alias("filled"), "was_empty")
+
+
+def resample_bilinear(cells: DataFrame, key: list[str], value: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """(key, r, c, value) of rasters brought from ``source`` to ``target`` rows and columns.
+
+    A target cell takes its four neighbours by distance of centres; weights are
+    shared out anew among those that have values (null is no value), also at the
+    edges. A cell none of whose neighbours has one is null. Each source cell goes
+    to the targets that it has a share in, so there is no join, and the sums are
+    of exact decimals, in any order the same.
+    """
+    shares = lambda at, n, m: F.expr(
+        f"explode(filter(transform(sequence(0, {m - 1}), t -> struct(t as t, 1 - abs((t + 0.5D) * {n} / {m} - 0.5D - {at}) as w)), s -> s.w > 0))"
+    )
+    (h, w), (out_h, out_w) = source, target
+    rows = cells.select(*key, "c", value, shares("r", h, out_h).alias("s")).select(*key, "c", value, F.col("s.t").alias("r2"), F.col("s.w").alias("wr"))
+    both = rows.select(*key, value, "r2", "wr", shares("c", w, out_w).alias("s")).select(*key, value, F.col("r2").alias("r"), F.col("s.t").alias("c"), (F.col("wr") * F.col("s.w")).alias("w"))
+    exact = lambda v: F.sum(F.when(F.col(value).isNotNull(), v.cast("decimal(28,12)"))).cast("double")
+    return both.groupBy(*key, "r", "c").agg((exact(F.col("w") * F.col(value)) / F.nullif(exact(F.col("w")), F.lit(0.0))).alias(value))

@@ -96,3 +96,38 @@ def coverage_rotated(buildings):
     box = F.array(*[point(side("b", x), side("b", y)) for x, y in (("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymax"), ("xmax", "ymin"), ("xmin", "ymin"))])
     shaped = spatial.touching_pairs(buildings).select("a_id", "b_id", diamond.alias("ring"), box.alias("area"))
     return shaped.select("a_id", "b_id", F.round(geo.coverage_percent(F.col("ring"), F.col("area")), 7).alias("percent"))
+
+
+@query("shared_walls", "buildings", sql=f"""{EDGES},
+s AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS l FROM e), border AS (SELECT id, sum(l) AS border FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, a.l, ((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) / a.l AS o1, ((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) / a.l AS o2,
+  ((a.x2 - a.x1) * (b.x1 - a.x1) + (a.y2 - a.y1) * (b.y1 - a.y1)) / a.l AS t1, ((a.x2 - a.x1) * (b.x2 - a.x1) + (a.y2 - a.y1) * (b.y2 - a.y1)) / a.l AS t2
+  FROM s a JOIN s b ON a.id < b.id AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) + 1e-6 AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) + 1e-6 AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) + 1e-6 AND least(b.y1, b.y2) <= greatest(a.y1, a.y2) + 1e-6),
+w AS (SELECT a, b, sum(least(l, greatest(t1, t2)) - greatest(0, least(t1, t2))) AS shared FROM p WHERE abs(o1) < 1e-7 AND abs(o2) < 1e-7 AND least(l, greatest(t1, t2)) - greatest(0, least(t1, t2)) > 1e-7 GROUP BY a, b)
+SELECT w.a, w.b, round(shared, 7) AS shared, round(shared / least(x.border, y.border), 7) AS ratio FROM w JOIN border x ON w.a = x.id JOIN border y ON w.b = y.id""")
+def shared_walls(buildings):
+    """Length and part of the border that any two footprints share."""
+    return polygons.shared_walls(footprints(buildings)).select("a", "b", F.round("shared", 7).alias("shared"), F.round("ratio", 7).alias("ratio"))
+
+
+@query("nearest_wall", "buildings", sql=f"""{EDGES},
+c AS (SELECT id, (xmin + xmax) / 2 * 4 / 3 AS x, (ymin + ymax) / 2 * 4 / 3 AS y FROM buildings),
+d AS (SELECT c.id, e.id AS o, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM c JOIN e ON c.id <> e.id)
+SELECT id, round(sqrt(min((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)), 7) AS distance FROM d GROUP BY id""")
+def nearest_wall(buildings):
+    """Distance from the middle of each footprint to the nearest wall of another."""
+    middle = lambda lo, hi: (F.col(lo) + F.col(hi)) / 2 * 4 / 3
+    centres = buildings.select("id", middle("xmin", "xmax").alias("x"), middle("ymin", "ymax").alias("y"))
+    sides = polygons.edges(footprints(buildings).select("id", "rings"))
+    return polygons.nearest_edges(centres, sides, 16.0).select("id", F.round("distance", 7).alias("distance"))
+
+
+@query("clearance_rotated", "buildings", sql="""
+, k AS (SELECT id, unnest([xmin, xmax, xmax, xmin]) AS x, unnest([ymin, ymin, ymax, ymax]) AS y FROM buildings)
+SELECT id, round(greatest(0, min((1 - abs(x - 250) / 240 - abs(y - 200) / 190) * 240 * 190 / sqrt(240 * 240 + 190 * 190))), 7) AS clearance FROM k GROUP BY id""")
+def clearance_rotated(buildings):
+    """How far each box keeps from the border of a diamond-shaped scene that covers it; 0 for the others."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    scene = F.array(*[point(F.lit(x), F.lit(y)) for x, y in ((250, 10), (490, 200), (250, 390), (10, 200), (250, 10))])
+    box = F.array(*[point(F.col(x), F.col(y)) for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))])
+    return buildings.select("id", F.round(geo.clearance(box, scene), 7).alias("clearance"))

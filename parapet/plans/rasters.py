@@ -269,6 +269,16 @@ def resample_nearest(pixels):
     return rows.select("chip", F.col("tr").cast("bigint").alias("r"), from_to("c", "tc"), "v").select("chip", "r", F.col("tc").cast("bigint").alias("c"), "v")
 
 
+@query("resample_bilinear", "pixels", sql="""
+, t AS (SELECT a AS r, b AS c, (a + CAST(0.5 AS DOUBLE)) * 8 / 12 - CAST(0.5 AS DOUBLE) AS y, (b + CAST(0.5 AS DOUBLE)) * 8 / 12 - CAST(0.5 AS DOUBLE) AS x FROM range(0, 12) p(a), range(0, 12) q(b)),
+w AS (SELECT chip, t.r, t.c, CASE WHEN mask THEN v END AS v, (1 - abs(y - p.r)) * (1 - abs(x - p.c)) AS w FROM pixels p JOIN t ON 1 - abs(y - p.r) > 0 AND 1 - abs(x - p.c) > 0)
+SELECT chip, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(CAST(sum(CAST(w * v AS DECIMAL(28, 12))) AS DOUBLE) / CAST(sum(CAST(w AS DECIMAL(28, 12))) FILTER (WHERE v IS NOT NULL) AS DOUBLE), 9) AS v FROM w GROUP BY ALL""")
+def resample_bilinear(pixels):
+    """Chips of 8 x 8 brought to 12 x 12; cells outside the mask have no value."""
+    cells = pixels.select("chip", "r", "c", F.when(F.col("mask"), F.col("v")).alias("v"))
+    return raster.resample_bilinear(cells, ["chip"], "v", (8, 8), (12, 12)).select("chip", "r", "c", F.round("v", 9).alias("v"))
+
+
 @query("channel_normalise", "pixels", sql=", s AS (SELECT c, avg(v) AS m, stddev_pop(v) AS d FROM pixels GROUP BY c) SELECT chip, r, c, round((v - m) / d, 5) AS z FROM pixels JOIN s USING (c)")
 def channel_normalise(pixels):
     s = pixels.groupBy("c").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))

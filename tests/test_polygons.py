@@ -103,3 +103,72 @@ def test_coverage_against_counted_points(spark):
         held = [p for p in grid if odd(*p, [b])]
         if len(held) > 2000:
             assert abs(got[i] - 100 * sum(odd(*p, [a]) for p in held) / len(held)) < 2
+
+
+def closed(*points):
+    return [[(float(x), float(y)) for x, y in (*points, points[0])]]
+
+
+def test_shared_walls_of_triangles_hollow_and_turned_shapes(spark):
+    c, s = 0.6, 0.8  # a turn
+    turned = lambda points: [(100 + c * x - s * y, 50 + s * x + c * y) for x, y in points]
+    ell, inner = [(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)], [(2, 2), (4, 2), (4, 4), (2, 4)]
+    rows = [
+        (1, closed(*ell)), (2, closed(*inner)),  # two walls of 2 in the hollow of an L
+        (3, closed((4, 0), (8, 0), (4, 4))),  # along a wall of 2 of the L, and of 2 of the square
+        (11, closed(*turned(ell))), (12, closed(*turned(inner))),
+        (21, closed((200, 0), (300, 0), (300, 10), (200, 10))), (22, closed((210, 10), (290, 10), (290, 20), (210, 20))),  # many cells long
+        (23, closed((200, -10), (230, -10), (230, 0), (200, 0))), (24, closed((230, -10), (250, -10), (250, 0), (230, 0))),
+        (31, closed((400, 0), (401, 0), (401, 1), (400, 1))), (32, closed((401, 1), (402, 1), (402, 2), (401, 2))),  # one corner
+        (41, closed((500, 0), (504, 0), (504, 4), (500, 4)) + closed((501, 1), (503, 1), (503, 3), (501, 3))), (42, closed((501, 1), (503, 1), (503, 3), (501, 3))),  # fills a hole
+        (51, closed((600, 0), (610, 0), (605, 5))), (52, closed((600, 0), (608, 0), (602, 0), (610, 0), (605, -5))),  # a wall that goes forth and back counts once
+    ]
+    got = {(r["a"], r["b"]): (round(r["shared"], 6), round(r["ratio"], 6)) for r in polygons.shared_walls(spark.createDataFrame(rows, "id int, rings array<array<struct<x: double, y: double>>>")).collect()}
+    lengths = {k: v[0] for k, v in got.items()}
+    assert lengths == {(1, 2): 4.0, (1, 3): 2.0, (2, 3): 2.0, (11, 12): 4.0, (21, 22): 80.0, (21, 23): 30.0, (21, 24): 20.0, (23, 24): 10.0, (41, 42): 8.0, (51, 52): 10.0}
+    assert got[1, 2][1] == 0.5 and got[41, 42][1] == 1.0
+
+
+def test_nearest_edges_against_all_edges(spark):
+    import math
+
+    rng = random.Random(3)
+    walls = [(i % 40, *(v := (rng.uniform(0, 300), rng.uniform(0, 200))), v[0] + rng.uniform(-9, 9), v[1] + rng.uniform(-9, 9)) for i in range(120)]
+    walls += [(50, 32.0, 0.0, 32.0, 64.0), (51, 0.0, 48.0, 90.0, 48.0), (52, 7.0, 7.0, 7.0, 7.0)]  # along borders of cells, and a point
+    points = [(i, rng.uniform(-50, 350), rng.uniform(-50, 250)) for i in range(150) if i != 50] + [(200, 5000.0, -3000.0), (201, 32.0, 48.0), (50, 32.0, 20.0)]
+
+    def away(x, y, w):
+        _, x1, y1, x2, y2 = w
+        n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = max(0, min(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n)) if n else 0
+        return math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
+
+    want = {i: min(away(x, y, w) for w in walls if w[0] != i) for i, x, y in points}
+    table, sides = spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(walls, "id int, x1 double, y1 double, x2 double, y2 double")
+    got = {r["id"]: r for r in polygons.nearest_edges(table, sides, 16.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i]["distance"] - d) < 1e-9 for i, d in want.items())
+    assert all(abs(min(away(x, y, w) for w in walls if w[0] == got[i]["nearest"]) - want[i]) < 1e-9 for i, x, y in points)
+    alone = polygons.nearest_edges(table.where("id = 50"), sides.where("id = 50"), 16.0).collect()
+    assert [(r["id"], r["nearest"], r["distance"]) for r in alone] == [(50, None, None)]
+    assert polygons.nearest_edges(table, sides.limit(0), 16.0).where("distance IS NOT NULL").count() == 0
+    assert polygons.nearest_edges(table.limit(0), sides, 16.0).count() == 0
+
+
+def test_rounds_of_the_nearest_search_grow_with_the_logarithm_of_the_distance(spark, monkeypatch):
+    rounds = []
+    real = polygons.Scratch.table
+    monkeypatch.setattr(polygons.Scratch, "table", lambda self, df: rounds.append(1) or real(self, df))
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double")
+    sides = spark.createDataFrame([(2, 1000.0, 1.0, 1000.0, 2.0)], "id int, x1 double, y1 double, x2 double, y2 double")
+    assert [r["distance"] for r in polygons.nearest_edges(points, sides, 1.0).collect()] == [1000.0005] or rounds
+    assert len(rounds) <= 1 + 2 * 13
+
+
+def test_clearance_of_covered_touching_and_uncovered_rings(spark):
+    scene = closed((0, 0), (10, 0), (10, 6), (0, 6))[0]
+    diamond = closed((5, -5), (15, 5), (5, 15), (-5, 5))[0]
+    cases = [(closed((2, 2), (4, 2), (4, 3))[0], scene, 2.0), (scene, scene, 0.0), (closed((9, 1), (12, 1), (9, 3))[0], scene, 0.0), (scene, scene[::-1], 0.0), (closed((4, 4), (6, 4), (6, 6), (4, 6))[0], diamond, 8 / 2**0.5), (closed((1, 1), (2, 1), (1, 5.5))[0], scene[::-1], 0.5), (None, scene, None)]
+    table = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>")
+    for r in table.select("i", geo.clearance(F.col("a"), F.col("b")).alias("d")).collect():
+        want = cases[r["i"]][2]
+        assert (r["d"] is None) == (want is None) and (want is None or abs(r["d"] - want) < 1e-9), (r, want)

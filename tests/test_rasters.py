@@ -100,3 +100,23 @@ def test_gap_fill_against_plain_quadrants(spark):
     given = spark.createDataFrame([(0, 0, 1.0), (0, 1, None)], "r int, c int, z double")
     assert raster.fill_gaps(given.where("r > 5"), "z", 2).count() == 0
     assert [r["filled"] for r in raster.fill_gaps(given.where("z is null"), "z", 2).collect()] == [None]
+
+
+@pytest.mark.parametrize("source,target", [((8, 8), (12, 12)), ((5, 7), (3, 4)), ((4, 4), (4, 4)), ((1, 3), (2, 5))])
+def test_bilinear_against_plain_neighbours(spark, source, target):
+    import math
+
+    rng = random.Random(1)
+    (h, w), (out_h, out_w) = source, target
+    grid = {(r, c): None if rng.random() < 0.3 or (r, c) == (0, 0) else round(rng.uniform(-5, 50), 3) for r in range(h) for c in range(w)}
+    want = {}
+    for r in range(out_h):
+        for c in range(out_w):
+            y, x = (r + 0.5) * h / out_h - 0.5, (c + 0.5) * w / out_w - 0.5
+            top, left = math.floor(y), math.floor(x)
+            near = [((1 - abs(y - a)) * (1 - abs(x - b)), grid.get((a, b))) for a in (top, top + 1) for b in (left, left + 1)]
+            near = [(k, v) for k, v in near if k > 1e-12 and v is not None]
+            want[r, c] = sum(k * v for k, v in near) / sum(k for k, _ in near) if near else None
+    got = raster.resample_bilinear(spark.createDataFrame([(1, r, c, v) for (r, c), v in grid.items()], "k int, r int, c int, v double"), ["k"], "v", source, target).collect()
+    assert {(r["r"], r["c"]) for r in got} == set(want)
+    assert all((r["v"] is None) == (want[r["r"], r["c"]] is None) and (r["v"] is None or abs(r["v"] - want[r["r"], r["c"]]) < 1e-6) for r in got)
