@@ -224,3 +224,80 @@ def survey_years(text: Column, precision: Column, first_year: int = 2016) -> Col
 #: Precisions of a year range.
 ENDPOINT_PRECISIONS = ("exact_official_project_range", "official_flight_lot_range")
 BROAD_PRECISIONS = ("official_campaign_range", "official_catalog_series_range", "official_national_campaign_range")
+
+#: Fixed values of the choice around a survey: eight scenes, two of a direction, four of a season, candidates looked at.
+EIGHT, EIGHT_DIRECTION_QUOTA, EIGHT_SEASON_QUOTA, EIGHT_SHORTLIST = 8, 2, 4, 120
+
+
+def _with_survey(scenes: DataFrame, surveys: DataFrame) -> DataFrame:
+    """Standard scenes with the fields that the choice looks at and their city's documented years; season is ``other`` outside the solstice months."""
+    years = survey_years(F.col("years"), F.col("precision_kind"))
+    own = surveys.select("city", years.alias("y"), F.year("survey_end").alias("end_year")).select("city", F.col("y.eligible").alias("eligible"), F.concat("y.eligible", "y.excluded").alias("documented"), "end_year")
+    out = scenes.where("standard").withColumns(
+        {
+            "season": F.coalesce(geo.season(F.col("lat"), F.col("month")), F.lit("other")), "direction": geo.sector4(F.col("bearing")), "tier": filter_tier(F.col("coverage"), F.col("cloud")),
+            "penalty": penalty("shadow", "haze"), "sid": F.col("scene_id").cast("string"),
+        }
+    )
+    return out.join(own, "city")
+
+
+def _protected(pool: DataFrame, by: list[str], guarded: list[str], first: list[Column], limit: int) -> DataFrame:
+    """At most ``limit`` rows of each pool: the best two of each guarded group, then the others, in one order.
+
+    No more than ``limit`` of a guarded group can be among them, so the others go
+    before a pool is ranked as a whole.
+    """
+    order = [*first, F.col("tier"), F.col("cloud"), F.desc("coverage"), F.desc("view_angle"), F.col("penalty"), F.col("sid")]
+    few = selection.top_n(pool, [*by, *guarded], order, limit, "in_group")
+    return selection.top_n(few, by, [(F.col("in_group") > 2), *order], limit, "position")
+
+
+def eight_key(first: tuple[str, ...] = ()):
+    """The key of a candidate for a slot of eight: ``first`` fields, the season and the direction that are due and below their quota, then as for nine scenes.
+
+    Scenes of season ``other`` have no quota and are never due.
+    """
+
+    def key(c: Column, chosen: Column, slot: Column) -> Column:
+        held = lambda field: F.size(F.filter(chosen, lambda x: x[field] == c[field]))
+        due = lambda slots: F.element_at(F.array(*map(F.lit, slots[:EIGHT])), slot)
+        rank = lambda is_open, is_due: F.when(is_open & is_due, 0).when(is_open, 1).otherwise(2)
+        season = rank((c["season"] == "other") | (held("season") < EIGHT_SEASON_QUOTA), c["season"] == due(SEASON_SLOTS))
+        direction = rank(held("direction") < EIGHT_DIRECTION_QUOTA, c["direction"] == due(DIRECTION_SLOTS))
+        apart = F.coalesce(F.array_min(F.transform(chosen, lambda x: F.abs(x["sun"] - c["sun"]))), F.lit(90.0))
+        return F.struct(
+            *[c[f].alias(f) for f in first], season.alias("b"), direction.alias("c"), c["tier"].alias("d"), (-F.bround(apart, 8)).alias("e"),
+            (c["asset"] != ASSETS[0]).alias("f"), (-F.abs(c["view_angle"])).alias("g"), c["cloud"].alias("h"), (-c["coverage"]).alias("i"), c["penalty"].alias("j"), c["sid"].alias("k"),
+        )
+
+    return key
+
+
+_EIGHT_FIELDS = ["sid", "scene_id", "year", "season", "direction", "tier", "sun", "asset", "view_angle", "cloud", "coverage", "penalty"]
+
+
+def select_city_total(scenes: DataFrame, surveys: DataFrame, limit: int = EIGHT_SHORTLIST) -> DataFrame:
+    """Up to eight scenes a city, by what is nearest its survey in time.
+
+    Scenes of a documented year come first, then later ones, then earlier ones; of
+    those outside the solstice months again in that order, after all others.
+    Within one of these six levels fewer years away come first. (city, slot,
+    scene_id, level, distance, repeated); ``repeated`` tells whether an earlier slot
+    has the scene's year.
+    """
+    exact, later = F.array_contains("documented", F.col("year")), F.col("year") > F.col("end_year")
+    level = F.when(exact, 0).when(later, 1).otherwise(2) + F.when(F.col("season") == "other", 3).otherwise(0)
+    pool = _with_survey(scenes, surveys).withColumns({"level": level, "distance": F.when(exact, 0).otherwise(F.abs(F.col("year") - F.col("end_year")))})
+    few = _protected(pool, ["city"], ["level", "season", "direction"], [F.col("level"), F.col("distance")], limit).where("asset IS NOT NULL")
+    chosen = selection.greedy(few, "city", EIGHT, eight_key(("level", "distance")), ["level", "distance", *_EIGHT_FIELDS])
+    repeated = F.row_number().over(Window.partitionBy("city", "year").orderBy("slot")) > 1
+    return chosen.select("city", "slot", "scene_id", "level", "distance", repeated.alias("repeated"))
+
+
+def select_same_year(scenes: DataFrame, surveys: DataFrame, limit: int = EIGHT_SHORTLIST) -> DataFrame:
+    """Up to eight solstice scenes of each eligible survey year of a city: (city, survey_year, slot, scene_id)."""
+    pool = _with_survey(scenes, surveys).where("season <> 'other'").where(F.array_contains("eligible", F.col("year"))).withColumn("pool", F.struct("city", "year"))
+    few = _protected(pool, ["pool"], ["season", "direction"], [], limit).where("asset IS NOT NULL")
+    chosen = selection.greedy(few, "pool", EIGHT, eight_key(), _EIGHT_FIELDS)
+    return chosen.select("pool.city", F.col("pool.year").alias("survey_year"), "slot", "scene_id")

@@ -311,6 +311,52 @@ def greedy_select(scenes):
     return rules.select(scenes).select("city", "slot", "scene_id")
 
 
+def _eight_sql(by: str, pool: str, first: str, out: str) -> str:
+    """The walk over eight slots of each ``by`` of the pool, in DuckDB's SQL."""
+    fields = "'sid': sid, 'id': scene_id, 'year': year, 'season': season, 'direction': direction, 'tier': tier, 'sun': sun, 'four': asset <> 'ortho_analytic_8b_sr', 'view': view_angle, 'cloud': cloud, 'coverage': coverage, 'penalty': penalty, 'level': level, 'distance': distance"
+    return f"""
+, y AS (
+  SELECT city, CAST(year(survey_end) AS INT) AS end_year, CASE WHEN contains(years, ';') THEN list_transform(list_filter(string_split(years, ';'), lambda x: regexp_full_match(x, '\\d{{4}}')), lambda x: CAST(x AS INT)) WHEN regexp_full_match(years, '\\d{{4}}') THEN [CAST(years AS INT)]
+    WHEN regexp_full_match(years, '\\d{{4}}-\\d{{4}}') AND precision_kind IN ('exact_official_project_range', 'official_flight_lot_range') THEN list_transform(string_split(years, '-'), lambda x: CAST(x AS INT)) ELSE [] END AS documented FROM surveys),
+base AS (
+  SELECT s.city, scene_id, CAST(scene_id AS VARCHAR) AS sid, year, {SECTOR_SQL} AS direction, coalesce({SEASON_SQL}, 'other') AS season, {TIER_SQL} AS tier, sun, asset, view_angle, cloud, coverage, coalesce(shadow, 0) + coalesce(haze, 0) AS penalty, end_year, documented
+  FROM scenes s JOIN y ON s.city = y.city WHERE standard),
+cand AS ({pool}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY level, distance, tier, cloud, coverage DESC, view_angle DESC, penalty, sid) AS k FROM cand),
+short AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY guarded > 2, k) AS position FROM (SELECT *, row_number() OVER (PARTITION BY {by}, level, season, direction ORDER BY k) AS guarded FROM ranked)),
+pool AS (SELECT {by}, list({{{fields}}}) AS cs FROM short WHERE position <= 120 AND asset IS NOT NULL GROUP BY {by}),
+walk AS (
+  WITH RECURSIVE r AS (
+    SELECT {by}, cs, 0 AS slot, list_filter(cs, lambda x: false) AS chosen FROM pool
+    UNION ALL
+    SELECT {by}, cs, slot + 1, list_append(chosen, list_sort(list_transform(list_filter(cs, lambda x: NOT list_contains(list_transform(chosen, lambda y: y.sid), x.sid)), lambda x: {{
+      {first}
+      'b': CASE WHEN x.season = 'other' THEN 1 WHEN len(list_filter(chosen, lambda y: y.season = x.season)) >= 4 THEN 2 WHEN x.season = ['summer', 'winter'][slot % 2 + 1] THEN 0 ELSE 1 END,
+      'c': CASE WHEN len(list_filter(chosen, lambda y: y.direction = x.direction)) >= 2 THEN 2 WHEN x.direction = ['N', 'S', 'E', 'W'][slot % 4 + 1] THEN 0 ELSE 1 END,
+      'd': x.tier, 'e': -round_even(coalesce(list_min(list_transform(chosen, lambda y: abs(y.sun - x.sun))), 90.0), 8), 'f': x.four, 'g': -abs(x.view), 'h': x.cloud, 'i': -x.coverage, 'j': x.penalty, 'k': x.sid, 'x': x}}))[1].x)
+    FROM r WHERE slot < 8 AND len(cs) > slot)
+  SELECT {by}, chosen FROM r QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY slot DESC) = 1),
+flat AS (SELECT {by}, CAST(unnest(range(1, len(chosen) + 1)) AS INT) AS slot, unnest(chosen) AS x FROM walk)
+SELECT {out} FROM flat"""
+
+
+@query("select_city_total", "scenes", "surveys", sql=_eight_sql(
+    "city",
+    "SELECT *, CASE WHEN list_contains(documented, year) THEN 0 WHEN year > end_year THEN 1 ELSE 2 END + CASE WHEN season = 'other' THEN 3 ELSE 0 END AS level, CASE WHEN list_contains(documented, year) THEN 0 ELSE abs(year - end_year) END AS distance FROM base",
+    "'level': x.level, 'distance': x.distance,",
+    "city, slot, x.id AS scene_id, x.level AS level, x.distance AS distance, row_number() OVER (PARTITION BY city, x.year ORDER BY slot) > 1 AS repeated"))
+def select_city_total(scenes, surveys):
+    """Up to eight scenes a city by their level and distance from its survey, then by slots."""
+    return rules.select_city_total(scenes, surveys)
+
+
+@query("select_same_year", "scenes", "surveys", sql=_eight_sql(
+    "city, year", "SELECT *, 0 AS level, 0 AS distance FROM base WHERE season <> 'other' AND list_contains(documented, year) AND year >= 2016", "", "city, year AS survey_year, slot, x.id AS scene_id"))
+def select_same_year(scenes, surveys):
+    """Up to eight solstice scenes of each survey year of a city."""
+    return rules.select_same_year(scenes, surveys)
+
+
 @query("resume_pending", "manifest", sql="SELECT id, city FROM manifest WHERE id NOT IN (SELECT id FROM manifest WHERE state = 'F')")
 def resume_pending(manifest):
     return manifest.join(manifest.where("state = 'F'").select("id"), "id", "left_anti").select("id", "city")
