@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import drop_table, new_path, table  # noqa: F401: shared with the rest of the library
@@ -26,6 +26,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def free_prefix(df: DataFrame, start: str) -> str:
+    """A prefix for helper columns that no column of ``df`` begins with, in any case of letters."""
+    while any(c.lower().startswith(start.lower()) for c in df.columns):
+        start = "_" + start
+    return start
+
+
 def word_count(text: Column) -> Column:
     """Number of words in a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

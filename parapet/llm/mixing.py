@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import free_prefix, table, word_count
 
 #: Weights in order of the source names, repeated.
 WEIGHTS = (3, 1, 2)
@@ -130,11 +130,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it.
 
     Documents without words weigh nothing and come once. Rows that share an id
-    also share a decision: the largest number of copies of any of them.
+    also share a decision: the largest number of copies of any of them. Null ids
+    are one id; columns of any name stay as they are; an empty table stays empty.
     """
+    own = free_prefix(docs, "__mix_")
     mixed = fair_mix(docs, **options)
     copies = mixed.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("copies"))
-    picked = copies.where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
+    picked = copies.where("copies > 0").select(F.col("doc_id").alias(own + "id"), F.col("copies").alias(own + "copies"))
     id_col = options.get("id_col", "doc_id")
-    joined = docs.join(picked, docs[id_col].eqNullSafe(picked["__mix_id"]))
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(picked, docs[id_col].eqNullSafe(picked[own + "id"]))
+    return joined.withColumn(own + "copy", F.explode(F.sequence(F.lit(1), F.col(own + "copies")))).select(*[docs[c] for c in docs.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..operators.tables import Scratch, table
-from .common import bounded_batches, in_slices, texts
+from .common import bounded_batches, free_prefix, in_slices, texts
 
 SEED = 42
 DISTANCE = 4
@@ -217,12 +217,16 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows are held apart by a number of their own, not by their id: rows of equal
     or null ids are dropped only where their texts are near-duplicates. Of rows
-    with the same smallest id the first by a hash of its content stays.
+    with the same smallest id the first by a hash of its content stays. Columns
+    of any name stay as they are; null and empty texts are near-duplicates of one
+    another, and an empty table stays empty.
     """
+    own = free_prefix(docs, "__near_")
+    row_col, key_col = own + "row", own + "key"
     content = [c for c, kind in docs.dtypes if "map<" not in kind]
     # Written once, so that a repeated task gives a row no other number.
-    rows = table(docs.withColumn("__near_row", F.monotonically_increasing_id()), "simhash-rows")
-    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(*content).alias("hash"), F.col("__near_row").alias("row"))
-    found = near_duplicates(rows.select(key.alias("__near_key"), F.col(text_col)), distance, id_col="__near_key", text_col=text_col)
-    keep = found.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__near_row"))
-    return rows.join(keep, "__near_row").select(*docs.columns)
+    rows = table(docs.withColumn(row_col, F.monotonically_increasing_id()), "simhash-rows")
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(*content).alias("hash"), F.col(row_col).alias("row"))
+    found = near_duplicates(rows.select(key.alias(key_col), F.col(text_col)), distance, id_col=key_col, text_col=text_col)
+    keep = found.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias(row_col))
+    return rows.join(keep, row_col).select(*docs.columns)

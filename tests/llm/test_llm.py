@@ -786,3 +786,13 @@ def test_pipeline_stages_of_odd_rows_and_empty_tables(spark, odd, empty):
     digest = corpus_pipeline.token_store(spark, now, SF).collect()
     assert sorted(r["doc_id"] or 0 for r in digest) == sorted(d or 0 for d in copies)
     assert corpus_pipeline.token_store(spark, none, SF).count() == 0
+
+
+def test_stages_leave_columns_of_their_helpers_names_alone(spark, odd):
+    names = ["__toxic", "__patterns", "__civil_score", "__near_row", "__NEAR_key", "__mix_copies", "__mix_id", "__mix_copy", "___mix_id"]
+    now = odd.withColumns({n: F.lit(f"own {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = corpus_pipeline.common.table(stage(spark, now, SF), "test-names")
+        assert now.columns == [*odd.columns, *names], name
+        rows = now.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(f"own {n}" for n in names)], name
