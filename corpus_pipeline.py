@@ -17,29 +17,52 @@ TOXIC_SCORE = 0.3
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that the toxicity grammar rejects; it learns from the labels of ``docs``."""
+    """Without documents that the toxicity grammar rejects; it learns from the labels of ``docs``.
+
+    Rows are judged one by one, so repeated rows and rows of null or equal ids
+    have their own verdicts; null and empty texts have no pattern and stay.
+    Columns of any name stay as they are; an empty table stays empty.
+    """
+    own = common.free_prefix(docs, "__civil_")
     model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, score_col="__toxic", patterns_col="__patterns")
-    return scored.where(F.col("__toxic") < TOXIC_SCORE).select(*docs.columns)
+    scored = toxicity.score(docs, model, score_col=own + "score", patterns_col=own + "patterns")
+    return scored.where(F.col(own + "score") < TOXIC_SCORE).select(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash near-duplicate group: that with the smallest id."""
+    """One document of each SimHash near-duplicate group: that with the smallest id.
+
+    Null ids come last; ties and repeated rows leave one. Documents without words
+    are one group. Columns of any name stay; an empty table stays empty.
+    """
     return simhash.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the passages of the benchmark, and without documents that are mostly such passages."""
+    """Without the passages of the benchmark, and without documents that are mostly such passages.
+
+    Null and empty texts stay, as do repeated rows and columns of any name; null
+    items hit nothing; empty tables stay empty.
+    """
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as weighted fair queueing takes it."""
+    """Each document as often as weighted fair queueing takes it.
+
+    Documents without words come once; a null source is a source of its own; rows
+    of equal ids share a decision. Columns of any name stay; an empty table stays
+    empty.
+    """
     return mixing.mix_documents(docs)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of the content-addressed store of all token ids."""
+    """The digest of the content-addressed store of all token ids.
+
+    Null texts are empty and have the end id alone; equal ids and repeated rows
+    are documents of their own; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return store.store_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
