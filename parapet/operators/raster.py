@@ -179,3 +179,42 @@ def resample_bilinear(cells: DataFrame, key: list[str], value: str, source: tupl
     both = rows.select(*key, value, "r2", "wr", shares("c", w, out_w).alias("s")).select(*key, value, F.col("r2").alias("r"), F.col("s.t").alias("c"), (F.col("wr") * F.col("s.w")).alias("w"))
     exact = lambda v: F.sum(F.when(F.col(value).isNotNull(), v.cast("decimal(28,12)"))).cast("double")
     return both.groupBy(*key, "r", "c").agg((exact(F.col("w") * F.col(value)) / F.nullif(exact(F.col("w")), F.lit(0.0))).alias(value))
+
+
+def component_heights(cells: DataFrame, key: str, width: int, least_cells: int = MIN_COMPONENT_CELLS) -> DataFrame:
+    """(key, root, cells, means and medians of target and predicted, error) of each component of building cells with a known target.
+
+    ``cells`` has (key, r, c, mask, target, predicted). ``error`` is the median
+    predicted less the median target; components of fewer than ``least_cells`` are
+    left out.
+    """
+    valid = cells.where(F.col("mask") & (F.col("target") > 0) & F.col("predicted").isNotNull())
+    exact = lambda n: F.sum(F.col(n).cast("decimal(28,9)")).cast("double") / F.count(n)
+    stats = [f(n).alias(f"{n}_{name}") for n in ("target", "predicted") for name, f in (("mean", exact), ("median", F.median))]
+    out = labelled(valid, key, width).groupBy(key, "root").agg(F.count(F.lit(1)).alias("cells"), *stats).where(F.col("cells") >= least_cells)
+    return out.withColumn("error", F.col("predicted_median") - F.col("target_median"))
+
+
+def merge_windows(predictions: DataFrame, extents: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key, r, c, mean, variance, n) of every cell of rasters that overlapping windows predict.
+
+    ``extents`` has (key, height, width). A cell that no window covers raises when
+    the row is read, as do null predictions alone.
+    """
+    exact = lambda v: F.sum(v.cast("decimal(38,12)")).cast("double")
+    v = F.col(value)
+    merged = predictions.groupBy(*key, "r", "c").agg(exact(v).alias("sum"), exact(v * v).alias("squares"), F.count(v).alias("n"))
+    across = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    cells = extents.where("height > 0 AND width > 0").select(*key, across("height").alias("r"), "width").select(*key, "r", across("width").alias("c"))
+    met = cells.join(merged, [*key, "r", "c"], "left")
+    name = F.concat_ws(", ", F.lit("no window covers"), *[F.col(k).cast("string") for k in (*key, "r", "c")])
+    n = F.when(F.coalesce("n", F.lit(0)) == 0, F.raise_error(name).cast("bigint")).otherwise(F.col("n"))
+    mean = F.col("sum") / F.col("n")
+    return met.withColumn("n", n).select(*key, "r", "c", mean.alias("mean"), F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)).alias("variance"), "n")
+
+
+def gains(bands: DataFrame, chip: str, band: str, value: str, seed: int) -> DataFrame:
+    """``value`` of each chip times a gain of the chip (0.90 to 1.10) and one of its band (0.97 to 1.03), 0 at least; hashes draw them."""
+    share = lambda *keys: drawn(F.lit(1_000_000), seed, *keys) / 1_000_000
+    common, own = 0.90 + 0.20 * share(chip), 0.97 + 0.06 * share(chip, band)
+    return bands.withColumn(value, F.greatest(F.col(value) * common * own, F.lit(0.0)))

@@ -112,9 +112,10 @@ def oversample(df: DataFrame, key: str, city: str, flag: str, count: int, share:
     with_flag = (F.col("draw") < many) | F.col("n_other").isNull()
     wanted = wanted.withColumn(flag, with_flag).withColumn("n", F.when(with_flag, F.col("n_flagged")).otherwise(F.col("n_other")))
     again = (F.col("draw") < many) | F.col("n_other").isNull() | (F.col("n_other") < count - many)
-    by_hash = Window.partitionBy(city, flag).orderBy(seeded(seed, key), key)
-    # Only the first by hash can be taken without replacement, which bounds each group.
-    order = rows.withColumn("turn", F.row_number().over(by_hash) - 1).where((F.col("turn") < count) & ~F.col(flag)).select(city, F.col("turn"), F.col(key))
+    by_hash = Window.partitionBy(city).orderBy(seeded(seed, key), key)
+    # Only the first by hash can be taken without replacement: Spark cuts each task's rows of a city to ``count`` before the shuffle.
+    place = rows.where(~F.col(flag)).withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= count)
+    order = place.select(city, (F.col("place") - 1).alias("turn"), F.col(key))
     repeated = wanted.where(again).withColumn("pool_number", drawn(F.col("n"), seed, city, "draw")).join(rows, [city, flag, "pool_number"]).select(city, "draw", key)
     fresh = wanted.where(~again).withColumn("turn", F.col("draw") - many).join(order, [city, "turn"]).select(city, "draw", key)
     return repeated.union(fresh)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a folder under the warehouse is
-    taken instead, and set for later calls.
+    Only where that is unset in local mode (tests, a laptop) a folder under the
+    warehouse is taken instead, and set for later calls; on a cluster it raises.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[[^,\]]*(,\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

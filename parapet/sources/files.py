@@ -95,3 +95,17 @@ def fetch_missing(wanted: DataFrame, cache: DataFrame, key: str, fetch, schema:
     good = cache.where("status = 'success'").join(wanted.select(key), key, "left_semi")
     todo = wanted.join(good.select(key), key, "left_anti")
     return good.unionByName(todo.mapInPandas(fetch, schema), allowMissingColumns=True)
+
+
+def integrity(manifest: DataFrame, present: DataFrame, name: str = "file") -> DataFrame:
+    """Each file of a manifest (file, bytes, digest) against those present (file, size, sha256): its status.
+
+    ``missing``, ``size_mismatch`` before ``hash_mismatch``, or ``ok``; a manifest
+    row without a digest is held by its size alone. Of a file delivered twice any
+    copy that fits will do.
+    """
+    met = manifest.join(present, name, "left")
+    sized = F.col("size") == F.col("bytes")
+    rank = F.when(F.col("size").isNull(), 3).when(~sized, 2).when(F.col("digest").isNotNull() & (F.lower("digest") != F.col("sha256")), 1).otherwise(0)
+    best = met.groupBy(name, "bytes", "digest").agg(F.min(rank).alias("rank"))
+    return best.select(name, F.element_at(F.array(*map(F.lit, ("ok", "hash_mismatch", "size_mismatch", "missing"))), F.col("rank") + 1).alias("status"))
