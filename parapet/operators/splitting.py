@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,17 +41,22 @@ def hash_split(df: DataFrame, key: str, seed: int, cuts: list[tuple[str, int]],
     return out.withColumn("split", case.otherwise(rest))
 
 
+def _by_hash(df: DataFrame, key: str, pool: list[str], seed: int) -> DataFrame:
+    """``df`` with pool_number, each row's place in its pool by hash order from 0, and pool_size."""
+    return _in_pools(df.withColumn("__hash", seeded(seed, key)), ["__hash", key], pool)[0].drop("__hash")
+
+
 def fraction_split(df: DataFrame, key: str, by: str, seed: int, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Shares of each group by hash order, cut at whole rows rounded down."""
-    w = Window.partitionBy(by)
-    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(seeded(seed, key), key))
+    i, n = F.col("pool_number"), F.col("pool_size")
     first, second = F.floor(n * train), F.floor(n * train) + F.floor(n * validation)
-    return df.withColumn("split", F.when(i <= first, "train").when(i <= second, "validation").otherwise("test"))
+    out = _by_hash(df, key, [by], seed).withColumn("split", F.when(i < first, "train").when(i < second, "validation").otherwise("test"))
+    return out.drop("pool_number", "pool_size")
 
 
 def folds(df: DataFrame, key: str, strata: list[str], k: int, seed: int) -> DataFrame:
     """Fold 0 to k - 1, dealt in turn within each stratum by hash order."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(*strata).orderBy(seeded(seed, key), key)) - 1) % k)
+    return _by_hash(df, key, strata, seed).withColumn("fold", (F.col("pool_number") % k).cast("int")).drop("pool_number", "pool_size")
 
 
 def bootstrap(df: DataFrame, key: str, runs: int, draws: int, seed: int) -> DataFrame:
@@ -65,16 +72,24 @@ def bootstrap(df: DataFrame, key: str, runs: int, draws: int, seed: int) -> Data
     return wanted.join(rows, "number").drop("number")
 
 
+def _in_pools(df: DataFrame, order: list[str], pool: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with pool_number and pool_size, and the size of each pool; a null is a pool of its own."""
+    placed = numbered(df, [*pool, *order], "__place")
+    sizes = placed.groupBy(*pool).agg(F.count(F.lit(1)).alias("pool_size"), F.min("__place").alias("__first"))
+    own = sizes.select(*[F.col(c).alias(f"__in_{i}") for i, c in enumerate(pool)], "pool_size", "__first")
+    same = reduce(lambda x, y: x & y, [placed[c].eqNullSafe(own[f"__in_{i}"]) for i, c in enumerate(pool)])
+    rows = placed.join(own, same).withColumn("pool_number", F.col("__place") - F.col("__first"))
+    return rows.select(*df.columns, "pool_number", "pool_size"), sizes.drop("__first")
+
+
 def pooled(df: DataFrame, key: str, pool: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with their number in their pool, from 0 in order of keys, and the size of each pool.
 
     A pool is numbered by its first row's place among all rows in order of pool and
     key, so that a very large pool is no single task's work.
     """
-    placed = numbered(df, [*pool, key], "__place")
-    sizes = placed.groupBy(*pool).agg(F.count(F.lit(1)).alias("pool_size"), F.min("__place").alias("__first"))
-    rows = placed.join(F.broadcast(sizes), pool)  # one row a pool
-    return rows.withColumn("pool_number", F.col("__place") - F.col("__first")).drop("__place", "__first", "pool_size"), sizes.drop("__first")
+    rows, sizes = _in_pools(df, [key], pool)
+    return rows.drop("pool_size"), sizes
 
 
 def balanced_batches(df: DataFrame, key: str, city: str, category: str, cities: list[str], seed: int, epoch: int = 0) -> DataFrame:

@@ -191,8 +191,8 @@ def first_seen_label(buildings):
 
 @query("sequential_id", "buildings", sql="SELECT id, lower(replace(brand, '#', '_')) || '_' || lpad(CAST(row_number() OVER (PARTITION BY brand ORDER BY id) AS VARCHAR), 8, '0') AS code FROM buildings")
 def sequential_id(buildings):
-    n = F.row_number().over(Window.partitionBy("brand").orderBy("id"))
-    return buildings.select("id", F.concat_ws("_", F.lower(F.replace("brand", F.lit("#"), F.lit("_"))), F.lpad(n.cast("string"), 8, "0")).alias("code"))
+    rows, _ = splitting.pooled(buildings.select("id", "brand"), "id", ["brand"])
+    return rows.select("id", F.concat_ws("_", F.lower(F.replace("brand", F.lit("#"), F.lit("_"))), F.lpad((F.col("pool_number") + 1).cast("string"), 8, "0")).alias("code"))
 
 
 @query("ks_distance", "buildings_eval", sql="""
