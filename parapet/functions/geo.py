@@ -101,6 +101,17 @@ def shared_boundary(a: str, b: str) -> Column:
     return F.when(touch("xmin", "xmax"), run("ymin", "ymax")).when(touch("ymin", "ymax"), run("xmin", "xmax")).otherwise(0.0)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _left_sides(convex: Column) -> Column:
+    """The edges of a closed ring as struct(a, b), turning left."""
+    sides = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return _let(convex, lambda r: _let(F.when(_turned_area(F.slice(r, 1, F.size(r) - 1)) < 0, F.reverse(r)).otherwise(r), sides))
+
+
 def clip(ring: Column, convex: Column) -> Column:
     """The part of a closed ring inside a closed convex ring, as an open ring: cut by the half-plane of each edge in turn.
 
@@ -108,9 +119,6 @@ def clip(ring: Column, convex: Column) -> Column:
     parts; its area is right. Nothing is left of rings that only touch.
     """
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    corners = F.slice(convex, 1, F.size(convex) - 1)
-    left_turning = F.when(_turned_area(corners) < 0, F.reverse(convex)).otherwise(convex)
-    sides = F.zip_with(F.slice(left_turning, 1, F.size(convex) - 1), F.slice(left_turning, 2, F.size(convex) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def kept(p: Column, q: Column) -> Column:
         """What stays of the stretch from p to before q; d is the depth inside the half-plane."""
@@ -126,7 +134,7 @@ def clip(ring: Column, convex: Column) -> Column:
         stretches = F.flatten(F.transform(deep, lambda ps: F.flatten(F.zip_with(ps, F.concat(F.slice(ps, 2, F.size(ps)), F.slice(ps, 1, 1)), kept))))
         return F.when(F.size(left) > 0, stretches).otherwise(left)
 
-    return F.aggregate(sides, F.slice(ring, 1, F.size(ring) - 1), cut)
+    return F.aggregate(_left_sides(convex), F.slice(ring, 1, F.size(ring) - 1), cut)
 
 
 def _turned_area(ring: Column) -> Column:
@@ -143,8 +151,10 @@ def open_area(ring: Column) -> Column:
 
 def coverage_percent(ring: Column, area: Column) -> Column:
     """Per cent of a convex closed ring ``area`` that a closed ring covers, from 0 to 100; null where ``area`` has none."""
-    percent = 100 * open_area(clip(ring, area)) / open_area(F.slice(area, 1, F.size(area) - 1))
-    return F.when(open_area(F.slice(area, 1, F.size(area) - 1)) > 0, F.when(percent > 100, 100.0).otherwise(percent))
+    bounded = lambda p: F.when(p > 100, 100.0).otherwise(p)
+    share = lambda r, a, whole: F.when(whole > 0, _let(100 * open_area(clip(r, a)) / whole, bounded))
+    both = F.struct(ring.alias("ring"), area.alias("area"))
+    return _let(both, lambda b: _let(open_area(F.slice(b["area"], 1, F.size(b["area"]) - 1)), lambda whole: share(b["ring"], b["area"], whole)))
 
 
 #: The WGS84 ellipsoid, and the scale and false origin of UTM.
@@ -227,9 +237,18 @@ def clearance(ring: Column, convex: Column) -> Column:
     Inside a convex ring the nearest border is that of the nearest edge's line,
     and the least of a ring is at one of its corners.
     """
-    corners = F.slice(convex, 1, F.size(convex) - 1)
-    left_turning = F.when(_turned_area(corners) < 0, F.reverse(convex)).otherwise(convex)
-    sides = F.zip_with(F.slice(left_turning, 1, F.size(convex) - 1), F.slice(left_turning, 2, F.size(convex) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    sides = _left_sides(convex)
     depth = lambda p, a, b: ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])) / F.hypot(b["x"] - a["x"], b["y"] - a["y"])
     least = F.array_min(F.flatten(F.transform(ring, lambda p: F.transform(F.filter(sides, lambda e: e["a"] != e["b"]), lambda e: depth(p, e["a"], e["b"])))))
     return F.when(least.isNotNull(), F.greatest(least, F.lit(0.0)))
+
+
+def centroid(ring: Column) -> Column:
+    """struct(x, y): the centre of area of a closed ring; null without area."""
+    o = F.get(ring, F.lit(0))
+    at = lambda p: F.struct((p["x"] - o["x"]).alias("x"), (p["y"] - o["y"]).alias("y"))
+    near = F.transform(ring, at)
+    pairs = F.zip_with(F.slice(near, 1, F.size(near) - 1), F.slice(near, 2, F.size(near) - 1), lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("w"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y")))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in "wxy"])
+    total = F.aggregate(pairs, zero, lambda s, p: F.struct((s["w"] + p["w"]).alias("w"), (s["x"] + p["w"] * p["x"]).alias("x"), (s["y"] + p["w"] * p["y"]).alias("y")))
+    return F.when(total["w"] != 0, F.struct((o["x"] + total["x"] / (3 * total["w"])).alias("x"), (o["y"] + total["y"] / (3 * total["w"])).alias("y")))

@@ -218,3 +218,38 @@ def gains(bands: DataFrame, chip: str, band: str, value: str, seed: int) -> Data
     share = lambda *keys: drawn(F.lit(1_000_000), seed, *keys) / 1_000_000
     common, own = 0.90 + 0.20 * share(chip), 0.97 + 0.06 * share(chip, band)
     return bands.withColumn(value, F.greatest(F.col(value) * common * own, F.lit(0.0)))
+
+
+def grid_audit(rasters: DataFrame, templates: DataFrame, on: str) -> DataFrame:
+    """``rasters`` with failed: what of its grid differs from its template's, '' if nothing; 'template' if it has none.
+
+    Both have (on, crs, x0, y0, dx, dy, width, height): origin, signed cell sizes,
+    and numbers of cells.
+    """
+    grid = ("crs", "x0", "y0", "dx", "dy", "width", "height")
+    met = rasters.join(templates.select(on, *[F.col(c).alias(f"__t_{c}") for c in grid], F.lit(True).alias("__t")), on, "left")
+    differs = lambda *names: reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in names])
+    end = lambda p, origin, step, n: F.col(p + origin) + F.col(p + step) * F.col(p + n)
+    bounds = differs("x0", "y0") | ~end("", "x0", "dx", "width").eqNullSafe(end("__t_", "x0", "dx", "width")) | ~end("", "y0", "dy", "height").eqNullSafe(end("__t_", "y0", "dy", "height"))
+    turned = F.abs("dx") != F.abs("__t_dx")
+    resolution = F.coalesce(turned | (F.abs("dy") != F.abs("__t_dy")), F.lit(True))
+    failed = reasons((differs("crs"), "crs"), (differs("x0", "y0", "dx", "dy"), "transform"), (differs("width"), "width"), (differs("height"), "height"), (bounds, "bounds"), (resolution, "resolution"))
+    return met.select(*rasters.columns, F.when(F.col("__t").isNull(), "template").otherwise(failed).alias("failed"))
+
+
+def stack_scenes(plan: DataFrame, bands: DataFrame, key: list[str], expected: int) -> DataFrame:
+    """(chip, key, values, names): the bands of a chip's scenes one after the other, in plan order, as unsigned 16-bit numbers.
+
+    ``plan`` has (chip, place, scene, prefix, indexes): which bands of a scene to
+    take, in order. ``bands`` has (scene, key, band, v), band counted from 1. Values
+    are rounded half to even. A cell with another number of bands than
+    ``expected`` raises when it is read. A cell holds as many values as the plan has
+    bands.
+    """
+    wanted = plan.select("chip", "place", "scene", "prefix", F.posexplode("indexes").alias("at", "band"))
+    number = F.least(F.greatest(F.bround("v", 0), F.lit(0.0)), F.lit(65535.0)).cast("int")
+    met = wanted.join(bands, ["scene", "band"]).select("chip", *key, F.struct("place", "at", number.alias("v"), F.concat_ws("_", "prefix", F.col("band").cast("string")).alias("name")).alias("x"))
+    stacked = met.groupBy("chip", *key).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    wrong = F.concat_ws(" ", F.lit("bands of"), F.col("chip").cast("string"), F.lit(":"), F.size("x").cast("string"))
+    values = F.when(F.size("x") == expected, F.transform("x", lambda y: y["v"])).otherwise(F.raise_error(wrong).cast("array<int>"))
+    return stacked.select("chip", *key, values.alias("values"), F.transform("x", lambda y: y["name"]).alias("names"))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import orders, raster
+from ..operators import scenes as rules
 from ..operators.tables import new_path
 from ..sources import files
+from .aggregates import component_summary
 from .filters import BIN_SQL
 from .rasters import LABELS
-from .registry import query, raw
+from .registry import ORACLES, query, raw
 from .views import view
 
 _PREDICTED = "v * 0.9 + ((r * c) % 5 - 2) * 0.3"
@@ -132,3 +134,74 @@ def tile_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tiles.select("file", F.octet_length(line).cast("bigint").alias("bytes"), F.sha2(line, 256).alias("digest"))
     found = spark.read.format("binaryFile").load(f"{path}/*/part-*").select(F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     return files.integrity(manifest, found)
+
+
+@query("merge_run", "buildings")
+def merge_run(buildings):
+    """One row on a merge of footprints: counts before and after, merged groups, the largest, and those flagged for review."""
+    n, several = F.col("polygons"), F.col("polygons") > 1
+    return component_summary(buildings).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("original"), F.count(F.lit(1)).alias("merged"), (F.count(F.lit(1)) - F.coalesce(F.sum(n), F.lit(0))).alias("change"), F.count_if(several).alias("groups"),
+        F.coalesce(F.sum(F.when(several, n)), F.lit(0)).alias("in_groups"), F.max(n).alias("largest"), F.count_if(F.col("flags") != "").alias("flagged"),
+    )
+
+
+ORACLES["merge_run"] = f"""
+SELECT CAST(coalesce(sum(polygons), 0) AS BIGINT) AS original, CAST(count(*) AS BIGINT) AS merged, CAST(count(*) - coalesce(sum(polygons), 0) AS BIGINT) AS change, CAST(count(*) FILTER (WHERE polygons > 1) AS BIGINT) AS groups,
+  CAST(coalesce(sum(polygons) FILTER (WHERE polygons > 1), 0) AS BIGINT) AS in_groups, max(polygons) AS largest, CAST(count(*) FILTER (WHERE flags <> '') AS BIGINT) AS flagged FROM ({ORACLES["component_summary"]})"""
+
+
+_GRID = "chip, city, CASE WHEN chip % 11 = 0 THEN 32633 ELSE 32632 END AS crs, CAST(CASE WHEN chip % 7 = 0 THEN 503 ELSE 500 END AS DOUBLE) AS x0, CAST(900 AS DOUBLE) AS y0, CAST(CASE WHEN chip % 5 = 0 THEN 6 ELSE 3 END AS DOUBLE) AS dx, CAST(-3 AS DOUBLE) AS dy, CASE WHEN chip % 5 = 0 THEN 128 WHEN chip % 13 = 0 THEN 255 ELSE 256 END AS width, 256 AS height"
+
+
+@query("grid_audit", "chips", sql="""
+SELECT chip, CASE WHEN city LIKE '5%' THEN 'template' ELSE array_to_string(list_filter([CASE WHEN chip % 11 = 0 THEN 'crs' END, CASE WHEN chip % 7 = 0 OR chip % 5 = 0 THEN 'transform' END, CASE WHEN chip % 5 = 0 OR chip % 13 = 0 THEN 'width' END,
+  CASE WHEN chip % 7 = 0 OR (chip % 5 <> 0 AND chip % 13 = 0) THEN 'bounds' END, CASE WHEN chip % 5 = 0 THEN 'resolution' END], lambda x: x IS NOT NULL), ';') END AS failed FROM chips""")
+def grid_audit(chips):
+    """What of each chip's grid differs from the template of its city; one city has none."""
+    own = chips.selectExpr(*[p.strip() for p in _GRID.split(", ")])
+    templates = chips.where("NOT city LIKE '5%'").select("city").distinct().selectExpr("city", "32632 AS crs", "500.0D AS x0", "900.0D AS y0", "3.0D AS dx", "-3.0D AS dy", "256 AS width", "256 AS height")
+    return raster.grid_audit(own, templates, "city").select("chip", "failed")
+
+
+@query("scene_stack", "pixels", sql="""
+, p AS (SELECT DISTINCT chip, 2 AS place, chip AS scene, 'far' AS prefix FROM pixels UNION ALL SELECT DISTINCT chip - chip % 2 + (chip + 1) % 2, 1, chip, 'near' FROM pixels WHERE chip - chip % 2 + (chip + 1) % 2 IN (SELECT chip FROM pixels)),
+i AS (SELECT p.*, a.nth, CASE a.nth WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS band FROM p, (VALUES (0), (1), (2)) AS a(nth)),
+v AS (SELECT i.chip, b.r, i.place, i.nth, i.prefix || '_' || i.band AS name, CAST(least(greatest(round_even(b.v * 50, 0), 0), 65535) AS INT) AS v FROM i JOIN pixels b ON i.scene = b.chip AND i.band = b.c + 1)
+SELECT chip, r, array_to_string(list(v ORDER BY place, nth), ',') AS "values", array_to_string(list(name ORDER BY place, nth), ',') AS names FROM v GROUP BY chip, r""")
+def scene_stack(pixels):
+    """Three bands of a chip's neighbour and then its own, red first: six bands a cell of a column of rows."""
+    chips = pixels.select("chip").distinct()
+    other = F.col("chip") - F.col("chip") % 2 + (F.col("chip") + 1) % 2
+    row = lambda chip, place, scene, prefix: (chip.alias("chip"), F.lit(place).alias("place"), scene.alias("scene"), F.lit(prefix).alias("prefix"), F.array(*map(F.lit, (3, 2, 1))).alias("indexes"))
+    pairs = chips.select(*row(other, 1, F.col("chip"), "near")).join(chips, "chip", "left_semi")
+    plan = chips.join(pairs.select("chip"), "chip", "left_semi").select(*row(F.col("chip"), 2, F.col("chip"), "far")).unionByName(pairs)
+    bands = pixels.select(F.col("chip").alias("scene"), "r", (F.col("c") + 1).alias("band"), (F.col("v") * 50).alias("v"))
+    out = raster.stack_scenes(plan, bands, ["r"], 6)
+    return out.select("chip", "r", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("values", "names")])
+
+
+_K0 = "cos(radians(30)) / sqrt(1 - 0.00669437999014 * sin(radians(30)) ** 2)"
+_X = lambda lon: f"(6378137.0 * ({_K0}) * radians({lon}))"
+_Q = lambda lat: f"((1 - 0.00669437999014) * (sin(radians({lat})) / (1 - 0.00669437999014 * sin(radians({lat})) ** 2) - ln((1 - sqrt(0.00669437999014) * sin(radians({lat}))) / (1 + sqrt(0.00669437999014) * sin(radians({lat})))) / (2 * sqrt(0.00669437999014))))"
+_Y = lambda lat: f"(6378137.0 * {_Q(lat)} / (2 * ({_K0})))"
+
+
+@query("scene_rows", "scenes", sql=f"""
+, b AS (SELECT city, CAST(scene_id AS VARCHAR) AS scene_id, cloud, scene_id % 17 / CAST(10 AS DOUBLE) - 0.5 AS w, scene_id % 13 / CAST(10 AS DOUBLE) + lat - 0.3 AS s, scene_id % 5 / CAST(10 AS DOUBLE) + 0.4 AS d, lat FROM scenes WHERE abs(lat) < 55),
+p AS (SELECT *, {_X("w")} AS x1, {_X("w + d")} AS x2, {_Y("s")} AS y1, {_Y("s + d")} AS y2, {_X("0")} AS a1, {_X("1")} AS a2, {_Y("lat")} AS b1, {_Y("lat + 1")} AS b2 FROM b),
+m AS (SELECT *, (x1 + x2 - a1 - a2) / 2 AS dx, (y1 + y2 - b1 - b2) / 2 AS dy FROM p)
+SELECT city, scene_id, cloud AS cloud_cover, round(100 * greatest(0, least(x2, a2) - greatest(x1, a1)) * greatest(0, least(y2, b2) - greatest(y1, b1)) / ((a2 - a1) * (b2 - b1)), 6) AS coverage, round(w + d / 2, 6) AS lon, round(s + d / 2, 6) AS lat,
+  round(sqrt(dx * dx + dy * dy) / 1000, 5) AS offset_km, round(w, 6) AS lon_min, round(s + d, 6) AS lat_max FROM m""")
+def scene_rows(scenes):
+    """Scene items flattened to rows: fields, coverage of the city's area, offset of centres, and box."""
+    own = scenes.where("abs(lat) < 55").selectExpr("city", "scene_id", "cloud", "lat", "scene_id % 17 / 10D - 0.5D AS w", "scene_id % 13 / 10D + lat - 0.3D AS s", "scene_id % 5 / 10D + 0.4D AS d")
+    corner = lambda x, y: F.array(F.expr(x), F.expr(y))
+    ring = F.array(corner("w", "s"), corner("w + d", "s"), corner("w + d", "s + d"), corner("w", "s + d"), corner("w", "s"))
+    item = F.to_json(F.struct(F.col("scene_id").cast("string").alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(F.col("cloud").alias("cloud_cover")).alias("properties")))
+    point = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    area = F.array(point("0", "lat"), point("1", "lat"), point("1", "lat + 1"), point("0", "lat + 1"), point("0", "lat"))
+    areas = own.select("city", "lat").distinct().select("city", area.alias("area"))
+    rows = rules.flat_items(own.select("city", item.alias("item")), areas, {"cloud_cover": "double"})
+    digits = {"coverage": 6, "lon": 6, "lat": 6, "offset_km": 5, "lon_min": 6, "lat_max": 6}
+    return rows.select("city", "scene_id", "cloud_cover", *[F.round(c, d).alias(c) for c, d in digits.items()])

@@ -105,3 +105,34 @@ def test_city_total_against_a_plain_walk(spark):
     assert {r["level"] for r in scenes.select_city_total(table, known).where("city = 3").collect()} & {3, 4, 5}
     same = plans.windows.select_same_year(table, known).collect()
     assert {(1, 2018), (1, 2020)} <= {(r["city"], r["survey_year"]) for r in same} <= {(1, 2018), (1, 2020), (2, 2019)}
+
+
+def test_scene_items_flatten_to_rows_and_need_a_geometry(spark):
+    ring = [[0.0, 0.0], [2.0, 0.0], [2.0, 1.0], [0.0, 1.0], [0.0, 0.0]]
+    item = lambda geometry, **props: json.dumps({"id": "s1", "geometry": geometry, "properties": props})
+    areas = spark.createDataFrame([("c", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])], "city string, area array<struct<x: double, y: double>>")
+    frame = lambda text: spark.createDataFrame([("c", text)], "city string, item string")
+    r = scenes.flat_items(frame(item({"type": "Polygon", "coordinates": [ring]}, cloud_cover=0.25, pixel_resolution=3)), areas, {"cloud_cover": "double", "ground_control": "string"}).first()
+    assert (r["city"], r["scene_id"], r["cloud_cover"], r["ground_control"], r["coverage"]) == ("c", "s1", 0.25, None, 100.0)
+    assert (r["lon_min"], r["lat_min"], r["lon_max"], r["lat_max"]) == (0.0, 0.0, 2.0, 1.0) and abs(r["lon"] - 1) < 1e-9 and abs(r["lat"] - 0.5) < 1e-9
+    assert abs(r["bearing"] - 90) < 1e-6 and r["direction"] == "E" and abs(r["offset_km"] - 6378.137 * 0.5 * 3.141592653589793 / 180 * 0.8667) < 0.3
+    with pytest.raises(Exception, match="no geometry: s1"):
+        scenes.flat_items(frame(item(None)), areas, {}).collect()
+
+
+def test_stacked_scenes_need_all_bands_in_plan_order(spark):
+    plan = spark.createDataFrame([("k", 2, "b", "B", [1]), ("k", 1, "a", "A", [2, 1])], "chip string, place int, scene string, prefix string, indexes array<int>")
+    bands = spark.createDataFrame([("a", 0, 1, 0.5), ("a", 0, 2, 1.5), ("b", 0, 1, 70000.0), ("a", 1, 1, -3.0), ("b", 1, 1, 2.5)], "scene string, r int, band int, v double")
+    r = raster.stack_scenes(plan, bands.where("r = 0"), ["r"], 3).first()
+    assert r["values"] == [2, 0, 65535] and r["names"] == ["A_2", "A_1", "B_1"]
+    with pytest.raises(Exception, match="bands of k : 2"):
+        raster.stack_scenes(plan, bands, ["r"], 3).collect()
+
+
+def test_grid_audit_names_what_differs(spark):
+    columns = "key string, crs int, x0 double, y0 double, dx double, dy double, width int, height int"
+    template = spark.createDataFrame([("a", 1, 0.0, 9.0, 3.0, -3.0, 8, 8)], columns)
+    cases = {"": (1, 0.0, 9.0, 3.0, -3.0, 8, 8), "crs": (2, 0.0, 9.0, 3.0, -3.0, 8, 8), "transform;bounds": (1, 3.0, 9.0, 3.0, -3.0, 8, 8), "transform;width;resolution": (1, 0.0, 9.0, 6.0, -3.0, 4, 8), "height;bounds": (1, 0.0, 9.0, 3.0, -3.0, 8, 9), "transform;bounds;resolution": (1, 0.0, 9.0, 3.0, -1.5, 8, 8)}
+    for want, row in cases.items():
+        assert raster.grid_audit(spark.createDataFrame([("a", *row)], columns), template, "key").first()["failed"] == want
+    assert raster.grid_audit(template.withColumn("key", F.lit("z")), template, "key").first()["failed"] == "template"
