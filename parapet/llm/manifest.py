@@ -30,6 +30,7 @@ rows. Names of payload columns may be any, for they are held apart.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -168,6 +169,8 @@ class Manifest:
     def proofs(self) -> DataFrame:
         """(grp_key, node, subroot, proof) of every leaf; ``node`` holds its key, its digest and its payload."""
         above = self.groups.proofs().select(F.col("node.place").alias("grp"), F.col("node.grp_key").alias("grp_key"), F.col("node.digest").alias("subroot"), F.col("proof").alias("tail"))
+        # Written, for every level of the leaves' trees meets it.
+        above = write_to(above, f"{self.path}/above-{uuid.uuid4().hex}")
         return self.leaves.proofs(above).select("grp_key", "node", "subroot", "proof")
 
     def remove(self) -> None:
