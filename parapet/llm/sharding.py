@@ -27,12 +27,13 @@ class Shard:
 
 
 def topology(shards: int) -> list[Shard]:
-    """Eight shards to a region, in racks of two; the shards past the last full
-    eight have a region each, so that one more takes rows only into itself.
+    """Two regions of two racks of two shards, and a region of its own for each shard past the eighth.
 
-    Shards 0 to 7 are two regions of two racks of two shards.
+    From eight shards on, one more takes rows only into itself. Fewer than eight
+    have a region each, and so grow in the same way up to seven; from seven to
+    eight rows move between old shards too, for regions and racks come in.
     """
-    full = shards // 8 * 8
+    full = 8 if shards >= 8 else 0
     nested = [Shard(f"region{s // 4}", f"rack{s // 2}", s) for s in range(full)]
     return nested + [Shard(f"region-of-{s}", f"rack-of-{s}", s) for s in range(full, shards)]
 

@@ -796,3 +796,11 @@ def test_stages_leave_columns_of_their_helpers_names_alone(spark, odd):
         assert now.columns == [*odd.columns, *names], name
         rows = now.select(*names).distinct().collect()
         assert [tuple(r) for r in rows] == [tuple(f"own {n}" for n in names)], name
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    keys = spark.range(8000).select(F.col("id").cast("string").alias("k"))
+    for n in (1, 6, 8, 9, 11, 15, 16, 23):
+        before, after = sharding.topology(n), sharding.topology(n + 1)
+        moved = keys.select(sharding.place(F.col("k"), before).alias("a"), sharding.place(F.col("k"), after).alias("b")).where("a <> b")
+        assert {r["b"] for r in moved.select("b").distinct().collect()} == {n}, n
