@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rings
+
 #: Fixed value: mean radius of the Earth in metres.
 EARTH_RADIUS = 6371008.8
 SECTORS_8 = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
@@ -83,9 +86,9 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
-def inside_polygon(x: Column, y: Column, rings: Column) -> Column:
+def inside_polygon(x: Column, y: Column, polygon: Column) -> Column:
     """Whether a point is in a polygon of closed rings, the first its border and the others holes: inside an odd number of them."""
-    return F.aggregate(rings, F.lit(0), lambda s, ring: s + F.when(inside_ring(x, y, ring), 1).otherwise(0)) % 2 == 1
+    return F.aggregate(polygon, F.lit(0), lambda s, ring: s + F.when(inside_ring(x, y, ring), 1).otherwise(0)) % 2 == 1
 
 
 def overlap(a: str, b: str) -> Column:
@@ -101,60 +104,15 @@ def shared_boundary(a: str, b: str) -> Column:
     return F.when(touch("xmin", "xmax"), run("ymin", "ymax")).when(touch("ymin", "ymax"), run("xmin", "xmax")).otherwise(0.0)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _left_sides(convex: Column) -> Column:
-    """The edges of a closed ring as struct(a, b), turning left."""
-    sides = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return _let(convex, lambda r: _let(F.when(_turned_area(F.slice(r, 1, F.size(r) - 1)) < 0, F.reverse(r)).otherwise(r), sides))
-
-
-def clip(ring: Column, convex: Column) -> Column:
-    """The part of a closed ring inside a closed convex ring, as an open ring: cut by the half-plane of each edge in turn.
-
-    The cut ring may run along an edge and back where a hollow ring falls into
-    parts; its area is right. Nothing is left of rings that only touch.
-    """
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-
-    def kept(p: Column, q: Column) -> Column:
-        """What stays of the stretch from p to before q; d is the depth inside the half-plane."""
-        along = p["d"] / (p["d"] - q["d"])
-        on_side = F.array(point(p["x"] + along * (q["x"] - p["x"]), p["y"] + along * (q["y"] - p["y"])))
-        own = F.array(point(p["x"], p["y"]))
-        return F.when((p["d"] >= 0) & (q["d"] >= 0), own).when(p["d"] >= 0, F.concat(own, on_side)).when(q["d"] >= 0, on_side).otherwise(F.slice(own, 1, 0))
-
-    def cut(left: Column, side: Column) -> Column:
-        a, b = side["a"], side["b"]
-        depth = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-        deep = F.array(F.transform(left, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), depth(p).alias("d"))))
-        stretches = F.flatten(F.transform(deep, lambda ps: F.flatten(F.zip_with(ps, F.concat(F.slice(ps, 2, F.size(ps)), F.slice(ps, 1, 1)), kept))))
-        return F.when(F.size(left) > 0, stretches).otherwise(left)
-
-    return F.aggregate(_left_sides(convex), F.slice(ring, 1, F.size(ring) - 1), cut)
-
-
-def _turned_area(ring: Column) -> Column:
-    """Twice the area of an open ring, negative if it turns right; from differences, for small shapes far from the origin."""
-    o = F.get(ring, F.lit(0))
-    pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-
-
-def open_area(ring: Column) -> Column:
-    """Area of an open ring of struct(x, y); 0 for fewer than three points."""
-    return F.when(F.size(ring) > 2, F.abs(_turned_area(ring)) / 2).when(ring.isNotNull(), 0.0)
-
-
 def coverage_percent(ring: Column, area: Column) -> Column:
     """Per cent of a convex closed ring ``area`` that a closed ring covers, from 0 to 100; null where ``area`` has none."""
-    bounded = lambda p: F.when(p > 100, 100.0).otherwise(p)
-    share = lambda r, a, whole: F.when(whole > 0, _let(100 * open_area(clip(r, a)) / whole, bounded))
-    both = F.struct(ring.alias("ring"), area.alias("area"))
-    return _let(both, lambda b: _let(open_area(F.slice(b["area"], 1, F.size(b["area"]) - 1)), lambda whole: share(b["ring"], b["area"], whole)))
+
+    @F.arrow_udf("double")
+    def percent(ring: pa.Array, area: pa.Array) -> pa.Array:
+        value, none = rings.coverage(ring, area)
+        return pa.array(value, pa.float64(), mask=none)
+
+    return percent(ring, area)
 
 
 #: The WGS84 ellipsoid, and the scale and false origin of UTM.
@@ -237,10 +195,28 @@ def clearance(ring: Column, convex: Column) -> Column:
     Inside a convex ring the nearest border is that of the nearest edge's line,
     and the least of a ring is at one of its corners.
     """
-    sides = _left_sides(convex)
-    depth = lambda p, a, b: ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])) / F.hypot(b["x"] - a["x"], b["y"] - a["y"])
-    least = F.array_min(F.flatten(F.transform(ring, lambda p: F.transform(F.filter(sides, lambda e: e["a"] != e["b"]), lambda e: depth(p, e["a"], e["b"])))))
-    return F.when(least.isNotNull(), F.greatest(least, F.lit(0.0)))
+
+    @F.arrow_udf("double")
+    def least(ring: pa.Array, convex: pa.Array) -> pa.Array:
+        value, none = rings.clearance(ring, convex)
+        return pa.array(value, pa.float64(), mask=none)
+
+    return least(ring, convex)
+
+
+def scene_measures(ring: Column, area: Column) -> Column:
+    """struct(coverage, lon, lat, dx, dy) of a scene's closed ring and a convex closed ring, both in degrees.
+
+    The per cent of ``area`` that the scene covers, the scene's centre in degrees, and
+    the offset in metres of its centre from that of ``area``; areas and offsets are
+    measured in the equal-area projection. Null without area.
+    """
+
+    @F.arrow_udf("coverage double, lon double, lat double, dx double, dy double")
+    def measures(ring: pa.Array, area: pa.Array) -> pa.Array:
+        return rings.scene_measures(ring, area)
+
+    return measures(ring, area)
 
 
 def centroid(ring: Column) -> Column:

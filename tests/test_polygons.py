@@ -172,3 +172,23 @@ def test_clearance_of_covered_touching_and_uncovered_rings(spark):
     for r in table.select("i", geo.clearance(F.col("a"), F.col("b")).alias("d")).collect():
         want = cases[r["i"]][2]
         assert (r["d"] is None) == (want is None) and (want is None or abs(r["d"] - want) < 1e-9), (r, want)
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_of_a_batch_of_unlike_rings_is_counted_at_once(spark):
+    """Rings of 3 to 9 corners with nulls between them, in one task: as alone, and by a batched step, not by nested lambdas a row."""
+    import math
+
+    area = [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0), (0.0, 0.0)]
+    of = lambda n: [(4 + 2 * math.cos(2 * math.pi * k / n), 4 + 2 * math.sin(2 * math.pi * k / n)) for k in [*range(n), 0]]
+    rows = [(i, None if i % 5 == 0 else [(1.0, None), (2.0, 1.0), (1.0, None)] if i % 7 == 0 else of(3 + i % 7), area if i % 11 else []) for i in range(300)]
+    table = spark.createDataFrame(rows, "i int, a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>").coalesce(1)
+    found = table.select("i", geo.coverage_percent(F.col("a"), F.col("b")).alias("p"))
+    assert "ArrowEvalPython" in _physical(found)
+    for r in found.collect():
+        i, n = r["i"], 3 + r["i"] % 7
+        want = None if i % 5 == 0 or i % 7 == 0 or i % 11 == 0 else 100 * (n / 2 * 4 * math.sin(2 * math.pi / n)) / 64
+        assert (r["p"] is None) == (want is None) and (want is None or abs(r["p"] - want) < 1e-9), (r, want)
