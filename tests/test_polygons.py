@@ -192,3 +192,13 @@ def test_coverage_of_a_batch_of_unlike_rings_is_counted_at_once(spark):
         i, n = r["i"], 3 + r["i"] % 7
         want = None if i % 5 == 0 or i % 7 == 0 or i % 11 == 0 else 100 * (n / 2 * 4 * math.sin(2 * math.pi / n)) / 64
         assert (r["p"] is None) == (want is None) and (want is None or abs(r["p"] - want) < 1e-9), (r, want)
+
+
+def test_clearance_of_a_batch_of_unlike_rings_is_counted_at_once(spark):
+    scene = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    rows = [(i, [] if i % 5 == 0 else closed((1 + i % 3, 2), (5, 2), (5, 5), *[(4, 6 + k / 4) for k in range(i % 4)])[0], scene if i % 7 else None) for i in range(200)]
+    found = spark.createDataFrame(rows, "i int, a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>").coalesce(1).select("i", geo.clearance(F.col("a"), F.col("b")).alias("d"))
+    assert "ArrowEvalPython" in _physical(found)
+    for r in found.collect():
+        i = r["i"]
+        assert r["d"] == (None if i % 5 == 0 or i % 7 == 0 else min(1.0 + i % 3, 2.0)), r
