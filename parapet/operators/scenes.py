@@ -316,15 +316,14 @@ def flat_items(items: DataFrame, areas: DataFrame, fields: dict[str, str]) -> Da
     shape = "struct<id:string,geometry:struct<coordinates:array<array<array<double>>>>>"
     lonlat = F.transform(F.get("i.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
     ring = F.when(F.size(lonlat) > 3, lonlat).otherwise(F.raise_error(F.concat(F.lit("no geometry: "), F.coalesce("i.id", F.lit("null")))).cast("array<struct<x:double,y:double>>"))
-    plane = lambda r: F.transform(r, lambda p: geo.equal_area(p["x"], p["y"]))
     taken = [F.get_json_object("item", f"$.properties.{name}").cast(kind).alias(name) for name, kind in fields.items()]
     own = items.join(areas, "city").withColumn("i", F.from_json("item", shape)).select("city", "area", "item", F.col("i.id").alias("scene_id"), *taken, ring.alias("ring"))
-    flat = own.withColumns({"flat_ring": plane("ring"), "flat_area": plane("area")}).withColumns({"centre": geo.centroid(F.col("flat_ring")), "middle": geo.centroid(F.col("flat_area")), "scene_centre": geo.centroid(F.col("ring"))})
-    dx, dy = F.col("centre.x") - F.col("middle.x"), F.col("centre.y") - F.col("middle.y")
+    flat = own.withColumn("m", geo.scene_measures(F.col("ring"), F.col("area")))
+    dx, dy = F.col("m.dx"), F.col("m.dy")
     side = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
     bearing = geo.bearing_of(dx, dy)
     return flat.select(
-        "city", "scene_id", *fields, F.round(geo.coverage_percent(F.col("flat_ring"), F.col("flat_area")), 6).alias("coverage"), F.col("scene_centre.x").alias("lon"), F.col("scene_centre.y").alias("lat"),
+        "city", "scene_id", *fields, F.round("m.coverage", 6).alias("coverage"), F.col("m.lon").alias("lon"), F.col("m.lat").alias("lat"),
         (F.hypot(dx, dy) / 1000).alias("offset_km"), bearing.alias("bearing"), geo.sector8(bearing).alias("direction"),
         side(F.array_min, "x").alias("lon_min"), side(F.array_min, "y").alias("lat_min"), side(F.array_max, "x").alias("lon_max"), side(F.array_max, "y").alias("lat_max"), "item",
     )

@@ -136,3 +136,18 @@ def test_grid_audit_names_what_differs(spark):
     for want, row in cases.items():
         assert raster.grid_audit(spark.createDataFrame([("a", *row)], columns), template, "key").first()["failed"] == want
     assert raster.grid_audit(template.withColumn("key", F.lit("z")), template, "key").first()["failed"] == "template"
+
+
+def test_scenes_are_measured_a_batch_at_a_time(spark):
+    """Many scenes of two cities in one task: each row's own ring and area, by a batched step, not by nested lambdas a row."""
+    ring = lambda w: [[w, 10.0], [w + 1, 10.0], [w + 1, 11.0], [w, 11.0], [w, 10.0]]
+    items = spark.createDataFrame([("ab"[i % 2], json.dumps({"id": f"s{i}", "geometry": {"coordinates": [ring(i / 100)]}, "properties": {}})) for i in range(200)], "city string, item string").coalesce(1)
+    area = lambda w: [(float(x), float(y)) for x, y in ring(w)]
+    areas = spark.createDataFrame([("a", area(0.0)), ("b", area(1.0))], "city string, area array<struct<x: double, y: double>>")
+    found = scenes.flat_items(items, areas, {})
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["scene_id"]: (r["coverage"], r["lon"], r["lat"]) for r in found.collect()}
+    assert len(got) == 200
+    for i in range(200):
+        covered, lon, lat = got[f"s{i}"]
+        assert abs(covered - 100 * max(0, 1 - abs(i / 100 - i % 2))) < 1e-5 and abs(lon - i / 100 - 0.5) < 1e-9 and abs(lat - 10.5) < 1e-9
