@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import reasons
 from .components import components
 from .splitting import drawn
+from .tables import spread
 
 
 def augment(cells: DataFrame, chip: str, size: int, seed: int, row: str = "r", column: str = "c") -> DataFrame:
@@ -39,7 +40,7 @@ def burn(boxes: DataFrame, value: str, order: str, all_touched: bool = False) ->
         first, last = F.floor, lambda hi: F.ceil(hi) - 1
     else:
         first, last = lambda lo: F.ceil(lo - 0.5), lambda hi: F.ceil(hi - 0.5) - 1
-    out = boxes
+    out = spread(boxes.select(value, order, "xmin", "xmax", "ymin", "ymax"))
     for name, lo, hi in (("c", "xmin", "xmax"), ("r", "ymin", "ymax")):
         a, b = first(F.col(lo)).cast("bigint"), last(F.col(hi)).cast("bigint")
         out = out.where(a <= b).withColumn(name, F.explode(F.sequence(a, b)))

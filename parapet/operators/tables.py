@@ -48,6 +48,21 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows that a task takes before each becomes many.
+SPREAD_ROWS = 20_000
+
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """The same rows dealt over tasks of about ``rows`` each, for steps that make many rows of one.
+
+    A small file is read by one task, which would then hold all that its rows
+    become. The rows are counted first, so the tasks grow with the input; few
+    rows stay as they are.
+    """
+    n = -(-df.count() // rows)
+    return df.repartition(n) if n > 1 else df
+
+
 class Scratch:
     """Intermediate tables of one computation, each dropped when nothing reads it any more."""
 
