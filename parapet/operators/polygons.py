@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch, new_path
+from .tables import Scratch, drop_table, new_path, spread, write_to
 
 
 def edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
@@ -53,6 +53,11 @@ def cells_inside(polygons: DataFrame, key: list[str], rings: str = "rings") -> D
 
 def cells_on_border(polygons: DataFrame, key: list[str], rings: str = "rings") -> DataFrame:
     """(key, r, c) of the cells that an edge passes through; one along a border between cells is in neither."""
+    return _cells_of_edges(polygons, key, rings).distinct()
+
+
+def _cells_of_edges(polygons: DataFrame, key: list[str], rings: str) -> DataFrame:
+    """(key, r, c) of the cells that each edge passes through, once an edge."""
     sides = edges(polygons.select(*key, rings), rings)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     last = F.greatest(F.ceil(high) - 1, F.when((low == high) & (F.floor(low) != low), F.floor(low)))
@@ -67,7 +72,7 @@ def cells_on_border(polygons: DataFrame, key: list[str], rings: str = "rings") -
     left, right = F.coalesce(F.least(one, two), least), F.coalesce(F.greatest(one, two), most)
     across = rows.select(*key, "r", left.alias("left"), right.alias("right"))
     to = F.greatest(F.ceil("right") - 1, F.when((F.col("left") == F.col("right")) & (F.floor("left") != F.col("left")), F.floor("left")))
-    return across.select(*key, "r", _runs(F.floor("left"), to, "c")).distinct()
+    return across.select(*key, "r", _runs(F.floor("left"), to, "c"))
 
 
 def burn(polygons: DataFrame, value: str, order: str, rings: str = "rings", all_touched: bool = False) -> DataFrame:
@@ -76,10 +81,10 @@ def burn(polygons: DataFrame, value: str, order: str, rings: str = "rings", all_
     Polygons without a value burn nothing.
     """
     key = [order, value]
-    given = polygons.where(F.col(value).isNotNull())
+    given = spread(polygons.where(F.col(value).isNotNull()).select(*key, rings))
     cells = cells_inside(given, key, rings)
     if all_touched:
-        cells = cells.unionByName(cells_on_border(given, key, rings))
+        cells = cells.unionByName(_cells_of_edges(given, key, rings))  # a cell that comes twice has the same value
     return cells.groupBy("r", "c").agg(F.max_by(value, order).alias("burned"))
 
 
