@@ -160,11 +160,12 @@ def nearest_edges(points: DataFrame, sides: DataFrame, size: float, key: str = "
     edges near it alone, and the rounds grow with the logarithm of the distance in
     cells. Points at the same distance from several take the smallest owner. Where
     there are no edges of others at all, a point has none. The rounds are written
-    tables; the result is the last of them.
+    tables, and so are the edges by cell; the result is read from the points done
+    in each round. Joins merge: what a point becomes in cells must not be broadcast.
     """
     spark = points.sparkSession
-    scratch, held = Scratch(spark, "nearest"), new_path(spark, "nearest-found")
-    cells = edge_cells(sides, size).select("gx", "gy", F.col(owner).alias("owner"), "x1", "y1", "x2", "y2")
+    scratch, held, by_cell = Scratch(spark, "nearest"), new_path(spark, "nearest-found"), new_path(spark, "nearest-edges")
+    cells = write_to(edge_cells(sides, size).select("gx", "gy", F.col(owner).alias("owner"), "x1", "y1", "x2", "y2"), by_cell)
     box = cells.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("gx", "gy") for f in (F.min, F.max)]).first()
     id_type = points.schema[key].dataType.simpleString()
     waiting = scratch.table(points.select(key, "x", "y", F.lit(None).cast("double").alias("distance"), F.lit(None).cast(cells.schema["owner"].dataType).alias("nearest")))
@@ -174,9 +175,9 @@ def nearest_edges(points: DataFrame, sides: DataFrame, size: float, key: str = "
         across, down = F.col("gx") - own_x, F.col("gy") - own_y
         window = lambda own, lo, hi: F.explode(F.when(F.greatest(own - to_ring, F.lit(lo)) <= F.least(own + to_ring, F.lit(hi)), F.sequence(F.greatest(own - to_ring, F.lit(lo)), F.least(own + to_ring, F.lit(hi)))))
         looked = waiting.withColumn("gx", window(own_x, box["min_gx"], box["max_gx"])).withColumn("gy", window(own_y, box["min_gy"], box["max_gy"])).where(F.greatest(F.abs(across), F.abs(down)) >= from_ring)
-        seen = looked.join(cells, ["gx", "gy"]).where(~F.col("owner").eqNullSafe(F.col(key)))
+        seen = looked.join(cells.hint("merge"), ["gx", "gy"]).where(~F.col("owner").eqNullSafe(F.col(key)))
         best = seen.groupBy(key, "x", "y").agg(F.min(F.struct(edge_distance(F.col("x"), F.col("y")).alias("distance"), F.col("owner"))).alias("found"))
-        now = waiting.join(best, [key, "x", "y"], "left")
+        now = waiting.join(best.hint("merge"), [key, "x", "y"], "left")
         nearer = F.least(F.struct("distance", F.col("nearest").alias("owner")), F.col("found"))
         pick = F.when(F.col("found").isNull(), F.struct("distance", F.col("nearest").alias("owner"))).when(F.col("distance").isNull(), F.col("found")).otherwise(nearer)
         rows = scratch.table(now.select(key, "x", "y", pick.alias("p")).select(key, "x", "y", F.col("p.distance").alias("distance"), F.col("p.owner").alias("nearest")))
@@ -189,4 +190,5 @@ def nearest_edges(points: DataFrame, sides: DataFrame, size: float, key: str = "
         scratch.drop(keep=1)
     schema = f"{key} {id_type}, nearest {cells.schema['owner'].dataType.simpleString()}, distance double"
     found = spark.read.schema(schema).parquet(*parts) if parts else waiting.select(key, "nearest", "distance")
+    drop_table(spark, by_cell)
     return found
