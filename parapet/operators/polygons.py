@@ -125,14 +125,14 @@ def shared_walls(polygons: DataFrame, key: str = "id", rings: str = "rings", siz
     neighbour is merged before it is added up.
     """
     steps = round(math.pi / _TURN)
-    sides = edges(polygons.select(F.col(key).alias("id"), rings), rings).where("x1 <> x2 OR y1 <> y2")
+    sides = edges(spread(polygons.select(F.col(key).alias("id"), rings)), rings).where("x1 <> x2 OR y1 <> y2")
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     border = sides.groupBy("id").agg(F.sum(length).alias("border"))
     turn = F.round(F.pmod(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")), F.lit(math.pi)) / _TURN).cast("bigint") % steps
     met = edge_cells(sides.withColumns({"turn": turn, "length": length}), size)
     side = lambda df, p: df.select("gx", "gy", "turn", *[F.col(c).alias(p + c) for c in ("id", "x1", "y1", "x2", "y2", "length")])
     around = met.withColumn("turn", F.explode(F.array(*[F.pmod(F.col("turn") + d, F.lit(steps)) for d in (-1, 0, 1)])))
-    pairs = side(met, "a_").join(side(around, "b_"), ["gx", "gy", "turn"]).where("a_id < b_id").drop("gx", "gy", "turn").distinct()
+    pairs = side(met, "a_").join(side(around, "b_").hint("merge"), ["gx", "gy", "turn"]).where("a_id < b_id").drop("gx", "gy", "turn").distinct()
     ux, uy = (F.col("a_x2") - F.col("a_x1")) / F.col("a_length"), (F.col("a_y2") - F.col("a_y1")) / F.col("a_length")
     off = lambda i: F.abs(ux * (F.col(f"b_y{i}") - F.col("a_y1")) - uy * (F.col(f"b_x{i}") - F.col("a_x1")))
     along = lambda i: ux * (F.col(f"b_x{i}") - F.col("a_x1")) + uy * (F.col(f"b_y{i}") - F.col("a_y1"))
@@ -147,7 +147,7 @@ def shared_walls(polygons: DataFrame, key: str = "id", rings: str = "rings", siz
     )
     total = held.groupBy("a_id", "b_id").agg(F.sum(merged).alias("shared"))
     of = lambda p: border.select(F.col("id").alias(f"{p}_id"), F.col("border").alias(f"{p}_border"))
-    with_borders = total.join(of("a"), "a_id").join(of("b"), "b_id")
+    with_borders = total.join(of("a").hint("merge"), "a_id").join(of("b").hint("merge"), "b_id")
     return with_borders.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "shared", (F.col("shared") / F.least("a_border", "b_border")).alias("ratio"))
 
 

@@ -18,20 +18,21 @@ def touching_pairs(boxes: DataFrame, size: float = 16.0, carry: tuple[str, ...]
     """Pairs (a, b), a < b, of rectangles that meet or overlap; columns of both, the ``carry`` ones too, as a_... and b_....
 
     An equi-join on grid cells; a pair is taken in the cell of its shared
-    rectangle's lower corner alone, so none comes twice.
+    rectangle's lower corner alone, so none comes twice. Sides of such joins are
+    merged, never broadcast: what they become in cells is many times their files.
     """
     side = lambda p: cells(boxes, size).select("gx", "gy", *[F.col(c).alias(p + c) for c in ("id", "xmin", "ymin", "xmax", "ymax", *carry)])
     a, b = side("a_"), side("b_")
     meet = (F.col("a_xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("a_xmax")) & (F.col("a_ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("a_ymax"))
     own = (F.floor(F.greatest("a_xmin", "b_xmin") / size) == F.col("gx")) & (F.floor(F.greatest("a_ymin", "b_ymin") / size) == F.col("gy"))
-    return a.join(b, ["gx", "gy"]).where((F.col("a_id") < F.col("b_id")) & meet & own)
+    return a.join(b.hint("merge"), ["gx", "gy"]).where((F.col("a_id") < F.col("b_id")) & meet & own)
 
 
 def boxes_of_points(points: DataFrame, boxes: DataFrame, size: float = 16.0) -> DataFrame:
     """Each point with each rectangle that holds it, borders included."""
     p = points.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
     inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
-    return p.join(cells(boxes, size), ["gx", "gy"]).where(inside).drop("gx", "gy")
+    return p.join(cells(boxes, size).hint("merge"), ["gx", "gy"]).where(inside).drop("gx", "gy")
 
 
 def eroded(boxes: DataFrame, steps: tuple[float, ...]) -> DataFrame:
@@ -44,9 +45,9 @@ def eroded(boxes: DataFrame, steps: tuple[float, ...]) -> DataFrame:
 
 def ring_points(points: DataFrame, boxes: DataFrame, inner: float, outer: float, size: float = 16.0) -> DataFrame:
     """Each point with each rectangle from which it lies ``inner`` to ``outer`` away, without points inside any rectangle."""
-    free = points.join(boxes_of_points(points, boxes, size).select("x", "y").distinct(), ["x", "y"], "left_anti")
+    free = points.join(boxes_of_points(points, boxes, size).select("x", "y").distinct().hint("merge"), ["x", "y"], "left_anti")
     wide = boxes.select("id", "xmin", "ymin", "xmax", "ymax", *[(F.col(lo) - outer).alias("o" + lo) for lo in ("xmin", "ymin")], *[(F.col(hi) + outer).alias("o" + hi) for hi in ("xmax", "ymax")])
-    near = free.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size)).join(cells(wide, size, "oxmin", "oymin", "oxmax", "oymax"), ["gx", "gy"])
+    near = free.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size)).join(cells(wide, size, "oxmin", "oymin", "oxmax", "oymax").hint("merge"), ["gx", "gy"])
     away = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.lit(0.0), F.col(v) - F.col(hi))
     distance = F.sqrt(away("x", "xmin", "xmax") ** 2 + away("y", "ymin", "ymax") ** 2)
     return near.withColumn("distance", distance).where(F.col("distance").between(inner, outer)).drop("gx", "gy", "oxmin", "oymin", "oxmax", "oymax")
@@ -71,7 +72,7 @@ def covered_area(boxes: DataFrame, by: list[str], size: float = 16.0) -> DataFra
     key = [*by, "gx", "gy"]
     borders = cut.select(*key, F.explode(F.array("x0", "x1")).alias("x")).distinct()
     slabs = borders.withColumn("next", F.lead("x").over(Window.partitionBy(*key).orderBy("x"))).where("next IS NOT NULL")
-    inside = cut.join(slabs, key).where("x0 <= x AND next <= x1")
+    inside = cut.join(slabs.hint("merge"), key).where("x0 <= x AND next <= x1")
     below = F.max("y1").over(Window.partitionBy(*key, "x").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(below, F.col("y0"))))
     return inside.select(*by, ((F.col("next") - F.col("x")) * fresh).alias("area")).groupBy(*by).agg(F.sum("area").alias("area"))
