@@ -67,9 +67,12 @@ p AS (SELECT id, x * 4 / 3 AS x, y * 4 / 3 AS y, z, row_number() OVER () AS k FR
 h AS (SELECT p.id, k, z FROM p JOIN e ON p.id = e.id WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY p.id, k, z HAVING count(*) % 2 = 1)
 SELECT id, CAST(count(*) AS BIGINT) AS n, round(max(z), 6) AS top FROM h GROUP BY id""")
 def points_in_rings(points, buildings):
-    """Points inside each footprint and outside its holes."""
-    near = spatial.boxes_of_points(points.where("class <> 7"), footprints(buildings))
-    held = near.where(geo.inside_polygon(F.col("x") * 4 / 3, F.col("y") * 4 / 3, F.col("rings")))
+    """Points inside each footprint and outside its holes.
+
+    Boxes meet the points; rings, which follow from the boxes, are made for the pairs that met.
+    """
+    near = spatial.boxes_of_points(points.where("class <> 7").select("x", "y", "z"), buildings.select("id", "xmin", "ymin", "xmax", "ymax"))
+    held = footprints(near).where(geo.inside_polygon(F.col("x") * 4 / 3, F.col("y") * 4 / 3, F.col("rings")))
     return held.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("z"), 6).alias("top"))
 
 

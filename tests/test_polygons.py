@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from parapet.functions import geo
@@ -202,3 +203,50 @@ def test_clearance_of_a_batch_of_unlike_rings_is_counted_at_once(spark):
     for r in found.collect():
         i = r["i"]
         assert r["d"] == (None if i % 5 == 0 or i % 7 == 0 else min(1.0 + i % 3, 2.0)), r
+
+
+def _boxes(spark, n):
+    return spark.range(n).selectExpr("id", "CAST(id % 7 AS INT) AS size", "CAST(id % 50 * 4 AS DOUBLE) AS xmin", "CAST(id DIV 50 * 4 AS DOUBLE) AS ymin", "CAST(id % 50 * 4 + 4 AS DOUBLE) AS xmax", "CAST(id DIV 50 * 4 + 3 AS DOUBLE) AS ymax").coalesce(1)
+
+
+@pytest.mark.parametrize("name", ["shared_walls", "nearest_wall"])
+def test_rows_that_became_many_are_never_broadcast(spark, name, monkeypatch):
+    """The files are small, what their rows become in cells is not, and a broadcast of it fills the driver."""
+    from parapet.plans import QUERIES  # noqa: F401: registers the plans
+    from parapet.plans import polygons as plans
+
+    seen = []
+    real = polygons.Scratch.table
+    monkeypatch.setattr(polygons.Scratch, "table", lambda self, df: seen.append(_physical(df)) or real(self, df))
+    seen.append(_physical(getattr(plans, name)(_boxes(spark, 60))))
+    assert any("SortMergeJoin" in p for p in seen) and not any("Broadcast" in p for p in seen)
+
+
+@pytest.mark.parametrize("touched", [False, True])
+def test_burning_deals_one_file_over_tasks(spark, touched, monkeypatch):
+    """One task would hold the cells of all polygons of a small file."""
+    from parapet.operators import tables
+
+    monkeypatch.setattr(tables.spread, "__defaults__", (100,))
+    boxes = _boxes(spark, 1000)
+    rings = boxes.withColumn("rings", F.expr("array(array(named_struct('x', xmin, 'y', ymin), named_struct('x', xmax, 'y', ymin), named_struct('x', xmax, 'y', ymax), named_struct('x', xmin, 'y', ymax), named_struct('x', xmin, 'y', ymin)))"))
+    burned = polygons.burn(rings, "size", "id", all_touched=touched)
+    assert "RoundRobinPartitioning(10)" in _physical(burned) and burned.count() == 1000 * 12
+
+
+def test_rectangles_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
+    from parapet.operators import raster, tables
+
+    monkeypatch.setattr(tables.spread, "__defaults__", (100,))
+    burned = raster.burn(_boxes(spark, 1000), "size", "id")
+    assert "RoundRobinPartitioning(10)" in _physical(burned) and burned.count() == 1000 * 12
+
+
+def test_rings_are_not_carried_through_the_join_with_points(spark):
+    from parapet.plans import polygons as plans
+
+    points = spark.createDataFrame([(0.5, 0.5, 3.0, 2), (3.9, 2.9, 9.0, 2), (0.5, 0.5, 8.0, 7)], "x double, y double, z double, class int")
+    found = plans.points_in_rings(points, _boxes(spark, 60))
+    join = next(line for line in _physical(found).splitlines() if "SortMergeJoin" in line)
+    assert "gx" in join and "rings" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert [(r["id"], r["n"], r["top"]) for r in found.collect()] == [(0, 1, 3.0)]
