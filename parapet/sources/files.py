@@ -80,6 +80,21 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def write_packs(contents: DataFrame, path: str) -> None:
+    """Files (file, content) packed as rows of a table.
+
+    A file of its own for each costs a folder entry, a rename and a status on the
+    driver; of a million small files these alone fill it.
+    """
+    contents.select("file", "content").write.parquet(path)
+
+
+def packed_hashes(spark: SparkSession, path: str, file: str = "file string") -> DataFrame:
+    """Name, size and SHA-256 of the files packed at ``path``, from their bytes; ``file`` is the name's column and type."""
+    packs = spark.read.schema(f"{file}, content binary").parquet(path)
+    return packs.select("file", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 def missing_files(listed: DataFrame, present: DataFrame, name: str = "file") -> DataFrame:
     return listed.join(present, name, "left_anti")
 

@@ -151,3 +151,15 @@ def test_scenes_are_measured_a_batch_at_a_time(spark):
     for i in range(200):
         covered, lon, lat = got[f"s{i}"]
         assert abs(covered - 100 * max(0, 1 - abs(i / 100 - i % 2))) < 1e-5 and abs(lon - i / 100 - 0.5) < 1e-9 and abs(lat - 10.5) < 1e-9
+
+
+def test_a_delivery_makes_no_file_of_its_own_for_each_tile(spark, tmp_path, monkeypatch):
+    """Entries, renames and statuses must not grow by one a delivered file; the contents are still held against the manifest."""
+    from parapet.plans import chips
+
+    at = tmp_path / "delivered"
+    monkeypatch.setattr(chips, "new_path", lambda spark, name: str(at))
+    spark.range(1, 401).selectExpr("id AS c_custkey", "CONCAT('A', id) AS c_name", "'X' AS c_mktsegment").coalesce(2).write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r["file"]: r["status"] for r in chips.tile_integrity(spark, str(tmp_path)).collect()}
+    assert got == {i: {1: "missing", 2: "size_mismatch", 3: "hash_mismatch"}.get(i % 5, "ok") for i in range(1, 401) if i % 10 < 8}
+    assert 0 < len([p for p in at.rglob("*") if p.name.startswith("part-")]) <= 2
