@@ -350,6 +350,19 @@ def test_extraction_of_odd_rows(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_licences_repeated_past_any_number_of_words_are_found(spark):
+    """A set of bigrams stays as it is however often a unit repeats them; a wide line still hides no match beside it."""
+    from parapet.llm import licence_texts
+
+    name, text = licence_texts.FULL_TEXTS[0]
+    once = " ".join(text.split())
+    prose = " ".join(f"word{i}" for i in range(5000))
+    rows = [(1, once, "a"), (2, " ".join([once] * 40), "a"), (3, "\n".join([once] * 40), "a"), (4, f"{prose}\n{once}\n{prose}", "a"), (5, f"{once} {prose}", "a")]
+    got = {r["doc_id"]: (r["licence"], r["n_matches"]) for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i][0] for i in range(1, 6)] == [name] * 4 + [None]
+    assert got[3][1] == 41 and got[4][1] == 1
+
+
 # -- language model ------------------------------------------------------------
 
 
