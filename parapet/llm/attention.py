@@ -9,7 +9,7 @@ The tree's own bias holds the logarithm of how often a digit follows the digits
 before it in the counts of the whole training corpus; with a context of no use
 the model is the unigram distribution of these counts. The other weights are
 trained with Adam: first on windows of a bounded sample in one place (``train``),
-then on windows of a share of all documents, every partition from the same weights
+then on windows of all other documents, every partition from the same weights
 (``Refiner``); what the partitions changed is averaged.
 
 Texts longer than a window are read in overlapping windows. Each id is scored

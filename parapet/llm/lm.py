@@ -3,16 +3,16 @@
 The model is a mixture. One part is the causal self-attention model of
 ``attention`` over the subword ids of a public byte-level vocabulary; the product
 over a word's ids is the word's probability. The other part knows the words of the
-training corpus as wholes, by their counts. The mixing weight is fitted on
-documents of the sample that the attention part was not trained on.
+training corpus as wholes, by their counts. The mixing weight is fitted on every
+tenth training document by hash, on which the attention part was not trained.
 
 What the model learns from the corpus grows with it: word counts over all training
 documents, made by a shuffle of partial counts; from these the counts of all
 subword ids, which are the output bias of the attention part; and the attention
-weights, which begin from a bounded sample (``SAMPLE_DOCS``, ``STEPS``) and are then
-refined in ``ROUNDS`` rounds over all partitions of the training documents: every
-partition trains on its share of documents (one in ``REFINE_ONE_IN`` a round, by
-hash), and the changes are averaged row by row, weighted by use.
+weights. These begin from a bounded sample (``SAMPLE_DOCS``, ``STEPS``), which only
+gives the place to start from and the order of ids in the tree, and are then trained
+in ``ROUNDS`` rounds on every other training document: every partition trains on all
+of its own, and the changes are averaged row by row, weighted by use.
 
 Scores need the count of every word of every document. Frequent words
 (``HOT_WORDS`` of them at most, a bounded broadcast) are looked up in place; each
@@ -44,8 +44,8 @@ PARTIAL_WORDS = 200_000
 SMOOTHING = 0.1
 #: Every tenth document by hash fits the mixing weight instead of the attention.
 FIT_EVERY = 10
-#: Rounds in which all partitions refine the attention weights, each on one document in so many.
-ROUNDS, REFINE_ONE_IN = 1, 25
+#: Rounds in which all partitions refine the attention weights on all of their documents.
+ROUNDS = 1
 #: Mixing weights that are tried.
 WORD_WEIGHTS = tuple(x / 40 for x in range(1, 40))
 
@@ -180,6 +180,11 @@ class _Refine:
 _CHANGES = [f"v{i}" for i in range(attention.DIM)]
 
 
+def trained_on(train: DataFrame) -> DataFrame:
+    """All documents but those that fit the mixing weight."""
+    return train.where(F.col("turn") % FIT_EVERY != 0)
+
+
 def refine(train: DataFrame, weights: bytes, path: str, rounds: int = ROUNDS, rate: float = attention.REFINE_RATE) -> bytes:
     """The weights after ``rounds`` rounds over all partitions of ``train`` (turn, text).
 
@@ -188,9 +193,9 @@ def refine(train: DataFrame, weights: bytes, path: str, rounds: int = ROUNDS, ra
     weights, come to the driver.
     """
     spark = train.sparkSession
-    for r in range(rounds):
+    share = trained_on(train)
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
-        share = train.where((F.col("turn") % FIT_EVERY != 0) & (F.floor(F.col("turn") / FIT_EVERY) % REFINE_ONE_IN == r))
         parts = share.select("text").mapInArrow(_Refine(path, sent, rate), "k int, n double, " + ", ".join(f"{c} double" for c in _CHANGES))
         sums = parts.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _CHANGES]).toArrow()
         if sums.num_rows:
@@ -226,12 +231,12 @@ def _mixed(log: Column, c: Column, word_weight: float, n_tokens: int) -> Column:
     return F.when(b.isNull(), a).otherwise(top + F.log1p(F.exp(F.least(a, b) - top))) / F.lit(float(np.log(10)))
 
 
-def fit_word_weight(sample: DataFrame, counts: DataFrame, weights: bytes, path: str, n_tokens: int, n_ends: int) -> float:
-    """The mixing weight under which the sample's words are likeliest; each word's own use is left out of its count."""
+def fit_word_weight(held: DataFrame, counts: DataFrame, weights: bytes, path: str, n_tokens: int, n_ends: int) -> float:
+    """The mixing weight under which the words of ``held`` are likeliest; each word's own use is left out of its count."""
     if not n_tokens:
         return 0.0
-    sent = sample.sparkSession.sparkContext.broadcast(weights)
-    tokens = sample.select("text").mapInArrow(_Tokens(path, sent), "w binary, log double").join(counts, "w", "left")
+    sent = held.sparkSession.sparkContext.broadcast(weights)
+    tokens = held.select("text").mapInArrow(_Tokens(path, sent), "w binary, log double").join(counts, "w", "left")
     c = F.when(F.col("w").isNull(), n_ends).otherwise(F.coalesce("c", F.lit(1))) - 1
     tried = tokens.select("log", c.alias("c")).agg(*[F.sum(_mixed(F.col("log"), F.col("c"), x, n_tokens)).alias(f"w{i}") for i, x in enumerate(WORD_WEIGHTS)]).first()
     return WORD_WEIGHTS[max(range(len(WORD_WEIGHTS)), key=lambda i: (tried[i] if tried[i] is not None else 0.0, -i))]
@@ -276,7 +281,7 @@ def fit(docs: DataFrame, usable: Column, path: str, *, sample_docs: int = SAMPLE
     hot = _most_frequent(counts, total["n"], hot_words)
     turned = train.select(turn(F.col("doc_id")).alias("turn"), "text")
     sample = table(bounded_sample(turned, n_ends, sample_docs), "lm-sample")
-    own, held = sample.where(F.col("turn") % FIT_EVERY != 0), sample.where(F.col("turn") % FIT_EVERY == 0)
+    own, held = trained_on(sample), turned.where(F.col("turn") % FIT_EVERY == 0)
     weights = own.repartition(1).mapInArrow(_Train(path, id_counts, steps), "weights binary").first()["weights"]
     weights = refine(turned, bytes(weights), path, rounds)
     word_weight = fit_word_weight(held, counts, weights, path, n_tokens, n_ends)

@@ -479,6 +479,21 @@ def test_every_document_counts_for_the_score(spark):
     assert min(got[1000 + i] for i in range(5)) > max(got[1000 + i] for i in range(5, 10)) - 3
 
 
+def test_attention_and_mixing_weight_learn_from_every_training_document(spark, monkeypatch):
+    """All training documents but each tenth, which fits the mixing weight, are trained on, not a share of them."""
+    docs = spark.createDataFrame([(i, f"w{i} stands here", "a") for i in range(400)], DOCS).select("doc_id", "text")
+    fitted, held, trained = lm.fit_word_weight, [], []
+    monkeypatch.setattr(lm, "fit_word_weight", lambda part, *rest: held.append(part.count()) or fitted(part, *rest))
+
+    def refine(train, weights, path, rounds):
+        trained.append(lm.trained_on(train).count())
+        return weights
+
+    monkeypatch.setattr(lm, "refine", refine)
+    lm.fit(docs, F.lit(True), queries._tokenizer("byte_bpe_50k.tiktoken"), sample_docs=40, steps=2)
+    assert trained[0] + held[0] == 400 and held[0] > 20
+
+
 def test_language_model_of_odd_rows(spark, odd, empty):
     path = queries._tokenizer("byte_bpe_50k.tiktoken")
     model = lm.fit(odd, F.lit(True), path, sample_docs=8, steps=2)
