@@ -27,12 +27,16 @@ once: a chunk that a third of all documents hold arrives there once a task.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +51,8 @@ _RANGE = 16
 #: Words whose ids a worker remembers, which bounds its memory to some 150 MB.
 CACHE_WORDS = 500_000
 BATCH_DOCS = 1000
+#: Bytes of texts that are encoded at once, or one text.
+BATCH_BYTES = 1 << 21
 #: Addresses that a task remembers to have sent, which bounds its memory.
 SENT_ADDRESSES = 300_000
 #: Documents in a recipe file at most, or as many as the shuffle partitions give.
@@ -118,16 +124,24 @@ class Encoder:
 
     Parts that are not yet known go to the tokenizer in one text, parted in the
     same ways; the number of bytes that each id stands for tells them apart again.
+    A word is parted before the punctuation at its end. Words of letters alone are
+    one part each, so they go to the same merges parted at spaces, in the characters
+    that stand for their bytes, without the search for parts.
     """
 
     def __init__(self, path: str, dtype: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker to a core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         #: Tokens that the tokenizer finds anywhere in a text, even inside a word.
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = "|".join([_ODD, *(re.escape(x) for x in self.added)])
         self.dtype = dtype
-        self.stops = {p: self._ids(p).tobytes() for p in ".,"}
+        #: Ids of the punctuation at the end of words.
+        self.stops: dict[str, bytes] = {}
         #: Ids of a word after a space; of a word at the start of a line, marked by \x00; of a line end.
         self.known: dict[str, bytes] = {"\n": self._ids("\n").tobytes()}
         # Each character of a byte-level token stands for one byte.
@@ -140,68 +154,129 @@ class Encoder:
         # The fast form leaves out offsets, not ids.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def is_plain(self, text: str) -> bool:
-        """Whether all white space of a text is single spaces and line ends between other characters, and no added token is in it."""
-        if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.added):
-            return False
-        return not (any(x in text for x in _DOUBLE) or any(x in text for x in _ODD_ASCII) or not text.isascii() and any(x in text for x in _ODD_SPACES))
+    def _cut(self, ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[bytes] | None:
+        """The ids of the bytes from each start to each stop, if ids end there."""
+        ends = np.concatenate(([0], np.cumsum(self.bytes_of[ids])))
+        first, last = np.searchsorted(ends, start), np.searchsorted(ends, stop)
+        if not (np.array_equal(ends[np.minimum(first, len(ids))], start) and np.array_equal(ends[np.minimum(last, len(ids))], stop)):
+            return None
+        raw, width = ids.tobytes(), np.dtype(self.dtype).itemsize
+        return [raw[a:b] for a, b in zip((first * width).tolist(), (last * width).tolist(), strict=True)]
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words in one text: after a space, or after a line end where they start a line."""
-        pieces = ["\n" + w[1:] if w[0] == "\x00" else " " + w for w in words]
-        ids = self._ids("a" + "".join(pieces) + " a")
-        ends = np.cumsum(self.bytes_of[ids])
-        lead = np.array([w[0] == "\x00" for w in words], dtype=np.int64)
-        stop = 1 + np.cumsum(np.array([len(p.encode()) for p in pieces], dtype=np.int64))
-        start = np.concatenate(([1], stop[:-1])) + lead
-        first, last = np.searchsorted(ends, start, "left") + 1, np.searchsorted(ends, stop, "left") + 1
-        if np.array_equal(ends[first - 1], start) and np.array_equal(ends[last - 1], stop):
-            raw, width = ids.tobytes(), np.dtype(self.dtype).itemsize
-            found = [raw[a * width : b * width] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        else:  # a word that the tokenizer doesn't part there: each for itself
+        text = "".join(["\n" + w[1:] if w[0] == "\x00" else " " + w for w in words])
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        at = np.flatnonzero((raw == 32) | (raw == 10))  # no word holds either
+        found = self._cut(self._ids("a" + text + " a"), 1 + at + (raw[at] == 10), 1 + np.append(at[1:], len(raw)))
+        if found is None:  # a word that the tokenizer doesn't part there: each for itself
             found = [self._ids(w[1:] if w[0] == "\x00" else " " + w).tobytes() for w in words]
         self.known.update(zip(words, found, strict=True))
 
-    def _learn_all(self, fresh: set[str]) -> None:
+    def _learn_letters(self, words: list[str]) -> None:
+        """The same for words of letters alone."""
+        raw = np.frombuffer(" ".join([w[1:] if w[0] == "\x00" else "\x01" + w for w in words]).encode(), dtype=np.uint8)
+        ids = np.array(self.merges.encode_batch_fast([_BYTE_CHARS[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        stop = np.append(np.flatnonzero(raw == 32), len(raw)) - np.arange(len(words))
+        found = self._cut(ids, np.concatenate(([0], stop[:-1])), stop)
+        if found is None:
+            self._learn(words)
+        else:
+            self.known.update(zip(words, found, strict=True))
+
+    def _learn_all(self, fresh: list[str]) -> None:
+        known, stops = self.known, self.stops
+        parted, letters, others = [], set(), set()
+        for w in fresh:
+            if part := _LETTERS(w):
+                core, end = part.groups()
+                of = letters
+            else:
+                core = w.rstrip(_STOPS) if w[-1:] in _STOPS else w
+                core = core if core[-1:].isalnum() else w
+                end, of = w[len(core) :], others
+            if end:
+                parted.append((w, core, end))
+            if core not in known:
+                of.add(core)
+        for learn, words in ((self._learn_letters, list(letters)), (self._learn, list(others))):
+            for at in range(0, len(words), 1000):
+                learn(words[at : at + 1000])
+        if len(stops) > MOST_STOPS:
+            stops.clear()
+        for w, core, end in parted:
+            if end not in stops:
+                stops[end] = self._ids(end).tobytes()
+            known[w] = known[core] + stops[end]
+
+    def ids_of(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each with ``end_id`` if there is one, and how many each has; null is empty.
+
+        A word is looked up once, however often the texts hold it.
+        """
+        if len(self.known) > CACHE_WORDS:  # what was met first is what is frequent
+            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
         known = self.known
-        stopped = [w for w in fresh if w[-1] in self.stops and w[-2:-1].isalnum()]
-        rest = list(fresh.difference(stopped).union([b for w in stopped if (b := w[:-1]) not in known]))
-        for at in range(0, len(rest), 1000):
-            self._learn(rest[at : at + 1000])
-        for w in stopped:
-            known[w] = known[w[:-1]] + self.stops[w[-1]]
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        some = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+        plain = some & ~pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        marked = pc.binary_join_element_wise("\x00", pc.replace_substring(texts.filter(pa.array(plain)), "\n", " \n \x00"), "")
+        split = pc.split_pattern(marked, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, words))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        self._learn_all([words[i] for i in places])
+        for i in places:
+            found[i] = known[words[i]]
+        # A text that isn't plain is a word of its own, and so is the end.
+        whole = np.flatnonzero(some & ~plain)
+        found += [self._ids(t).tobytes() for t in texts.take(pa.array(whole)).to_pylist()]
+        n = np.zeros(len(texts), dtype=np.int64)
+        n[plain], n[whole] = pc.list_value_length(split).to_numpy(zero_copy_only=False), 1
+        of_plain = np.repeat(plain, n)
+        number = np.empty(len(of_plain), dtype=np.int64)
+        number[of_plain] = coded.indices.to_numpy(zero_copy_only=False)
+        number[~of_plain] = len(words) + np.arange(len(whole))
+        if end_id is not None:
+            number = np.insert(number, np.cumsum(n), len(found))
+            found.append(np.array([end_id], dtype=self.dtype).tobytes())
+            n += 1
+        size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.dtype).itemsize
+        flat, length = np.frombuffer(b"".join(found), dtype=self.dtype), size[number]
+        after = np.concatenate(([0], np.cumsum(length)))
+        ids = flat[np.repeat((np.cumsum(size) - size)[number] - after[:-1], length) + np.arange(after[-1])]
+        return ids, np.diff(after[np.concatenate(([0], np.cumsum(n)))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        if len(self.known) > CACHE_WORDS:  # what was met first is what is frequent
-            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
-        known = self.known
-        held: list[list[bytes] | None] = []
-        gaps: list[tuple[list[bytes], list[int], list[str]]] = []
-        fresh: set[str] = set()
-        for text in texts:
-            if not text or not self.is_plain(text):
-                held.append(None)
-                continue
-            words = ("\x00" + text.replace("\n", " \n \x00")).split(" ")
-            found = list(map(known.get, words))
-            if None in found:
-                places = [i for i, ids in enumerate(found) if ids is None]
-                missing = [words[i] for i in places]
-                fresh.update(missing)
-                gaps.append((found, places, missing))
-            held.append(found)
-        self._learn_all(fresh)
-        for found, places, missing in gaps:
-            for i, w in zip(places, missing, strict=True):
-                found[i] = known[w]
-        return [b"".join(found) if found is not None else self._ids(text).tobytes() if text else b"" for text, found in zip(texts, held, strict=True)]
-
-
-_DOUBLE = ("  ", " \n", "\n ", "\n\n")
-_ODD_ASCII = tuple("\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
-#: Every other character that counts as white space.
-_ODD_SPACES = tuple(c for c in map(chr, range(0x80, 0x3001)) if c.isspace())
+        ids, sizes = self.ids_of(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+
+#: Punctuation that is parted from a letter or digit before it.
+_STOPS = string.punctuation
+#: Ends of words whose ids a worker remembers.
+MOST_STOPS = 10_000
+#: A word of letters that Python and the tokenizer, whatever their Unicode version, know as letters, and the punctuation at its end.
+_LETTERS = re.compile(rf"(\x00?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([{re.escape(_STOPS)}]*)").fullmatch
+
+
+def _byte_chars() -> np.ndarray:
+    """The characters that stand for bytes in a byte-level vocabulary; a space parts words, 1 stands for the space before a word."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, dtype="<u4")
+    out[printed] = printed
+    others = np.flatnonzero(out == 0)
+    out[others] = 256 + np.arange(len(others))
+    out[1], out[32] = out[32], 32
+    return out
+
+
+_BYTE_CHARS = _byte_chars()
+
+#: White space other than single spaces and line ends between other characters.
+_ODD = r"\A[ \n]|[ \n]\z|  | \n|\n |\n\n|[\x00\t\x0b\x0c\r\x1c-\x1f" + "".join(rf"\x{{{i:x}}}" for i in range(0x80, 0x3001) if chr(i).isspace()) + "]"
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -228,7 +303,6 @@ def chunked(docs: DataFrame, tokenizer_path: str, dtype: str, end_id: int = END_
     bounded_batches(docs.sparkSession)
     id_type_ = docs.schema["doc_id"].dataType
     width = np.dtype(dtype).itemsize
-    end = np.array([end_id], dtype=dtype).tobytes()
     entries = pa.list_(pa.struct([("address", pa.binary()), ("n", pa.int32())]))
     sha256 = hashlib.sha256
 
@@ -245,13 +319,16 @@ def chunked(docs: DataFrame, tokenizer_path: str, dtype: str, end_id: int = END_
             rows = batch.column("row").to_pylist()
             addresses, sizes, offsets = [], [], [0]
             column = batch.column("text")
-            for at in range(0, len(rows), 100):
-                streams = [ids + end for ids in encoder.encode([t or "" for t in column.slice(at, 100).to_pylist()])]
-                cuts = chunk_ends_of(np.frombuffer(b"".join(streams), dtype=dtype), [len(x) // width for x in streams])
+            read = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+            firsts = [0, *(np.flatnonzero(np.diff(read)) + 1).tolist(), len(rows)]
+            for at, until in zip(firsts[:-1], firsts[1:], strict=True):
+                flat, counts = encoder.ids_of(column.slice(at, until - at), end_id)
+                cuts, raw = chunk_ends_of(flat, counts.tolist()), memoryview(flat.tobytes())
+                streams = [raw[(b - n) * width : b * width] for b, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)]
                 for ids, ends in zip(streams, cuts, strict=True):
                     last = 0
                     for cut in ends:
-                        payload = ids[last * width : cut * width]
+                        payload = bytes(ids[last * width : cut * width])
                         address = sha256(payload).digest()
                         addresses.append(address)
                         sizes.append(cut - last)

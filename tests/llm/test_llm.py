@@ -715,6 +715,26 @@ def test_encoder_agrees_with_the_tokenizer():
             assert [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)] == plain_ids(text)[:-1], text[:40]
 
 
+def test_new_words_are_parted_before_the_library_merges_them(monkeypatch):
+    """Ids stay the library's; words of letters skip its search for parts, words with the same letters are merged once, and no threads of its own run."""
+    import os
+
+    words = ["straße", "Éclair", "plain", "plain...", "plain,$$$", "plain!!", "ǅungla", "ªº", "日本", "don't!", "x1.", "...", "_a_", "a_", "½.", "naïve's", "e\u0301.", "Ωmega)"]
+    texts = [" ".join(words), "\n".join(words), " ".join(w + "?!" for w in words), *words]
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    encoder = store.Encoder(tokenizer(), "<u2")
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    searched = []
+    real = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: searched.append(text) or real(text))
+    for _ in range(2):
+        for text, raw in zip(texts, encoder.encode(texts), strict=True):
+            assert [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)] == plain_ids(text)[:-1], text
+    assert not any("plain" in x or "straße" in x for x in searched)
+    ids, sizes = encoder.ids_of(__import__("pyarrow").array(["plain", None, "", "a  b"]), 2)
+    assert ids.tolist() == [i for t in ("plain", None, "", "a  b") for i in plain_ids(t)] and sizes.tolist() == [len(plain_ids(t)) for t in ("plain", None, "", "a  b")]
+
+
 def test_chunks_end_where_a_plain_rolling_hash_says():
     import numpy as np
 
