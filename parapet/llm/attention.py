@@ -281,58 +281,99 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.nd
     """Mean negative log-probability of the scored targets, and its gradients.
 
     Tables looked up by row (embeddings, gates) have (rows, gradients) instead of
-    a full array.
+    a full array. Scored places are taken in the order of their codes, so rows of
+    equal prefix stand together at every level of the tree. Exponentials are shifted
+    only where they have to be, and sums come out of the matrix products.
     """
-    y, (x, qkv, a, mixed, h, up) = _block(w, inputs, keep=True)
-    flat = scored.reshape(-1)
-    ys, code = y[flat], w.code[targets[scored]]
-    n = max(1, len(ys))
-    rows = np.arange(len(ys))
+    kind = w["embed"].dtype
+    scale = kind.type(DIM**-0.5)
+    to = np.concatenate((w["qkv"][:, :DIM] * scale, w["qkv"][:, DIM:]), axis=1)
+    at = np.flatnonzero(scored)
+    code = w.code[targets.reshape(-1)[at]]
+    order = np.argsort(code.astype(np.uint16), kind="stable")
+    at, code = at[order], code[order]
+    n = max(1, len(at))
+    x = w["embed"].take(inputs, axis=0)
+    x += w["place"]
+    flat = x.reshape(-1, DIM)
+    qkv = (flat @ to).reshape(len(inputs), WINDOW, 3 * DIM)
+    q, k_ = qkv[..., :DIM], qkv[..., DIM : 2 * DIM]
+    v = np.ones((len(inputs), WINDOW, DIM + 1), dtype=kind)
+    v[..., :DIM] = qkv[..., 2 * DIM :]
+    a = np.matmul(q, k_.transpose(0, 2, 1))
+    if _is_wide(a):
+        a += _MASK
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= _CAUSAL
+    mixed = np.matmul(a, v).reshape(-1, DIM + 1).take(at, axis=0)
+    share = 1 / mixed[:, DIM:]
+    mixed = mixed[:, :DIM] * share
+    h = mixed @ w["out"]
+    h += flat.take(at, axis=0)
+    up = h @ w["up"]
+    up += w["up_bias"]
+    np.maximum(up, 0, out=up)
+    y = up @ w["down"]
+    y += h
     grads: dict = {}
-    loss, dys = 0.0, np.zeros_like(ys)
+    loss, dy, rows, ones = 0.0, np.zeros_like(y), np.arange(len(y)) * BASE, np.ones((BASE, 1), dtype=kind)
     for k, (prefix, digit) in enumerate(_digits(code)):
-        gate = w[f"gate{k}"][prefix] if k else None
-        g = ys * gate if k else ys
-        z = g @ w[f"head{k}"] + w[f"bias{k}"][prefix]
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        total = p.sum(axis=1, keepdims=True)
-        loss -= float((z[rows, digit] - np.log(total[:, 0])).sum())
-        p /= total
-        p[rows, digit] -= 1
-        p /= n
-        grads[f"head{k}"] = g.T @ p
-        dg = p @ w[f"head{k}"].T
+        gate = w[f"gate{k}"].take(prefix, axis=0) if k else None
+        g = y * gate if k else y
+        z = g @ w[f"head{k}"]
+        z += w[f"bias{k}"].take(prefix, axis=0) if k else w["bias0"]
+        if _is_wide(z):
+            z -= z.max(axis=1, keepdims=True)
+        loss -= float(z.reshape(-1).take(rows + digit).sum())
+        np.exp(z, out=z)
+        total = z @ ones
+        loss += float(np.log(total).sum())
+        z /= total
+        z.reshape(-1)[rows + digit] -= 1
+        z /= kind.type(n)
+        grads[f"head{k}"] = g.T @ z
+        dg = z @ w[f"head{k}"].T
         if k:
-            grads[f"gate{k}"] = _by_row(prefix, dg * ys)
-            dg = dg * gate
-        dys += dg
-    dy = np.zeros_like(y)
-    dy[flat] = dys
+            dy += dg * gate
+            dg *= y
+            grads[f"gate{k}"] = _sums(prefix, dg)
+        else:
+            dy += dg
     grads["down"] = up.T @ dy
     dup = dy @ w["down"].T
-    dup[up <= 0] = 0
+    dup *= up > 0
     grads["up"], grads["up_bias"] = h.T @ dup, dup.sum(axis=0)
-    dh = dy + dup @ w["up"].T
-    grads["out"] = mixed.T @ dh
-    dmixed = (dh @ w["out"].T).reshape(len(inputs), WINDOW, DIM)
-    q, k_, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
-    da = np.matmul(dmixed, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dmixed)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    ds *= np.float32(DIM**-0.5)
-    dqkv = np.concatenate((np.matmul(ds, k_), np.matmul(ds.transpose(0, 2, 1), q), dv), axis=2).reshape(-1, 3 * DIM)
-    grads["qkv"] = x.reshape(-1, DIM).T @ dqkv
-    dx = (dh + dqkv @ w["qkv"].T).reshape(len(inputs), WINDOW, DIM)
-    grads["place"] = dx.sum(axis=0)
-    grads["embed"] = _by_row(inputs.reshape(-1), dx.reshape(-1, DIM))
+    dy += dup @ w["up"].T  # from here the gradient of what goes into the network
+    grads["out"] = mixed.T @ dy
+    dmixed = dy @ w["out"].T
+    dmixed *= share
+    # The column beside the values brings each row's mean off the gradient of the attention.
+    d = np.zeros((inputs.size, DIM + 1), dtype=kind)
+    d[at, :DIM], d[at, DIM] = dmixed, -np.einsum("ij,ij->i", dmixed, mixed)
+    d = d.reshape(len(inputs), WINDOW, DIM + 1)
+    ds = np.matmul(d, v.transpose(0, 2, 1))
+    ds *= a
+    dqkv = np.concatenate((np.matmul(ds, k_), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d)[..., :DIM]), axis=2).reshape(-1, 3 * DIM)
+    grads["qkv"] = flat.T @ dqkv
+    grads["qkv"][:, :DIM] *= scale
+    dx = dqkv @ to.T
+    dx[at] += dy
+    grads["place"] = dx.reshape(len(inputs), WINDOW, DIM).sum(axis=0)
+    order = np.argsort(inputs.reshape(-1), kind="stable")
+    grads["embed"] = _sums(inputs.reshape(-1)[order], dx.take(order, axis=0))
     return loss / n, grads
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows, kind="stable")
-    unique, first = np.unique(rows[order], return_index=True)
-    return unique, np.add.reduceat(values[order], first, axis=0) if len(rows) else values
+def _is_wide(z: np.ndarray) -> bool:
+    """Whether exponentials of ``z`` may overflow, or a sum of some of them vanish."""
+    return z.size > 0 and not (z.max() < 60 and z.min() > -60)
+
+
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of ordered ``rows``, and the sum of the values of each."""
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[first], np.add.reduceat(values, first, axis=0) if len(rows) else values
 
 
 class _Adam:
@@ -391,10 +432,10 @@ class Refiner:
         for at in range(0, until, BATCH):
             pick = order[at : min(at + BATCH, until)]
             self.adam.step(inputs[pick], targets[pick], scored[pick], self.rate * min(1.0, (self.adam.t + 1) / WARM))
-            np.add.at(self.uses["embed"], inputs[pick].reshape(-1), 1)
+            self.uses["embed"] += np.bincount(inputs[pick].reshape(-1), minlength=len(self.uses["embed"]))
             for k, (prefix, _) in enumerate(_digits(self.w.code[targets[pick][scored[pick]]])):
                 if k:
-                    np.add.at(self.uses[f"gate{k}"], prefix, 1)
+                    self.uses[f"gate{k}"] += np.bincount(prefix, minlength=len(self.uses[f"gate{k}"]))
         self.windows += until
         rest = order[until:]
         self.held, self.n_held = [(inputs[rest], targets[rest], scored[rest])], len(rest)

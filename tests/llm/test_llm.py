@@ -454,6 +454,24 @@ def test_gradients_against_finite_differences():
             assert full[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=2e-6, rel=2e-3), name
 
 
+def test_gradients_order_places_once_and_hold_out_wide_numbers(monkeypatch):
+    """A training step orders its places by code once for all levels of the tree, and its inputs once; wide numbers neither overflow nor vanish."""
+    attention, np, w, streams = tiny_model()
+    batch = attention.windows(streams, 40)
+    orders, real = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: orders.append(1) or real(*a, **b))
+    attention.gradients(w, *batch)
+    assert len(orders) == 2
+    for name, by in (("qkv", 30), ("head0", 5000)):
+        wide = attention.Weights({k: v * np.float32(by if k == name else 1) for k, v in w.arrays.items()}, w.code)
+        exact = attention.Weights({k: v.astype(np.float64) for k, v in wide.arrays.items()}, w.code)
+        (loss, some), (want, all_) = attention.gradients(wide, *batch), attention.gradients(exact, *batch)
+        assert loss == pytest.approx(want, rel=1e-3)
+        for k, g in some.items():
+            g, e = (g[1], all_[k][1]) if isinstance(g, tuple) else (g, all_[k])
+            assert np.isfinite(g).all() and abs(g - e).max() <= 2e-2 * abs(e).max() + 1e-6, (name, k)
+
+
 def test_weights_as_rows_and_refining_lowers_the_loss():
     attention, np, w, streams = tiny_model()
     back = attention.from_rows(w, attention.as_rows(w))
