@@ -144,12 +144,15 @@ def _fast(w: Weights, inputs: np.ndarray, mask: np.ndarray, code: np.ndarray) ->
     of_id, of_place = w.projections()
     y = of_id.take(inputs, axis=0)
     y += of_place
-    a = np.matmul(y[..., :DIM], y[..., DIM : 2 * DIM].transpose(0, 2, 1))
-    np.exp(a, out=a)
-    a *= _CAUSAL
     v = np.ones((len(inputs), WINDOW, DIM + 1), dtype=np.float32)
     v[..., :DIM] = y[..., 2 * DIM :]
-    mixed = np.matmul(a, v).reshape(-1, DIM + 1)[mask]
+    mixed = np.empty_like(v)
+    for windows_, queries, keys in _parts(mask.reshape(inputs.shape)):
+        a = np.matmul(y[windows_, queries, :DIM], y[windows_, keys, DIM : 2 * DIM].transpose(0, 2, 1))
+        np.exp(a, out=a)
+        a *= _CAUSAL[queries, keys]
+        mixed[windows_, queries] = np.matmul(a, v[windows_, keys])
+    mixed = mixed.reshape(-1, DIM + 1)[mask]
     h = mixed[:, :DIM] / mixed[:, DIM:]
     h += w["embed"].take(inputs.reshape(-1)[mask], axis=0)
     h += w["place"].take(np.flatnonzero(mask) % WINDOW, axis=0)
@@ -172,6 +175,13 @@ def _fast(w: Weights, inputs: np.ndarray, mask: np.ndarray, code: np.ndarray) ->
     return total - np.log(sums)
 
 
+def _parts(scored: np.ndarray) -> list[tuple[slice | np.ndarray, slice, slice]]:
+    """Windows, queries and keys of the attention that scored places need: in all windows those past the overlap, and the overlap itself where it is scored."""
+    lead = np.flatnonzero(scored[:, :OVERLAP].any(axis=1))
+    past = (slice(None), slice(OVERLAP, None), slice(None))
+    return [past, (lead, slice(None, OVERLAP), slice(None, OVERLAP))] if len(lead) else [past]
+
+
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 _ONES = np.ones(BASE, dtype=np.float32)
 
@@ -297,16 +307,20 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.nd
     x += w["place"]
     flat = x.reshape(-1, DIM)
     qkv = (flat @ to).reshape(len(inputs), WINDOW, 3 * DIM)
-    q, k_ = qkv[..., :DIM], qkv[..., DIM : 2 * DIM]
     v = np.ones((len(inputs), WINDOW, DIM + 1), dtype=kind)
     v[..., :DIM] = qkv[..., 2 * DIM :]
-    a = np.matmul(q, k_.transpose(0, 2, 1))
-    if _is_wide(a):
-        a += _MASK
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a *= _CAUSAL
-    mixed = np.matmul(a, v).reshape(-1, DIM + 1).take(at, axis=0)
+    mixed, held = np.empty_like(v), []
+    for windows_, queries, keys in _parts(scored):
+        q, k_ = qkv[windows_, queries, :DIM], qkv[windows_, keys, DIM : 2 * DIM]
+        a = np.matmul(q, k_.transpose(0, 2, 1))
+        if _is_wide(a):
+            a += _MASK[queries, keys]
+            a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a *= _CAUSAL[queries, keys]
+        mixed[windows_, queries] = np.matmul(a, v[windows_, keys])
+        held.append((windows_, queries, keys, q, k_, a))
+    mixed = mixed.reshape(-1, DIM + 1).take(at, axis=0)
     share = 1 / mixed[:, DIM:]
     mixed = mixed[:, :DIM] * share
     h = mixed @ w["out"]
@@ -329,9 +343,9 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.nd
         np.exp(z, out=z)
         total = z @ ones
         loss += float(np.log(total).sum())
+        total *= kind.type(n)
         z /= total
-        z.reshape(-1)[rows + digit] -= 1
-        z /= kind.type(n)
+        z.reshape(-1)[rows + digit] -= kind.type(1 / n)
         grads[f"head{k}"] = g.T @ z
         dg = z @ w[f"head{k}"].T
         if k:
@@ -343,25 +357,37 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.nd
     grads["down"] = up.T @ dy
     dup = dy @ w["down"].T
     dup *= up > 0
-    grads["up"], grads["up_bias"] = h.T @ dup, dup.sum(axis=0)
+    grads["up"], grads["up_bias"] = h.T @ dup, np.ones(len(dup), dtype=kind) @ dup
     dy += dup @ w["up"].T  # from here the gradient of what goes into the network
     grads["out"] = mixed.T @ dy
     dmixed = dy @ w["out"].T
     dmixed *= share
     # The column beside the values brings each row's mean off the gradient of the attention.
     d = np.zeros((inputs.size, DIM + 1), dtype=kind)
-    d[at, :DIM], d[at, DIM] = dmixed, -np.einsum("ij,ij->i", dmixed, mixed)
+    d[at] = np.concatenate((dmixed, -np.einsum("ij,ij->i", dmixed, mixed)[:, None]), axis=1)
     d = d.reshape(len(inputs), WINDOW, DIM + 1)
-    ds = np.matmul(d, v.transpose(0, 2, 1))
-    ds *= a
-    dqkv = np.concatenate((np.matmul(ds, k_), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d)[..., :DIM]), axis=2).reshape(-1, 3 * DIM)
+    dqkv = np.empty((len(inputs), WINDOW, 3 * DIM), dtype=kind)
+    dqkv[:, :OVERLAP, :DIM] = 0
+    for windows_, queries, keys, q, k_, a in held:
+        dm = d[windows_, queries]
+        ds = np.matmul(dm, v[windows_, keys].transpose(0, 2, 1))
+        ds *= a
+        products = (ds, k_, queries), (ds.transpose(0, 2, 1), q, keys), (a.transpose(0, 2, 1), dm[..., :DIM], keys)
+        for i, (left, right, places) in enumerate(products):
+            columns = slice(i * DIM, (i + 1) * DIM)
+            if isinstance(windows_, slice):  # all windows, which come first
+                np.matmul(left, right, out=dqkv[:, places, columns])
+            else:
+                dqkv[windows_, places, columns] += np.matmul(left, right)
+    dqkv = dqkv.reshape(-1, 3 * DIM)
     grads["qkv"] = flat.T @ dqkv
     grads["qkv"][:, :DIM] *= scale
     dx = dqkv @ to.T
     dx[at] += dy
     grads["place"] = dx.reshape(len(inputs), WINDOW, DIM).sum(axis=0)
-    order = np.argsort(inputs.reshape(-1), kind="stable")
-    grads["embed"] = _sums(inputs.reshape(-1)[order], dx.take(order, axis=0))
+    of = inputs.reshape(-1)
+    order = np.argsort(of.astype(np.uint16) if len(w["embed"]) <= 1 << 16 else of, kind="stable")  # 16 bits are ordered by counting
+    grads["embed"] = _sums(of[order], dx.take(order, axis=0))
     return loss / n, grads
 
 
@@ -372,8 +398,10 @@ def _is_wide(z: np.ndarray) -> bool:
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct of ordered ``rows``, and the sum of the values of each."""
-    first = np.flatnonzero(np.diff(rows, prepend=-1))
-    return rows[first], np.add.reduceat(values, first, axis=0) if len(rows) else values
+    if not len(rows):
+        return rows, values
+    first = np.concatenate(([0], np.flatnonzero(rows[1:] != rows[:-1]) + 1))
+    return rows[first], np.add.reduceat(values, first, axis=0)
 
 
 class _Adam:
@@ -389,10 +417,19 @@ class _Adam:
         fix = np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for name, g in grads.items():
             rows, g = g if isinstance(g, tuple) else (slice(None), g)
-            m = self.mean[name][rows] * 0.9 + 0.1 * g
-            s = self.square[name][rows] * 0.99 + 0.01 * g * g
+            m, s = self.mean[name][rows], self.square[name][rows]
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.99
+            g = g * g
+            g *= 0.01
+            s += g
             self.mean[name][rows], self.square[name][rows] = m, s
-            self.w.arrays[name][rows] -= (rate * fix) * m / (np.sqrt(s) + 1e-8)
+            np.sqrt(s, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= rate * fix
+            self.w.arrays[name][rows] -= g
         return loss
 
 
@@ -432,10 +469,11 @@ class Refiner:
         for at in range(0, until, BATCH):
             pick = order[at : min(at + BATCH, until)]
             self.adam.step(inputs[pick], targets[pick], scored[pick], self.rate * min(1.0, (self.adam.t + 1) / WARM))
-            self.uses["embed"] += np.bincount(inputs[pick].reshape(-1), minlength=len(self.uses["embed"]))
-            for k, (prefix, _) in enumerate(_digits(self.w.code[targets[pick][scored[pick]]])):
-                if k:
-                    self.uses[f"gate{k}"] += np.bincount(prefix, minlength=len(self.uses[f"gate{k}"]))
+        done = order[:until]
+        self.uses["embed"] += np.bincount(inputs[done].reshape(-1), minlength=len(self.uses["embed"]))
+        for k, (prefix, _) in enumerate(_digits(self.w.code[targets[done][scored[done]]])):
+            if k:
+                self.uses[f"gate{k}"] += np.bincount(prefix, minlength=len(self.uses[f"gate{k}"]))
         self.windows += until
         rest = order[until:]
         self.held, self.n_held = [(inputs[rest], targets[rest], scored[rest])], len(rest)

@@ -27,6 +27,7 @@ import io
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import bounded_batches, in_slices, one_blas_thread, table, texts
+from .common import bounded_batches, in_slices, keep_freed_memory, one_blas_thread, table, texts
 
 SAMPLE_DOCS = 1500
 STEPS = 1500
 HOT_WORDS = 131_072
+#: Words whose subword ids a worker remembers, which bounds its memory to some 50 MB.
+CACHE_WORDS = 300_000
 #: Partial counts that a worker holds before it hands them on.
 PARTIAL_WORDS = 200_000
 SMOOTHING = 0.1
@@ -50,6 +53,8 @@ ROUNDS = 1
 WORD_WEIGHTS = tuple(x / 40 for x in range(1, 40))
 
 _BPE: dict[str, object] = {}
+_STARTS: dict[str, np.ndarray] = {}
+_KNOWN: dict[str, dict[bytes, bytes]] = {}
 
 
 def bpe(path: str):
@@ -66,8 +71,10 @@ def bpe(path: str):
 
 def word_starts(path: str) -> np.ndarray:
     """For each id, and the end id after the last, whether it begins a word (with a space) or ends the text."""
-    e = bpe(path)
-    return np.array([e.decode_single_token_bytes(i)[:1] == b" " for i in range(e.n_vocab)] + [True])
+    if path not in _STARTS:
+        e = bpe(path)
+        _STARTS[path] = np.array([e.decode_single_token_bytes(i)[:1] == b" " for i in range(e.n_vocab)] + [True])
+    return _STARTS[path]
 
 
 def stream(words: list[bytes], path: str, end_id: int) -> np.ndarray:
@@ -78,6 +85,26 @@ def stream(words: list[bytes], path: str, end_id: int) -> np.ndarray:
     return np.concatenate((ids.astype(np.int64), [end_id]))
 
 
+def streams_of(docs: list[list[bytes]], path: str) -> list[np.ndarray]:
+    """``stream`` of each document's words; a word's ids are remembered, and new words are encoded together."""
+    known, starts = _KNOWN.setdefault(path, {}), word_starts(path)
+    if len(known) > CACHE_WORDS:  # what was met first is what is frequent
+        known = _KNOWN[path] = dict(islice(known.items(), CACHE_WORDS // 2))
+    found = [list(map(known.get, ws)) for ws in docs]
+    fresh = list({w for ws, ids in zip(docs, found, strict=True) for w, x in zip(ws, ids, strict=True) if x is None})
+    if fresh:
+        ids = stream(fresh, path, len(starts) - 1)
+        begin = np.flatnonzero(starts[ids])
+        if len(begin) == len(fresh) + 1:
+            raw, at = ids.astype("<i4").tobytes(), (4 * begin).tolist()
+            known.update(zip(fresh, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        else:  # white space at the ends of words that only the vocabulary's pattern knows as such
+            known.update((w, stream([w], path, 0)[:-1].astype("<i4").tobytes()) for w in fresh)
+        found = [list(map(known.get, ws)) if None in ids else ids for ws, ids in zip(docs, found, strict=True)]
+    end = (len(starts) - 1).to_bytes(4, "little")
+    return [np.frombuffer(b"".join([*ids, end]), "<i4").astype(np.int64) for ids in found]
+
+
 @dataclass
 class Model:
     counts: DataFrame  # (w binary, c long): every training word
@@ -144,10 +171,11 @@ class _Train:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
+        keep_freed_memory()
         end_id = len(self.id_counts) - 1
         # In the order of the ids' hash, whatever order the rows come in.
         rows = sorted((turn, text) for b in batches for turn, text in zip(b.column("turn").to_pylist(), texts(b, "text"), strict=True))
-        streams = [stream(text.lower().split(), self.path, end_id) for _, text in rows]
+        streams = streams_of([text.lower().split() for _, text in rows], self.path)
         w = attention.initial(len(self.id_counts), self.id_counts, streams)
         if streams:
             attention.train(w, streams, end_id, steps=self.steps)
@@ -162,11 +190,12 @@ class _Refine:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
+        keep_freed_memory()
         w = _load(self.weights.value)
         end_id = len(word_starts(self.path)) - 1
         refiner = attention.Refiner(w, end_id, self.rate)
         for batch in in_slices(batches, 20):
-            refiner.feed([stream(t.lower().split(), self.path, end_id) for t in texts(batch, "text")])
+            refiner.feed(streams_of([t.lower().split() for t in texts(batch, "text")], self.path))
         if not refiner.windows and not refiner.n_held:
             return
         after, n = refiner.rows()
@@ -215,10 +244,11 @@ class _Tokens:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
+        keep_freed_memory()
         w, starts = _load(self.weights.value), word_starts(self.path)
         for batch in in_slices(batches, 50):
             docs = [t.lower().split() for t in texts(batch, "text")]
-            streams = [stream(ws, self.path, len(starts) - 1) for ws in docs]
+            streams = streams_of(docs, self.path)
             logs = _by_word(attention.log_probabilities(w, streams, len(starts) - 1), streams, starts)
             yield pa.RecordBatch.from_arrays([pa.array([x for ws in docs for x in [*ws, None]], pa.binary()), pa.array(logs, pa.float64())], names=["w", "log"])
 
@@ -231,6 +261,18 @@ def _mixed(log: Column, c: Column, word_weight: float, n_tokens: int) -> Column:
     return F.when(b.isNull(), a).otherwise(top + F.log1p(F.exp(F.least(a, b) - top))) / F.lit(float(np.log(10)))
 
 
+def mixtures(words: DataFrame, n_tokens: int) -> DataFrame:
+    """One row: for each of ``WORD_WEIGHTS`` the sum over ``words`` (log, c) of the natural logarithm of the mixture, as in ``_mixed``.
+
+    A word's parts are brought to the larger of them, so that neither underflows;
+    this is done once a word, and each weight takes one logarithm more.
+    """
+    share = F.ln(F.when(F.col("c") > 0, F.col("c"))) - F.lit(float(np.log(max(1, n_tokens))))
+    tops = words.select("log", share.alias("share")).select("log", "share", F.greatest("log", "share").alias("top"))  # the log where there is no share
+    parts = tops.select("top", F.exp(F.col("log") - F.col("top")).alias("a"), F.coalesce(F.exp(F.col("share") - F.col("top")), F.lit(0.0)).alias("b"))
+    return parts.agg(*[F.sum(F.col("top") + F.ln(F.lit(1 - x) * F.col("a") + F.lit(x) * F.col("b"))).alias(f"w{i}") for i, x in enumerate(WORD_WEIGHTS)])
+
+
 def fit_word_weight(held: DataFrame, counts: DataFrame, weights: bytes, path: str, n_tokens: int, n_ends: int) -> float:
     """The mixing weight under which the words of ``held`` are likeliest; each word's own use is left out of its count."""
     if not n_tokens:
@@ -238,7 +280,7 @@ def fit_word_weight(held: DataFrame, counts: DataFrame, weights: bytes, path: st
     sent = held.sparkSession.sparkContext.broadcast(weights)
     tokens = held.select("text").mapInArrow(_Tokens(path, sent), "w binary, log double").join(counts, "w", "left")
     c = F.when(F.col("w").isNull(), n_ends).otherwise(F.coalesce("c", F.lit(1))) - 1
-    tried = tokens.select("log", c.alias("c")).agg(*[F.sum(_mixed(F.col("log"), F.col("c"), x, n_tokens)).alias(f"w{i}") for i, x in enumerate(WORD_WEIGHTS)]).first()
+    tried = mixtures(tokens.select("log", c.alias("c")), n_tokens).first()
     return WORD_WEIGHTS[max(range(len(WORD_WEIGHTS)), key=lambda i: (tried[i] if tried[i] is not None else 0.0, -i))]
 
 
@@ -311,31 +353,6 @@ def _most_frequent(counts: DataFrame, n: int, most: int) -> list[tuple[bytes, in
     return sorted(zip(rows.column("w").to_pylist(), rows.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-class _Subwords:
-    """Subword ids of a batch of documents: the frequent words are encoded once, the rest as they come."""
-
-    def __init__(self, hot: list[bytes], path: str, starts: np.ndarray):
-        self.path, self.starts, self.end_id = path, starts, len(starts) - 1
-        # The end of a text is the word after the last.
-        self.ids = stream(hot, path, self.end_id)
-        self.begin, self.size = self._words(self.ids)
-
-    def _words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = np.flatnonzero(self.starts[ids])
-        return begin, np.diff(begin, append=len(ids))
-
-    def streams(self, number: np.ndarray, others: list[bytes], n: np.ndarray) -> list[np.ndarray]:
-        """Ids of each document of ``n`` words; ``number`` is a word's place among the hot, ``others`` are those past these, in order."""
-        ids = stream(others, self.path, self.end_id)[:-1]
-        begin, size = self._words(ids)
-        hot, rare = np.minimum(number, len(self.begin) - 1), number >= len(self.begin)
-        at, length = self.begin[hot], self.size[hot]
-        at[rare], length[rare] = begin + len(self.ids), size
-        after = np.cumsum(length)
-        flat = np.concatenate((self.ids, ids))[np.repeat(at - after + length, length) + np.arange(after[-1] if len(after) else 0)]
-        return np.split(flat, after[np.cumsum(n)[:-1] - 1])
-
-
 class _Score:
     """Scores whole documents and counts their frequent words."""
 
@@ -345,6 +362,7 @@ class _Score:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
+        keep_freed_memory()
         w, word_weight = _load(self.weights.value), self.word_weight
         hot = {word: i for i, (word, _) in enumerate(self.hot.value)}
         c = np.array([n for _, n in self.hot.value] + [self.n_ends, 0], dtype=np.float64)  # then the end, then rare words
@@ -355,7 +373,7 @@ class _Score:
         share = np.log(np.maximum(word_weight * c / max(1, self.n_tokens), 1e-300)) if self.n_tokens else np.full(len(c), -690.0)
         keep = np.log1p(-word_weight) if self.n_tokens else 0.0
         starts = word_starts(self.path)
-        end_id, subwords = len(starts) - 1, _Subwords(list(hot), self.path, starts)
+        end_id = len(starts) - 1
         for batch in in_slices(batches, 50):
             docs = [t.lower().split() for t in texts(batch, "text")]
             n = np.array([len(ws) + 1 for ws in docs])
@@ -363,7 +381,7 @@ class _Score:
             number = np.concatenate([np.fromiter(map(hot.get, [*ws, None], [rare] * (len(ws) + 1)), np.int64, len(ws) + 1) for ws in docs]) if docs else np.zeros(0, np.int64)
             number[at + n - 1] = end
             others = [[ws[i] for i in np.flatnonzero(number[a : a + k] == rare).tolist()] for ws, a, k in zip(docs, at, n, strict=True)]
-            streams = subwords.streams(number, [x for xs in others for x in xs], n)
+            streams = streams_of(docs, self.path)
             logs = _by_word(attention.log_probabilities(w, streams, end_id), streams, starts)
             mixed = np.logaddexp(keep + logs, share[number]) / np.log(10)
             is_rare = number == rare

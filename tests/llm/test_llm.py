@@ -472,6 +472,47 @@ def test_gradients_order_places_once_and_hold_out_wide_numbers(monkeypatch):
             assert np.isfinite(g).all() and abs(g - e).max() <= 2e-2 * abs(e).max() + 1e-6, (name, k)
 
 
+def test_attention_leaves_out_what_no_scored_place_needs():
+    """Windows after a text's first have no queries in the overlap; gradients and scores are those of all places."""
+    attention, np, w, streams = tiny_model()
+    inputs, targets, scored = attention.windows(streams, 40)
+    lead = scored[:, 0]
+    (windows_, queries, keys), (first, few, seen) = attention._parts(scored)
+    assert windows_ == slice(None) and queries == slice(attention.OVERLAP, None) and keys == slice(None)
+    assert first.tolist() == np.flatnonzero(lead).tolist() and few == seen == slice(None, attention.OVERLAP)
+    assert len(attention._parts(scored[~lead])) == 1
+    w = attention.Weights({k: v.astype(np.float64) for k, v in w.arrays.items()}, w.code)
+    (loss, whole), n = attention.gradients(w, inputs, targets, scored), scored.sum()
+    parts = [attention.gradients(w, inputs[x], targets[x], scored[x]) for x in (lead, ~lead)]
+    shares = [scored[x].sum() / n for x in (lead, ~lead)]
+    assert loss == pytest.approx(sum(p[0] * s for p, s in zip(parts, shares, strict=True)))
+    for name in ("qkv", "out", "up", "head0", "place"):
+        assert whole[name] == pytest.approx(sum(p[1][name] * s for p, s in zip(parts, shares, strict=True)), abs=1e-12), name
+
+
+def test_subword_ids_of_a_word_are_made_once(monkeypatch):
+    """A worker encodes a word once; white space that only the vocabulary's pattern knows doesn't join words."""
+    path, made, real = queries._tokenizer("byte_bpe_50k.tiktoken"), [], lm.stream
+    monkeypatch.setattr(lm, "_KNOWN", {})
+    monkeypatch.setattr(lm, "stream", lambda words, *rest: made.extend(words) or real(words, *rest))
+    docs = [b"a word, and a word".split(), [], b"and another word".split()]
+    starts = lm.word_starts(path)
+    for _ in range(2):
+        assert [x.tolist() for x in lm.streams_of(docs, path)] == [real(ws, path, len(starts) - 1).tolist() for ws in docs]
+    assert sorted(made) == [b"a", b"and", b"another", b"word", b"word,"]
+    odd = [["x\u00a0".encode(), "\u00a0y".encode()], ["\u2028".encode()], ["\u00a0".encode(), "\u00a0".encode()]]
+    assert [int(starts[x].sum()) for x in lm.streams_of(odd, path)] == [3, 2, 3]
+
+
+def test_mixing_weight_is_the_likeliest_by_the_plain_mixture(spark):
+    """The fit's shorter form of the mixture chooses as the plain form does, words of no count and very small probabilities included."""
+    rows = [(-2.0, 50), (-900.0, 3), (-900.0, 0), (-4.0, 1), (-1.0, 0), (-30.0, 700), (-6.0, 2)]
+    tokens = spark.createDataFrame(rows, "log double, c long")
+    plain = tokens.agg(*[F.sum(lm._mixed(F.col("log"), F.col("c"), x, 1000)) for x in lm.WORD_WEIGHTS]).first()
+    short = lm.mixtures(tokens, 1000).first()
+    assert list(short) == pytest.approx([x * 2.302585092994046 for x in plain], rel=1e-12)
+
+
 def test_weights_as_rows_and_refining_lowers_the_loss():
     attention, np, w, streams = tiny_model()
     back = attention.from_rows(w, attention.as_rows(w))
