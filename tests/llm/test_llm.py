@@ -774,6 +774,24 @@ def test_encoder_agrees_with_the_tokenizer():
             assert [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)] == plain_ids(text)[:-1], text[:40]
 
 
+def test_words_are_remembered_without_punctuation_and_kept_if_met_again(monkeypatch):
+    """One entry serves a word with any punctuation after it; of a full memory the words met again stay, and ids are the library's."""
+    import numpy as np
+
+    encoder = store.Encoder(tokenizer(), "<u2")
+    whole = lambda t: encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = ["word, word. (word) word", "word!? x2, don't. -- ... a\u0301, \u4e2d, \u0416. ,", "\u01c5, \u2160. na\u00efve; \u00b2, word\n(word),\n-- word", "", "\u0661, \u3007."]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [whole(t) for t in texts]
+    assert "word" in encoder.known and "don't" in encoder.known and not {"word,", "word.", "word!?", "don't."} & set(encoder.known)
+    monkeypatch.setattr(store, "CACHE_WORDS", 6)
+    encoder = store.Encoder(tokenizer(), "<u2")
+    encoder.encode(["one two three four five six seven"])
+    encoder.again.update(["six", "seven"])
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(["six eight"])] == [whole("six eight")]
+    assert {"six", "seven", "eight"} <= set(encoder.known) | {"\x00six"} and "two" not in encoder.known
+
+
 def test_new_words_are_parted_before_the_library_merges_them(monkeypatch):
     """Ids stay the library's; words of letters skip its search for parts, words with the same letters are merged once, and no threads of its own run."""
     import os
