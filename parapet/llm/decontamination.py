@@ -13,7 +13,7 @@ blocks in one scan; they are never shuffled.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,19 +202,39 @@ def match(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window:
     ``BLOCKS_A_PASS`` blocks of items are read in one pass over the documents; its
     result is written before the next, so that no task ever holds more automata.
     """
+    rows, scans = _last_pass(docs, items, text_col, window, block_words, prefix)
+    return rows.mapInArrow(_in_turn(scans), rows.schema)
+
+
+_Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _in_turn(steps: list[_Step]) -> _Step:
+    """All steps in one Python worker; a call of ``mapInArrow`` for each would hold a worker for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
+def _last_pass(docs: DataFrame, items: DataFrame, text_col: str, window: int, block_words: int, prefix: str) -> tuple[DataFrame, list[_Step]]:
+    """What goes into the last pass of ``match``, and the scans of that pass."""
     spark = docs.sparkSession
     if clash := [c for c in docs.columns if c.startswith(prefix)]:
         raise ValueError(f"columns {clash} begin with the prefix {prefix}")
     bounded_batches(spark)
     out = docs.withColumns({f"{prefix}words": F.lit(0), f"{prefix}spans": F.array().cast(_SPANS), f"{prefix}items": F.array().cast("array<string>")})
     schema = out.schema
-    sent = []
+    sent, scans = [], []
     for block in item_blocks(items, block_words=block_words):
         if len(sent) == BLOCKS_A_PASS:
-            out = table(out, "bench-pass")
+            out = table(out.mapInArrow(_in_turn(scans), schema), "bench-pass")
             for old_block in sent:
                 old_block.unpersist()
-            sent = []
+            sent, scans = [], []
         held = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in block.collect()])
         sent.append(held)
 
@@ -232,8 +252,8 @@ def match(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window:
                 new = {f"{prefix}words": counts, f"{prefix}spans": spans, f"{prefix}items": names}
                 yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
-        out = out.mapInArrow(scan, schema)
-    return out
+        scans.append(scan)
+    return out, scans
 
 
 def digest(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -274,7 +294,7 @@ def _without(text: str, spans: list[dict]) -> str:
     return b"".join(kept).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", max_coverage: float = MAX_COVERAGE, max_span: int = MAX_SPAN, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", max_coverage: float = MAX_COVERAGE, max_span: int = MAX_SPAN, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of ``docs``, without what the benchmark holds.
 
     Hit spans are cut out of the text, and ``length_col`` follows the text. A
@@ -285,15 +305,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     prefix = "__bench_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    found = match(docs, items, text_col=text_col, prefix=prefix, **options)
-    hit = F.aggregate(f"{prefix}spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
-    longest = F.coalesce(F.array_max(F.transform(f"{prefix}spans", lambda s: s["end"] - s["start"])), F.lit(0))
-    stays = found.where((hit <= max_coverage * F.col(f"{prefix}words")) & (longest <= max_span))
+    rows, scans = _last_pass(docs, items, text_col, window, block_words, prefix)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 200):
+            spans, counts = batch.column(f"{prefix}spans").to_pylist(), batch.column(f"{prefix}words").to_pylist()
+            lengths = [[s["end"] - s["start"] for s in x] for x in spans]
+            stays = [sum(x) <= max_coverage * n and max(x, default=0) <= max_span for x, n in zip(lengths, counts, strict=True)]
+            batch, spans = batch.filter(pa.array(stays, pa.bool_())), [x for x, stay in zip(spans, stays, strict=True) if stay]
             text = batch.column(text_col).to_pylist()
-            spans = batch.column(f"{prefix}spans").to_pylist()
             columns = {text_col: [_without(t, s) if s else t for t, s in zip(text, spans, strict=True)]}
             if length_col in batch.schema.names:
                 old = batch.column(length_col).to_pylist()
@@ -302,7 +322,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
             fields = [batch.schema.field(i) for i in keep]
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else batch.column(i) for i, f in zip(keep, fields, strict=True)], schema=pa.schema(fields))
 
-    return stays.mapInArrow(cut, docs.schema)
+    return rows.mapInArrow(_in_turn([*scans, cut]), docs.schema)
 
 
 def items_digest(ids: list[str]) -> str:

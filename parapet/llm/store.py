@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, drop_table, in_slices
+from .common import bounded_batches, drop_table, give_back_memory, in_slices
 
 END_ID = 2
 #: Chunks end where this many low bits of the rolling hash are zero, so on average every 512 ids.
@@ -50,6 +50,8 @@ MIN_CHUNK, MAX_CHUNK = 128, 2048
 _RANGE = 16
 #: Words whose ids a worker remembers, which bounds its memory to some 150 MB.
 CACHE_WORDS = 500_000
+#: Of these, words that it still remembers between two tasks, when it may wait while others run.
+RESTING_WORDS = 100_000
 BATCH_DOCS = 1000
 #: Bytes of texts that are encoded at once, or one text.
 BATCH_BYTES = 1 << 21
@@ -207,12 +209,17 @@ class Encoder:
             found[i] = ids
         return found
 
-    def _forget(self) -> None:
+    def _forget(self, most: int | None = None) -> None:
         """Keep the words that were met again since the last time, half of what the worker remembers at most."""
-        kept = islice(filter(self.again.__contains__, self.known), CACHE_WORDS // 2)
+        kept = islice(filter(self.again.__contains__, self.known), CACHE_WORDS // 2 if most is None else most)
         self.known = {w: self.known[w] for w in kept}
         self.again = set()
 
+    def rest(self) -> None:
+        """Forget most words and give back memory after a task: Spark keeps more workers than run at once, each with an encoder of its own."""
+        self._forget(RESTING_WORDS)
+        give_back_memory()
+
     def _ids_of_ends(self, ends: list[str]) -> list[bytes]:
         if len(self.stops) > MOST_STOPS:
             self.stops.clear()
@@ -332,13 +339,13 @@ def chunked(docs: DataFrame, tokenizer_path: str, dtype: str, end_id: int = END_
     entries = pa.list_(pa.struct([("address", pa.binary()), ("n", pa.int32())]))
     sha256 = hashlib.sha256
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path, dtype)
+    def chunks_of(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in in_slices(batches, BATCH_DOCS):
             schema = pa.schema(
                 [("kind", pa.string()), ("key", pa.binary()), ("n", pa.int32()), ("payload", pa.binary()), ("doc_id", batch.column("doc_id").type), ("row", pa.int64()), ("chunks", entries)]
             )
+            pa.default_memory_pool().release_unused()  # of the batch before
             if len(sent) > SENT_ADDRESSES:
                 sent.clear()
             fresh: dict[bytes, bytes] = {}
@@ -382,6 +389,13 @@ def chunked(docs: DataFrame, tokenizer_path: str, dtype: str, end_id: int = END_
                 schema=schema,
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer_path, dtype)
+        try:
+            yield from chunks_of(batches, encoder)
+        finally:
+            encoder.rest()
+
     numbered = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     schema = T.StructType.fromDDL("kind string, key binary, n int, payload binary").add("doc_id", id_type_).add("row", T.LongType()).add("chunks", T.ArrayType(T.StructType.fromDDL("address binary, n int")))
     return numbered.mapInArrow(run, schema)

@@ -740,6 +740,12 @@ def test_short_items_blocks_and_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and {r["text"] for r in kept.where("doc_id = 5").collect()} == {" three"}
 
 
+def test_decontamination_holds_one_python_worker_a_task(spark, odd):
+    items = spark.createDataFrame([(1, "one two"), (2, "b a b a b a b a b a b a")], "item_id long, text string")
+    for made in (decontamination.decontaminate(odd, items), decontamination.match(odd, items, block_words=4)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 # -- token store ---------------------------------------------------------------
 
 
@@ -833,6 +839,22 @@ def test_chunks_end_where_a_plain_rolling_hash_says():
     assert [store.chunk_ends(x) for x in streams] == want
 
 
+def test_a_worker_forgets_words_met_once_when_its_task_ends(spark):
+    import pyarrow as pa
+
+    texts = [f"resting{i}x " + "often " * 3 for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r["doc_id"]: r["chunks"] for r in store.chunked(rows, tokenizer(), "<u2").where("kind = 'recipe'").collect()}
+    assert {i: sum(c["n"] for c in chunks) for i, chunks in made.items()} == {i: len(plain_ids(t)) for i, t in enumerate(texts)}
+
+    def left(batches):
+        for batch in batches:
+            n = sum(w.startswith("resting") for e in store._ENCODERS.values() for w in e.known)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert spark.range(0, 64, 1, 64).mapInArrow(left, "n long").agg({"n": "max"}).first()[0] == 0
+
+
 def test_store_of_odd_rows_and_damage(spark, odd, empty, tmp_path):
     rows = store.store_documents(odd.select("doc_id", "text"), tokenizer(), str(tmp_path / "odd")).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 4, 5, 5, 6] and [rows[i]["n_tokens"] for i in (1, 2)] == [1, 1]
