@@ -212,7 +212,8 @@ class Encoder:
     def _forget(self, most: int | None = None) -> None:
         """Keep the words that were met again since the last time, half of what the worker remembers at most."""
         kept = islice(filter(self.again.__contains__, self.known), CACHE_WORDS // 2 if most is None else most)
-        self.known = {w: self.known[w] for w in kept}
+        # The line end always stays: it can't be learned among other words.
+        self.known = {"\n": self.known["\n"]} | {w: self.known[w] for w in kept}
         self.again = set()
 
     def rest(self) -> None:

@@ -855,6 +855,14 @@ def test_a_worker_forgets_words_met_once_when_its_task_ends(spark):
     assert spark.range(0, 64, 1, 64).mapInArrow(left, "n long").agg({"n": "max"}).first()[0] == 0
 
 
+def test_encoder_knows_line_ends_after_a_task_without_any():
+    encoder = store.Encoder(tokenizer(), "<u2")
+    for text in ("one two", "three\nfour"):
+        (raw,) = encoder.encode([text])
+        assert [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)] == plain_ids(text)[:-1]
+        encoder.rest()
+
+
 def test_store_of_odd_rows_and_damage(spark, odd, empty, tmp_path):
     rows = store.store_documents(odd.select("doc_id", "text"), tokenizer(), str(tmp_path / "odd")).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 4, 5, 5, 6] and [rows[i]["n_tokens"] for i in (1, 2)] == [1, 1]
